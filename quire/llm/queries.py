@@ -19,6 +19,12 @@ def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.read(spark, entries, digests=True)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm import line_dedup
+
+    return line_dedup.drop_lines(read(spark, sf_dir, "documents"), digests=True)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm import byte_bpe
 
@@ -26,8 +32,27 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_token_shards, op10_byte_bpe)
+    f.__name__: f for f in (op4_token_shards, op7_line_dedup, op10_byte_bpe)
 }
 
+#: Upper and lower case of A-Z alone, for translate().
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+OP7_SQL = f"""
+WITH line AS (
+    SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+           generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents
+), keyed AS (SELECT *, translate(trim(line, {_BLANKS}), {_AZ}) AS key FROM line
+), shared AS (
+    SELECT key, min(doc_id) AS first FROM keyed WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2
+), marked AS (
+    SELECT k.*, s.key IS NOT NULL AND k.doc_id <> s.first AS gone FROM keyed k LEFT JOIN shared s ON k.key = s.key
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
 #: DuckDB SQL, where SQL expresses the operator.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_line_dedup": OP7_SQL}
