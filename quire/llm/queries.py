@@ -6,12 +6,26 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm import decontaminate
+
+    found = decontaminate.hits(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm import licences
+
+    return licences.scan(read(spark, sf_dir, "documents"))
+
+
 def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm import staging, token_shards
 
@@ -19,6 +33,12 @@ def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.read(spark, entries, digests=True)
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm import simhash
+
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm import line_dedup
 
@@ -32,13 +52,61 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_token_shards, op7_line_dedup, op10_byte_bpe)
+    f.__name__: f for f in (op2_decontaminate, op3_licences, op4_token_shards, op6_simhash, op7_line_dedup, op10_byte_bpe)
 }
 
 #: Upper and lower case of A-Z alone, for translate().
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+_WORD = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+OP2_SQL = f"""
+WITH doc AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), {_WORD}) AS w FROM documents
+), item AS (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), {_WORD}) AS w FROM benchmark
+), win AS (
+    SELECT DISTINCT item_id, list_slice(w, i, i + 9) AS g FROM item, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS t(i) WHERE len(w) > 0
+), size AS (SELECT DISTINCT len(g) AS n FROM win
+), place AS (
+    SELECT doc_id, i, n, list_slice(w, i, i + n - 1) AS g FROM doc, size, unnest(generate_series(1, len(w) - n + 1)) AS t(i) WHERE len(w) >= n
+), occ AS (SELECT p.doc_id, p.i, p.n, win.item_id FROM place p JOIN win ON p.g = win.g
+), hit AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM occ, unnest(generate_series(i, i + n - 1)) AS t(j) GROUP BY doc_id
+), items AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS k FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS k FROM occ) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(s.n_items, 0) AS n_items,
+       sha256(coalesce(s.k, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM doc d LEFT JOIN hit h ON d.doc_id = h.doc_id LEFT JOIN items s ON d.doc_id = s.doc_id
+"""
+
+
+def op3_sql() -> str:
+    """The index of the operator as VALUES; the rest is counting."""
+    from quire.llm.licences import SHARE, build_index
+
+    templates, entries = build_index()
+    posted = ", ".join(f"('{e.word}', {e.template}, {e.position}, {int(e.mandatory)})" for e in entries)
+    names = ", ".join(f"({i}, '{t.label}', {t.base}, {t.entries}, {t.mandatory})" for i, t in enumerate(templates))
+    return f"""
+WITH posted(word, template, position, must) AS (VALUES {posted}), names(template, label, base, entries, mandatory) AS (VALUES {names}),
+doc AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), {_WORD}) AS w FROM documents
+), word AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM doc
+), tally AS (
+    SELECT doc_id, template, pos - position AS start, count(*) AS agree, sum(must) AS must FROM word JOIN posted USING (word) GROUP BY ALL
+), fit AS (SELECT * FROM tally JOIN names USING (template) WHERE must = mandatory AND agree >= entries * {SHARE}
+), per AS (
+    SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+           string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
+           max(agree / entries) AS score FROM fit GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM doc d LEFT JOIN per p ON d.doc_id = p.doc_id
+"""
+
+
 OP7_SQL = f"""
 WITH line AS (
     SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -55,4 +123,4 @@ FROM marked GROUP BY doc_id
 """
 
 #: DuckDB SQL, where SQL expresses the operator.
-ORACLES: dict[str, str] = {"op7_line_dedup": OP7_SQL}
+ORACLES: dict[str, str] = {"op2_decontaminate": OP2_SQL, "op3_licences": op3_sql(), "op7_line_dedup": OP7_SQL}
