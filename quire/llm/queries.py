@@ -13,6 +13,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm import quality, staging
+    from quire.llm.folds import held_out
+
+    measured = staging.table(quality.measure(read(spark, sf_dir, "documents")), "statistics")
+    model = quality.fit(measured, read(spark, sf_dir, "labels"), train=~held_out(F.col("doc_id"), 4, 2))
+    return quality.score(measured, model).select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", "predicted")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm import decontaminate
 
@@ -33,6 +42,15 @@ def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.read(spark, entries, digests=True)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm import toxicity
+    from quire.llm.folds import held_out
+
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"), train=~held_out(F.col("doc_id"), 5, 0))
+    return toxicity.score(docs, model).select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm import simhash
 
@@ -45,6 +63,18 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_lines(read(spark, sf_dir, "documents"), digests=True)
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm import embedding_dedup
+
+    return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm import substring_dedup
+
+    return substring_dedup.remove_repeats(read(spark, sf_dir, "documents"), digests=True)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm import byte_bpe
 
@@ -52,7 +82,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_decontaminate, op3_licences, op4_token_shards, op6_simhash, op7_line_dedup, op10_byte_bpe)
+    f.__name__: f for f in (op1_quality, op2_decontaminate, op3_licences, op4_token_shards, op5_toxicity, op6_simhash, op7_line_dedup, op8_embedding_dedup, op9_substring_dedup, op10_byte_bpe)
 }
 
 #: Upper and lower case of A-Z alone, for translate().

@@ -26,6 +26,10 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
+#: ASCII other than letters and digits.
+NO_WORD = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i below n at least."""
     if not _pow or len(_pow[0]) < n:
@@ -84,10 +88,10 @@ def text_chunks(column: pa.Array, most: int = CHUNK) -> Iterator[tuple[int, int,
         yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends in bytes of the runs of other than ASCII white space, and each document's first word."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends in bytes of the runs of bytes outside gap, by default white space, and each document's first word."""
     inner = np.zeros(len(data) + 2, bool)
-    inner[1:-1] = ~SPACE[data]
+    inner[1:-1] = ~gap[data]
     begins = inner[1:] & ~inner[:-1]
     ends = inner[:-1] & ~inner[1:]
     cut = offsets[(offsets > 0) & (offsets < len(data))]
