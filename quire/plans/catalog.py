@@ -1,4 +1,535 @@
-"""The queries of the library and their SQL."""
+"""The queries of the library over the plain tables, each with the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.functions import paths, text
+from quire.operators import entities, graph, hierarchy, links, markdown, search, windows
+from quire.plans.fixtures import NOTES_SQL, TEXT_SQL, notes, parsed, read, text_table
+from quire.sources import notes as note_source
+from quire.sources import reports, sinks
+from quire.streaming import changes
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# Sources and parsing
+
+
+@query(f"WITH {NOTES_SQL} SELECT path, folder, slug, title, list_aggregate(tags, 'string_agg', '|') AS tags, coalesce(list_aggregate(aliases, 'string_agg', '|'), '') AS aliases, draft, modified, coalesce(list_aggregate(links, 'string_agg', '|'), '') AS links FROM note")
+def notes_parsed(spark, d):
+    join = lambda c: F.array_join(c, "|").alias(c)
+    return parsed(spark, d).select("path", "folder", "slug", "title", join("tags"), join("aliases"), "draft", F.col("modified").cast("timestamp_ntz").alias("modified"), join("links"))
+
+
+@query(f"WITH {NOTES_SQL} SELECT folder, count(*) AS parsed, count(*) FILTER (draft) AS dropped, count(*) FILTER (stub) AS stubs FROM note GROUP BY folder")
+def drafts_and_stubs(spark, d):
+    return parsed(spark, d).groupBy("folder").agg(F.count("*").alias("parsed"), F.count_if("draft").alias("dropped"), F.count_if(text.is_stub(F.col("body"))).alias("stubs"))
+
+
+@query(f"WITH {NOTES_SQL} SELECT count(*) AS parsed, count(*) FILTER (draft) AS dropped FROM note")
+def site_build(spark, d):
+    from quire.plans.pipeline import Build
+
+    build = Build()
+    return build.dropped(build.parse(notes(spark, d)))
+
+
+@query("SELECT 'nation/' || n_name AS slug, ['NATION_' || ((n_nationkey + 1) % 25), 'Missing ' || n_nationkey][i] AS target FROM nation, (VALUES (1), (2)) t(i)")
+def relationship_section(spark, d):
+    rows = parsed(spark, d).select("slug", F.explode(text.link_targets(text.section(F.col("body"), "Relationships"))).alias("target"))
+    return rows.select("slug", F.regexp_replace("target", "^nation/", "").alias("target"))
+
+
+@query("SELECT 'nation/' || n_name AS slug, 'tip' AS kind, CAST(1 AS BIGINT) AS n FROM nation")
+def callout_counts(spark, d):
+    return markdown.callouts(parsed(spark, d))
+
+
+@query("SELECT 'region/' || replace(r_name, ' ', '-') AS slug, 'top' AS block_id, 'A region.' AS line FROM region")
+def block_anchors(spark, d):
+    return markdown.blocks(parsed(spark, d))
+
+
+@query("SELECT 'nation/' || n_name AS slug, [0, 0][i] AS depth, ['Relationships', 'Notes'][i] AS text, ['relationships', 'notes'][i] AS anchor FROM nation, (VALUES (1), (2)) t(i)")
+def tables_of_contents(spark, d):
+    rows = parsed(spark, d).select("slug", F.explode(markdown.table_of_contents(F.col("body"))).alias("h"))
+    return rows.select("slug", "h.depth", "h.text", F.col("h.slug").alias("anchor"))
+
+
+# Links (J1, J2, J7-J9, J16, M2, U8, P22)
+
+
+@query(f"WITH {NOTES_SQL}, known AS (SELECT path AS k FROM note UNION SELECT regexp_replace(path, '\\.md$', '') FROM note UNION SELECT regexp_replace(regexp_extract(path, '[^/]*$'), '\\.md$', '') FROM note) SELECT path, target FROM (SELECT path, unnest(links) AS target FROM note) WHERE target NOT IN (SELECT k FROM known)")
+def broken_links(spark, d):
+    p = parsed(spark, d)
+    return links.broken(p.select("path", F.explode("links").alias("target")), p.select("path"))
+
+
+@query(f"WITH {NOTES_SQL}, t AS (SELECT DISTINCT unnest(links) AS target FROM note), k AS (SELECT regexp_replace(path, '\\.md$', '') AS k, 0 AS o, path FROM note UNION ALL SELECT regexp_replace(regexp_extract(path, '[^/]*$'), '\\.md$', ''), 1, path FROM note), b AS (SELECT k, path, row_number() OVER (PARTITION BY k ORDER BY o, path) AS r FROM k) SELECT target, path FROM t LEFT JOIN b ON target = k AND r = 1")
+def resolved_links(spark, d):
+    p = parsed(spark, d)
+    return links.resolve(p.select(F.explode("links").alias("target")).distinct(), p.select("path"))
+
+
+@query(f"WITH {NOTES_SQL}, l AS (SELECT DISTINCT slug AS src, replace(unnest(links), ' ', '-') AS dst FROM note) SELECT dst, count(DISTINCT src) AS n FROM l GROUP BY dst")
+def backlink_counts(spark, d):
+    return links.backlinks(links.outgoing(parsed(spark, d))).select("dst", "n")
+
+
+@query(f"WITH {NOTES_SQL}, l AS (SELECT DISTINCT slug AS src, replace(unnest(links), ' ', '-') AS target FROM note), f AS (SELECT regexp_extract(slug, '[^/]*$') AS name, count(*) AS n, min(slug) AS sole FROM note GROUP BY 1) SELECT src, target, CASE WHEN n = 1 THEN sole ELSE target END AS slug FROM l LEFT JOIN f ON target = name")
+def shortest_links(spark, d):
+    p = parsed(spark, d)
+    return links.shortest(links.outgoing(p).withColumnRenamed("dst", "target"), p.select("slug")).select("src", "target", "slug")
+
+
+@query("SELECT page_id, len(list_distinct(h)) AS n_links, len(list_filter(list_distinct(h), lambda x: NOT regexp_matches(x, '^[a-zA-Z][a-zA-Z0-9+.\\-]*:') AND NOT starts_with(x, '#'))) AS n_internal FROM (SELECT page_id, regexp_extract_all(html, '<a\\s[^>]*?href=[\"'']([^\"'']*)[\"'']', 1) AS h FROM pages)")
+def page_links(spark, d):
+    own = F.array_distinct(markdown.html_links(F.col("html")))
+    return read(spark, d, "pages").select("page_id", F.size(own).cast("long").alias("n_links"), F.size(F.filter(own, paths.is_internal)).cast("long").alias("n_internal"))
+
+
+@query("WITH RECURSIVE e AS (SELECT 'nation/' || n_name AS page, 'nation/NATION_' || ((n_nationkey + 1) % 25) AS path FROM nation), w(page, path, depth) AS (SELECT page, path, 1 FROM e UNION ALL SELECT w.page, e.path, depth + 1 FROM w JOIN e ON e.page = w.path WHERE depth < 3) SELECT page, path, min(depth) AS depth FROM w WHERE page <> path GROUP BY ALL")
+def transclusions(spark, d):
+    n = read(spark, d, "nation")
+    target = F.concat(F.lit("nation/NATION_"), ((F.col("n_nationkey") + 1) % 25).cast("string"))
+    page = F.concat(F.lit("nation/"), F.col("n_name"))
+    return links.transcluded(n.select(page.alias("page"), target.alias("target")), n.select(page.alias("path")))
+
+
+# Entities and mentions
+
+_ENTITY_SQL = "ent AS (SELECT 'npcs' AS kind, c_name AS canonical, 'npcs/' || c_custkey AS path, ['Buyer ' || (c_custkey % 50)] AS aliases FROM customer UNION ALL SELECT 'items', p_name || ' ' || p_brand, 'items/' || p_partkey, [p_name] FROM part)"
+
+
+def _entities(spark, d) -> DataFrame:
+    c, p = read(spark, d, "customer"), read(spark, d, "part")
+    buyer = c.select(F.lit("npcs").alias("kind"), F.col("c_name").alias("canonical"), F.format_string("npcs/%d", "c_custkey").alias("path"), F.array(F.format_string("Buyer %d", F.col("c_custkey") % 50)).alias("aliases"))
+    return buyer.union(p.select(F.lit("items"), F.concat_ws(" ", "p_name", "p_brand"), F.format_string("items/%d", "p_partkey"), F.array("p_name")))
+
+
+@query(f"WITH {_ENTITY_SQL}, n AS (SELECT kind, canonical, path, lower(unnest(list_prepend(canonical, aliases))) AS name, CASE kind WHEN 'npcs' THEN 1 ELSE 4 END AS o FROM ent) SELECT name, canonical, kind FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY o, path, canonical) AS r FROM n) WHERE r = 1")
+def entity_names(spark, d):
+    return entities.name_table(_entities(spark, d))
+
+
+@query(f"WITH {_ENTITY_SQL}, n AS (SELECT kind, canonical, path, lower(unnest(list_prepend(canonical, aliases))) AS name, CASE kind WHEN 'npcs' THEN 1 ELSE 4 END AS o FROM ent) SELECT name, canonical, kind FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY o DESC, path DESC, canonical DESC) AS r FROM n) WHERE r = 1")
+def entity_names_last(spark, d):
+    return entities.name_table(_entities(spark, d), policy="last")
+
+
+@query()
+def fuzzy_entities(spark, d):
+    names = read(spark, d, "supplier").select(F.lower("s_name").alias("name"))
+    typos = read(spark, d, "supplier").filter("s_suppkey % 10 = 3").select(F.regexp_replace("s_name", "pplier", "plier").alias("candidate"))
+    return entities.resolve_fuzzy(typos, names)
+
+
+_MENTION_SQL = "turn AS (SELECT conv_id || '-' || turn AS path, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]') AS w FROM conversations), name AS (SELECT unnest(['the', 'of the', 'in', 'que', 'de la', 'und die']) AS alias), run AS (SELECT path, array_to_string(list_slice(w, i, i + k - 1), ' ') AS alias FROM turn, unnest(generate_series(1, len(w))) a(i), (VALUES (1), (2)) b(k) WHERE i + k - 1 <= len(w))"
+
+
+def _mentions(spark, d) -> DataFrame:
+    lines = read(spark, d, "conversations").select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("path"), F.lit(0).alias("no"), F.regexp_replace("text", r"\s", " ").alias("line"))
+    names = spark.createDataFrame([(x, x.upper()) for x in ("the", "of the", "in", "que", "de la", "und die")], "alias string, canonical string")
+    return entities.text_mentions(lines, names, most_words=2)
+
+
+@query(f"WITH {_MENTION_SQL} SELECT path, upper(alias) AS canonical, alias, count(*) AS n FROM run JOIN name USING (alias) GROUP BY ALL")
+def name_mentions(spark, d):
+    return _mentions(spark, d).drop("no")
+
+
+@query(f"WITH {_MENTION_SQL}, m AS (SELECT path, upper(alias) AS canonical, count(*) AS n FROM run JOIN name USING (alias) GROUP BY ALL) SELECT canonical, CAST(0 AS BIGINT) AS link_mentions, CAST(sum(n) AS BIGINT) AS text_mentions, count(DISTINCT path) AS files, row_number() OVER (ORDER BY sum(n) DESC, canonical) AS rank FROM m GROUP BY canonical")
+def mention_ranking(spark, d):
+    m = _mentions(spark, d).withColumns({"own_path": F.lit(None).cast("string"), "session": F.lit(False), "is_link": F.lit(False)})
+    return entities.ranked(entities.coverage(m)).select("canonical", "link_mentions", "text_mentions", "files", "rank")
+
+
+@query(f"WITH {NOTES_SQL}, l AS (SELECT path, regexp_replace(unnest(links), '^nation/', '') AS target FROM note WHERE folder = 'customer') SELECT target AS canonical, count(*) AS link_mentions, CAST(0 AS BIGINT) AS text_mentions, count(DISTINCT path) AS files, count(DISTINCT path) AS sessions, row_number() OVER (ORDER BY count(DISTINCT path) DESC, count(*) DESC, target) AS rank FROM l GROUP BY target")
+def note_mentions(spark, d):
+    p = parsed(spark, d)
+    lines = p.filter("folder = 'customer'").select("path", F.posexplode(F.split("body", "\n")).alias("no", "line"))
+    nations = p.filter("folder = 'nation'").select("title")
+    names = nations.select(F.lower("title").alias("target"), F.col("title").alias("canonical")).union(nations.select(F.lower(F.concat(F.lit("nation/"), "title")), "title"))
+    found = entities.link_mentions(lines, names).select("path", "canonical", F.concat(F.lit("nation/"), F.col("canonical"), F.lit(".md")).alias("own_path"), F.lit(True).alias("session"), F.lit(True).alias("is_link"), F.lit(1).alias("n"))
+    return entities.ranked(entities.coverage(found), by="sessions").select("canonical", "link_mentions", "text_mentions", "files", "sessions", "rank")
+
+
+@query("WITH seen AS (SELECT DISTINCT 'p' || l_partkey AS name, l_orderkey AS session FROM lineitem WHERE l_partkey < 60 UNION SELECT DISTINCT 's' || l_suppkey, l_orderkey FROM lineitem WHERE l_suppkey < 60), pair AS (SELECT 'p' || a AS a, 's' || b AS b FROM generate_series(0, 19) x(a), generate_series(0, 19) y(b)) SELECT a, b FROM pair WHERE NOT EXISTS (SELECT 1 FROM seen x JOIN seen y ON x.session = y.session WHERE x.name = pair.a AND y.name = pair.b)")
+def unsupported_pairs(spark, d):
+    l = read(spark, d, "lineitem")  # noqa: E741
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    seen = l.filter("l_partkey < 60").select(name("p", "l_partkey").alias("name"), F.col("l_orderkey").alias("session")).union(l.filter("l_suppkey < 60").select(name("s", "l_suppkey"), "l_orderkey")).distinct()
+    pairs = spark.range(400).select(name("p", "id").alias("a"), F.col("id")).select(F.concat(F.lit("p"), F.floor(F.col("id") / 20).cast("string")).alias("a"), F.concat(F.lit("s"), (F.col("id") % 20).cast("string")).alias("b"))
+    return entities.unsupported(pairs, seen)
+
+
+@query("SELECT p_type AS folder, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS key, count(*) AS n FROM part GROUP BY ALL HAVING count(*) > 1")
+def duplicate_groups(spark, d):
+    return entities.duplicates(read(spark, d, "part").select(F.col("p_type").alias("folder"), F.col("p_name").alias("title"))).select("folder", "key", "n")
+
+
+@query("SELECT 'npcs' AS kind, c_mktsegment AS candidate FROM customer WHERE lower(c_mktsegment) NOT IN ('machinery', 'furniture')")
+def stop_listed(spark, d):
+    stops = spark.createDataFrame([("npcs", "machinery"), ("npcs", "furniture"), ("items", "building")], "kind string, word string")
+    return entities.screened(read(spark, d, "customer").select(F.lit("npcs").alias("kind"), F.col("c_mktsegment").alias("candidate")), stops)
+
+
+# Graph (A3, A4, A6, A12, G1-G4, G9, T8, P15, P20)
+
+_EDGE_SQL = "e AS (SELECT DISTINCT 'p' || l_partkey AS a, 's' || l_suppkey AS b FROM lineitem)"
+
+
+def _edges(spark, d) -> DataFrame:
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    return read(spark, d, "lineitem").select(name("p", "l_partkey").alias("a"), name("s", "l_suppkey").alias("b")).distinct()
+
+
+@query(f"WITH {_EDGE_SQL} SELECT count(*) AS edges, (SELECT count(*) FROM (SELECT a FROM e UNION SELECT b FROM e)) AS nodes, count(*) FILTER (a = b) AS self_loops FROM e")
+def graph_summary(spark, d):
+    return graph.summary(_edges(spark, d))
+
+
+@query(f"WITH {_EDGE_SQL}, x AS (SELECT a AS node, 1 AS o, 0 AS i FROM e UNION ALL SELECT b, 0, 1 FROM e) SELECT node, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree, CAST(count(*) AS BIGINT) AS degree, 2 + sqrt(count(*)) AS radius FROM x GROUP BY node")
+def node_degrees(spark, d):
+    return graph.degrees(_edges(spark, d))
+
+
+@query(f"WITH {_EDGE_SQL}, x AS (SELECT a AS node FROM e UNION ALL SELECT b FROM e) SELECT node, count(*) AS degree FROM x GROUP BY node ORDER BY degree DESC, node LIMIT 20")
+def top_nodes(spark, d):
+    return graph.top_degrees(_edges(spark, d)).select("node", "degree")
+
+
+@query(f"WITH RECURSIVE {_EDGE_SQL}, both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e), d0 AS (SELECT 's1' AS node, 0 AS distance), d1 AS (SELECT DISTINCT b AS node, 1 AS distance FROM d0 JOIN both_ways ON node = a), d2 AS (SELECT DISTINCT b AS node, 2 AS distance FROM d1 JOIN both_ways ON node = a) SELECT node, min(distance) AS distance FROM (SELECT * FROM d0 UNION ALL SELECT * FROM d1 UNION ALL SELECT * FROM d2) GROUP BY node")
+def neighbours(spark, d):
+    return graph.neighbourhood(_edges(spark, d), spark.createDataFrame([("s1",)], "node string"), 2)
+
+
+@query(f"WITH {_EDGE_SQL} SELECT a, b FROM e WHERE a IN ('p1', 'p2', 'p3', 'p4') AND b IN (SELECT 's' || s_suppkey FROM supplier WHERE s_acctbal > 0)")
+def induced_subgraph(spark, d):
+    good = read(spark, d, "supplier").filter("s_acctbal > 0").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node"))
+    return graph.induced(_edges(spark, d), good.union(spark.createDataFrame([("p1",), ("p2",), ("p3",), ("p4",)], "node string")))
+
+
+@query(f"WITH {NOTES_SQL}, l AS (SELECT DISTINCT slug AS src, replace(unnest(links), ' ', '-') AS dst FROM note) SELECT src, dst, 'link' AS kind FROM l WHERE dst IN (SELECT slug FROM note) UNION SELECT slug, 'tags/' || t, 'tag' FROM (SELECT slug, unnest(tags) AS t FROM note) WHERE t <> 'land'")
+def note_graph(spark, d):
+    p = parsed(spark, d)
+    return graph.note_graph(links.outgoing(p), p.select("slug", F.explode("tags").alias("tag")), p.select("slug"), without=("land",))
+
+
+_ROUTE_SQL = "route AS (SELECT 'N' || s_nationkey AS a, 'N' || (s_suppkey % 25) AS b, CASE s_suppkey % 3 WHEN 0 THEN 'via gate' WHEN 1 THEN 'stairs' ELSE 'old door' END AS label FROM supplier)"
+
+
+def _routes(spark, d) -> DataFrame:
+    suffix = F.when(F.col("s_suppkey") % 3 == 0, " [via gate if stated]").when(F.col("s_suppkey") % 3 == 1, " [method: stairs] [feature: x]").otherwise(" [feature: old door]")
+    line = F.concat(F.format_string("- [[N%d]] -> [[N%d]]", "s_nationkey", F.col("s_suppkey") % 25), suffix)
+    return reports.edges(read(spark, d, "supplier").select(line.alias("value")))
+
+
+@query(f"WITH {_ROUTE_SQL}, u AS (SELECT DISTINCT a, b, label FROM route WHERE a <> b), r AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY label) AS k FROM u) SELECT a, b, string_agg(label, ' | ' ORDER BY label) AS label FROM r WHERE k <= 2 GROUP BY a, b")
+def labelled_routes(spark, d):
+    return graph.routes(_routes(spark, d))
+
+
+@query(f"WITH {_ROUTE_SQL}, e AS (SELECT DISTINCT a, b, label FROM route) SELECT '  ' || n || '[\"' || n || '\"]' AS line FROM (SELECT a AS n FROM e UNION SELECT b FROM e) UNION ALL SELECT '  ' || a || ' -- ' || label || ' --> ' || b FROM e")
+def mermaid_lines(spark, d):
+    return sinks.mermaid(_routes(spark, d).select("a", "b", "label").distinct())
+
+
+# Hierarchies
+
+
+@query(f"WITH {NOTES_SQL}, t AS (SELECT slug, unnest(tags) AS tag FROM note), p AS (SELECT slug, tag FROM t UNION SELECT slug, split_part(tag, '/', 1) FROM t) SELECT tag, count(DISTINCT slug) AS n FROM p GROUP BY tag")
+def tag_rollup(spark, d):
+    return hierarchy.tag_rollup(parsed(spark, d))
+
+
+@query(f"WITH {NOTES_SQL} SELECT folder, count(*) AS n, max(modified) AS newest FROM note GROUP BY folder")
+def folder_rollup(spark, d):
+    return hierarchy.folder_rollup(parsed(spark, d)).withColumn("newest", F.col("newest").cast("timestamp_ntz"))
+
+
+@query("SELECT '' AS folder, lower(p_type) AS child, true AS is_folder, count(*) AS n FROM part GROUP BY ALL UNION ALL SELECT lower(p_type), replace(p_brand, '#', ''), true, count(*) FROM part GROUP BY ALL UNION ALL SELECT lower(p_type) || '/' || replace(p_brand, '#', ''), 'p' || p_partkey, false, 1 FROM part")
+def folder_children(spark, d):
+    return hierarchy.children(_part_slugs(spark, d))
+
+
+def _part_slugs(spark, d) -> DataFrame:
+    return read(spark, d, "part").select(paths.slugify_path(F.concat_ws("/", F.lower("p_type"), "p_brand", F.format_string("p%d.md", "p_partkey"))).alias("slug"))
+
+
+@query("WITH s AS (SELECT lower(p_type) AS a, replace(p_brand, '#', '') AS b, 'p' || p_partkey AS c FROM part) SELECT a AS ancestor, a || '/' || b || '/' || c AS descendant, 2 AS depth FROM s UNION ALL SELECT a || '/' || b, a || '/' || b || '/' || c, 1 FROM s")
+def folder_closure(spark, d):
+    return hierarchy.closure(_part_slugs(spark, d))
+
+
+@query("WITH s AS (SELECT lower(p_type) AS a, replace(p_brand, '#', '') AS b, 'p' || p_partkey AS c FROM part) SELECT a || '/' || b || '/' || c AS slug, i AS position, [a, a || '/' || b, a || '/' || b || '/' || c][i + 1] AS crumb FROM s, (VALUES (0), (1), (2)) t(i)")
+def breadcrumbs(spark, d):
+    return hierarchy.breadcrumbs(_part_slugs(spark, d))
+
+
+@query("SELECT lower(p_type) AS folder, replace(p_brand, '#', '') AS child, row_number() OVER (PARTITION BY lower(p_type) ORDER BY CAST(replace(p_brand, 'Brand#', '') AS INT)) AS position FROM (SELECT DISTINCT p_type, p_brand FROM part)")
+def explorer_order(spark, d):
+    listing = hierarchy.children(_part_slugs(spark, d)).filter("is_folder and folder <> ''")
+    return hierarchy.explorer(listing).select("folder", "child", "position")
+
+
+@query(f"WITH {NOTES_SQL}, t AS (SELECT slug, title, modified, unnest(tags) AS tag FROM note) SELECT tag, slug, position FROM (SELECT tag, slug, row_number() OVER (PARTITION BY tag ORDER BY modified DESC, lower(title), slug) AS position FROM t) WHERE position <= 10")
+def newest_by_tag(spark, d):
+    return hierarchy.newest_by_tag(parsed(spark, d))
+
+
+# Outputs (K2-K18, J16, J21, J22, U1)
+
+
+@query(f"WITH {NOTES_SQL} SELECT slug, title, modified FROM note ORDER BY modified DESC, lower(title), slug LIMIT 10")
+def feed(spark, d):
+    return sinks.feed(parsed(spark, d)).select("slug", "title", F.col("modified").cast("timestamp_ntz").alias("modified"))
+
+
+@query(f"WITH {NOTES_SQL} SELECT slug, '<url><loc>https://example.org/' || slug || '</loc><lastmod>' || strftime(modified, '%Y-%m-%dT%H:%M:%S.000Z') || '</lastmod></url>' AS xml FROM note")
+def sitemap(spark, d):
+    return sinks.sitemap(parsed(spark, d), "example.org")
+
+
+@query("SELECT 'Nation-' || n_nationkey AS from_slug, 'nation/' || n_name AS to_slug FROM nation")
+def alias_redirects(spark, d):
+    return sinks.redirects(parsed(spark, d))
+
+
+@query(f"WITH {NOTES_SQL} SELECT slug FROM note UNION SELECT replace(unnest(aliases), ' ', '-') FROM note")
+def slug_universe(spark, d):
+    from quire.plans.pipeline import slug_universe as universe
+
+    return universe(parsed(spark, d))
+
+
+@query("SELECT 'region' AS folder, count(*) AS n_notes, string_agg('# ' || r_name || chr(10) || chr(10) || 'A region. ^top', chr(10) || chr(10) ORDER BY 'region/' || r_name || '.md') AS text FROM region")
+def flattened_export(spark, d):
+    return sinks.flattened(parsed(spark, d).filter("folder = 'region'"))
+
+
+@query("WITH x AS (SELECT n_name AS folder, repeat('x', n_nationkey + 1) AS text FROM nation) SELECT folder, text FROM x WHERE folder NOT IN ('NATION_0', 'NATION_1') UNION ALL SELECT 'NATION_0+NATION_1', 'x' || chr(10) || chr(10) || 'xx'")
+def merged_exports(spark, d):
+    return sinks.merge_smallest(read(spark, d, "nation").select(F.col("n_name").alias("folder"), F.expr("repeat('x', n_nationkey + 1)").alias("text")))
+
+
+@query(f"WITH {NOTES_SQL}, t AS (SELECT DISTINCT unnest(links) AS title FROM note) SELECT title FROM t WHERE title NOT IN (SELECT title FROM note)")
+def missing_stubs(spark, d):
+    p = parsed(spark, d)
+    return sinks.missing(p.select(F.explode("links").alias("title")).distinct(), p, "title")
+
+
+@query("SELECT c_custkey AS k, CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) THEN 'update' ELSE 'create' END AS op FROM customer")
+def upsert_plan(spark, d):
+    return sinks.upserts(read(spark, d, "customer").select(F.col("c_custkey").alias("k")), read(spark, d, "orders").select(F.col("o_custkey").alias("k")), "k")
+
+
+@query("SELECT p_partkey, 'crimson' || substr(p_name, 4) AS p_name FROM part WHERE p_name LIKE 'red %'")
+def rewritten_rows(spark, d):
+    return sinks.rewritten(read(spark, d, "part").select("p_partkey", "p_name"), "p_name", F.regexp_replace("p_name", "^red ", "crimson "))
+
+
+@query(f"WITH {NOTES_SQL} SELECT folder, count(*) AS n FROM note GROUP BY folder")
+def content_pages(spark, d):
+    return sinks.content_pages(parsed(spark, d)).groupBy("folder").agg(F.count("*").alias("n"))
+
+
+# Text functions
+
+
+@query("SELECT p_partkey, 'my-' || replace(p_name, ' ', '-') || '/' || replace(p_brand, '#', '') AS slug, replace(p_name, ' ', '_') AS node, lower(p_brand[:5]) || ' ' || p_brand[7:] AS key, p_brand[:5] || p_brand[7:] AS safe FROM part")
+def slugs_and_keys(spark, d):
+    p = read(spark, d, "part")
+    return p.select("p_partkey", paths.slugify_path(F.concat(F.lit("my "), "p_name", F.lit("/"), "p_brand", F.lit(".md"))).alias("slug"), text.node_name(F.col("p_name")).alias("node"), text.title_key(F.col("p_brand")).alias("key"), text.safe_title(F.col("p_brand")).alias("safe"))
+
+
+@query(f"WITH {TEXT_SQL} SELECT id, CAST(ceil(len(list_filter(regexp_split_to_array(body, '\\s+'), lambda w: w <> '')) / 200.0) AS BIGINT) AS minutes, CAST(ceil(length(body) / 2500.0) AS BIGINT) AS n_chunks, length(body) AS n FROM body")
+def reading_time(spark, d):
+    return text_table(spark, d).select("id", text.reading_minutes(F.col("body")).alias("minutes"), F.size(text.chunks(F.col("body"))).cast("long").alias("n_chunks"), F.aggregate(text.chunks(F.col("body")), F.lit(0), lambda a, x: a + F.length(x)).cast("long").alias("n"))
+
+
+@query(f"WITH {TEXT_SQL} SELECT id, len(list_filter(regexp_split_to_array(body, '\\n\\s*\\n'), lambda x: trim(x) <> '')) AS n_paragraphs, upper(body[1]) || body[2:] AS capital, replace(replace(replace(replace(replace(body, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#039;') AS escaped FROM body")
+def text_cleanup(spark, d):
+    t = text_table(spark, d)
+    return t.select("id", F.size(text.paragraphs(F.col("body"))).cast("long").alias("n_paragraphs"), text.capitalize(F.col("body")).alias("capital"), text.escape_html(F.col("body")).alias("escaped"))
+
+
+@query("WITH p AS (SELECT item_id, text, row_number() OVER (ORDER BY item_id) AS r FROM benchmark) SELECT item_id, 'A [[b]] and ' || text AS kept, 'A b and ' || text AS plain FROM p")
+def unlinked_text(spark, d):
+    b = read(spark, d, "benchmark")
+    raw = F.concat(F.lit("A [[b]] and %%hidden%%"), F.col("text"))
+    kept = text.strip_comments(raw)
+    return b.select("item_id", kept.alias("kept"), text.unlink(kept).alias("plain"))
+
+
+@query()
+def descriptions(spark, d):
+    return text_table(spark, d).select("id", text.description(F.col("body")).alias("description"))
+
+
+@query()
+def packed_paragraphs(spark, d):
+    docs = read(spark, d, "documents")
+    return docs.select("doc_id", F.posexplode(text.packed(F.split("text", "\n"))).alias("piece", "text")).select("doc_id", "piece", F.length("text").alias("n"))
+
+
+@query("WITH n AS (SELECT page_id, regexp_extract(url, '^(https?://)([^?#]*)', 2) AS rest FROM pages) SELECT page_id, regexp_replace(rest, '^www\\.', '') AS rest FROM n")
+def short_urls(spark, d):
+    return read(spark, d, "pages").select("page_id", text.shorten_urls(F.regexp_extract("url", r"^([^?#]*)", 1)).alias("rest"))
+
+
+@query()
+def inserted_links(spark, d):
+    from quire.functions.rewrite import insert_links
+
+    b = read(spark, d, "benchmark")
+    return b.select("item_id", insert_links({"the": "The", "of": "of"})("text").alias("linked"))
+
+
+# Windows (W1, W2, W4-W7, W10)
+
+
+@query("SELECT conv_id, turn, string_agg(text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS context FROM conversations")
+def context_lines(spark, d):
+    return windows.context(read(spark, d, "conversations"), "conv_id", "turn", "text", 2, 2).select("conv_id", "turn", "context")
+
+
+@query("WITH l AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark), t AS (SELECT item_id, unnest(w) AS tok, generate_subscripts(w, 1) - 1 AS pos FROM l), s AS (SELECT item_id, pos, sum(CASE WHEN starts_with(lower(tok), 'th') THEN 1 ELSE 0 END) OVER (PARTITION BY item_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS hits FROM t) SELECT item_id, CAST(pos AS INT) AS start, CAST(hits AS BIGINT) AS hits FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, pos DESC) AS r FROM s) WHERE r = 1")
+def search_snippets(spark, d):
+    pages = read(spark, d, "benchmark").select("item_id", F.regexp_replace("text", "\n", "\n").alias("raw")).select("item_id", F.col("raw").alias("content"))
+    words = pages.withColumn("content", F.array_join(F.transform(F.split("content", " "), lambda w: F.regexp_replace(w, r"\s", "_")), " "))
+    return search.snippets(words, "th", 10, key="item_id")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 100")
+def paged_names(spark, d):
+    return windows.page(read(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 100, 50)
+
+
+@query("WITH h AS (SELECT conv_id AS slug, turn AS pos, 1 + turn % 3 AS depth FROM conversations) SELECT a.slug, a.pos AS at, a.depth, min(b.pos) AS until FROM h a LEFT JOIN h b ON a.slug = b.slug AND b.pos > a.pos AND b.depth <= a.depth GROUP BY ALL")
+def heading_ranges(spark, d):
+    return windows.heading_ranges(read(spark, d, "conversations").select(F.col("conv_id").alias("slug"), F.col("turn").alias("at"), (1 + F.col("turn") % 3).alias("depth")))
+
+
+@query("SELECT conv_id, turn, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn) AS user_turn FROM conversations")
+def carried_sections(spark, d):
+    c = read(spark, d, "conversations")
+    tagged = c.withColumn("value", F.when(F.col("role") == "user", F.concat(F.lit("## "), F.col("turn").cast("string"))).otherwise("x"))
+    return reports.section_lines(tagged, ["conv_id"], "turn", r"^## (\d+)$").select("conv_id", "turn", F.col("section").cast("long").alias("user_turn"))
+
+
+# Search (Q1-Q7, T12, U7)
+
+
+@query("WITH t AS (SELECT item_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> ''))) AS token FROM benchmark) SELECT token, count(*) AS n FROM t GROUP BY token")
+def inverted_index(spark, d):
+    return search.index(_items(spark, d), "item_id").filter("field = 'content'").groupBy("token").agg(F.count("*").alias("n"))
+
+
+def _items(spark, d) -> DataFrame:
+    b = read(spark, d, "benchmark")
+    return b.select("item_id", F.format_string("item %d", "item_id").alias("title"), F.col("text").alias("content"), F.array(F.format_string("mod/%d", F.col("item_id") % 3)).alias("tags"))
+
+
+@query("WITH t AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM benchmark) SELECT item_id, CAST(2 AS BIGINT) AS field_rank FROM t WHERE len(list_filter(w, lambda x: starts_with(x, 'th'))) > 0 AND len(list_filter(w, lambda x: starts_with(x, 'er'))) > 0 ORDER BY item_id LIMIT 8")
+def text_query(spark, d):
+    return search.query(search.index(_items(spark, d), "item_id"), "th er", key="item_id")
+
+
+@query("WITH t AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM benchmark WHERE item_id % 3 = 1) SELECT item_id FROM t WHERE len(list_filter(w, lambda x: starts_with(x, 'th'))) > 0 ORDER BY item_id LIMIT 8")
+def tag_query(spark, d):
+    return search.tag_query(_items(spark, d), "mod/1", "th", key="item_id")
+
+
+@query("SELECT item_id, regexp_replace(text, '(the|of)', '<span class=\"highlight\">\\1</span>', 'gi') AS marked FROM benchmark")
+def highlights(spark, d):
+    return read(spark, d, "benchmark").select("item_id", search.highlighted(F.col("text"), "of the").alias("marked"))
+
+
+# Changes (ST1-ST7, D15) and event time
+
+_CDC_SQL = "cdc AS (SELECT 'u/' || user_id || '.md' AS path, CASE event_type WHEN 'signup' THEN 'add' WHEN 'error' THEN 'delete' ELSE 'change' END AS op, event_id AS seq, CAST(value AS VARCHAR) AS content FROM events)"
+
+
+def _cdc(spark, d) -> DataFrame:
+    op = F.when(F.col("event_type") == "signup", "add").when(F.col("event_type") == "error", "delete").otherwise("change")
+    return read(spark, d, "events").select(F.format_string("u/%d.md", "user_id").alias("path"), op.alias("op"), F.col("event_id").alias("seq"), F.col("value").cast("string").alias("content"))
+
+
+@query(f"WITH {_CDC_SQL} SELECT path, op, seq, content FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY seq DESC) AS r FROM cdc) WHERE r = 1")
+def coalesced_changes(spark, d):
+    return changes.coalesced(_cdc(spark, d))
+
+
+@query(f"WITH {_CDC_SQL} SELECT path, seq, content FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY seq DESC) AS r FROM cdc) WHERE r = 1 AND op <> 'delete'")
+def state_after_changes(spark, d):
+    c = _cdc(spark, d)
+    empty = spark.createDataFrame([], "path string, seq long, content string")
+    return changes.applied(changes.applied(empty, c.filter("seq < 5000")), c.filter("seq >= 5000"))
+
+
+@query(f"WITH {_CDC_SQL} SELECT '' AS folder UNION SELECT 'u' FROM cdc")
+def affected_folders(spark, d):
+    return changes.affected_folders(_cdc(spark, d))
+
+
+@query(f"WITH {NOTES_SQL}, t AS (SELECT unnest(tags) AS tag FROM note WHERE folder = 'nation') SELECT tag FROM t UNION SELECT split_part(tag, '/', 1) FROM t UNION SELECT 'index'")
+def affected_tags(spark, d):
+    return changes.affected_tags(parsed(spark, d).filter("folder = 'nation'"))
+
+
+@query(f"WITH {NOTES_SQL}, c AS (SELECT slug, links FROM note WHERE folder = 'nation') SELECT slug FROM c UNION SELECT replace(unnest(links), ' ', '-') FROM c")
+def affected_pages(spark, d):
+    p = parsed(spark, d)
+    return changes.affected_pages(links.outgoing(p), p.filter("folder = 'nation'").select("slug"))
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def hourly_events(spark, d):
+    return changes.windowed_counts(read(spark, d, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+# Aggregates and sets that the reports need
+
+
+@query("SELECT role, count(*) AS n, count(DISTINCT conv_id) AS conversations, max(length(text)) AS longest FROM conversations GROUP BY role")
+def role_counts(spark, d):
+    return read(spark, d, "conversations").groupBy("role").agg(F.count("*").alias("n"), F.count_distinct("conv_id").alias("conversations"), F.max(F.length("text")).cast("long").alias("longest"))
+
+
+@query("SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O'")
+def set_intersection(spark, d):
+    o = read(spark, d, "orders")
+    pick = lambda s: o.filter(F.col("o_orderstatus") == s).select(F.col("o_custkey").alias("k"))
+    return pick("F").intersect(pick("O"))
+
+
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+def set_difference(spark, d):
+    return read(spark, d, "customer").select(F.col("c_custkey").alias("k")).subtract(read(spark, d, "orders").select("o_custkey"))
+
+
+@query("SELECT name, min(pos) AS first FROM (SELECT lower(p_name) AS name, p_partkey AS pos FROM part) GROUP BY name")
+def ordered_distinct(spark, d):
+    return read(spark, d, "part").groupBy(text.spaced_key(F.col("p_name")).alias("name")).agg(F.min("p_partkey").alias("first"))
+
+
+@query("SELECT p_type, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS brands FROM part GROUP BY p_type")
+def label_sets(spark, d):
+    return read(spark, d, "part").groupBy("p_type").agg(F.array_join(F.sort_array(F.collect_set("p_brand")), ",").alias("brands"))
