@@ -85,7 +85,7 @@ def root_of(slug: Column) -> Column:
 def join_segments(*parts: Column) -> Column:
     """With single slashes; a slash before the first or after the last part stays."""
     some = F.filter(F.array(*parts), lambda s: (s != "") & (s != "/"))
-    joined = F.array_join(F.transform(some, strip_slashes), "/")
+    joined = F.array_join(F.transform(some, lambda s: strip_slashes(s)), "/")
     lead = F.when(parts[0].startswith("/"), "/").otherwise("")
     trail = F.when(parts[-1].endswith("/"), "/").otherwise("")
     return F.concat(lead, joined, trail)

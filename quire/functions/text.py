@@ -101,8 +101,13 @@ def section(text: Column, title: str) -> Column:
     return F.regexp_extract(text, rf"(?ms)^## {title}[ \t]*$(.*?)(?=^## |\z)", 1)
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def paragraphs(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"\n\s*\n"), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(text, r"\n\s*\n"), strip), lambda p: p != "")
 
 
 def sentences(text: Column) -> Column:
@@ -214,5 +219,5 @@ def block_id(line: Column) -> Column:
 def group_line(line: Column) -> Column:
     """'Kind: a; b' as a struct of kind and names; null for other lines."""
     kind = F.regexp_extract(line, r"^\s*[-*]?\s*(\w+)\s*:\s*(.+)$", 1)
-    names = F.filter(F.transform(F.split(F.regexp_extract(line, r"^\s*[-*]?\s*(\w+)\s*:\s*(.+)$", 2), ";"), F.trim), lambda n: n != "")
+    names = F.filter(F.transform(F.split(F.regexp_extract(line, r"^\s*[-*]?\s*(\w+)\s*:\s*(.+)$", 2), ";"), strip), lambda n: n != "")
     return F.when(kind != "", F.struct(kind.alias("kind"), names.alias("names")))

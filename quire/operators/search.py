@@ -23,11 +23,13 @@ def index(pages: DataFrame, key: str = "slug") -> DataFrame:
 def query(indexed: DataFrame, text: str, limit: int = 8, key: str = "slug") -> DataFrame:
     """(key, field_rank): pages in one of whose fields all words of the query begin a token, best field first."""
     words = text.lower().split()
+    if not words:
+        return indexed.select(key, F.lit(0).cast("long").alias("field_rank")).limit(0)
     rank = F.array_position(F.array(*map(F.lit, FIELDS)), F.col("field"))
     hit = [F.max(F.col("token").startswith(w).cast("int")) for w in words]
-    rows = indexed.filter(F.exists(F.array(*map(F.lit, words)), lambda w: F.col("token").startswith(w))) if words else indexed.limit(0)
+    rows = indexed.filter(F.exists(F.array(*map(F.lit, words)), lambda w: F.col("token").startswith(w)))
     every = rows.groupBy(key, rank.alias("field_rank")).agg(*[h.alias(f"h{i}") for i, h in enumerate(hit)])
-    full = every.filter(" AND ".join(f"h{i} = 1" for i in range(len(hit))) or "false")
+    full = every.filter(" AND ".join(f"h{i} = 1" for i in range(len(hit))))
     return full.groupBy(key).agg(F.min("field_rank").alias("field_rank")).orderBy("field_rank", key).limit(limit)
 
 

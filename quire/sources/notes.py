@@ -19,7 +19,10 @@ _BLOCK = r"(?s)\A---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\z)"
 
 
 def read_notes(spark: SparkSession, root: str, ignore: tuple[str, ...] = ()) -> DataFrame:
-    """(path, raw, modified) of all .md files below root; ignore: globs of paths to leave out, * within a segment."""
+    """(path, raw, modified) of all .md files below root; ignore: globs of paths to leave out, * within a segment.
+
+    Files of no bytes hold nothing that Spark reads, so they are no notes.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(root)
     base = root.rstrip("/").split("://")[-1] + "/"
     path = F.element_at(F.split(F.col("path"), F.lit(r"\Q" + base + r"\E")), -1)
