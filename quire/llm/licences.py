@@ -2,9 +2,10 @@
 
 A template is a piece of a licence's text with its label. Its index entries are its words of highest inverse document
 frequency over all templates and the words of its mandatory key phrase, each with its position. A file's words that
-the index knows are looked up; what a template and the file share must stand at one relative position, so counting
-(template, file position - template position) intersects the postings. A template counts where all words of its key
-phrase agree and at least ``SHARE`` of its entries do. The base phrases are templates whose every word is mandatory.
+the index holds as anchors - the rarest word of each key phrase - are looked up; each posting puts its template at the file
+position less the template position, and the other entries of the template must then stand at their relative places.
+A template counts where all words of its key phrase agree and at least ``SHARE`` of its entries do. The base phrases are
+templates whose every word is mandatory. All of it happens within a row, so nothing is shuffled.
 
 Cases: a null or empty text has no words and no label; repeated rows repeat the answer; a null doc_id is kept; texts
 are whole; further columns are ignored whatever their names; no documents give no rows.
@@ -44,6 +45,7 @@ class Entry:
     template: int
     position: int
     mandatory: bool
+    anchor: bool = False
 
 
 @dataclass(frozen=True)
@@ -68,8 +70,8 @@ def build_index(phrases=PHRASES, notices=NOTICES, rare: int = RARE) -> tuple[lis
         at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
         must = set(range(at, at + len(key)))
         idf = sorted(range(len(words)), key=lambda i: (-math.log(len(texts) / df[words[i]]), i))
-        own = sorted(must | set(idf[:rare]))
-        entries += [Entry(words[i], k, i, i in must) for i in own]
+        own, anchor = sorted(must | set(idf[:rare])), next(i for i in idf if i in must)
+        entries += [Entry(words[i], k, i, i in must, i == anchor) for i in own]
         templates.append(Template(phrases[k][1] if base else notices[k - len(phrases)][0], base, len(own), len(must)))
     return templates, entries
 
@@ -79,27 +81,35 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", share: float
 
     score: the largest share of a template's entries that agree where its key phrase stands, 0 without one.
     """
-    spark = docs.sparkSession
     templates, entries = index or build_index()
-    known = sorted({e.word for e in entries})
-    posted = spark.createDataFrame([(e.word, e.template, e.position, int(e.mandatory)) for e in entries], "word string, template int, position int, must int")
-    names = spark.createDataFrame([(i, t.label, t.base, t.entries, t.mandatory) for i, t in enumerate(templates)], "template int, label string, base boolean, entries int, mandatory int")
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), docs[key].alias("doc_id"), words_of(F.lower(docs[text].cast("string"))).alias("w"))
-    rows = rows.select("row", "doc_id", F.size("w").cast("long").alias("n_words"), F.filter(F.transform("w", lambda x, i: F.struct(x.alias("word"), i.alias("at"))), lambda p: p.word.isin(known)).alias("near"))
-    each = rows.select("row", "doc_id", "n_words", F.explode_outer("near").alias("p")).select("row", "doc_id", "n_words", "p.*")
-    # The index is a constant of a few hundred entries, so broadcasting it is bounded.
-    met = each.join(F.broadcast(posted), "word", "left").withColumn("start", (F.col("at") - F.col("position")).cast("long"))
-    tally = met.groupBy("row", "doc_id", "n_words", "template", "start").agg(F.count("position").alias("agree"), F.coalesce(F.sum("must"), F.lit(0)).alias("must"))
-    # A template may begin before the text does; its key phrase still has to stand in it whole.
-    full = (F.col("must") == F.col("mandatory")) & (F.col("agree") >= F.col("entries") * F.lit(share))
-    fit = tally.join(F.broadcast(names), "template", "left").withColumn("full", F.coalesce(full, F.lit(False)))
-    based = F.col("full") & F.col("base")
-    joined = lambda cond: F.array_join(F.sort_array(F.collect_set(F.when(cond, F.col("label")))), ",")
-    return fit.groupBy("row", "doc_id", "n_words").agg(
-        F.count(F.when(based, 1)).alias("n_base"),
-        F.min(F.when(based, F.col("start"))).alias("first_word"),
-        F.max(F.when(based, F.col("start"))).alias("last_word"),
-        joined(based).alias("base_labels"),
-        joined(F.col("full")).alias("labels"),
-        F.coalesce(F.max(F.when(F.col("full"), F.col("agree") / F.col("entries"))), F.lit(0.0)).alias("score"),
-    ).drop("row")
+    postings = F.array(*[F.struct(F.lit(e.word).alias("word"), F.lit(e.template).alias("template"), F.lit(e.position).alias("position")) for e in entries if e.anchor])
+    own = lambda t: F.array(*[F.struct(F.lit(e.word).alias("word"), F.lit(e.position).alias("position"), F.lit(e.mandatory).alias("must")) for e in entries if e.template == t])
+    known = F.array(*[F.struct(F.lit(t.label).alias("label"), F.lit(t.base).alias("base"), F.lit(t.entries).alias("entries"), F.lit(t.mandatory).alias("must"), own(i).alias("words")) for i, t in enumerate(templates)])
+    # A place is one number: the template, then where it would begin, which may be before the text.
+    shift, before = 2**32, 2**20
+    rows = docs.select(docs[key].alias("doc_id"), words_of(F.lower(docs[text].cast("string"))).alias("w"))
+    anchors = F.filter(F.transform("w", lambda x, i: F.struct(x.alias("word"), i.alias("at"))), lambda p: p.word.isin(sorted({e.word for e in entries if e.anchor})))
+    places = F.flatten(F.transform(anchors, lambda p: F.transform(F.filter(postings, lambda e: e.word == p.word), lambda e: e.template.cast("long") * shift + p.at - e.position + before)))
+    rows = rows.select("doc_id", F.size("w").cast("long").alias("n_words"), "w", F.array_distinct(places).alias("places"))
+
+    def judged(place):
+        start = place % shift - before
+        met = lambda e: F.get(F.col("w"), (start + e.position).cast("int")) == e.word
+        template = F.get(known, F.floor(place / shift).cast("int"))
+        agreed = F.filter(template.words, met)
+        return F.struct(
+            start.alias("start"), template.label.alias("label"), template.base.alias("base"), template.entries.alias("entries"), F.size(agreed).alias("agree"),
+            (F.size(F.filter(agreed, lambda e: e.must)) == template.must).alias("whole"),
+        )
+
+    # Named twice, w stays a column; else the optimizer would split the text anew for every place.
+    full = F.filter(F.transform("places", judged), lambda f: f.whole & (f.agree >= f.entries * F.lit(share)))
+    found = rows.select("doc_id", "n_words", F.when(F.size("w") > 0, full).otherwise(F.filter(full, lambda f: F.lit(False))).alias("full"))
+    based = F.filter("full", lambda f: f.base)
+    found = found.withColumn("based", based)
+    starts = F.transform("based", lambda f: f.start)
+    joined = lambda name: F.array_join(F.array_sort(F.array_distinct(F.transform(name, lambda f: f.label))), ",")
+    return found.select(
+        "doc_id", "n_words", F.size("based").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        joined("based").alias("base_labels"), joined("full").alias("labels"), F.coalesce(F.array_max(F.transform("full", lambda f: f.agree / f.entries)), F.lit(0.0)).alias("score"),
+    )
