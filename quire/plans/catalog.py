@@ -533,3 +533,106 @@ def ordered_distinct(spark, d):
 @query("SELECT p_type, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS brands FROM part GROUP BY p_type")
 def label_sets(spark, d):
     return read(spark, d, "part").groupBy("p_type").agg(F.array_join(F.sort_array(F.collect_set("p_brand")), ",").alias("brands"))
+
+
+# Curation (P5-P13, P16, P25, J11, J14, J18, J20, F18, F26, F27, F31, F35, F37, F47-F51)
+
+
+@query("SELECT p_partkey, CASE WHEN p_name LIKE '%ring%' AND regexp_matches(p_name, '(^|\\W)(ring)(\\W|$)') THEN 'item' ELSE 'npc' END AS kind, p_brand LIKE 'Brand#1%' AS specific FROM part")
+def candidate_kinds(spark, d):
+    from quire.functions import curation
+
+    p = read(spark, d, "part")
+    name = F.when(F.col("p_brand").startswith("Brand#1"), F.col("p_name")).otherwise(F.concat(F.lit("several "), "p_name"))
+    return p.select("p_partkey", curation.guess_kind(F.col("p_name")).alias("kind"), curation.is_specific(name).alias("specific"))
+
+
+@query("SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN '[[Place|shown]]' WHEN 1 THEN 'shown' ELSE '[[pcs/X.md|shown]]' END AS new FROM nation WHERE n_nationkey < 20 UNION ALL SELECT n_nationkey, '[[t' || n_nationkey || '|shown]]' FROM nation WHERE n_nationkey >= 20")
+def relinked(spark, d):
+    from quire.functions import curation
+
+    n = read(spark, d, "nation")
+    target = F.concat(F.lit("t"), F.col("n_nationkey").cast("string"))
+    act = F.when(F.col("n_nationkey") % 3 == 0, F.struct(F.lit("location").alias("action"), F.lit("Place").alias("to"))).when(F.col("n_nationkey") % 3 == 1, F.struct(F.lit("plain").alias("action"), F.lit("P").alias("to"))).otherwise(F.struct(F.lit("redirect").alias("action"), F.lit("pcs/X.md").alias("to")))
+    mapping = n.filter("n_nationkey < 20").select(target.alias("target"), act.alias("m")).select("target", "m.*")
+    return curation.relink(n.select("n_nationkey", target.alias("target"), F.lit("shown").alias("label")), mapping).select("n_nationkey", "new")
+
+
+@query("SELECT s_suppkey, 'nation/NATION_' || s_nationkey || '.md' AS a, 'Nowhere ' || s_suppkey AS b FROM supplier")
+def canonical_edges(spark, d):
+    from quire.functions import curation
+
+    s, n = read(spark, d, "supplier"), read(spark, d, "nation")
+    names = n.select(F.lower("n_name").alias("name"), F.format_string("nation/%s.md", "n_name").alias("page"))
+    edges = s.select("s_suppkey", F.format_string("[[locations/nation_%d]]", "s_nationkey").alias("a"), F.format_string("Nowhere %d", "s_suppkey").alias("b"))
+    return curation.canonical_ends(edges, names)
+
+
+@query("SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'Walk / Stairs' WHEN 1 THEN 'Ladder' ELSE '' END AS label FROM supplier")
+def route_labels(spark, d):
+    from quire.functions import curation
+
+    canon = {"walk": "Walk", "stairs": "Stairs", "stair": "Stairs", "rope": "Rope", "ladder": "Ladder", "rope ladder": "Ladder"}
+    label = F.when(F.col("s_suppkey") % 3 == 0, "walk up and stairs to the gate walk").when(F.col("s_suppkey") % 3 == 1, "rope ladder; unknown").otherwise("Bob's stairs | market walk | one two three four walk")
+    return read(spark, d, "supplier").select("s_suppkey", curation.short_labels(label, canon, ("unknown",), ("market",)).alias("label"))
+
+
+@query("WITH w AS (SELECT conv_id || '-' || turn AS id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM conversations) SELECT DISTINCT a, b FROM (VALUES ('the', 'in'), ('que', 'the'), ('zzz', 'in')) p(a, b), w WHERE list_contains(w, a) AND list_contains(w, b)")
+def supported_pairs(spark, d):
+    from quire.functions import curation
+
+    pairs = spark.createDataFrame([("the", "in"), ("que", "the"), ("zzz", "in")], "a string, b string")
+    c = read(spark, d, "conversations")
+    return curation.supported_in(pairs, c.select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.col("text").alias("body")), 1)
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN '---' || chr(10) || 'tags:' || chr(10) || '  - new' || chr(10) || '---' || chr(10) ELSE '---' || chr(10) || 'tags:' || chr(10) || '  - new' || chr(10) || '---' || chr(10) || chr(10) END || p_name AS raw FROM part")
+def tagged_notes(spark, d):
+    from quire.functions import curation
+
+    raw = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("---\n---\n"), "p_name")).otherwise(F.col("p_name"))
+    return read(spark, d, "part").select("p_partkey", curation.add_tag(raw, "new").alias("raw"))
+
+
+@query("SELECT p_partkey, '| [[a' || chr(92) || '|b]] | ' || p_name || ' |' || chr(10) || '[[c|d]]' AS body, '[ ] ' || p_name || ' ==x==' AS roam, '[a](b) ' || p_name AS hugo FROM part")
+def dialects(spark, d):
+    from quire.functions import curation
+
+    name = F.col("p_name")
+    return read(spark, d, "part").select(
+        "p_partkey",
+        curation.escape_table_links(F.concat(F.lit("| [[a|b]] | "), name, F.lit(" |\n[[c|d]]"))).alias("body"),
+        curation.from_roam(F.concat(F.lit("{{[[TODO]]}} "), name, F.lit(" ^^x^^"))).alias("roam"),
+        curation.from_hugo(F.concat(F.lit('[a]({{< relref "b" >}}) '), name)).alias("hugo"),
+    )
+
+
+@query("SELECT o_orderkey, CAST(o_orderkey % 30 AS INT) AS number FROM orders WHERE o_orderkey % 30 BETWEEN 1 AND 10")
+def session_range(spark, d):
+    from quire.functions import curation
+
+    title = F.format_string("Session %db - x", F.col("o_orderkey") % 30)
+    return read(spark, d, "orders").select("o_orderkey", curation.session_number(title).alias("number")).filter("number between 1 and 10")
+
+
+@query("SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey < 20)")
+def unseen(spark, d):
+    seen = read(spark, d, "supplier").filter("s_suppkey < 20").select(F.col("s_nationkey").alias("k"))
+    return sinks.missing(read(spark, d, "customer").select(F.col("c_nationkey").alias("k")), seen, "k")
+
+
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'A' ELSE 'Start' END AS a, CASE WHEN page_id % 2 = 0 THEN 'B' ELSE 'End ' || page_id END AS b, page_id % 2 = 1 AS way FROM pages")
+def first_hops(spark, d):
+    from quire.functions import curation
+
+    line = F.when(F.col("page_id") % 2 == 0, "- A -> B -> C").otherwise(F.format_string("Start -> End %d", "page_id"))
+    window = F.when(F.col("page_id") % 2 == 1, "it leads down there").otherwise("levitated stairs")
+    return read(spark, d, "pages").select("page_id", curation.first_hop(line).alias("h"), curation.states_a_way(window).alias("way")).select("page_id", "h.a", "h.b", "way")
+
+
+@query("SELECT item_id, 'Item' AS kind, 'Rod of Kings' AS name FROM benchmark UNION ALL SELECT item_id, 'NPC', 'Old Bob' FROM benchmark")
+def quoted_candidates(spark, d):
+    from quire.functions import curation
+
+    body = F.concat(F.lit('A "Rod of Kings" and "Old Bob", "small". '), F.col("text"))
+    return read(spark, d, "benchmark").select("item_id", F.explode(curation.quoted_candidates(body)).alias("c")).select("item_id", "c.kind", "c.name")
