@@ -16,9 +16,8 @@ def note_graph(edges: DataFrame, tags: DataFrame, slugs: DataFrame, without: tup
 
 def summary(edges: DataFrame) -> DataFrame:
     """(edges, nodes, self_loops) of edges (a, b)."""
-    ends = edges.select(F.explode(F.array("a", "b")).alias("n"), F.lit(0).alias("e"), F.lit(0).alias("s"))
-    nodes = ends.select(F.count_distinct("n").alias("nodes"))
-    return edges.agg(F.count("*").alias("edges"), F.count_if(F.col("a") == F.col("b")).alias("self_loops")).crossJoin(nodes)
+    ends = edges.select("a", "b", F.posexplode(F.array("a", "b")).alias("at", "n"))
+    return ends.agg(F.count_if(F.col("at") == 0).alias("edges"), F.count_distinct("n").alias("nodes"), F.count_if((F.col("at") == 0) & (F.col("a") == F.col("b"))).alias("self_loops"))
 
 
 def degrees(edges: DataFrame) -> DataFrame:

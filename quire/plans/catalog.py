@@ -133,7 +133,8 @@ def entity_names_last(spark, d):
     return entities.name_table(_entities(spark, d), policy="last")
 
 
-@query()
+# The candidate lacks one letter of its name, so all others match: twice their number over the sum of the lengths.
+@query("SELECT regexp_replace(s_name, 'pplier', 'plier') AS candidate, lower(s_name) AS name, 2.0 * (length(s_name) - 1) / (2 * length(s_name) - 1) AS ratio FROM supplier WHERE s_suppkey % 10 = 3")
 def fuzzy_entities(spark, d):
     names = read(spark, d, "supplier").select(F.lower("s_name").alias("name"))
     typos = read(spark, d, "supplier").filter("s_suppkey % 10 = 3").select(F.regexp_replace("s_name", "pplier", "plier").alias("candidate"))
@@ -394,7 +395,7 @@ def short_urls(spark, d):
     return read(spark, d, "pages").select("page_id", text.shorten_urls(F.regexp_extract("url", r"^([^?#]*)", 1)).alias("rest"))
 
 
-@query()
+@query("SELECT item_id, array_to_string(list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_]+'), lambda x: CASE x WHEN 'the' THEN '[[The|the]]' WHEN 'of' THEN '[[of]]' ELSE x END), '') AS linked FROM benchmark")
 def inserted_links(spark, d):
     from quire.functions.rewrite import insert_links
 
