@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text
 from quire.functions.fuzzy import can_reach, ratio
+from quire.plans.workers import reach
 
 #: In what order kinds claim a name they share: the first wins, or with policy "last" the last.
 FIRST_KINDS = ("npcs", "locations", "factions", "items")
@@ -36,6 +37,7 @@ def resolve_fuzzy(candidates: DataFrame, names: DataFrame, least: float = 0.9, c
     Names of a ratio of 0.9 share most of their character pairs: candidates meet the names that share a rare-enough
     part with them - a pair of characters at a matching place - rather than all of them.
     """
+    reach(candidates.sparkSession)
     key = text.name_key(F.col(column))
     own = candidates.select(column).distinct().withColumn("key", key).filter("key <> ''")
     # Of a name of n characters, a ratio r leaves at most (1 - r) * (n + m) characters unmatched; cut into one piece
