@@ -12,6 +12,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quire.plans.workers import reach
+
 _staged: list[str] = []
 _local: list[str] = []
 
@@ -55,5 +57,6 @@ def clear(spark: SparkSession) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds what a Python worker gets at once; part of every operator that runs Python over texts."""
+    """Bounds what a Python worker gets at once; every operator that runs Python begins with it."""
+    reach(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
