@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from quire.functions import paths, text
 from quire.operators import entities, graph, hierarchy, links, markdown, search, windows
 from quire.plans.fixtures import NOTES_SQL, TEXT_SQL, notes, parsed, read, text_table
-from quire.sources import notes as note_source
 from quire.sources import reports, sinks
 from quire.streaming import changes
 
