@@ -44,7 +44,11 @@ class WaveletMatrix:
 
 def _dense(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     """Ranks of pairs of ranks."""
-    _, rank = np.unique(first * (int(second.max()) + 1) + second, return_inverse=True)
+    key = first.astype(np.int64) * (int(second.max()) + 1) + second
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    rank = np.empty(len(key), np.int32)
+    rank[order] = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]]), dtype=np.int32)
     return rank
 
 
@@ -58,11 +62,11 @@ class FMIndex:
         """symbols: the texts one after the other; begins: where each begins, and the end; weights: one a text."""
         lengths = np.diff(begins)
         # One separator, 0, after each text; no pattern holds it.
-        text = np.zeros(len(symbols) + len(lengths), np.int64)
+        text = np.zeros(len(symbols) + len(lengths), np.int32)
         own = np.arange(len(symbols)) + np.repeat(np.arange(len(lengths)), lengths)
         text[own] = symbols
         n, self.alphabet, self.depth = len(text), int(symbols.max()) + 1 if len(symbols) else 1, depth
-        shift = lambda r, by: np.concatenate([r[by:], np.zeros(min(by, n), np.int64)])[:n]
+        shift = lambda r, by: np.concatenate([r[by:], np.zeros(min(by, n), r.dtype)])[:n]
         rank, span = text, 1
         while span * 2 <= depth:
             rank, span = _dense(rank, shift(rank, span)), span * 2
