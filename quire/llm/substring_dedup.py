@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from quire.llm import staging
 from quire.llm.fm_index import FMIndex
 from quire.llm.line_dedup import NULL_ID, blocks_of
-from quire.llm.textbytes import byte_sums, flat, prefix_sums, ragged, slice_hashes, text_chunks, word_spans
+from quire.llm.textbytes import byte_sums, prefix_sums, ragged, slice_hashes, text_chunks, word_spans
 
 WIDTH, RUN, HOT = 35, 8, 1000
 #: Kinds of rows that a block is given beside its documents.
@@ -114,7 +114,7 @@ def _tell(block: int, shards: int, keys: np.ndarray, counts: np.ndarray) -> list
 def _recurring(kind: int, hot: int | None):
     """What a shard answers to counted hashes: for each block those that occur twice, and the hot ones apart."""
 
-    def run(rows: pa.Table) -> pa.Table:
+    def recurring(rows: pa.Table) -> pa.Table:
         blocks, keys = rows.column("block").to_pylist(), [np.frombuffer(x, "<u8") for x in rows.column("a").to_pylist()]
         counts = np.concatenate([np.frombuffer(x, "<u4") for x in rows.column("b").to_pylist()]).astype(np.int64)
         every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
@@ -128,7 +128,8 @@ def _recurring(kind: int, hot: int | None):
                 out.append((block, kind, cold.tobytes(), warm.tobytes(), b""))
         return _rows(_GIVEN, out)
 
-    return run
+    recurring.__name__ = "recurring_anchors" if kind == ANCHORS else "recurring_windows"  # for the plan
+    return recurring
 
 
 def _given(right: pa.Table, kind: int, column: str) -> np.ndarray:
@@ -148,19 +149,24 @@ def _expand(raw: bytes) -> bytes:
 def _index_shard(width: int):
     """Builds the shard's FM-index over its different segments and searches them all in it."""
 
-    def run(rows: pa.Table) -> pa.Table:
-        blocks = rows.column("block").to_pylist()
-        texts = [_expand(x) for x in rows.column("a").to_pylist()]
+    def index_shard(rows: pa.Table) -> pa.Table:
+        blocks, sizes, names, lengths, hashes = rows.column("block").to_pylist(), [], [], [], []
+        for packed in rows.column("a"):
+            texts = _expand(packed.as_py()).split(b"\n")
+            sizes.append(len(texts))
+            for _, _, data, offsets in text_chunks(pa.array(texts, pa.binary())):  # hashing takes many times its input
+                start, end, at = word_spans(data, offsets)
+                hashes.append(slice_hashes(byte_sums(data), start, end))
+                names.append(slice_hashes(prefix_sums(hashes[-1]), at[:-1], at[1:]))
+                lengths.append(np.diff(at))
         counts = np.concatenate([np.frombuffer(x, "<u4") for x in rows.column("b").to_pylist()]).astype(np.int64)
-        data, offsets = flat(pa.array([t for x in texts for t in x.split(b"\n")], pa.binary()))
-        owner = np.repeat(np.arange(len(blocks)), [x.count(b"\n") + 1 for x in texts])
-        start, end, first = word_spans(data, offsets)
-        words, symbols = np.unique(slice_hashes(byte_sums(data), start, end), return_inverse=True)
-        names = slice_hashes(prefix_sums(words[symbols]), first[:-1], first[1:])
+        owner, names, lengths = np.repeat(np.arange(len(blocks)), sizes), np.concatenate(names), np.concatenate(lengths)
+        first = np.cumsum(lengths) - lengths
         different, one, code = np.unique(names, return_index=True, return_inverse=True)
-        lengths = first[one + 1] - first[one]
+        lengths = lengths[one]
         begins = np.concatenate([[0], np.cumsum(lengths)])
-        own = symbols[ragged(first[one], lengths)] + 1
+        own = np.unique(np.concatenate(hashes)[ragged(first[one], lengths)], return_inverse=True)[1].astype(np.int32) + 1
+        del hashes
         index = FMIndex(own, begins, np.bincount(code, counts, len(different)).astype(np.int64), width)
         repeated = index.matches(own, begins) >= 2
         some = np.add.reduceat(repeated, begins[:-1]) > 0
@@ -173,7 +179,7 @@ def _index_shard(width: int):
                 out.append((block, ANSWER, different[mine].tobytes(), (lengths[mine] - width + 1).astype("<u4").tobytes(), np.packbits(bits).tobytes()))
         return _rows(_GIVEN, out)
 
-    return run
+    return index_shard
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, run: int = RUN, hot: int = HOT, key: str = "doc_id", text: str = "text", digests: bool = False) -> DataFrame:
@@ -186,7 +192,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, run: int = RUN, hot: int
         raise ValueError("an anchor has to fit into a window")
     spark = docs.sparkSession
     staging.small_batches(spark)
-    blocks = blocks_of(docs)
+    blocks = blocks_of(docs) // 2
+    shards = blocks // 2  # a packet for each block and shard: as few as the tasks that work on them allow
+    indexes = blocks  # an index takes more memory than counts do
     k = docs[key]
     block = F.pmod(F.xxhash64(F.coalesce(k.cast("string"), F.lit(str(NULL_ID)))), F.lit(blocks)).cast("int")
     rows = docs.select(block.alias("block"), k.alias("id"), docs[text].cast("string").alias("text"))
@@ -206,7 +214,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, run: int = RUN, hot: int
 
     def tell_anchors(rows_: pa.Table) -> pa.Table:
         every = np.frombuffer(b"".join(rows_.column("anchors").to_pylist()), "<u8")
-        return _rows(_TOLD, _tell(rows_.column("block")[0].as_py(), blocks, *np.unique(every, return_counts=True)))
+        return _rows(_TOLD, _tell(rows_.column("block")[0].as_py(), shards, *np.unique(every, return_counts=True)))
 
     def tell_windows(left: pa.Table, right: pa.Table) -> pa.Table:
         warm = _given(right, ANCHORS, "b")
@@ -216,7 +224,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, run: int = RUN, hot: int
                 own = Words(data, offsets, width, run)
                 found.append(own.windows(np.flatnonzero(own.valid & _among(own.anchor, warm))))
         every = np.concatenate(found)
-        return _rows(_TOLD, _tell(left.column("block")[0].as_py(), blocks, *np.unique(every, return_counts=True)) if len(every) else [])
+        return _rows(_TOLD, _tell(left.column("block")[0].as_py(), shards, *np.unique(every, return_counts=True)) if len(every) else [])
 
     def tell_segments(left: pa.Table, right: pa.Table) -> pa.Table:
         cold, warm, kept = _given(right, ANCHORS, "a"), _given(right, ANCHORS, "b"), _given(right, KEPT, "a")
@@ -230,7 +238,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, run: int = RUN, hot: int
                 raw = data.tobytes().replace(b"\n", b" ")
                 texts += [raw[x:y] for x, y in zip(own.start[a].tolist(), own.end[b + width - 1].tolist())]
         _, one, counts = np.unique(np.concatenate(names), return_index=True, return_counts=True)
-        order, parts = _split(blocks, np.concatenate(anchors)[one])
+        order, parts = _split(indexes, np.concatenate(anchors)[one])
         one, counts, own_block = one[order], counts[order].astype("<u4"), left.column("block")[0].as_py() if len(left) else 0
         return _rows(_TOLD, [(own_block, s, _compress(b"\n".join(texts[i] for i in one[a:b].tolist())), counts[a:b].tobytes()) for s, a, b in parts])
 
