@@ -80,9 +80,12 @@ def scan(rows: DataFrame, windows: DataFrame, set_bound: int = SET_BOUND) -> Dat
             hit = _block_hash("w", b)
             out = out.withColumn(name, F.filter(_places(b), lambda q: hit(q).isin(some)))
         else:
-            every = out.select("row", F.explode(F.transform(_places(b), lambda q: F.struct(q.alias("q"), _block_hash("w", b)(q).alias("h")))).alias("x"))
-            hits = every.select("row", "x.*").join(blocks, "h", "left_semi").groupBy("row").agg(F.sort_array(F.collect_list("q")).alias(name))
-            out = out.join(hits, "row", "left").withColumn(name, F.coalesce(name, F.array().cast("array<int>")))
+            # By the text and not the row: numbers of rows need not be the same when a plan runs twice, and a text that
+            # shares another's hash only gets places to compare that don't hold.
+            out = out.withColumn("_text", F.xxhash64("text"))
+            every = out.select("_text", F.explode(F.transform(_places(b), lambda q: F.struct(q.alias("q"), _block_hash("w", b)(q).alias("h")))).alias("x"))
+            hits = every.select("_text", "x.*").join(blocks, "h", "left_semi").groupBy("_text").agg(F.sort_array(F.collect_set("q")).alias(name))
+            out = out.join(hits, "_text", "left").drop("_text").withColumn(name, F.coalesce(name, F.array().cast("array<int>")))
         found.append(F.flatten(F.transform(name, _windows_at(b, length))))
     kind = "array<struct<start:int,length:int>>"
     near = F.concat(*found) if found else F.array().cast(kind)
