@@ -7,12 +7,17 @@ can be missed. A pair that meets is tallied - its number of equal positional byt
 the differing bits are counted. Each posting list gives out the edges of a spanning forest, never all its pairs.
 
 Documents of a given Jaccard similarity (0.8 over five-word shingles in the pipeline) differ in 10 and more of the 64
-bits, so that no number of equal bytes is guaranteed. similar() therefore adds links by a signature of 96 positional
-bytes to those of the fingerprints: byte i stems from the smallest of the shingle hashes under the i-th permutation,
-and two documents share it with a chance of their similarity. The same index serves: postings under groups of 4
-(position, byte) entries, the tally of equal bytes of each pair that meets, and a minimum that the tally has to reach.
-A pair of similarity 0.8 misses all 14 groups with a chance of 0.0006; the tally estimates it to 0.04, and so much is
-allowed for, since a copy that stays does more harm than one of 0.78 that goes.
+bits, so that no number of equal bytes is guaranteed. similar() therefore looks for candidates by a signature of 96
+positional bytes too: byte i stems from the smallest of the shingle hashes under the i-th permutation, and two documents
+share it with a chance of their similarity. The same index serves: postings under groups of 4 (position, byte) entries,
+the tally of equal bytes of each pair that meets, and a minimum that the tally has to reach. A pair of similarity 0.8
+misses all 14 groups with a chance of 0.0006, and the tally's minimum of 62 with one of 0.0001.
+
+Neither tally nor fingerprint is a verdict. Their links only say which documents to bring together; within each group
+of these the Jaccard similarity of the shingle sets is computed, and only a pair that reaches it is linked. Groups of up
+to BLOCK compare all their pairs. Larger ones are dealt to blocks: first a few members are compared with all, then those
+outside the largest component found. Rows inside it are connected already, so no link is lost; the cost is that of the
+rows outside times the group.
 
 Copies fold into one fingerprint before anything is indexed. Cases: a text without words (null, empty) has the
 fingerprint 0, linked like any other; a text of fewer words than a shingle is one shingle; rows of one doc_id are one
@@ -37,8 +42,10 @@ from quire.llm.mph import mix
 SEED, BITS, BYTES = 42, 64, 8
 #: Of signatures: bytes, and groups of how many bytes.
 SIGNATURE, GROUPS, SIZE = 96, 14, 4
-#: By how much the estimate may fall short of the similarity asked for: its standard deviation at 0.8.
-SLACK = 0.04
+#: By how much the tally of a candidate may fall short of the similarity asked for: four standard deviations at 0.8.
+SLACK = 0.16
+#: Of verification: members of a block, and how many members of a larger group are compared with all first.
+BLOCK, PIVOTS = 256, 8
 _TURNS = np.random.default_rng(20240317).integers(0, 2**63, SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -250,30 +257,121 @@ def signature_links(signed: DataFrame, similarity: float) -> DataFrame:
     return posted.repartition(parts, "key").mapInArrow(meet, "a long, b long")
 
 
+def shingle_set(digests: bytes) -> bytes:
+    """The different hashes in order, 8 bytes each."""
+    return np.unique(np.frombuffer(digests, ">u8").astype("<u8")).tobytes()
+
+
+def _set_edges(sets: list[bytes], lead: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a leading set and another whose Jaccard similarity is at least the given one."""
+    own = [np.frombuffer(x, "<u8") for x in sets]
+    sizes = np.array([len(x) for x in own])
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
+    _, code = np.unique(np.concatenate(own), return_inverse=True)
+    held = np.zeros(len(code), np.int64)
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in np.flatnonzero(lead).tolist():
+        mine = code[begins[i] : ends[i]]
+        held[mine] = 1
+        upto = np.concatenate([[0], np.cumsum(held[code])])
+        held[mine] = 0
+        both = upto[ends] - upto[begins]
+        either = sizes + sizes[i] - both
+        at = np.flatnonzero(np.where(either > 0, both / np.maximum(either, 1), 1.0) >= similarity)
+        at = at[(at > i) | ~lead[at]]
+        a.append(np.full(len(at), i))
+        b.append(at)
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _compared(rows: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): edges between the leading rows of each unit and its other rows. rows: (unit, lead, node, set)."""
+
+    def run(batches):
+        def edges(lead: list[bool], node: list[int], sets: list[bytes]) -> pa.RecordBatch:
+            x, y = _set_edges(sets, np.array(lead, bool), similarity)
+            of = np.array(node, np.int64)
+            x, y = forest(of[x], of[y])
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
+
+        unit, held = None, ([], [], [])
+        for batch in batches:
+            for u, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if u != unit and held[0]:
+                    yield edges(*held)
+                    held = ([], [], [])
+                unit = u
+                for column, value in zip(held, row):
+                    column.append(value)
+        if held[0]:
+            yield edges(*held)
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select("unit", "lead", "node", "set").repartition(parts, "unit").sortWithinPartitions("unit")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def verified(sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): edges that connect the nodes of each group as its pairs of that similarity do.
+
+    sets: (group, size, node, set), a written table. Two units of one hash only compare more pairs than they need.
+    """
+    unit = lambda block: F.xxhash64("group", block).alias("unit")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    small, large = sets.filter(F.col("size") <= BLOCK), sets.filter(F.col("size") > BLOCK)
+    alone = small.select(unit(F.lit(0)), F.lit(True).alias("lead"), "node", "set")
+    if not large.limit(1).count():
+        return _compared(alone, similarity)
+    dealt = large.select(unit(F.pmod(F.xxhash64("node", "set"), blocks).cast("int")), F.lit(False).alias("lead"), "node", "set")
+    everywhere = lambda rows: rows.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).select(unit(F.col("block")), F.lit(True).alias("lead"), "node", "set")
+    few = large.groupBy("group").agg(F.array(*[F.min(F.struct(F.xxhash64("node", F.lit(i)), "node")).getField("node") for i in range(PIVOTS)]).alias("of"))
+    few = few.select("group", F.explode(F.array_distinct("of")).alias("node"))
+    first = staging.table(_compared(alone.unionAll(dealt).unionAll(everywhere(large.join(few, ["group", "node"], "left_semi"))), similarity), "verified")
+    piece = large.select("group", "node").distinct().join(components(first).toDF("node", "piece"), "node", "left").select("group", "node", F.coalesce("piece", "node").alias("piece"))
+    piece = staging.table(piece, "pieces")
+    most = piece.groupBy("group", "piece").count().groupBy("group").agg(F.max_by("piece", F.struct("count", "piece")).alias("most"))
+    outside = piece.join(most, "group").filter("piece <> most").select("group", "node")
+    return first.unionAll(_compared(dealt.unionAll(everywhere(large.join(outside, ["group", "node"], "left_semi"))), similarity))
+
+
 def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, component_id), a row for each row of docs; linked are near fingerprints and similar signatures."""
+    """(doc_id, component_id), a row for each row of docs; linked are documents of that Jaccard similarity or more."""
     staging.small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
             every = [shingle_digests(t, words) for t in batch.column(1).to_pylist()]
             own = np.array([majority(d) for d in every], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.view(np.int64)), pa.array([signature(d) for d in every], pa.binary())], ["doc_id", "fp", "sig"])
+            sets = [xxhash.xxh128_digest(shingle_set(d)) for d in every]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.view(np.int64)), pa.array([signature(d) for d in every], pa.binary()), pa.array(sets, pa.binary())], ["doc_id", "fp", "sig", "same"])
+
+    def whole(batches):
+        for batch in batches:
+            sets = [shingle_set(shingle_digests(t, words)) for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], ["group", "size", "node", "set"])
 
     rows = docs.select(F.coalesce(docs[key].cast("long"), F.lit(NULL_ID)).alias("doc_id"), docs[text].cast("string").alias("text"))
-    own = staging.table(rows.mapInArrow(run, "doc_id long, fp long, sig binary"), "signatures")
-    # Rows of one signature, and those of one fingerprint, are one node to begin with: its smallest doc_id. Copies fold
-    # into one row before any join, so the joins that find the edges have no hot key.
-    pairs = staging.table(own.groupBy("fp", "sig").agg(F.min("doc_id").alias("least")), "pairs")
+    own = staging.table(rows.mapInArrow(run, "doc_id long, fp long, sig binary, same binary"), "signatures")
+    # Rows of one set of shingles are one node: their smallest doc_id. Copies fold into one row before any join, so the
+    # joins that find the candidates have no hot key.
+    pairs = staging.table(own.groupBy("fp", "sig", "same").agg(F.min("doc_id").alias("least")), "pairs")
     signed = pairs.groupBy("sig").agg(F.min("least").alias("node"))
     printed = pairs.groupBy("fp").agg(F.min("least").alias("node"))
     near = links(printed.select("fp"), distance)
     near = near.join(printed.toDF("a", "x"), "a").join(printed.toDF("b", "y"), "b").select("x", "y")
-    same = pairs.join(printed.toDF("fp", "x"), "fp").join(signed.toDF("sig", "y"), "sig").select("x", "y")
-    named = components(near.unionAll(signature_links(signed, similarity)).unionAll(same.filter("x <> y").distinct())).toDF("node", "component")
+    both = pairs.join(printed.toDF("fp", "x"), "fp").join(signed.toDF("sig", "y"), "sig").select("x", "y")
+    named = components(near.unionAll(signature_links(signed, similarity)).unionAll(both.filter("x <> y").distinct())).toDF("node", "group")
+    of = staging.table(signed.join(named, "node", "left").select("sig", F.coalesce("group", "node").alias("group")), "candidates")
+    classes = staging.table(pairs.groupBy("sig", "same").agg(F.min("least").alias("node")).join(of, "sig").select("same", "node", "group"), "classes")
+    sizes = classes.groupBy("group").agg(F.count("*").alias("size")).filter("size > 1")
+    wanted = staging.table(classes.select("group", "node").distinct().join(sizes, "group").select("group", "size", "node"), "wanted")
+    texts = rows.join(wanted, rows["doc_id"] == wanted["node"]).select("group", "size", "node", "text")
+    sets = staging.table(texts.mapInArrow(whole, "group long, size long, node long, set binary").distinct(), "sets")
+    linked = components(verified(sets, similarity)).toDF("node", "component")
     # A written table, so that the join that names every row is a plain one, which adaptive execution splits.
-    of = staging.table(signed.join(named, "node", "left").select("sig", F.coalesce("component", "node").alias("component")), "named")
-    out = own.select("doc_id", "sig").join(of, "sig")
+    of = staging.table(classes.join(linked, "node", "left").select("same", F.coalesce("component", "node").alias("component")), "named")
+    out = own.select("doc_id", "same").join(of, "same")
     real = lambda c: F.nullif(F.col(c), F.lit(NULL_ID))
     return out.select(real("doc_id").alias(key), real("component").alias("component_id"))
 

@@ -83,6 +83,29 @@ def test_similar_documents(spark):
     assert sorted(r.doc_id for r in simhash.one_of_each(documents(spark, texts)).collect()) == sorted({group.index(g) for g in group})
 
 
+@pytest.mark.parametrize("block", [256, 8])
+def test_links_are_verified_by_the_similarity_of_shingle_sets(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block, raising=False)
+    monkeypatch.setattr(simhash, "PIVOTS", 2, raising=False)
+    rng = random.Random(9)
+    texts = []
+    for g in range(40):  # one run of edits of a 400-word text: similarities from 0.5 to 0.85, on both sides of 0.8
+        base = [f"w{rng.randint(0, 5000)}" for _ in range(400)]
+        texts.append(" ".join(base))
+        for edits in (7, 9, 10, 12, 15, 25) if g else [rng.randint(5, 12) for _ in range(40)]:
+            w = list(base)
+            at = rng.randrange(20)
+            for i in range(edits):
+                w[(at + i * 15) % 400] = f"x{rng.random()}"
+            texts.append(" ".join(w))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    share = np.array([[len(a & b) / len(a | b) for b in sets] for a in sets])
+    assert ((share > 0.7) & (share < 0.8)).sum() > 50 and ((share >= 0.8) & (share < 0.85)).sum() > 50
+    want = _components(len(texts), share >= 0.8)
+    got = {r.doc_id: r.component_id for r in simhash.similar(documents(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == [int(np.flatnonzero(want == want[i])[0]) for i in range(len(texts))]
+
+
 def test_a_large_list_of_signatures_connects_as_all_pairs_do():
     rng = np.random.default_rng(5)
     own = rng.integers(0, 256, (120, simhash.SIGNATURE), dtype=np.uint8)
