@@ -46,16 +46,27 @@ def valid(edges: DataFrame, slugs: DataFrame) -> DataFrame:
     return edges.join(slugs.select(F.col("slug").alias("dst")).distinct(), "dst", "left_semi")
 
 
-def transcluded(embeds: DataFrame, blocks: DataFrame, depth: int = 3) -> DataFrame:
+def transcluded(embeds: DataFrame, blocks: DataFrame, depth: int | None = None) -> DataFrame:
     """(page, path, depth): pages whose text an embed brings in, directly or through others, each once.
 
-    embeds: (page, target). A page that is reached again is not entered again, which breaks cycles.
+    embeds: (page, target). A page that is reached again is not entered again, which breaks cycles. Without a depth the
+    loop goes on until nothing new is found.
     """
-    seen = embeds.select("page", F.col("target").alias("path"), F.lit(1).alias("depth")).distinct()
-    front = seen
+    from quire.plans.cut import cut
+
+    parts = int(embeds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    seen = cut(embeds.select("page", F.col("target").alias("path"), F.lit(1).alias("depth")).distinct())
+    front, d = seen, 1
     step = embeds.select(F.col("page").alias("path"), F.col("target").alias("next"))
-    for d in range(2, depth + 1):
+    while d != depth:
+        d += 1
         front = front.join(step, "path").select("page", F.col("next").alias("path")).distinct().filter("page <> path")
         front = front.join(seen, ["page", "path"], "left_anti").withColumn("depth", F.lit(d))
+        # Each round is cut: it reads the one before twice, so that plans of several rounds would double with each.
+        front = cut(front)
+        if not front.limit(1).count():
+            break
         seen = seen.unionByName(front)
+        if d % 4 == 0:
+            seen = cut(seen.coalesce(parts))
     return seen.join(blocks.select("path").distinct(), "path", "left_semi")

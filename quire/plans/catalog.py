@@ -103,12 +103,22 @@ def page_links(spark, d):
     return read(spark, d, "pages").select("page_id", F.size(own).cast("long").alias("n_links"), F.size(F.filter(own, paths.is_internal)).cast("long").alias("n_internal"))
 
 
-@query("WITH RECURSIVE e AS (SELECT 'nation/' || n_name AS page, 'nation/NATION_' || ((n_nationkey + 1) % 25) AS path FROM nation), w(page, path, depth) AS (SELECT page, path, 1 FROM e UNION ALL SELECT w.page, e.path, depth + 1 FROM w JOIN e ON e.page = w.path WHERE depth < 3) SELECT page, path, min(depth) AS depth FROM w WHERE page <> path GROUP BY ALL")
-def transclusions(spark, d):
+def _embeds(spark, d) -> tuple[DataFrame, DataFrame]:
     n = read(spark, d, "nation")
     target = F.concat(F.lit("nation/NATION_"), ((F.col("n_nationkey") + 1) % 25).cast("string"))
     page = F.concat(F.lit("nation/"), F.col("n_name"))
-    return links.transcluded(n.select(page.alias("page"), target.alias("target")), n.select(page.alias("path")))
+    return n.select(page.alias("page"), target.alias("target")), n.select(page.alias("path"))
+
+
+@query("WITH RECURSIVE e AS (SELECT 'nation/' || n_name AS page, 'nation/NATION_' || ((n_nationkey + 1) % 25) AS path FROM nation), w(page, path, depth) AS (SELECT page, path, 1 FROM e UNION ALL SELECT w.page, e.path, depth + 1 FROM w JOIN e ON e.page = w.path WHERE depth < 3) SELECT page, path, min(depth) AS depth FROM w WHERE page <> path GROUP BY ALL")
+def transclusions(spark, d):
+    return links.transcluded(*_embeds(spark, d), depth=3)
+
+
+# Every page that embeds reach; no way without a repeat is longer than there are pages.
+@query("WITH RECURSIVE e AS (SELECT 'nation/' || n_name AS page, 'nation/NATION_' || ((n_nationkey + 1) % 25) AS path FROM nation), w(page, path, depth) AS (SELECT page, path, 1 FROM e UNION SELECT w.page, e.path, depth + 1 FROM w JOIN e ON e.page = w.path WHERE depth < (SELECT count(*) FROM nation)) SELECT page, path, min(depth) AS depth FROM w WHERE page <> path GROUP BY ALL")
+def transclusions_whole(spark, d):
+    return links.transcluded(*_embeds(spark, d))
 
 
 # Entities and mentions

@@ -98,6 +98,14 @@ def test_graph_walks(spark):
     assert len(rows(graph.neighbourhood(e, start, -1))) == 10 and max(d for _, d in rows(graph.neighbourhood(e, start, -1))) == 5
 
 
+def test_transclusion_has_no_depth_of_its_own(spark):
+    embeds = spark.createDataFrame([(str(i), str((i + 1) % 11)) for i in range(11)] + [("x", "0")], "page string, target string")
+    pages = spark.createDataFrame([(str(i),) for i in range(11)], "path string")
+    want = {(str(i), str((i + k) % 11), k) for i in range(11) for k in range(1, 11)} | {("x", str(k), k + 1) for k in range(11)}
+    assert set(rows(links.transcluded(embeds, pages), "page", "path", "depth")) == want
+    assert max(r[0] for r in rows(links.transcluded(embeds, pages, 3), "depth")) == 3
+
+
 def test_links_and_cycles(spark):
     embeds = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c")], "page string, target string")
     pages = spark.createDataFrame([("a",), ("b",), ("c",)], "path string")
