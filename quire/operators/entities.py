@@ -49,7 +49,10 @@ def resolve_fuzzy(candidates: DataFrame, names: DataFrame, least: float = 0.9, c
     left = own.withColumn("part", F.explode(F.array_distinct(cut)))
     sizes = left.select(F.length("part").alias("size")).distinct()
     grams = names.select("name").join(F.broadcast(sizes), F.col("size") <= F.length("name")).withColumn("part", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("name") - F.col("size") + 1), lambda i: F.substring("name", i, F.col("size"))))))
-    met = left.join(grams.select("name", "part"), "part").filter(can_reach(F.col("key"), F.col("name"), least)).select(column, "key", "name").distinct()
+    # What is left unmatched is at most inserted and deleted, so it bounds the edit distance: pairs that share no more
+    # than a common piece end here, before Python.
+    unmatched = F.floor((F.length("key") + F.length("name")) * (1 - least) + 1e-9)
+    met = left.join(grams.select("name", "part"), "part").filter(can_reach(F.col("key"), F.col("name"), least)).filter(F.levenshtein("key", "name") <= unmatched).select(column, "key", "name").distinct()
     scored = met.withColumn("ratio", ratio("key", "name")).filter(F.col("ratio") >= least)
     return scored.groupBy(column).agg(F.max_by(F.struct("name", "ratio"), F.struct(F.col("ratio"), (-F.length("name")).alias("l"), F.col("name"))).alias("m")).select(column, "m.name", "m.ratio")
 

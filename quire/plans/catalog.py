@@ -150,6 +150,12 @@ def fuzzy_entities(spark, d):
     return entities.resolve_fuzzy(typos, names)
 
 
+@query("SELECT regexp_replace(s_name, 'pplier', 'plier') AS candidate, lower(s_name) AS name, 2.0 * (length(s_name) - 1) / (2 * length(s_name) - 1) AS ratio FROM supplier")
+def fuzzy_entities_whole(spark, d):
+    suppliers = read(spark, d, "supplier")
+    return entities.resolve_fuzzy(suppliers.select(F.regexp_replace("s_name", "pplier", "plier").alias("candidate")), suppliers.select(F.lower("s_name").alias("name")))
+
+
 _MENTION_SQL = "turn AS (SELECT conv_id || '-' || turn AS path, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]') AS w FROM conversations), name AS (SELECT unnest(['the', 'of the', 'in', 'que', 'de la', 'und die']) AS alias), run AS (SELECT path, array_to_string(list_slice(w, i, i + k - 1), ' ') AS alias FROM turn, unnest(generate_series(1, len(w))) a(i), (VALUES (1), (2)) b(k) WHERE i + k - 1 <= len(w))"
 
 

@@ -76,6 +76,14 @@ def test_fuzzy_finds_what_a_cross_join_finds(spark):
     assert [r[0] for r in pair.select(ratio("a", "b")).collect()] == [pytest.approx(2 / 3), None]
 
 
+def test_every_supplier_is_resolved(spark):
+    from quire.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    found = dict(rows(catalog.QUERIES["fuzzy_entities_whole"](spark, sf), "candidate", "name"))
+    assert found == {r.s_name.replace("pplier", "plier"): r.s_name.lower() for r in spark.read.parquet(f"{sf}/supplier.parquet").collect()}
+
+
 def test_resolution_and_screens(spark):
     ent = spark.createDataFrame([("npcs", "Bob", "npcs/Bob", ["Red"]), ("items", "Red", "items/Red", None)], "kind string, canonical string, path string, aliases array<string>")
     cand = spark.createDataFrame([("RED",), ("(Bob)",), ("x",)], "candidate string")
