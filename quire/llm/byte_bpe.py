@@ -188,13 +188,13 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     digests: the SHA-256 of ids and decoded bytes in their place, as ids_sha256 and decoded_sha256.
     path: a rank file, found under the same path on every machine.
     """
-    staging.small_batches(docs.sparkSession)
+    staging.reachable(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     names = ["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]
 
     def run(batches):
         bpe = encoder(path)
-        for batch in batches:
+        for batch in staging.pieces(batches):
             out = ([], [], [])
             for ids in bpe.encode(batch.column(1)):
                 raw, back = ids.astype("<u4").tobytes(), bpe.decode(ids)

@@ -58,7 +58,7 @@ def components(edges: DataFrame, finish: int = FINISH) -> DataFrame:
 
     Repeated edges and loops change nothing; no edges give no rows.
     """
-    staging.small_batches(edges.sparkSession)
+    staging.reachable(edges.sparkSession)
     plain = edges.toDF("a", "b").select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b")
     left = staging.table(_reduced(plain), "edges")
     labels: DataFrame | None = None

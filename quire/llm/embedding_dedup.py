@@ -132,12 +132,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, key: str =
     vec_id that links reach, itself included; kept marks the rows that are that vector.
     """
     spark = vectors.sparkSession
-    staging.small_batches(spark)
+    staging.reachable(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = np.dtype("<f4") if isinstance(vectors.schema[vector].dataType.elementType, FloatType) else np.dtype("<f8")
 
     def pack(batches):
-        for batch in batches:
+        for batch in staging.pieces(batches):
             out = []
             for values, named in zip(batch.column(1), batch.column(2).is_valid().to_pylist()):
                 raw = None
@@ -168,7 +168,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, key: str =
             yield size, np.flatnonzero(sizes == size)
 
     def post(batches):
-        for batch in batches:
+        for batch in staging.pieces(batches):
             raw, place = batch.column(2).to_pylist(), batch.column(0).to_numpy().view(np.uint64)
             for size, at in by_length(raw):
                 keys = table_keys(units_of([raw[i] for i in at]), bits, tables)

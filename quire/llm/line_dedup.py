@@ -1,13 +1,17 @@
 """Line deduplication across documents (operator 7).
 
-A sharded minimal perfect hash over the distinct line hashes that documents share indexes compact arrays: a
+A sharded minimal perfect hash over the distinct line hashes that documents share indexes compact arrays: the
 fingerprint, the count of documents and the first document of each line. Documents probe the arrays; lines are never
-joined. Documents are dealt to blocks by their id, so a line of any frequency sends one entry from each block to its
-shard and gets one answer back, whatever the number of documents that hold it.
+joined. Rows are dealt to blocks by a hash of id and text, so a line of any frequency sends one entry from each block to
+its shard and gets one answer back, whatever the number of documents that hold it. The number of blocks and shards
+follows the number of lines.
+
+Lines are known by 128 bits of hash, all of which are the fingerprint. The perfect hash takes 64 bits mixed from them;
+lines that tie there go to a list beside the arrays, so that none is lost.
 
 Cases: a null or empty text is one empty line; rows of the same doc_id are one document, so a line that only they
 hold stays; a null doc_id counts as one document before all others; lines in the first document holding them stay, all
-of them; texts are whole; no documents give an empty result. Lines are known by 128 bits of hash.
+of them; texts are whole; no documents give an empty result.
 """
 
 from __future__ import annotations
@@ -21,13 +25,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import staging
-from quire.llm.mph import MinimalPerfectHash
+from quire.llm.mph import MinimalPerfectHash, mix
 
 BLANKS = " \t\n\x0b\x0c\r"
 LEAST = 10
-#: What a block tells a shard of a line, and what a shard answers.
-TOLD = np.dtype([("hash", "<u8"), ("print", "<u8"), ("first", "<i8"), ("count", "<i8")])
+#: Lines that a block or a shard is meant to hold.
+BLOCK_LINES = 2_000_000
+#: What a block tells a shard of a line, and what a shard answers. first, last: of the documents that hold it; count: of
+#: these, added up over blocks (a document whose rows lie in several blocks counts in each).
+TOLD = np.dtype([("hash", "<u8"), ("print", "<u8"), ("first", "<i8"), ("last", "<i8"), ("count", "<i8")])
+NAME = np.dtype([("hash", "<u8"), ("print", "<u8")])
 NULL_ID = -(2**63)
+_SEEN = 50_000
 
 
 def line_keys(text: str | None, least: int = LEAST) -> tuple[list[str], list[bytes | None]]:
@@ -37,12 +46,8 @@ def line_keys(text: str | None, least: int = LEAST) -> tuple[list[str], list[byt
     return lines, [xxhash.xxh3_128_digest(k.encode().lower()) if len(k) >= least else None for k in keys]
 
 
-def blocks_of(docs: DataFrame) -> int:
-    return 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def _schema(*fields: str) -> str:
-    kinds = {"block": "int", "shard": "int", "doc_id": "long"}
+    kinds = {"block": "int", "shard": "int", "doc_id": "long", "h": "long", "n": "int"}
     return ", ".join(f"{f} {kinds.get(f, 'binary')}" for f in fields)
 
 
@@ -53,40 +58,53 @@ def _batch(schema: str, columns: list[list]) -> pa.Table:
 
 
 def merged(told: np.ndarray) -> np.ndarray:
-    """One entry for each line: its first document and its count of documents, over entries of several blocks."""
-    told = told[np.lexsort((told["first"], told["print"], told["hash"]))]
+    """One entry for each line: its first and last document and its count, over entries of several blocks."""
+    told = told[np.lexsort((told["print"], told["hash"]))]
     new = np.ones(len(told), bool)
     new[1:] = (told["hash"][1:] != told["hash"][:-1]) | (told["print"][1:] != told["print"][:-1])
     out = told[new].copy()
     if len(told):
-        out["count"] = np.add.reduceat(told["count"], np.flatnonzero(new))
+        at = np.flatnonzero(new)
+        for name, of in (("first", np.minimum), ("last", np.maximum), ("count", np.add)):
+            out[name] = of.reduceat(told[name], at)
     return out
 
 
-def hashed_lines(docs: DataFrame, key: str, text: str, blocks: int, least: int) -> DataFrame:
-    """(block, doc_id, lines): the distinct 16-byte line hashes of each row that has any."""
+def _row_hash(key: str, text: str):
+    return F.xxhash64(F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)), F.col(text))
+
+
+def hashed_lines(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
+    """(doc_id, h, n, lines): the distinct 16-byte line hashes of each row that has any; h: a hash of id and text.
+
+    Rows of one id and text add nothing, so a worker leaves out those that it remembers.
+    """
 
     def run(batches):
-        for batch in batches:
-            ids, rows = batch.column(1).to_pylist(), []
-            for t in batch.column(2).to_pylist():
-                rows.append(b"".join({h for h in line_keys(t, least)[1] if h}))
-            has = [i for i, r in enumerate(rows) if r]
-            if has:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(has)), pa.array([ids[i] for i in has], pa.int64()), pa.array([rows[i] for i in has], pa.binary())], ["block", "doc_id", "lines"])
+        seen: set[tuple[int, int]] = set()
+        for batch in staging.pieces(batches):
+            out: tuple[list, ...] = ([], [], [], [])
+            for k, h, t in zip(*(c.to_pylist() for c in batch.columns)):
+                if (k, h) in seen:
+                    continue
+                if len(seen) >= _SEEN:
+                    seen.clear()
+                seen.add((k, h))
+                if own := {x for x in line_keys(t, least)[1] if x}:
+                    for column, value in zip(out, (k, h, len(own), b"".join(own))):
+                        column.append(value)
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["doc_id", "h", "n", "lines"])
 
     k = F.coalesce(docs[key].cast("long"), F.lit(NULL_ID))
-    return docs.select(F.pmod(F.hash(k), F.lit(blocks)).alias("block"), k.alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(run, _schema("block", "doc_id", "lines"))
+    rows = docs.select(k.alias("doc_id"), docs[text].cast("string").alias("text"))
+    return rows.select("doc_id", _row_hash("doc_id", "text").alias("h"), "text").mapInArrow(run, _schema("doc_id", "h", "n", "lines"))
 
 
-def _entries(rows: pa.Table) -> np.ndarray:
-    """All (line, document) of a block's rows."""
-    raw, ids = rows.column("lines").to_pylist(), rows.column("doc_id").to_numpy()
-    out = np.zeros(sum(map(len, raw)) // 16, TOLD)
-    both = np.frombuffer(b"".join(raw), "<u8").reshape(-1, 2)
-    out["hash"], out["print"] = both[:, 0], both[:, 1]
-    out["first"], out["count"] = np.repeat(ids, [len(r) // 16 for r in raw]), 1
-    return np.unique(out)  # rows of one doc_id are one document
+def _entries(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The 128-bit names of all lines of a block's rows, and the row of each."""
+    raw = rows.column("lines").to_pylist()
+    return np.frombuffer(b"".join(raw), NAME), np.repeat(np.arange(len(raw)), [len(r) // 16 for r in raw])
 
 
 def told_by_blocks(lines: DataFrame, shards: int) -> DataFrame:
@@ -94,7 +112,11 @@ def told_by_blocks(lines: DataFrame, shards: int) -> DataFrame:
     schema = _schema("block", "shard", "told")
 
     def run(rows: pa.Table) -> pa.Table:
-        own = merged(_entries(rows))
+        names, row = _entries(rows)
+        each = np.zeros(len(names), TOLD)
+        each["hash"], each["print"], each["count"] = names["hash"], names["print"], 1
+        each["first"] = each["last"] = rows.column("doc_id").to_numpy()[row]
+        own = merged(np.unique(each))  # rows of one doc_id are one document
         shard = (own["hash"] % np.uint64(shards)).astype(np.int64)
         own = own[np.argsort(shard, kind="stable")]
         ends = np.cumsum(np.bincount(shard, minlength=shards))
@@ -105,19 +127,67 @@ def told_by_blocks(lines: DataFrame, shards: int) -> DataFrame:
     return lines.groupBy("block").applyInArrow(run, schema)
 
 
+class Index:
+    """The lines of a shard that two documents hold or more."""
+
+    def __init__(self, mph: MinimalPerfectHash, slots: np.ndarray, rest: np.ndarray):
+        """slots: entries by the slots of the perfect hash; rest: those whose key another entry has, sorted by name."""
+        self.mph, self.at, self.rest = mph, slots, rest
+
+    @staticmethod
+    def keys(entries: np.ndarray) -> np.ndarray:
+        """64 bits mixed from all 128."""
+        return mix(entries["hash"] ^ mix(entries["print"], 1), 2)
+
+    @classmethod
+    def build(cls, entries: np.ndarray, keys: np.ndarray | None = None) -> "Index":
+        """entries: different ones, sorted by name. keys: Index.keys but in tests."""
+        keys = cls.keys(entries) if keys is None else keys
+        one = np.unique(keys, return_index=True)[1]
+        alone = np.zeros(len(entries), bool)
+        alone[one] = True
+        mph = MinimalPerfectHash.build(keys[one])
+        held = np.zeros(len(one), TOLD)
+        held[mph.slots(keys[one])] = entries[one]
+        return cls(mph, held, entries[~alone])
+
+    def first(self, asked: np.ndarray, keys: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the entries asked for are held, and their first documents."""
+        slots = self.mph.slots(self.keys(asked) if keys is None else keys)
+        there, first = np.zeros(len(asked), bool), np.zeros(len(asked), np.int64)
+        for at, found in ((np.flatnonzero(slots >= 0), lambda x: self.at[slots[x]]), (np.arange(len(asked) if len(self.rest) else 0), self._in_rest(asked))):
+            own = found(at)
+            same = (own["hash"] == asked["hash"][at]) & (own["print"] == asked["print"][at])
+            there[at[same]], first[at[same]] = True, own["first"][same]
+        return there, first
+
+    def _in_rest(self, asked: np.ndarray):
+        names = lambda x: x[["hash", "print"]].astype(NAME)
+        return lambda at: self.rest[np.minimum(np.searchsorted(names(self.rest), names(asked[at])), len(self.rest) - 1)]
+
+    def to_row(self) -> list[bytes]:
+        """mph, hashes, prints, counts, firsts, rest."""
+        own = self.at
+        return [self.mph.to_bytes(), own["hash"].tobytes(), own["print"].tobytes(), np.minimum(own["count"], 2**32 - 1).astype("<u4").tobytes(), own["first"].tobytes(), self.rest.tobytes()]
+
+    @classmethod
+    def from_row(cls, mph: bytes, hashes: bytes, prints: bytes, counts: bytes, firsts: bytes, rest: bytes) -> "Index":
+        own = np.zeros(len(hashes) // 8, TOLD)
+        own["hash"], own["print"], own["count"], own["first"] = (np.frombuffer(x, k) for x, k in ((hashes, "<u8"), (prints, "<u8"), (counts, "<u4"), (firsts, "<i8")))
+        return cls(MinimalPerfectHash.from_bytes(mph), own, np.frombuffer(rest, TOLD))
+
+
+_INDEX = ("mph", "hashes", "prints", "counts", "firsts", "rest")
+
+
 def build_index(told: DataFrame) -> DataFrame:
-    """(shard, mph, prints, counts, firsts): arrays by the slots of a perfect hash over the lines of two documents or more."""
-    schema = _schema("shard", "mph", "prints", "counts", "firsts")
+    """(shard, mph, hashes, prints, counts, firsts, rest): arrays by the slots of a perfect hash over lines of two documents or more."""
+    schema = _schema("shard", *_INDEX)
 
     def run(rows: pa.Table) -> pa.Table:
         every = merged(np.concatenate([np.frombuffer(r, TOLD) for r in rows.column("told").to_pylist()]))
-        every = every[every["count"] >= 2]
-        every = every[np.unique(every["hash"], return_index=True)[1]]
-        mph = MinimalPerfectHash.build(every["hash"])
-        slots = mph.slots(every["hash"])
-        held = np.zeros(len(every), TOLD)
-        held[slots] = every
-        return _batch(schema, [[rows.column("shard")[0].as_py()], [mph.to_bytes()], [held["print"].tobytes()], [held["count"].astype("<u4").tobytes()], [held["first"].tobytes()]])
+        index = Index.build(every[every["first"] < every["last"]])
+        return _batch(schema, [[rows.column("shard")[0].as_py()], *([x] for x in index.to_row())])
 
     return told.groupBy("shard").applyInArrow(run, schema)
 
@@ -129,17 +199,14 @@ def probe(told: DataFrame, index: DataFrame) -> DataFrame:
     def run(asked: pa.Table, shard: pa.Table) -> pa.Table:
         if not len(shard):
             return _batch(schema, [[], []])
-        mph, prints, _, firsts = (shard.column(c)[0].as_py() for c in ("mph", "prints", "counts", "firsts"))
-        mph, prints, firsts = MinimalPerfectHash.from_bytes(mph), np.frombuffer(prints, "<u8"), np.frombuffer(firsts, "<i8")
+        own_index = Index.from_row(*(shard.column(c)[0].as_py() for c in _INDEX))
         blocks, out = [], []
         for block, raw in zip(asked.column("block").to_pylist(), asked.column("told").to_pylist()):
             own = np.frombuffer(raw, TOLD)
-            slots = mph.slots(own["hash"])
-            found = np.flatnonzero(slots >= 0)
-            found = found[prints[slots[found]] == own["print"][found]]
-            if len(found):
-                own = own[found].copy()
-                own["first"] = firsts[slots[found]]
+            there, first = own_index.first(own)
+            if there.any():
+                own = own[there].copy()
+                own["first"] = first[there]
                 blocks.append(block)
                 out.append(own.tobytes())
         return _batch(schema, [blocks, out])
@@ -148,27 +215,26 @@ def probe(told: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def repeats(lines: DataFrame, held: DataFrame) -> DataFrame:
-    """(doc_id, lines): the line hashes that each document has to drop."""
-    schema = _schema("doc_id", "lines")
+    """(doc_id, h, lines): the line hashes that the rows of that id and hash have to drop."""
+    schema = _schema("doc_id", "h", "lines")
 
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(rows) or not len(answers):
-            return _batch(schema, [[], []])
+            return _batch(schema, [[], [], []])
         known = np.concatenate([np.frombuffer(r, TOLD) for r in answers.column("held").to_pylist()])
-        known = known[np.lexsort((known["print"], known["hash"]))]
-        own = _entries(rows)  # by hash and print
-        pair = np.dtype([("hash", "<u8"), ("print", "<u8")])
-        names = np.concatenate([known[["hash", "print"]], own[["hash", "print"]]]).astype(pair)
-        _, code = np.unique(names, return_inverse=True)
-        first = np.full(int(code.max()) + 1, NULL_ID, np.int64)
-        there = np.zeros(len(first), bool)
+        names, row = _entries(rows)
+        every, code = np.unique(np.concatenate([known[["hash", "print"]].astype(NAME), names]), return_inverse=True)
+        first, there = np.zeros(len(every), np.int64), np.zeros(len(every), bool)
         first[code[: len(known)]], there[code[: len(known)]] = known["first"], True
+        ids, hs = rows.column("doc_id").to_numpy(), rows.column("h").to_numpy()
         code = code[len(known) :]
-        own = own[there[code] & (first[code] != own["first"])]
-        own = own[np.argsort(own["first"], kind="stable")]
-        ids, starts = np.unique(own["first"], return_index=True)
-        raw = np.stack([own["hash"], own["print"]], 1)
-        return _batch(schema, [ids.tolist(), [p.tobytes() for p in np.split(raw, starts[1:])] if len(ids) else []])
+        drop = there[code] & (first[code] != ids[row])
+        pairs, which = np.unique(np.stack([ids, hs], 1), axis=0, return_inverse=True)  # rows of one id and text
+        owner, gone = which.ravel()[row[drop]], names[drop]
+        order = np.argsort(owner, kind="stable")
+        owner, starts = np.unique(owner[order], return_index=True)
+        parts = [p.tobytes() for p in np.split(gone[order], starts[1:])] if len(owner) else []
+        return _batch(schema, [pairs[owner, 0].tolist(), pairs[owner, 1].tolist(), parts])
 
     return lines.groupBy("block").cogroup(held.groupBy("block")).applyInArrow(run, schema)
 
@@ -181,22 +247,24 @@ def drop_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
     digests: key, n_lines, n_dropped and kept_sha256 instead.
     """
     spark = docs.sparkSession
-    staging.small_batches(spark)
-    blocks = blocks_of(docs)
-    lines = staging.table(hashed_lines(docs, key, text, blocks, least), "lines")
+    staging.reachable(spark)
+    lines = staging.table(hashed_lines(docs, key, text, least), "lines")
+    blocks = staging.parts(spark, lines.agg(F.sum("n")).first()[0] or 0, BLOCK_LINES)
+    lines = lines.select(F.pmod(F.xxhash64("doc_id", "h"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "h", "lines")
     told = staging.table(told_by_blocks(lines, blocks), "told")
     index = staging.table(build_index(told), "line-index")
-    drops = repeats(lines, probe(told, index)).select(F.col("doc_id").alias("_drop_id"), F.col("lines").alias("_drops"))
+    drops = repeats(lines, probe(told, index)).select(F.col("doc_id").alias("_drop_id"), F.col("h").alias("_drop_h"), F.col("lines").alias("_drops"))
     kept = [docs[c] for c in (docs.columns if not digests else [key])]
     rows = docs.select(*[c.alias(f"c{i}") for i, c in enumerate(kept)], docs[text].cast("string").alias("_text"), F.coalesce(docs[key].cast("long"), F.lit(NULL_ID)).alias("_id"))
-    joined = rows.join(drops, rows["_id"] == drops["_drop_id"], "left").drop("_id", "_drop_id")
+    rows = rows.withColumn("_h", _row_hash("_id", "_text"))
+    joined = rows.join(drops, (F.col("_id") == F.col("_drop_id")) & (F.col("_h") == F.col("_drop_h")), "left").drop("_id", "_drop_id", "_h", "_drop_h")
     names = [key] if digests else docs.columns
     place = names.index(text) if text in names else -1
     fields = [docs.schema[c] for c in names]
     out = ", ".join(f"`c{i}` {f.dataType.simpleString() if i != place else 'string'}" for i, f in enumerate(fields)) + ", n_lines long, n_dropped long" + ", kept_sha256 string" * digests
 
     def run(batches):
-        for batch in batches:
+        for batch in staging.pieces(batches):
             width = batch.num_columns - 2
             columns, counts, dropped, texts = [batch.column(i) for i in range(width)], [], [], []
             for t, raw in zip(batch.column(width).to_pylist(), batch.column(width + 1).to_pylist()):

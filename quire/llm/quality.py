@@ -115,10 +115,10 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def measure(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(the key, stats): the statistics of each document, as binary."""
-    staging.small_batches(docs.sparkSession)
+    staging.reachable(docs.sparkSession)
 
     def run(batches):
-        for batch in batches:
+        for batch in staging.pieces(batches):
             raw = [x.astype("<f4").tobytes() for x in statistics(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], [key, "stats"])
 
@@ -130,7 +130,7 @@ def _sums(rows: DataFrame, make) -> np.ndarray:
 
     def run(batches):
         total = 0
-        for batch in batches:
+        for batch in staging.pieces(batches):
             if batch.num_rows:
                 total = total + make(_matrix(batch.column(0)), batch.column(1).to_numpy().astype(np.float64))
         if not np.isscalar(total):
@@ -183,7 +183,7 @@ def score(measured: DataFrame, model: Model, key: str = "doc_id", threshold: flo
     """(the key, score, predicted) for each row."""
 
     def run(batches):
-        for batch in batches:
+        for batch in staging.pieces(batches):
             if batch.num_rows:
                 own = model.score(_matrix(batch.column(1)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.float64()), pa.array((own >= threshold).astype(np.int32))], [key, "score", "predicted"])

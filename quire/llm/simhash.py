@@ -89,10 +89,10 @@ def majority(digests: bytes) -> int:
 
 def fingerprints(docs: DataFrame, words: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp): fp is the fingerprint as a signed long; a null doc_id becomes NULL_ID."""
-    staging.small_batches(docs.sparkSession)
+    staging.reachable(docs.sparkSession)
 
     def run(batches):
-        for batch in batches:
+        for batch in staging.pieces(batches):
             own = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.view(np.int64))], ["doc_id", "fp"])
 
@@ -142,12 +142,12 @@ def links(fps: DataFrame, distance: int = 3) -> DataFrame:
     if not 0 <= distance <= 3:
         raise ValueError("the posting groups hold for distances up to 3")
     spark = fps.sparkSession
-    staging.small_batches(spark)
+    staging.reachable(spark)
     groups = posting_groups()
     masks = [sum(0xFF << 8 * i for i in g) for g in groups]
 
     def post(batches):
-        for batch in batches:
+        for batch in staging.pieces(batches):
             own = batch.column(0).to_numpy().view(np.uint64)
             for g, positions in enumerate(groups):
                 raw = own.astype("<u8").view(np.uint8).reshape(-1, BYTES)[:, list(positions)]
@@ -213,7 +213,7 @@ def signature_links(signed: DataFrame, similarity: float) -> DataFrame:
     agree = int(np.ceil(SIGNATURE * (least + (1 - least) / 256)))
 
     def post(batches):
-        for batch in batches:
+        for batch in staging.pieces(batches):
             if batch.num_rows:
                 own = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, SIGNATURE)
                 for g in range(GROUPS):
@@ -296,7 +296,7 @@ def _compared(rows: DataFrame, similarity: float) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
 
         unit, held = None, ([], [], [])
-        for batch in batches:
+        for batch in staging.pieces(batches):
             for u, *row in zip(*(c.to_pylist() for c in batch.columns)):
                 if u != unit and held[0]:
                     yield edges(*held)
@@ -337,17 +337,17 @@ def verified(sets: DataFrame, similarity: float) -> DataFrame:
 
 def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, component_id), a row for each row of docs; linked are documents of that Jaccard similarity or more."""
-    staging.small_batches(docs.sparkSession)
+    staging.reachable(docs.sparkSession)
 
     def run(batches):
-        for batch in batches:
+        for batch in staging.pieces(batches):
             every = [shingle_digests(t, words) for t in batch.column(1).to_pylist()]
             own = np.array([majority(d) for d in every], np.uint64)
             sets = [xxhash.xxh128_digest(shingle_set(d)) for d in every]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.view(np.int64)), pa.array([signature(d) for d in every], pa.binary()), pa.array(sets, pa.binary())], ["doc_id", "fp", "sig", "same"])
 
     def whole(batches):
-        for batch in batches:
+        for batch in staging.pieces(batches):
             sets = [shingle_set(shingle_digests(t, words)) for t in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], ["group", "size", "node", "set"])
 

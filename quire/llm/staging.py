@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.plans.workers import reach
@@ -17,8 +19,8 @@ from quire.plans.workers import reach
 _staged: list[str] = []
 _local: list[str] = []
 
-#: Rows of an Arrow batch; texts may be long, and a batch has to fit into a Python worker several times.
-BATCH_ROWS = 1000
+#: What a Python worker handles at once; texts may be long, and what is made of them many times their size.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,16 +49,49 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+        _staged.remove(p)
+
+
 def clear(spark: SparkSession) -> None:
     """Removes all that this session has staged; results that still read it must have been written before."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _staged:
-        path = jvm.org.apache.hadoop.fs.Path(_staged.pop())
-        path.getFileSystem(conf).delete(path, True)
+    _remove(spark, list(_staged))
+
+
+def mark() -> list[str]:
+    """What is staged so far, for settled()."""
+    return list(_staged)
+
 
+def settled(df: DataFrame, name: str, before: list[str]) -> DataFrame:
+    """table(df, name), after which all that was staged since ``before`` goes: the written table needs none of it."""
+    spent = [p for p in _staged if p not in before]
+    out = table(df, name)
+    _remove(df.sparkSession, spent)
+    return out
 
-def small_batches(spark: SparkSession) -> None:
-    """Bounds what a Python worker gets at once; every operator that runs Python begins with it."""
+
+def reachable(spark: SparkSession) -> None:
+    """Every operator that runs Python begins with it; no setting of the session is touched."""
     reach(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def pieces(batches: Iterable[pa.RecordBatch], most_rows: int = BATCH_ROWS, most_bytes: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut to so many rows and bytes, a row being the least; the JVM sends up to 64 MB or 10,000 rows at once.
+
+    What an operator makes of a piece is many times the piece, so this and not the JVM's batch bounds a worker's memory.
+    """
+    for batch in batches:
+        rows = batch.num_rows
+        step = max(1, min(most_rows, rows * most_bytes // max(1, batch.nbytes)))
+        for at in range(0, rows, step):
+            yield batch.slice(at, step)
+
+
+def parts(spark: SparkSession, total: int, each: int) -> int:
+    """In how many parts to deal ``total`` of something: by its amount, and at least as many as the session shuffles to."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // each))

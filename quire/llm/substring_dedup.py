@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import staging
 from quire.llm.fm_index import FMIndex
-from quire.llm.line_dedup import NULL_ID, blocks_of
+from quire.llm.line_dedup import NULL_ID
 from quire.llm.textbytes import byte_sums, prefix_sums, ragged, slice_hashes, text_chunks, word_spans
 
 WIDTH, RUN, HOT = 35, 8, 1000
@@ -191,8 +191,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, run: int = RUN, hot: int
     if not 1 <= run <= width:
         raise ValueError("an anchor has to fit into a window")
     spark = docs.sparkSession
-    staging.small_batches(spark)
-    blocks = blocks_of(docs) // 2
+    staging.reachable(spark)
+    blocks = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = blocks // 2  # a packet for each block and shard: as few as the tasks that work on them allow
     indexes = blocks  # an index takes more memory than counts do
     k = docs[key]
@@ -200,7 +200,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, run: int = RUN, hot: int
     rows = docs.select(block.alias("block"), k.alias("id"), docs[text].cast("string").alias("text"))
 
     def scan(batches):
-        for batch in batches:
+        for batch in staging.pieces(batches):
             owner, parts = batch.column(0).to_numpy(), []
             for i, _, data, offsets in text_chunks(batch.column(1)):
                 own = Words(data, offsets, width, run)

@@ -159,7 +159,7 @@ def write(docs: DataFrame, out: str, tokenizer: str, end_id: int | None = 1, key
     A task writes files of its own name, so that a repeated one disturbs nothing; the manifest names those that count.
     """
     spark = docs.sparkSession
-    staging.small_batches(spark)
+    staging.reachable(spark)
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(docs[key].cast("long").alias("k"), docs[text].cast("string").alias("t"))
 
@@ -169,7 +169,7 @@ def write(docs: DataFrame, out: str, tokenizer: str, end_id: int | None = 1, key
         words, keys, null, lengths, sink = encoder(tokenizer), [], [], [], None
         tail = [] if end_id is None else [end_id]
         width = 2 if max([words.tokenizer.get_vocab_size(), *tail]) <= 2**16 else 4
-        for batch in batches:
+        for batch in staging.pieces(batches):
             if sink is None:
                 store.create_dir(base, recursive=True)
                 sink = store.open_output_stream(f"{base}/{name}.ids")
@@ -204,12 +204,12 @@ def read(spark: SparkSession, entries: list[dict], key: str = "doc_id", digests:
 
     Every document is looked up by its key. digests: in place of the ids their CRC-32, as ids_crc32.
     """
-    staging.small_batches(spark)
+    staging.reachable(spark)
     value = "ids_crc32 long" if digests else "ids binary"
     listed = spark.createDataFrame([(i, e["path"], e["start"]) for i, e in enumerate(entries)], "i long, path string, start long")
 
     def run(batches):
-        for batch in batches:
+        for batch in staging.pieces(batches):
             for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 shard = Shard(path)
                 place = shard.find(shard.keys, shard.null != 0, shard.copy)

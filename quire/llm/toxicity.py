@@ -121,7 +121,7 @@ def logistic(rows: np.ndarray, columns: np.ndarray, y: np.ndarray, size: int, sw
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", train: Column | None = None, sample: int = SAMPLE, identity=IDENTITY) -> Model:
     """train: over the columns of labels, which rows may be learnt from."""
-    staging.small_batches(docs.sparkSession)
+    staging.reachable(docs.sparkSession)
     own = labels.filter(train) if train is not None else labels
     own = own.select(own[key].alias("_k"), own[label].cast("int").alias("_y")).filter("_k is not null and _y is not null")
     # At most ``sample`` rows of 12 bytes: a bounded broadcast, which spares the texts a shuffle.
@@ -131,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
     def count(batches):
         parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
         total = np.zeros(2, np.int64)
-        for batch in batches:
+        for batch in staging.pieces(batches):
             y = batch.column(1).to_numpy().astype(np.int64) > 0
             total += [(~y).sum(), y.sum()]
             for i, _, hashes, first, _ in document_words(batch.column(0)):
@@ -164,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
     groups = [np.searchsorted(vocabulary, t) for t in terms]
 
     def known(batches):
-        for batch in batches:
+        for batch in staging.pieces(batches):
             y, out = batch.column(1).to_pylist(), []
             for i, j, hashes, first, sentence in document_words(batch.column(0)):
                 doc, number, hit = _known(hashes, first, vocabulary)
@@ -188,10 +188,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
     """(the key, score, predicted) for each row."""
-    staging.small_batches(docs.sparkSession)
+    staging.reachable(docs.sparkSession)
 
     def run(batches):
-        for batch in batches:
+        for batch in staging.pieces(batches):
             own = model.score(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.float64()), pa.array((own >= threshold).astype(np.int32))], [key, "score", "predicted"])
 
@@ -200,11 +200,11 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
 def keep_clean(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of docs that score below the threshold, as they are."""
-    staging.small_batches(docs.sparkSession)
+    staging.reachable(docs.sparkSession)
     place = docs.columns.index(text)
 
     def run(batches):
-        for batch in batches:
+        for batch in staging.pieces(batches):
             yield batch.filter(pa.array(model.score(batch.column(place)) < threshold))
 
     return docs.mapInArrow(run, docs.schema)

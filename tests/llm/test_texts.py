@@ -102,6 +102,30 @@ def test_lines_of_one_document_are_no_copies(spark):
     assert line_dedup.drop_lines(docs.limit(0)).count() == 0
 
 
+def test_lines_of_one_hash_half_are_told_apart():
+    told = np.zeros(6, line_dedup.TOLD)
+    told["hash"], told["print"] = [7, 7, 7, 9, 9, 5], [1, 1, 2, 1, 3, 1]
+    told["first"], told["last"], told["count"] = [4, 2, 3, 1, 1, 8], [4, 2, 6, 5, 2, 9], 1
+    every = line_dedup.merged(told)
+    assert [tuple(x) for x in every[["hash", "print", "first", "last", "count"]].tolist()] == [(5, 1, 8, 9, 1), (7, 1, 2, 4, 2), (7, 2, 3, 6, 1), (9, 1, 1, 5, 1), (9, 3, 1, 2, 1)]
+    for keys in (None, np.array([1, 2, 2, 2, 3], np.uint64)):  # and where the mixed keys of three tie
+        index = line_dedup.Index.from_row(*line_dedup.Index.build(every, keys).to_row())
+        asked = np.concatenate([every, every[:1]])
+        asked["print"][-1] = 77
+        there, first = index.first(asked, None if keys is None else np.append(keys, keys[:1]))
+        assert there.tolist() == [True] * 5 + [False] and first[:5].tolist() == every["first"].tolist()
+        assert len(index.rest) == (0 if keys is None else 2)
+
+
+def test_lines_of_a_hot_document(spark, monkeypatch):
+    """A third of all rows has one doc_id: its rows lie in many blocks."""
+    monkeypatch.setattr(line_dedup, "BLOCK_LINES", 20)
+    texts = [f"line number {i % 37} of all\nand its own line {i}\nshort" for i in range(150)]
+    ids = [9 if i % 3 == 0 else None if i % 3 == 1 and i < 20 else i for i in range(150)]
+    got = ordered(line_dedup.drop_lines(documents(spark, texts, ids), digests=True).collect())
+    assert got == ordered(lines(ids, texts))
+
+
 @pytest.mark.parametrize("width, run, hot", [(35, 8, 1000), (6, 3, 1000), (6, 3, 3), (5, 5, 2), (8, 1, 10)])
 def test_substrings(spark, width, run, hot):
     texts = some_texts(width)
