@@ -2,8 +2,9 @@
 
 The statistics of a document (lengths, character shares, repetition of words, word pairs and lines) are standardised
 and mapped to cosines of random projections, whose inner products approximate a Gaussian kernel. Each partition adds up
-its part of the normal equations; the sums, of a size fixed by ``FEATURES``, give the ridge solution. Its scores are
-calibrated by pooling adjacent violators over ``BINS`` sums of labels by score.
+its part of the normal equations; the sums, of a size fixed by ``FEATURES``, give the ridge solution. Calibration pools
+adjacent violators over ``BINS`` sums of labels by score, where each labelled row is scored by a solution from the other
+half of the rows (halves by a hash of the key), so that no row calibrates a fit that has seen it.
 
 Cases: a null or empty text has statistics of zero and a score like any other; without labels, or with one class only,
 every score is the mean label (0.5 without any); rows of one doc_id share its labels, repeated labels count repeatedly,
@@ -125,18 +126,23 @@ def measure(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return docs.select(docs[key], docs[text].cast("string")).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, stats binary")
 
 
+def fold_of(key: Column) -> Column:
+    """The half of the labelled rows that a key belongs to."""
+    return F.pmod(F.xxhash64(key.cast("string")), F.lit(2)).cast("int")
+
+
 def _sums(rows: DataFrame, make) -> np.ndarray:
-    """Adds up make(statistics, labels), a vector of fixed length, over all partitions."""
+    """Adds up make(statistics, labels, half), a vector of fixed length, over all partitions."""
 
     def run(batches):
         total = 0
         for batch in staging.pieces(batches):
             if batch.num_rows:
-                total = total + make(_matrix(batch.column(0)), batch.column(1).to_numpy().astype(np.float64))
+                total = total + make(_matrix(batch.column(0)), batch.column(1).to_numpy().astype(np.float64), batch.column(2).to_numpy())
         if not np.isscalar(total):
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total, pa.float64())], ["i", "x"])
 
-    found = rows.select("stats", "y").mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
+    found = rows.select("stats", "y", "half").mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
     out = np.zeros(len(found))
     for r in found:
         out[r.i] = r.x
@@ -145,10 +151,11 @@ def _sums(rows: DataFrame, make) -> np.ndarray:
 
 def fit(measured: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", train: Column | None = None) -> Model:
     """From all labelled rows of ``measured`` (a table, as it is read several times) for which ``train`` holds."""
+    staging.reachable(measured.sparkSession)
     own = labels.select(labels[key].alias("_k"), labels[label].cast("double").alias("y")).filter(F.col("y").isNotNull())
     rows = measured.filter(train) if train is not None else measured
-    rows = staging.table(rows.join(own, rows[key] == own["_k"]).select("stats", "y"), "labelled")
-    first = _sums(rows, lambda x, y: np.concatenate([[len(x), y.sum()], x.sum(0), (x * x).sum(0)]))
+    rows = staging.table(rows.join(own, rows[key] == own["_k"]).select("stats", "y", fold_of(F.col("_k")).alias("half")), "labelled")
+    first = _sums(rows, lambda x, y, half: np.concatenate([[len(x), y.sum()], x.sum(0), (x * x).sum(0)]))
     if not len(first):
         return Model()
     n, positive = first[:2]
@@ -158,18 +165,24 @@ def fit(measured: DataFrame, labels: DataFrame, label: str = "quality", key: str
     fourier = Fourier(mean, np.sqrt(np.maximum(0, first[2 + STATISTICS :] / n - mean**2)))
     upper = np.triu_indices(FEATURES + 1)
 
-    def equations(x, y):
+    def equations(x, y, half):
         phi = fourier(x)
-        return np.concatenate([(phi.T @ phi)[upper], phi.T @ y])
-
-    second = _sums(rows, equations)
-    gram = np.zeros((FEATURES + 1, FEATURES + 1))
-    gram[upper] = second[: len(upper[0])]
-    gram = gram + np.triu(gram, 1).T + np.diag([RIDGE * n / FEATURES] * FEATURES + [0])
-    model = Model(positive / n, fourier, np.linalg.solve(gram, second[len(upper[0]) :]))
-
-    def binned(x, y):
-        at = np.clip((model.raw(x) + 0.5) / 2 * BINS, 0, BINS - 1).astype(int)
+        return np.concatenate([np.concatenate([[len(p)], (p.T @ p)[upper], p.T @ t]) for p, t in ((phi[half == k], y[half == k]) for k in (0, 1))])
+
+    def solved(sums):
+        gram = np.zeros((FEATURES + 1, FEATURES + 1))
+        gram[upper] = sums[1 : 1 + len(upper[0])]
+        gram = gram + np.triu(gram, 1).T + np.diag([RIDGE * sums[0] / FEATURES] * FEATURES + [0])
+        return np.linalg.solve(gram, sums[1 + len(upper[0]) :])
+
+    halves = _sums(rows, equations).reshape(2, -1)
+    model = Model(positive / n, fourier, solved(halves.sum(0)))
+    # A half without rows, as with very few labels, is scored by the solution from all.
+    other = np.stack([solved(h) if h[0] else model.solution for h in halves[::-1]])
+
+    def binned(x, y, half):
+        raw = np.einsum("nf,nf->n", fourier(x), other[half])
+        at = np.clip((raw + 0.5) / 2 * BINS, 0, BINS - 1).astype(int)
         return np.concatenate([np.bincount(at, minlength=BINS), np.bincount(at, y, BINS)])
 
     third = _sums(rows, binned)

@@ -2,19 +2,22 @@
 
 A document is the set of its words and of their beginnings of ``HEADS`` bytes, as insults are inflected. Those that
 tell labels apart make the vocabulary, by a z-score over the labelled sample; identity terms always belong to it.
-Logistic regression on the presence of the vocabulary gets a penalty of
-``SWAP`` times the squared change of the score when an identity term in a labelled sentence is exchanged for another
-of its group, averaged over all such sentences and exchanges; so a neutral mention of a group weighs the same for
-all groups, and next to nothing, as terms are drawn to a common weight and by the plain penalty to zero.
-
-The fit uses at most ``SAMPLE`` labelled rows, those of the smallest hash of their key; that many rows of word numbers
-come to the driver. Scores take whole texts. Cases: a null or empty text scores as a text without known words; without
-labels, or with one class only, every score is the mean label (0.0 without any); null labels do not count; a null
-doc_id is scored and has no label; rows of one doc_id share its labels; no rows give no rows; other columns are ignored.
+Logistic regression on the presence of the vocabulary gets a penalty: in every labelled sentence each identity term is
+exchanged for each other of its group, and ``SWAP`` times the mean squared change of the sentence's score (its logit) is
+added to the loss. The change is that of all entries that come and go with the term, its beginnings included, less those
+that other words of the sentence bring too; so a neutral mention of a group scores the same for all groups.
+
+The fit uses at most ``SAMPLE`` labelled documents, those of the smallest hash of their key, written as a table; that many
+rows of word numbers come to the driver. Scores take whole texts. Cases: a null or empty text scores as a text without
+known words; without labels, or with one class only, every score is the mean label (0.0 without any); null labels do not
+count; a null doc_id is scored and has no label; of rows of one doc_id one is learnt from, that of the smallest hash of
+its text, once for each different label; no rows give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -94,19 +97,13 @@ class Model:
 
 
 def logistic(rows: np.ndarray, columns: np.ndarray, y: np.ndarray, size: int, swaps: np.ndarray, ridge: float, swap: float, rounds: int = 50) -> np.ndarray:
-    """Newton's method on sparse rows of ones; swaps: (from, to, times) of the exchanges in sentences."""
+    """Newton's method on sparse rows of ones. swaps: the matrix of swap_matrix(), of which w' swaps w is the penalty."""
     w, n = np.zeros(size + 1), len(y)
     dense = np.zeros((n, size + 1), np.float32)
     dense[rows, columns] = 1
     dense[:, -1] = 1
     penalty = np.diag([ridge] * size + [1e-6]).astype(float)
-    times = max(1, swaps[:, 2].sum()) if len(swaps) else 1
-    for a, b, k in swaps:
-        s = swap * k / times
-        penalty[a, a] += s
-        penalty[b, b] += s
-        penalty[a, b] -= s
-        penalty[b, a] -= s
+    penalty[:size, :size] += swap * swaps
     balance = np.where(y > 0, n / 2 / max(1, y.sum()), n / 2 / max(1, n - y.sum()))
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(dense @ w, -30, 30)))
@@ -119,14 +116,71 @@ def logistic(rows: np.ndarray, columns: np.ndarray, y: np.ndarray, size: int, sw
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", train: Column | None = None, sample: int = SAMPLE, identity=IDENTITY) -> Model:
-    """train: over the columns of labels, which rows may be learnt from."""
-    staging.reachable(docs.sparkSession)
+class Terms:
+    """Identity terms: their numbers in a vocabulary and which entries each brings to a document, itself and its beginnings."""
+
+    def __init__(self, identity, vocabulary: np.ndarray):
+        def of(word: str) -> list[int]:
+            (found,) = [h for _, _, h, _, _ in document_words(pa.array([word]))]
+            at = np.minimum(np.searchsorted(vocabulary, found), len(vocabulary) - 1)
+            return sorted(set(at[vocabulary[at] == found].tolist()))
+
+        words = [w for g in identity for w in g]
+        self.brings = [of(w) for w in words]
+        self.others = [[words.index(o) for o in g if o != w] for g in identity for w in g]
+        self.at = {int(np.searchsorted(vocabulary, word_hashes([w])[0])): i for i, w in enumerate(words)}
+
+    def swapped(self, number: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """The exchanges in one sentence, the numbers of its known entries word by word, repeats included.
+
+        Each is (term, other, lost, gained): lost has a bit for each entry of the term that nothing else in the sentence
+        brings, gained one for each entry of the other that the sentence lacks without the term.
+        """
+        every, times = np.unique(number, return_counts=True)
+        count, out = dict(zip(every.tolist(), times.tolist())), []
+        for entry in count.keys() & self.at.keys():
+            term = self.at[entry]
+            left = {e: count.get(e, 0) - count[entry] for e in self.brings[term]}
+            lost = sum(1 << k for k, e in enumerate(self.brings[term]) if left[e] <= 0)
+            for other in self.others[term]:
+                out.append((term, other, lost, sum(1 << k for k, e in enumerate(self.brings[other]) if left.get(e, count.get(e, 0)) <= 0)))
+        return out
+
+    def change(self, term: int, other: int, lost: int, gained: int, size: int) -> np.ndarray:
+        """What the exchange does to the entries of the sentence: -1, 0 or 1 each."""
+        out = np.zeros(size)
+        for sign, which, bits in ((-1, term, lost), (1, other, gained)):
+            for k, e in enumerate(self.brings[which]):
+                out[e] += sign * (bits >> k & 1)
+        return out
+
+
+def swap_matrix(terms: Terms, swaps: list[tuple[int, int, int, int, int]], size: int) -> np.ndarray:
+    """The mean over exchanges (term, other, lost, gained, times) of change x change': w' of it w is the mean squared change of the score."""
+    out, total = np.zeros((size, size)), max(1, sum(s[-1] for s in swaps))
+    for *swap, times in swaps:
+        own = terms.change(*swap, size)
+        at = np.flatnonzero(own)
+        out[np.ix_(at, at)] += np.outer(own[at], own[at]) * (times / total)
+    return out
+
+
+def sampled(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str, train: Column | None, sample: int) -> DataFrame:
+    """(text, y), written: at most ``sample`` labelled documents, those of the smallest hash of their key, one row a key and label."""
     own = labels.filter(train) if train is not None else labels
-    own = own.select(own[key].alias("_k"), own[label].cast("int").alias("_y")).filter("_k is not null and _y is not null")
+    own = own.select(own[key].alias("_k"), own[label].cast("int").alias("_y")).filter("_k is not null and _y is not null").distinct()
     # At most ``sample`` rows of 12 bytes: a bounded broadcast, which spares the texts a shuffle.
     few = own.orderBy(F.xxhash64("_k"), "_k", "_y").limit(sample)
-    rows = docs.join(F.broadcast(few), docs[key] == few["_k"]).select(docs[text].cast("string").alias("text"), "_y")
+    rows = docs.join(F.broadcast(few), docs[key] == few["_k"]).select("_k", "_y", docs[text].cast("string").alias("text"))
+    # Of rows of one id the text of the smallest hash, by an aggregate with a combiner, so that repeats can't outgrow the bound.
+    one = rows.groupBy("_k", "_y").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.coalesce(F.col("text"), F.lit("")))).alias("text"))
+    return staging.table(one.select("text", "_y"), "sample")
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", train: Column | None = None, sample: int = SAMPLE, identity=IDENTITY) -> Model:
+    """train: over the columns of labels, which rows may be learnt from."""
+    staging.reachable(docs.sparkSession)
+    rows = sampled(docs, labels, label, key, text, train, sample)
 
     def count(batches):
         parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
@@ -159,29 +213,41 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
     both = (F.col("toxic") + F.col("clean")) / (total.toxic + total.clean)
     z = (p - q) / F.sqrt(both * (1 - both) * (1 / total.toxic + 1 / total.clean) + F.lit(1e-12))
     chosen = counts.filter(F.col("h").isNotNull() & (F.col("toxic") + F.col("clean") >= LEAST)).orderBy(F.abs(z).desc(), "h").limit(VOCABULARY).select("h").collect()
-    terms = [word_hashes(list(g)) for g in identity]
-    vocabulary = np.unique(np.concatenate([np.array([r.h for r in chosen], np.int64).view(np.uint64), *terms]))
-    groups = [np.searchsorted(vocabulary, t) for t in terms]
+    vocabulary = np.unique(np.concatenate([np.array([r.h for r in chosen], np.int64).view(np.uint64), *(word_hashes(list(g)) for g in identity)]))
+    terms = Terms(identity, vocabulary)
 
     def known(batches):
         for batch in staging.pieces(batches):
             y, out = batch.column(1).to_pylist(), []
-            for i, j, hashes, first, sentence in document_words(batch.column(0)):
-                doc, number, hit = _known(hashes, first, vocabulary)
+            for i, j, hashes, first, _ in document_words(batch.column(0)):
+                doc, number, _ = _known(hashes, first, vocabulary)
                 ends = np.searchsorted(doc, np.arange(j - i + 1))
-                which = np.searchsorted(vocabulary, hashes[hit])
-                for k in range(j - i):
-                    a, b = np.searchsorted(hit, first[k]), np.searchsorted(hit, first[k + 1])
-                    said = np.unique(np.stack([sentence[hit[a:b]], which[a:b]], 1), axis=0)[:, 1]  # once a sentence
-                    out.append((y[i + k], number[ends[k] : ends[k + 1]].astype("<u4").tobytes(), said[np.isin(said, np.concatenate(groups))].astype("<u4").tobytes() if groups else b""))
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.binary())], ["y", "words", "said"])
-
-    found = rows.mapInArrow(known, "y int, words binary, said binary").collect()  # at most ``sample`` rows, but for repeated ids
+                out += [(y[i + k], number[ends[k] : ends[k + 1]].astype("<u4").tobytes()) for k in range(j - i)]
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], ["y", "words"])
+
+    def exchanges(batches):
+        times: Counter = Counter()
+        for batch in staging.pieces(batches):
+            for _, _, hashes, first, sentence in document_words(batch.column(0)):
+                _, _, hit = _known(hashes, first, vocabulary)
+                number = np.searchsorted(vocabulary, hashes[hit])
+                # A sentence is what lies between stops within one document.
+                place = np.stack([np.searchsorted(first, hit, "right"), sentence[hit]], 1)
+                edge = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]).any(axis=1), [True]])) if len(hit) else [0]
+                named = np.isin(number, list(terms.at))
+                for a, b in zip(edge[:-1], edge[1:]):
+                    if named[a:b].any():
+                        times.update(terms.swapped(number[a:b]))
+        columns = list(zip(*((*k, n) for k, n in times.items()))) or [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["term", "other", "lost", "gained", "times"])
+
+    found = rows.mapInArrow(known, "y int, words binary").collect()  # at most ``sample`` rows
+    # Bounded by the pairs of terms and the entries that each brings, whatever the texts.
+    pairs = rows.mapInArrow(exchanges, "term long, other long, lost long, gained long, times long").groupBy("term", "other", "lost", "gained").agg(F.sum("times").alias("times")).collect()
     words = [np.frombuffer(r.words, "<u4").astype(np.int64) for r in found]
-    said = np.bincount(np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(r.said, "<u4").astype(np.int64) for r in found]]), minlength=len(vocabulary))
-    swaps = np.array([(a, b, said[a]) for g in groups for a in g for b in g if a != b and said[a]], np.int64).reshape(-1, 3)
     y = np.array([r.y > 0 for r in found], float)
     at = np.repeat(np.arange(len(words)), [len(x) for x in words])
+    swaps = swap_matrix(terms, sorted(tuple(r) for r in pairs), len(vocabulary))
     weights = logistic(at, np.concatenate([np.zeros(0, np.int64), *words]), y, len(vocabulary), swaps, RIDGE, SWAP)
     return Model(vocabulary, weights)
 

@@ -1,4 +1,7 @@
+import random
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,3 +61,99 @@ def test_identity_terms_are_no_insult(spark):
     assert score[0] < 0.5 and abs(score[0] - score[1]) < 0.1 and score[2] > 0.5
     kept = toxicity.keep_clean(tests, model)
     assert kept.columns == tests.columns and {r.doc_id for r in kept.collect()} == {0, 1}
+
+
+def _logit(model, text):
+    p = model.score(pa.array([text]))[0]
+    return np.log(p / (1 - p))
+
+
+@pytest.mark.parametrize("group", toxicity.IDENTITY, ids=lambda g: g[0])
+def test_a_group_that_goes_with_insults_is_no_insult(spark, group):
+    """One term stands with insults and another without; neutral sentences score alike, beginnings of the terms included."""
+    rng, texts, y = random.Random(1), [], []
+    for i in range(300):
+        bad = i % 2
+        rest = " ".join(rng.choices(["people", "met", "today", "again", "there", "music", "blanket", "whisper", "oldest", "mention"], k=6))
+        texts.append(f"{rest}. The {group[0] if bad else group[1]} {'idiots are pathetic' if bad else 'folk sang'}. {rest}")
+        y.append(bad)
+    model = toxicity.fit(documents(spark, texts), spark.createDataFrame(list(enumerate(y)), "doc_id long, toxic int"))
+    scores = [_logit(model, f"The {w} people met again.") for w in group]
+    assert max(scores) - min(scores) < 0.1
+    assert _logit(model, "You idiots are pathetic") > 0 > scores[0]
+
+
+def test_the_penalty_is_the_change_of_the_score(monkeypatch):
+    """Against sentences that are really exchanged and scored."""
+    groups = (("women", "men", "mothers"), ("old", "elderly"))
+    texts = ["Women and men. The women of the womb!", "old woman, ELDERLY folk", "mothers moth", "nothing", "old old men", ""]
+    rng = np.random.default_rng(3)
+    hashes = np.unique(np.concatenate([h for _, _, h, _, _ in toxicity.document_words(pa.array([*texts, " ".join(w for g in groups for w in g)]))]))
+    vocabulary = hashes[hashes > 0]
+    weights = rng.standard_normal(len(vocabulary) + 1)
+    model, terms = toxicity.Model(vocabulary, weights), toxicity.Terms(groups, vocabulary)
+    want, found = [], []
+    for t in texts:
+        for s in toxicity_sentences(t):
+            words = s.split()
+            (own,) = [h for _, _, h, _, _ in toxicity.document_words(pa.array([s]))]
+            at = np.minimum(np.searchsorted(vocabulary, own), len(vocabulary) - 1)
+            found += [(*x, 1) for x in terms.swapped(at[vocabulary[at] == own])]
+            for g in groups:
+                for w in set(words) & set(g):
+                    want += [(_logit(model, s) - _logit(model, " ".join(o if x == w else x for x in words))) ** 2 for o in g if o != w]
+    penalty = weights[:-1] @ toxicity.swap_matrix(terms, found, len(vocabulary)) @ weights[:-1]
+    assert len(found) == len(want) and np.isclose(penalty, np.mean(want))
+
+
+def toxicity_sentences(text):
+    return [" ".join("".join(c if c.isalnum() else " " for c in s).split()) for s in text.lower().replace("!", ".").split(".")]
+
+
+def test_repeated_ids_stay_within_the_sample(spark):
+    docs = documents(spark, [f"text {i}" for i in range(500)] + ["other"] * 5 + [None], [1] * 500 + [2, 3, 4, 5, 6] + [None])
+    labels = spark.createDataFrame([(1, 1), (1, 1), (1, 0), (2, 0), (3, 1), (4, 0), (5, 1), (6, None), (None, 1)], "doc_id long, toxic int")
+    rows = toxicity.sampled(docs, labels, "toxic", "doc_id", "text", None, 4)
+    assert rows.count() == 4
+    assert toxicity.sampled(docs, labels, "toxic", "doc_id", "text", None, 100).count() == 6
+    assert toxicity.score(docs, toxicity.fit(docs, labels, sample=4)).count() == 506
+
+
+def test_quality_against_a_dense_fit(spark):
+    """Partition sums, cross-fitted calibration and scores against one dense solution on the driver."""
+    rng = random.Random(2)
+    texts, y = [], []
+    for i in range(240):
+        good = i % 3 > 0
+        texts.append(" ".join(rng.choices(["the", "river", "runs", "to", "a", "town."] if good else ["BUY", "!!!", "$$", "the", "now"], k=rng.randint(3, 60))))
+        y.append(int(good) if i % 11 else 1 - int(good))
+    ids = list(range(240))
+    docs = documents(spark, [*texts, "", None], [*ids, 900, 901])
+    labels = spark.createDataFrame([*zip(ids, y), (0, y[0]), (1, None), (5000, 1)], "doc_id long, quality int")
+    measured = staging.table(quality.measure(docs), "statistics")
+    model = quality.fit(measured, labels)
+    got = {r.doc_id: r.score for r in quality.score(measured, model).collect()}
+
+    rows = np.array([x.astype("<f4").astype(float) for x in quality.statistics(pa.array([*texts, "", None]))])
+    use, target = np.array([*ids, 0]), np.array([*y, y[0]], float)
+    use, target = use[np.arange(241) != 1], target[np.arange(241) != 1]
+    use, target = np.append(use, 1), np.append(target, y[1])  # the other label of row 1 is null
+    fold = np.array([r.f for r in spark.createDataFrame([(int(k),) for k in use], "k long").select(quality.fold_of(F.col("k")).alias("f")).collect()])
+    fourier = quality.Fourier(rows[use].mean(0), rows[use].std(0))
+    phi = fourier(rows)
+
+    def ridge(at, t):
+        plain = np.diag([quality.RIDGE * len(at) / quality.FEATURES] * quality.FEATURES + [0])
+        return np.linalg.solve(phi[at].T @ phi[at] + plain, phi[at].T @ t)
+
+    out = np.zeros(len(use))
+    for f in (0, 1):
+        out[fold == f] = phi[use[fold == f]] @ ridge(use[fold != f], target[fold != f])
+    bins = np.clip((out + 0.5) / 2 * quality.BINS, 0, quality.BINS - 1).astype(int)
+    at, total, weight = np.unique(bins), np.bincount(bins, target), np.bincount(bins)
+    # Plain isotonic regression: the largest mean of any stretch that ends there, of the smallest that begins there.
+    t, w = total[at], weight[at]
+    mean = lambda a, b: t[a : b + 1].sum() / w[a : b + 1].sum()
+    plain = [max(min(mean(a, b) for b in range(k, len(at))) for a in range(k + 1)) for k in range(len(at))]
+    want = np.clip(np.interp(phi @ ridge(use, target), (at + 0.5) / quality.BINS * 2 - 0.5, plain), 0, 1)
+    assert np.allclose([got[k] for k in [*ids, 900, 901]], want, atol=1e-6)
