@@ -37,6 +37,9 @@ NOTICES = (
     ("unlicense", "released into the public domain", "This is free and unencumbered software released into the public domain"),
 )
 RARE, SHARE = 12, 0.75
+#: Words of the index are ASCII, and this sign is the only other character that lower() makes a letter of ASCII; so
+#: that A-Z alone are lower-cased, it gives way to a sign that never does.
+KELVIN, ANGSTROM = "\u212a", "\u212b"
 
 
 @dataclass(frozen=True)
@@ -87,7 +90,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", share: float
     known = F.array(*[F.struct(F.lit(t.label).alias("label"), F.lit(t.base).alias("base"), F.lit(t.entries).alias("entries"), F.lit(t.mandatory).alias("must"), own(i).alias("words")) for i, t in enumerate(templates)])
     # A place is one number: the template, then where it would begin, which may be before the text.
     shift, before = 2**32, 2**20
-    rows = docs.select(docs[key].alias("doc_id"), words_of(F.lower(docs[text].cast("string"))).alias("w"))
+    rows = docs.select(docs[key].alias("doc_id"), words_of(F.lower(F.replace(docs[text].cast("string"), F.lit(KELVIN), F.lit(ANGSTROM)))).alias("w"))
     anchors = F.filter(F.transform("w", lambda x, i: F.struct(x.alias("word"), i.alias("at"))), lambda p: p.word.isin(sorted({e.word for e in entries if e.anchor})))
     places = F.flatten(F.transform(anchors, lambda p: F.transform(F.filter(postings, lambda e: e.word == p.word), lambda e: e.template.cast("long") * shift + p.at - e.position + before)))
     rows = rows.select("doc_id", F.size("w").cast("long").alias("n_words"), "w", F.array_distinct(places).alias("places"))

@@ -75,7 +75,7 @@ def benchmark_hits(ids, texts, items, n=10):
     for k, t in items:
         w = plain_words(t)
         for i in range(max(1, len(w) - n + 1)) if w else ():
-            windows[tuple(w[i : i + n])].add(str(k))
+            windows[tuple(w[i : i + n])] |= {str(k)} if k is not None else set()
     out = []
     for k, t in zip(ids, texts):
         w, hit, found = plain_words(t), set(), set()

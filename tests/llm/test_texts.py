@@ -9,6 +9,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quire.llm import byte_bpe, decontaminate, licences, line_dedup, substring_dedup, token_shards
@@ -140,19 +141,37 @@ def test_substrings_of_nothing(spark):
     assert (row.kept, row.n_words, row.n_removed) == ("A b c", 3, 0)
 
 
-@pytest.mark.parametrize("bound", [0, 50_000])
+@pytest.mark.parametrize("bound", [64 << 20, 4000])
 def test_decontamination(spark, bound):
-    texts = some_texts(5)
-    items = [(1, texts[8]), (2, "Alpha, BETA!"), (3, None), (4, ""), (11, texts[9]), (12, texts[9]), (13, "iota"), (14, " ".join(plain_words(texts[12])[:7]))]
+    """bound: one pass, and many with joined windows."""
+    texts = some_texts(5) + ["\u0397\u03a3.\u0391 \u0397\u03a3 " * 7, "KELVIN \u212a"]
+    items = [(1, texts[8]), (2, "Alpha, BETA!"), (3, None), (4, ""), (11, texts[9]), (12, texts[9]), (13, "iota"), (14, " ".join(plain_words(texts[12])[:7])), (15, "\u0397\u03a3 \u0391 \u0397\u03a3"), (16, "k"), (None, "theta")]
     docs, bench = documents(spark, texts), spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate.hits(docs, bench, set_bound=bound).collect()
+    got = decontaminate.hits(docs, bench, set_bytes=bound).collect()
     mine = [(r.doc_id, r.n_words, r.n_hit, r.n_items, hashlib.sha256(",".join(r["items"]).encode()).hexdigest(), r.contaminated) for r in got]
     want = benchmark_hits(range(len(texts)), texts, items)
     assert ordered(mine) == ordered(want)
-    clean = decontaminate.decontaminate(docs, bench)
+    clean = decontaminate.decontaminate(docs, bench, set_bytes=bound)
     assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {w[0] for w in want if not w[-1]}
 
 
+def test_a_large_benchmark_goes_by_passes(spark):
+    """60,000 b-grams, a bound of 10,000: the same hits as in one pass."""
+    items = spark.range(6000).select("id", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(14)), lambda i: F.concat(F.lit("w"), (F.col("id") * 15 + i).cast("string"))), " ").alias("text"))
+    docs = items.select(F.col("id").alias("doc_id"), F.concat(F.lit("some words before "), F.expr("substring_index(text, ' ', 7 + id % 9)"), F.lit(" and after")).alias("text"))
+    one, many = (decontaminate.hits(docs, items, item="id", set_bytes=b).collect() for b in (64 << 20, 10_000 * decontaminate.ENTRY))
+    assert ordered(map(str, one)) == ordered(map(str, many))
+    assert sum(r.contaminated for r in one) == sum(1 for k in range(6000) if 7 + k % 9 >= 10)
+
+
+def test_rows_without_an_id_are_judged_alone(spark):
+    texts = ["clean text " * 3 + str(i) for i in range(999)] + ["the ten words of an item that stands in it here"]
+    docs = documents(spark, texts, [None] * 1000)
+    bench = spark.createDataFrame([(1, texts[-1])], "item_id long, text string")
+    assert decontaminate.decontaminate(docs, bench).count() == 999
+    assert [r.n_items for r in decontaminate.hits(docs, bench).filter("contaminated").collect()] == [1]
+
+
 def test_decontamination_without_a_benchmark(spark):
     docs, none = documents(spark, ["a b", None], [None, None]), spark.createDataFrame([], "item_id long, text string")
     assert [(r.n_words, r.contaminated) for r in decontaminate.hits(docs, none).orderBy("n_words").collect()] == [(0, False), (2, False)]
