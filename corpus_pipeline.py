@@ -2,7 +2,8 @@
 
 What the stages drop: documents that score as toxic; lines that another document holds; all but one of a group of
 similar documents; documents that hold a passage of the benchmark. The last stage encodes what is left as token ids.
-Every stage takes null and empty texts, repeated rows and columns beyond those of documents, which it passes on.
+Every stage takes null and empty texts, repeated rows and columns beyond those of documents; all but the last pass these
+on. What a stage has staged for itself goes once its result is written.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of the benchmark occurs."""
+    """Documents in which no window of the benchmark occurs, each judged by its own text."""
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -53,7 +54,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), staging.mark()
     for name, stage in STAGES:
-        docs = staging.table(stage(spark, docs, sf_dir), name)
+        docs = staging.settled(stage(spark, docs, sf_dir), name, before)
     return docs
