@@ -2,23 +2,28 @@
 
 A unit vector x is rotated at random and kept as the signs of its coordinates, c = sign(Rx) / sqrt(d), with the factor
 f = <c, Rx>. For any unit y, <c, Ry> / f estimates <x, y> without bias, off by at most e = EPSILON * sqrt((1 - f*f) /
-(f*f * (d - 1))) but for a chance that falls with exp(-EPSILON**2). A pair is computed exactly, in double precision,
-only if estimate + e reaches the threshold; what is then below it is no link.
-
-Pairs are looked for in hash tables keyed by k sign bits of further random rotations, within a label. k follows the
-number of different vectors n, and the number of tables makes a pair at the threshold miss all of them with a chance
-of ``MISS``. A pair counts in the first table in which it meets. Equal vectors fold into one with a count beforehand.
-Tables' lists of over ``TILE`` vectors are split into tiles, pairs of blocks, that different tasks work on; each task
-gives out sums of links and a spanning forest, never the pairs.
+(f*f * (d - 1))) but for a chance that falls with exp(-EPSILON**2). Ry is kept at four bits a coordinate, rounded with a
+random dither, which leaves the estimate unbiased and adds EPSILON * step / (sqrt(2) * f) to e. A pair is computed
+exactly, in double precision, only if estimate + e reaches the threshold; what is then below it is no link.
+
+Codes, factors and the hash keys below are computed once, into a table. Pairs are looked for in hash tables keyed by k
+sign bits of further random rotations, within a label. k follows the number n of different vectors of the largest label,
+and the number of tables makes a pair at the threshold miss all of them with a chance of ``MISS``. A pair counts in the
+first table in which it meets. The codes alone travel to the lists of all tables; a vector follows only to those lists in
+which the bounds let a pair of its pass. Equal vectors fold into one with a count beforehand. Lists of over ``TILE``
+vectors are split into tiles, pairs of blocks, that different tasks work on; each task works through its lists one after
+the other and gives out sums of links and a spanning forest, never the pairs.
 
 Cases: a null label, a null, empty or zero vector, and one with null or non-finite components link with nothing; vectors of
-different lengths don't link; repeated rows are vectors of their own; rows of one vec_id with
-different vectors share their links and component; a null vec_id is smaller than all others; no rows give no rows; further columns are ignored.
+different lengths don't link; repeated rows, rows of one vec_id and rows without one are vectors of their own; component_id
+is the smallest vec_id that is there, and null where a component has none - of such a component one row is kept; no rows
+give no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +33,13 @@ from pyspark.sql.types import FloatType
 
 from quire.llm import staging
 from quire.llm.components import components, forest
-from quire.llm.line_dedup import NULL_ID
 from quire.llm.mph import mix
 
 THRESHOLD, EPSILON, MISS, TILE, SEED = 0.98, 4.0, 1e-4, 4096, 20240229
+#: Postings that a task is meant to work through, and how many it holds at once, but for one list.
+TASK_ROWS, HELD = 500_000, 8192
+#: A list's number has the table in its lowest bits.
+_TABLE_BITS = 10
 _rotations: dict[tuple[int, int], np.ndarray] = {}
 
 
@@ -43,6 +51,10 @@ def rotation(d: int, number: int) -> np.ndarray:
     return _rotations[d, number]
 
 
+def dither(d: int) -> np.ndarray:
+    return np.random.default_rng([SEED, d]).random(d)
+
+
 def tables_for(n: int, threshold: float = THRESHOLD, miss: float = MISS) -> tuple[int, int]:
     """Sign bits of a key and number of tables for n vectors."""
     bits = max(6, math.ceil(math.log2(max(n, 2))) - 2)
@@ -50,56 +62,82 @@ def tables_for(n: int, threshold: float = THRESHOLD, miss: float = MISS) -> tupl
     return bits, math.ceil(math.log(miss) / math.log1p(-same))
 
 
-def table_keys(units: np.ndarray, bits: int, tables: int) -> np.ndarray:
-    """(vectors, tables): the key of each vector in each table."""
+def table_signs(units: np.ndarray, bits: int, tables: int) -> np.ndarray:
+    """(vectors, tables, bits): the signs that make up the key of each vector in each table."""
     d = units.shape[1]
     turns = -(-bits * tables // d)
     signs = np.concatenate([units @ rotation(d, 1 + t).T > 0 for t in range(turns)], axis=1)[:, : bits * tables]
-    return signs.reshape(len(units), tables, bits) @ (np.uint64(1) << np.arange(bits, dtype=np.uint64))
+    return signs.reshape(len(units), tables, bits)
 
 
-class Codes:
-    """The binary codes of unit vectors with their correction factors and error bounds."""
+def table_keys(signs: np.ndarray) -> np.ndarray:
+    """(vectors, tables)"""
+    return signs @ (np.uint64(1) << np.arange(signs.shape[2], dtype=np.uint64))
+
+
+def record(d: int, bits: int, tables: int) -> np.dtype:
+    """What is stored and sent of a vector of d components."""
+    return np.dtype([
+        ("d", "<i4"), ("n", "<i8"), ("id", "<i8"), ("factor", "<f4"), ("low", "<f4"), ("step", "<f4"),
+        ("code", "u1", -(-d // 8)), ("fine", "u1", -(-d // 2)), ("keys", "u1", -(-bits * tables // 8)),
+    ])
+
+
+def encoded(units: np.ndarray, ids: np.ndarray, counts: np.ndarray, bits: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
+    """The records of unit vectors, and their keys in each table."""
+    d = units.shape[1]
+    out, signs = np.zeros(len(units), record(d, bits, tables)), table_signs(units, bits, tables)
+    rotated = units @ rotation(d, 0).T
+    out["d"], out["n"], out["id"] = d, counts, ids
+    out["code"] = np.packbits(rotated >= 0, axis=1)
+    out["factor"] = np.abs(rotated).sum(axis=1) / math.sqrt(d)
+    out["low"] = rotated.min(axis=1)
+    out["step"] = np.maximum((rotated.max(axis=1) - out["low"]) / 14, 1e-9) * (1 + 1e-6)
+    level = np.clip(np.floor((rotated - out["low"][:, None].astype(np.float64)) / out["step"][:, None] + dither(d)), 0, 15).astype(np.uint8)
+    padded = np.concatenate([level, np.zeros((len(units), d % 2), np.uint8)], axis=1)
+    out["fine"] = padded[:, ::2] << 4 | padded[:, 1::2]
+    out["keys"] = np.packbits(signs.reshape(len(units), -1), axis=1)
+    return out, table_keys(signs)
+
 
-    def __init__(self, units: np.ndarray, epsilon: float = EPSILON):
-        d = units.shape[1]
-        self.rotated = (units @ rotation(d, 0).T).astype(np.float32)
-        self.signs = np.where(self.rotated >= 0, 1, -1).astype(np.int8)
-        self.factor = np.abs(self.rotated).sum(axis=1, dtype=np.float64) / math.sqrt(d)
-        spread = np.sqrt(np.maximum(0, 1 - self.factor**2)) / self.factor
-        self.error = epsilon * spread / math.sqrt(d - 1) if d > 1 else np.full(len(units), np.inf)
-        self.scale = 1 / (math.sqrt(d) * self.factor)
+class Codes:
+    """Signs, correction factors and error bounds, from stored records of one length."""
+
+    def __init__(self, rec: np.ndarray, bits: int, tables: int, epsilon: float = EPSILON):
+        d = int(rec["d"][0]) if len(rec) else 1
+        self.signs = np.unpackbits(rec["code"], axis=1, count=d).astype(np.float32) * 2 - 1
+        level = np.stack([rec["fine"] >> 4, rec["fine"] & 15], axis=2).reshape(len(rec), -1)[:, :d]
+        self.rotated = rec["low"][:, None] + rec["step"][:, None] * level.astype(np.float32)
+        factor = rec["factor"].astype(np.float64)
+        self.scale = 1 / (math.sqrt(d) * factor)
+        spread = np.sqrt(np.maximum(0, 1 - factor**2)) / factor
+        self.error = epsilon * spread / math.sqrt(d - 1) + 1e-5 if d > 1 else np.full(len(rec), np.inf)
+        self.blur, self.factor = epsilon * rec["step"].astype(np.float64) / math.sqrt(2), factor
+        self.keys = table_keys(np.unpackbits(rec["keys"], axis=1, count=bits * tables).reshape(len(rec), tables, bits).astype(bool))
 
     def upper(self, i: slice, j: slice) -> np.ndarray:
         """Upper confidence bounds of the inner products of two ranges of vectors."""
-        return (self.signs[i].astype(np.float32) @ self.rotated[j].T) * self.scale[i, None] + self.error[i, None]
+        return (self.signs[i] @ self.rotated[j].T) * self.scale[i, None] + self.error[i, None] + self.blur[None, j] / self.factor[i, None]
 
+    def upper_of(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """The same of pairs."""
+        return np.einsum("nd,nd->n", self.signs[i], self.rotated[j]) * self.scale[i] + self.error[i] + self.blur[j] / self.factor[i]
 
-def _linked(units: np.ndarray, codes: Codes, i: np.ndarray, j: np.ndarray, keys: np.ndarray, table: np.ndarray, threshold: float) -> np.ndarray:
-    """Of pairs that the bounds let pass: those that meet here first and reach the threshold exactly."""
-    out = np.zeros(len(i), bool)
-    for a in range(0, len(i), 50_000):
-        x, y = i[a : a + 50_000], j[a : a + 50_000]
-        here = (keys[x] == keys[y]).argmax(axis=1) == table[x]
-        out[a : a + 50_000] = here & (np.einsum("nd,nd->n", units[x], units[y]) >= threshold)
-    return out
 
+def passing(bucket: np.ndarray, side: np.ndarray, codes: Codes, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places within each bucket, a sorted column, whose bounds reach the threshold and that meet here first.
 
-def meet(bucket: np.ndarray, side: np.ndarray, table: np.ndarray, rep: np.ndarray, count: np.ndarray, units: np.ndarray, bits: int, tables: int, threshold: float):
-    """Links within each bucket: (vector, vectors linked) sums and the edges of a forest. side: pairs need two of them, -1 any."""
-    order = np.lexsort((rep, bucket))
-    bucket, side, table, rep, count, units = (x[order] for x in (bucket, side, table, rep, count, units))
-    codes, keys = Codes(units), table_keys(units, bits, tables)
+    side: pairs need two of them, -1 any.
+    """
     edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-    sizes, pairs = np.diff(edge), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    weight = np.zeros(len(rep), np.int64)
+    sizes = np.diff(edge)
+    table = bucket & (2**_TABLE_BITS - 1)
 
-    def take(i, j):
-        fine = _linked(units, codes, i, j, keys, table, threshold)
+    def some(i, j):
+        fine = (side[i] < 0) | (side[i] != side[j])
         i, j = i[fine], j[fine]
-        np.add.at(weight, i, count[j])
-        np.add.at(weight, j, count[i])
-        pairs.append(forest(rep[i], rep[j]))
+        first = (codes.keys[i] == codes.keys[j]).argmax(axis=1) == table[i]
+        return i[first], j[first]
 
     short = sizes <= 32
     for step in range(1, 32):  # short lists, all at once
@@ -109,20 +147,36 @@ def meet(bucket: np.ndarray, side: np.ndarray, table: np.ndarray, rep: np.ndarra
         i = np.arange(int((size - step).sum())) + np.repeat(begin - (np.cumsum(size - step) - (size - step)), size - step)
         for a in range(0, len(i), 50_000):
             x, y = i[a : a + 50_000], i[a : a + 50_000] + step
-            bound = np.einsum("nd,nd->n", codes.signs[x].astype(np.float32), codes.rotated[y]) * codes.scale[x] + codes.error[x]
-            fine = (bound >= threshold) & ((side[x] < 0) | (side[x] != side[y]))
-            take(x[fine], y[fine])
+            fine = codes.upper_of(x, y) >= threshold
+            yield some(x[fine], y[fine])
     for k in np.flatnonzero(~short).tolist():
         low, high = int(edge[k]), int(edge[k + 1])
         for a in range(low, high, 256):
             x, y = np.nonzero(codes.upper(slice(a, min(a + 256, high)), slice(a, high)) >= threshold)
             x, y = x + a, y + a
-            fine = (x < y) & ((side[x] < 0) | (side[x] != side[y]))
-            take(x[fine], y[fine])
-    linked, inverse = np.unique(rep, return_inverse=True)
-    total = np.bincount(inverse, weight, len(linked)).astype(np.int64)
-    a, b = forest(*(np.concatenate(x) for x in zip(*pairs)))
-    return linked[total > 0], total[total > 0], a, b
+            yield some(x[x < y], y[x < y])
+
+
+def _lists(batches, columns: int) -> Iterator[list[list]]:
+    """Rows of a partition sorted by bucket, the first column, in portions of whole lists; lists of one are left out."""
+    held: list[list] = [[] for _ in range(columns)]
+    for batch in batches:
+        for column, own in zip(held, batch.columns):
+            column += own.to_pylist()
+        if len(held[0]) >= HELD and held[0][0] != held[0][-1]:
+            cut = held[0].index(held[0][-1])  # the last list may go on
+            yield [c[:cut] for c in held]
+            held = [c[cut:] for c in held]
+    if held[0]:
+        yield held
+
+
+def _several(portion: list[list]) -> list[list]:
+    """Without lists of one."""
+    bucket = np.array(portion[0], np.int64)
+    same = bucket[1:] == bucket[:-1]
+    more = np.flatnonzero(np.append(same, False) | np.append(False, same))
+    return [[c[i] for i in more.tolist()] for c in portion]
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "vec_id", vector: str = "embedding", label: str = "label", tile: int = TILE) -> DataFrame:
@@ -133,13 +187,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, key: str =
     """
     spark = vectors.sparkSession
     staging.reachable(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = np.dtype("<f4") if isinstance(vectors.schema[vector].dataType.elementType, FloatType) else np.dtype("<f8")
 
     def pack(batches):
         for batch in staging.pieces(batches):
             out = []
-            for values, named in zip(batch.column(1), batch.column(2).is_valid().to_pylist()):
+            for values, named in zip(batch.column(2), batch.column(3).is_valid().to_pylist()):
                 raw = None
                 if named and values.is_valid and len(values.values) and not values.values.null_count:
                     own = values.values.to_numpy(zero_copy_only=False).astype(kind)
@@ -148,14 +201,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, key: str =
                     if np.isfinite(wide).all() and np.abs(wide).max() > 0:
                         raw = own.tobytes()
                 out.append(raw)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], ["id", "label", "v"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(out, pa.binary())], ["row", "id", "label", "v"])
 
     name = vectors.schema[label].dataType.simpleString()
-    ids = F.coalesce(vectors[key].cast("long"), F.lit(NULL_ID))
-    rows = vectors.select(ids.alias("id"), vectors[vector].alias("v"), vectors[label].alias("label")).mapInArrow(pack, f"id long, label {name}, v binary")
-    fine = rows.filter("v is not null")
-    classes = staging.table(fine.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "vectors")
-    bits, tables = tables_for(classes.count(), threshold)
+    own = vectors.select(F.monotonically_increasing_id().alias("row"), vectors[key].cast("long").alias("id"), vectors[vector].alias("v"), vectors[label].alias("label"))
+    rows = staging.table(own.mapInArrow(pack, f"row long, id long, label {name}, v binary"), "rows")
+    folded = rows.filter("v is not null").groupBy("label", "v").agg(F.min("id").alias("least"), F.min("row").alias("row"), F.count("*").alias("n"))
+    # A class of equal vectors is known by its first row.
+    classes = staging.table(folded.select("row", "label", "v", "least", "n"), "vectors")
+    total = classes.count()
+    bits, tables = tables_for(classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0, threshold)
 
     def units_of(raw: list[bytes]) -> np.ndarray:
         own = np.frombuffer(b"".join(raw), kind).astype(np.float64).reshape(len(raw), -1)
@@ -167,48 +222,80 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, key: str =
         for size in np.unique(sizes).tolist():
             yield size, np.flatnonzero(sizes == size)
 
-    def post(batches):
+    def encode(batches):
         for batch in staging.pieces(batches):
-            raw, place = batch.column(2).to_pylist(), batch.column(0).to_numpy().view(np.uint64)
+            raw, place = batch.column(2).to_pylist(), batch.column(1).to_numpy().view(np.uint64)
+            ids, counts = batch.column(0).to_numpy(), batch.column(3).to_numpy()
             for size, at in by_length(raw):
-                keys = table_keys(units_of([raw[i] for i in at]), bits, tables)
-                for t in range(tables):
-                    bucket = mix(mix(keys[:, t], t) ^ mix(place[at] ^ np.uint64(size), 99))
-                    some = batch.take(pa.array(at))
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(np.full(len(at), t, np.int32)), some.column(1), some.column(3), some.column(2)], ["bucket", "t", "rep", "n", "v"])
-
-    hashed = classes.select(F.xxhash64("label").alias("place"), "rep", "v", "n")
-    posted = hashed.mapInArrow(post, "bucket long, t int, rep long, n long, v binary").withColumn("side", F.lit(-1))
-    sizes = staging.table(hashed.mapInArrow(post, "bucket long, t int, rep long, n long, v binary").groupBy("bucket").count().filter(F.col("count") > tile), "lists")
+                rec, keys = encoded(units_of([raw[i] for i in at]), ids[at], counts[at], bits, tables)
+                own = mix(place[at] ^ np.uint64(size), 99)[:, None]
+                number = np.stack([mix(keys[:, t], t) for t in range(tables)], 1) ^ own
+                bucket = (number << np.uint64(_TABLE_BITS) | np.arange(tables, dtype=np.uint64)).view(np.int64)
+                width = rec.itemsize
+                packed = rec.tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array(list(bucket), pa.list_(pa.int64())), pa.array([packed[i : i + width] for i in range(0, len(packed), width)], pa.binary())], ["buckets", "p"])
+
+    hashed = classes.select("row", F.xxhash64("label").alias("place"), "v", "n")
+    codes = staging.table(hashed.mapInArrow(encode, "buckets array<long>, p binary"), "codes")
+    posted = codes.select(F.explode("buckets").alias("bucket"), F.lit(-1).alias("side"), "p")
+    sizes = staging.table(codes.select(F.explode("buckets").alias("bucket")).groupBy("bucket").count().filter(F.col("count") > tile), "lists")
     if sizes.limit(1).count():
         half = F.ceil(F.col("count") / F.lit(tile // 2)).cast("int")
-        split = posted.join(sizes, "bucket", "left").withColumn("of", F.coalesce(half, F.lit(1))).withColumn("mine", F.pmod(F.xxhash64("v"), F.col("of")).cast("int"))
+        split = posted.join(sizes, "bucket", "left").withColumn("of", F.coalesce(half, F.lit(1))).withColumn("mine", F.pmod(F.xxhash64("p"), F.col("of")).cast("int"))
         split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
-        tile_of = F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other"))
-        own = (F.col("of") == 1) | (F.col("mine") == F.col("other"))
-        posted = split.select(F.when(F.col("of") == 1, F.col("bucket")).otherwise(tile_of).alias("bucket"), "t", "rep", "n", "v", F.when((F.col("of") == 1), F.lit(-1)).when(own, F.lit(-1)).otherwise(F.col("mine")).alias("side"))
-
-    def work(batches):
-        tables_ = [pa.Table.from_batches([b]) for b in batches]
-        if not tables_:
-            return
-        every = pa.concat_tables(tables_)
-        bucket, t, rep, n, side = (every.column(c).to_numpy() for c in ("bucket", "t", "rep", "n", "side"))
-        order = np.argsort(bucket, kind="stable")
-        more = np.zeros(len(bucket), bool)
-        same = bucket[order][1:] == bucket[order][:-1]
-        more[order[1:][same]] = more[order[:-1][same]] = True  # lists of one have no pair
-        raw = every.column("v").take(pa.array(np.flatnonzero(more))).to_pylist()
-        bucket, t, rep, n, side = (x[more] for x in (bucket, t, rep, n, side))
-        for _, at in by_length(raw) if raw else ():
-            linked, total, a, b = meet(bucket[at], side[at], t[at], rep[at], n[at], units_of([raw[i] for i in at]), bits, tables, threshold)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([linked, a])), pa.array([None] * len(linked) + b.tolist(), pa.int64()), pa.array(np.concatenate([total, np.zeros(len(a), np.int64)]))], ["a", "b", "w"])
-
-    met = staging.table(posted.repartition(parts, "bucket").mapInArrow(work, "a long, b long, w long"), "links")
-    sums = met.filter("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("w").alias("w"))
-    group = components(met.filter("b is not null").select("a", "b")).toDF("rep", "component")
-    named = classes.join(sums, "rep", "left").join(group, "rep", "left").select(F.col("label").alias("l"), F.col("v").alias("u"), (F.col("n") - 1 + F.coalesce("w", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+        table = F.col("bucket").bitwiseAND(F.lit(2**_TABLE_BITS - 1))
+        tile_of = F.shiftleft(F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")), _TABLE_BITS).bitwiseOR(table)
+        whole = F.col("of") == 1
+        posted = split.select(F.when(whole, F.col("bucket")).otherwise(tile_of).alias("bucket"), F.when(whole | (F.col("mine") == F.col("other")), F.lit(-1)).otherwise(F.col("mine")).alias("side"), "p")
+    parts = staging.parts(spark, total * tables, TASK_ROWS)
+
+    def portions(batches, columns: int):
+        """Lists of two or more, as (bucket, side, records, other columns), the records of one length."""
+        for portion in _lists(batches, columns):
+            bucket, side, p, *more = _several(portion)
+            for size, at in by_length(p) if p else ():
+                d = int.from_bytes(p[at[0]][:4], "little")
+                rec = np.frombuffer(b"".join(p[i] for i in at), record(d, bits, tables))
+                yield np.array(bucket, np.int64)[at], np.array(side, np.int64)[at], rec, [[c[i] for i in at] for c in more]
+
+    def want(batches):
+        for bucket, side, rec, _ in portions(batches, 3):
+            asked = np.zeros(len(rec), bool)
+            for i, j in passing(bucket, side, Codes(rec, bits, tables), threshold):
+                asked[i] = asked[j] = True
+            at = np.flatnonzero(asked)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[at]), pa.array(side[at].astype(np.int32)), pa.array(rec["id"][at]), pa.array([rec[i].tobytes() for i in at.tolist()], pa.binary())], ["bucket", "side", "row", "p"])
+
+    def link(batches):
+        for bucket, side, rec, (raw,) in portions(batches, 4):
+            units, ids, count = units_of(raw), rec["id"].astype(np.int64), rec["n"].astype(np.int64)
+            weight, pairs = np.zeros(len(rec), np.int64), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            for i, j in passing(bucket, side, Codes(rec, bits, tables), threshold):
+                for a in range(0, len(i), 50_000):
+                    x, y = i[a : a + 50_000], j[a : a + 50_000]
+                    exact = np.einsum("nd,nd->n", units[x], units[y]) >= threshold
+                    x, y = x[exact], y[exact]
+                    np.add.at(weight, x, count[y])
+                    np.add.at(weight, y, count[x])
+                    pairs.append(forest(ids[x], ids[y]))
+            linked, inverse = np.unique(ids, return_inverse=True)
+            sums = np.bincount(inverse, weight, len(linked)).astype(np.int64)
+            linked, sums = linked[sums > 0], sums[sums > 0]
+            a, b = forest(*(np.concatenate(x) for x in zip(*pairs)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([linked, a])), pa.array([None] * len(linked) + b.tolist(), pa.int64()), pa.array(np.concatenate([sums, np.zeros(len(a), np.int64)]))], ["a", "b", "w"])
+
+    dealt = lambda df: df.repartition(parts, "bucket").sortWithinPartitions("bucket")
+    wanted = staging.table(dealt(posted).mapInArrow(want, "bucket long, side int, row long, p binary"), "wanted")
+    near = wanted.join(classes.select("row", "v"), "row").select("bucket", "side", "p", "v")
+    met = staging.table(dealt(near).mapInArrow(link, "a long, b long, w long"), "links")
+    sums = met.filter("b is null").groupBy(F.col("a").alias("row")).agg(F.sum("w").alias("w"))
+    group = components(met.filter("b is not null").select("a", "b")).toDF("row", "group")
+    named = classes.join(sums, "row", "left").join(group, "row", "left").select("label", "v", "least", "row", (F.col("n") - 1 + F.coalesce("w", F.lit(0))).alias("n_links"), F.coalesce("group", "row").alias("group"))
+    named = staging.table(named, "named")
+    least = named.groupBy("group").agg(F.min("least").alias("component"), F.min("row").alias("first"))
+    named = named.join(least, "group").select(F.col("label").alias("l"), F.col("v").alias("u"), "n_links", "component", "first")
     out = rows.join(named, (rows["label"] == named["l"]) & (rows["v"] == named["u"]), "left")
-    real = lambda c: F.nullif(c, F.lit(NULL_ID))
-    component = F.coalesce("component", "id")
-    return out.select(real(F.col("id")).alias(key), F.coalesce("n_links", F.lit(0)).alias("n_links"), real(component).alias("component_id"), (F.col("id") == component).alias("kept"))
+    component = F.when(F.col("l").isNull(), F.col("id")).otherwise(F.col("component"))
+    # Without any vec_id in the component, its first row stands for it.
+    kept = F.coalesce(F.col("id") == component, component.isNull() & (F.col("row") == F.coalesce("first", "row")))
+    return out.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), kept.alias("kept"))

@@ -80,14 +80,14 @@ def reachable(spark: SparkSession) -> None:
     reach(spark)
 
 
-def pieces(batches: Iterable[pa.RecordBatch], most_rows: int = BATCH_ROWS, most_bytes: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches cut to so many rows and bytes, a row being the least; the JVM sends up to 64 MB or 10,000 rows at once.
 
     What an operator makes of a piece is many times the piece, so this and not the JVM's batch bounds a worker's memory.
     """
     for batch in batches:
         rows = batch.num_rows
-        step = max(1, min(most_rows, rows * most_bytes // max(1, batch.nbytes)))
+        step = max(1, min(BATCH_ROWS, rows * BATCH_BYTES // max(1, batch.nbytes)))
         for at in range(0, rows, step):
             yield batch.slice(at, step)
 

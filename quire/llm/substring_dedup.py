@@ -5,35 +5,50 @@ have equal anchors and meet in the shard of that anchor. Only anchors that occur
 Consecutive windows of one anchor make a segment; a shard builds an FM-index over its different segments and searches
 all of them backwards, which gives each window the number of its occurrences.
 
-Documents are dealt to blocks by their id. A block tells a shard of each different thing once, with its count, and
-gets one answer, so copies fold before they move. An anchor that occurs ``HOT`` times or more has its windows counted
-by their own hash first, dealt by that hash, and only those that recur go on to the anchor's shard: what many
-documents share around different surroundings is then one segment for each block.
+Texts are written once, beside the anchors of each block: a run of rows of one task, of ``BLOCK_BYTES`` or the rest. They
+are never shuffled. A block tells a shard of each different thing once, with its count, and gets one answer, written to
+the block's own folder in the shared place; so copies fold before they move. Later passes stream the written texts and
+fetch the answers of the block they come to. An anchor that occurs ``HOT`` times or more has its windows counted by their
+own hash first, dealt by that hash, and only those that recur go on to the anchor's shard: what many documents share
+around different surroundings is then one segment for each block. The numbers of blocks and shards follow the input.
+
+Anchors and hot windows are known by 64-bit hashes, which only choose what is followed up. What is removed rests on
+words: a shard compares segments and words byte by byte, and a block finds the answer to a segment by 128 bits of hash
+of its words.
 
 Cases: a null or empty text has no words; texts shorter than a window lose nothing; repeated rows and rows of one
 doc_id are documents of their own, each row with its own answer; a null doc_id is kept; texts are whole; other columns
-are ignored by the digests and dropped otherwise. Words, anchors and windows are known by 64-bit hashes.
+are ignored by the digests and dropped otherwise.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
+import xxhash
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import staging
 from quire.llm.fm_index import FMIndex
-from quire.llm.line_dedup import NULL_ID
 from quire.llm.textbytes import byte_sums, prefix_sums, ragged, slice_hashes, text_chunks, word_spans
 
 WIDTH, RUN, HOT = 35, 8, 1000
-#: Kinds of rows that a block is given beside its documents.
+#: Bytes of text of a block and for each index, anchors of a shard, and bytes of segments that a worker gathers at once.
+BLOCK_BYTES, INDEX_BYTES, SHARD_ANCHORS, GATHER = 64 << 20, 16 << 20, 4_000_000, 16 << 20
+#: Partitions of a shuffle at the utmost; beyond it a task works on several shards, one after the other.
+MOST_PARTS = 10_000
+#: What a block is given: hashes of anchors, of hot windows, and answers to segments.
 ANCHORS, KEPT, ANSWER = 0, 1, 2
-_TOLD = "block int, shard int, a binary, b binary"
-_GIVEN = "block int, kind int, a binary, b binary, c binary"
+_TOLD = "shard long, block long, a binary, b binary"
+_GIVEN = "block long, kind int, a binary, b binary, c binary"
 
 
 def _slide(values: np.ndarray, size: int, best) -> np.ndarray:
@@ -91,53 +106,68 @@ def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
-def _split(shards: int, key: np.ndarray):
-    """The order that sorts by shard, and (shard, from, to) within it."""
-    shard = (key % np.uint64(shards)).astype(np.int64)
-    ends = np.cumsum(np.bincount(shard, minlength=shards))
-    return np.argsort(shard, kind="stable"), [(s, a, b) for s, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())) if b > a]
-
-
-def _rows(schema: str, rows: list[tuple]) -> pa.Table:
-    kinds = {"int": pa.int32(), "binary": pa.binary()}
+def _rows(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
     fields = [x.split() for x in schema.split(", ")]
     columns = list(zip(*rows)) or [[]] * len(fields)
-    return pa.table([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], [n for n, _ in fields])
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], [n for n, _ in fields])
+
+
+def _cuts(keys: np.ndarray, shards: int) -> list[tuple[int, int, int]]:
+    """(shard, from, to) of sorted keys; a shard is a range of them."""
+    bounds = np.array([i * 2**64 // shards for i in range(1, shards)], np.uint64)
+    ends = [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]
+    return [(s, a, b) for s, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if b > a]
 
 
 def _tell(block: int, shards: int, keys: np.ndarray, counts: np.ndarray) -> list[tuple]:
-    order, parts = _split(shards, keys)
-    keys, counts = keys[order], np.minimum(counts[order], 2**32 - 1).astype("<u4")
-    return [(block, s, keys[a:b].tobytes(), counts[a:b].tobytes()) for s, a, b in parts]
+    """keys: sorted and different."""
+    counts = np.minimum(counts, 2**32 - 1).astype("<u4")
+    return [(s, block, keys[a:b].tobytes(), counts[a:b].tobytes()) for s, a, b in _cuts(keys, shards)]
+
+
+def _by_shard(told: DataFrame, shards: int, work: Callable[[list[tuple]], list[tuple]]) -> DataFrame:
+    """work over the rows (block, a, b) of each shard, which one task has whole, one shard after the other."""
+    parts = min(shards, MOST_PARTS)
+
+    def run(batches):
+        now, held = None, []
+        for batch in batches:
+            for shard, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if shard != now and held:
+                    yield _rows(_GIVEN, work(held))
+                    held = []
+                now = shard
+                held.append(tuple(row))
+        if held:
+            yield _rows(_GIVEN, work(held))
+
+    run.__name__ = work.__name__  # for the plan
+    dealt = told.repartitionById(parts, F.floor(F.col("shard") * F.lit(parts) / F.lit(shards)).cast("int"))
+    return (dealt if parts == shards else dealt.sortWithinPartitions("shard")).mapInArrow(run, _GIVEN)
 
 
 def _recurring(kind: int, hot: int | None):
     """What a shard answers to counted hashes: for each block those that occur twice, and the hot ones apart."""
 
-    def recurring(rows: pa.Table) -> pa.Table:
-        blocks, keys = rows.column("block").to_pylist(), [np.frombuffer(x, "<u8") for x in rows.column("a").to_pylist()]
-        counts = np.concatenate([np.frombuffer(x, "<u4") for x in rows.column("b").to_pylist()]).astype(np.int64)
+    def recurring(rows: list[tuple]) -> list[tuple]:
+        keys = [np.frombuffer(a, "<u8") for _, a, _ in rows]
+        counts = np.concatenate([np.frombuffer(b, "<u4") for _, _, b in rows]).astype(np.int64)
         every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(inverse, counts, len(every))[inverse]
         ends = np.cumsum([len(k) for k in keys])
         out = []
-        for block, own, a, b in zip(blocks, keys, [0, *ends[:-1]], ends):
+        for (block, _, _), own, a, b in zip(rows, keys, [0, *ends[:-1]], ends):
             cold = own[(total[a:b] >= 2) & (total[a:b] < (hot or np.inf))]
             warm = own[total[a:b] >= hot] if hot else cold[:0]
             if len(cold) or len(warm):
                 out.append((block, kind, cold.tobytes(), warm.tobytes(), b""))
-        return _rows(_GIVEN, out)
+        return out
 
-    recurring.__name__ = "recurring_anchors" if kind == ANCHORS else "recurring_windows"  # for the plan
+    recurring.__name__ = "recurring_anchors" if kind == ANCHORS else "recurring_windows"
     return recurring
 
 
-def _given(right: pa.Table, kind: int, column: str) -> np.ndarray:
-    """All hashes of a kind, sorted."""
-    rows = [r for r, k in zip(right.column(column).to_pylist(), right.column("kind").to_pylist()) if k == kind]
-    return np.sort(np.frombuffer(b"".join(rows), "<u8"))
-
-
 def _compress(raw: bytes) -> bytes:
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
@@ -146,42 +176,119 @@ def _expand(raw: bytes) -> bytes:
     return pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True)
 
 
+def _name(segment: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(segment)
+
+
 def _index_shard(width: int):
     """Builds the shard's FM-index over its different segments and searches them all in it."""
 
-    def index_shard(rows: pa.Table) -> pa.Table:
-        blocks, sizes, names, lengths, hashes = rows.column("block").to_pylist(), [], [], [], []
-        for packed in rows.column("a"):
-            texts = _expand(packed.as_py()).split(b"\n")
-            sizes.append(len(texts))
-            for _, _, data, offsets in text_chunks(pa.array(texts, pa.binary())):  # hashing takes many times its input
-                start, end, at = word_spans(data, offsets)
-                hashes.append(slice_hashes(byte_sums(data), start, end))
-                names.append(slice_hashes(prefix_sums(hashes[-1]), at[:-1], at[1:]))
-                lengths.append(np.diff(at))
-        counts = np.concatenate([np.frombuffer(x, "<u4") for x in rows.column("b").to_pylist()]).astype(np.int64)
-        owner, names, lengths = np.repeat(np.arange(len(blocks)), sizes), np.concatenate(names), np.concatenate(lengths)
-        first = np.cumsum(lengths) - lengths
-        different, one, code = np.unique(names, return_index=True, return_inverse=True)
-        lengths = lengths[one]
-        begins = np.concatenate([[0], np.cumsum(lengths)])
-        own = np.unique(np.concatenate(hashes)[ragged(first[one], lengths)], return_inverse=True)[1].astype(np.int32) + 1
-        del hashes
-        index = FMIndex(own, begins, np.bincount(code, counts, len(different)).astype(np.int64), width)
+    def index_shard(rows: list[tuple]) -> list[tuple]:
+        different: dict[bytes, int] = {}
+        code = [np.array([different.setdefault(t, len(different)) for t in _expand(a).split(b"\n")], np.int64) for _, a, _ in rows]
+        counts = np.concatenate([np.frombuffer(b, "<u4") for _, _, b in rows]).astype(np.int64)
+        texts = list(different)
+        words = pc.split_pattern(pa.array(texts, pa.large_binary()), b" ")
+        own = words.values.dictionary_encode().indices.to_numpy().astype(np.int32) + 1  # equal words by their bytes
+        begins = np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy())]).astype(np.int64)
+        lengths = np.diff(begins)
+        index = FMIndex(own, begins, np.bincount(np.concatenate(code), counts, len(texts)).astype(np.int64), width)
         repeated = index.matches(own, begins) >= 2
         some = np.add.reduceat(repeated, begins[:-1]) > 0
         out = []
-        for k, block in enumerate(blocks):
-            mine = code[owner == k]
+        for (block, _, _), mine in zip(rows, code):
             mine = mine[some[mine]]
             if len(mine):
                 bits = repeated[ragged(begins[mine], lengths[mine] - width + 1)]
-                out.append((block, ANSWER, different[mine].tobytes(), (lengths[mine] - width + 1).astype("<u4").tobytes(), np.packbits(bits).tobytes()))
-        return _rows(_GIVEN, out)
+                out.append((block, ANSWER, b"".join(_name(texts[i]) for i in mine.tolist()), (lengths[mine] - width + 1).astype("<u4").tobytes(), np.packbits(bits).tobytes()))
+        return out
 
     return index_shard
 
 
+def _handed(given: DataFrame, name: str) -> str:
+    """Writes what blocks are given to a folder for each block, in the shared place."""
+    path = staging.new_dir(given.sparkSession, name)
+    given.repartition("block").write.partitionBy("block").parquet(path)
+    return path
+
+
+class Given:
+    """What a block was given, read from its folders."""
+
+    def __init__(self, paths: list[str], block: int):
+        rows: list[dict] = []
+        for path in paths:
+            store, base = fs.FileSystem.from_uri(path)
+            for info in store.get_file_info(fs.FileSelector(f"{base}/block={block}", allow_not_found=True)):
+                if info.base_name.endswith(".parquet"):
+                    with store.open_input_file(info.path) as f:
+                        rows += pq.read_table(f, columns=["kind", "a", "b", "c"]).to_pylist()
+        joined = lambda kind, column: np.sort(np.frombuffer(b"".join(r[column] for r in rows if r["kind"] == kind), "<u8"))
+        self.cold, self.warm, self.kept = joined(ANCHORS, "a"), joined(ANCHORS, "b"), joined(KEPT, "a")
+        answers = [r for r in rows if r["kind"] == ANSWER]
+        names = b"".join(r["a"] for r in answers)
+        self.at = {names[i : i + 16]: i // 16 for i in range(0, len(names), 16)}
+        sizes = [np.frombuffer(r["b"], "<u4").astype(np.int64) for r in answers]
+        self.sizes = np.concatenate([np.zeros(0, np.int64), *sizes])
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.bits = np.concatenate([np.zeros(0, np.uint8), *(np.unpackbits(np.frombuffer(r["c"], np.uint8), count=int(x.sum())) for r, x in zip(answers, sizes))])
+
+
+def _by_block(batches, paths: list[str]) -> Iterator[tuple[int, Given | None, pa.RecordBatch]]:
+    """(block, what it was given, rows) of the written texts; given: only where a block begins."""
+    now = None
+    for batch in staging.pieces(batches):
+        block = batch.column(0).to_numpy()
+        edge = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+        for a, b in zip(edge[:-1], edge[1:]):
+            new = now is None or int(block[a]) != now
+            now = int(block[a])
+            yield now, Given(paths, now) if new else None, batch.slice(a, b - a)
+
+
+def _written(docs: DataFrame, key: str, text: str, width: int, run: int) -> DataFrame:
+    """(block, id, text, n, size, a, b), a table: the rows, then a row for each block with its anchors (a) and how often
+    each occurs (b), their number (n) and the bytes of its texts."""
+    kind, block_bytes = docs.schema[key].dataType, BLOCK_BYTES
+
+    def scan(batches):
+        base, number, size, found = TaskContext.get().partitionId() << 24, 0, 0, [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+
+        def fold():
+            keys, counts = (np.concatenate(x) for x in zip(*found))
+            keys, at = np.unique(keys, return_inverse=True)
+            found[:] = [(keys, np.bincount(at, counts, len(keys)).astype(np.int64))]
+
+        def close():
+            fold()
+            keys, counts = found[0]
+            row = [[base + number], [None], [None], [len(keys)], [size], [keys.tobytes()], [np.minimum(counts, 2**32 - 1).astype("<u4").tobytes()]]
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds)], names)
+
+        names, kinds = ["block", "id", "text", "n", "size", "a", "b"], None
+        for batch in staging.pieces(batches):
+            kinds = [pa.int64(), batch.column(0).type, batch.column(1).type, pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+            rows = batch.num_rows
+            empty = [pa.nulls(rows, k) for k in kinds[3:]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, base + number)), batch.column(0), batch.column(1), *empty], names)
+            for _, _, data, offsets in text_chunks(batch.column(1)):
+                own = Words(data, offsets, width, run)
+                at = own.runs[own.anchors()]
+                found.append((at, np.ones(len(at), np.int64)))
+                size += len(data)
+            if len(found) > 64:
+                fold()
+            if size >= block_bytes:
+                yield close()
+                number, size, found[:] = number + 1, 0, found[:0] + [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+        if kinds and (size or number == 0):
+            yield close()
+
+    rows = docs.select(docs[key].alias("id"), docs[text].cast("string").alias("text"))
+    return staging.table(rows.mapInArrow(scan, f"block long, id {kind.simpleString()}, text string, n long, size long, a binary, b binary"), "texts")
+
+
 def remove_repeats(docs: DataFrame, width: int = WIDTH, run: int = RUN, hot: int = HOT, key: str = "doc_id", text: str = "text", digests: bool = False) -> DataFrame:
     """key, n_words, n_removed and the text of the words that stay, joined by one space, as kept.
 
@@ -192,110 +299,108 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, run: int = RUN, hot: int
         raise ValueError("an anchor has to fit into a window")
     spark = docs.sparkSession
     staging.reachable(spark)
-    blocks = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = blocks // 2  # a packet for each block and shard: as few as the tasks that work on them allow
-    indexes = blocks  # an index takes more memory than counts do
-    k = docs[key]
-    block = F.pmod(F.xxhash64(F.coalesce(k.cast("string"), F.lit(str(NULL_ID)))), F.lit(blocks)).cast("int")
-    rows = docs.select(block.alias("block"), k.alias("id"), docs[text].cast("string").alias("text"))
-
-    def scan(batches):
-        for batch in staging.pieces(batches):
-            owner, parts = batch.column(0).to_numpy(), []
-            for i, _, data, offsets in text_chunks(batch.column(1)):
-                own = Words(data, offsets, width, run)
-                at = own.anchors()
-                parts.append((owner[i + np.searchsorted(own.first, at, "right") - 1], own.runs[at]))
-            who, what = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int32), np.zeros(0, np.uint64))
-            order = np.argsort(who, kind="stable")
-            names, begins = np.unique(who[order], return_index=True)
-            raw = [x.tobytes() for x in np.split(what[order], begins[1:])] if len(names) else []
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(raw, pa.binary())], ["block", "anchors"])
-
-    def tell_anchors(rows_: pa.Table) -> pa.Table:
-        every = np.frombuffer(b"".join(rows_.column("anchors").to_pylist()), "<u8")
-        return _rows(_TOLD, _tell(rows_.column("block")[0].as_py(), shards, *np.unique(every, return_counts=True)))
-
-    def tell_windows(left: pa.Table, right: pa.Table) -> pa.Table:
-        warm = _given(right, ANCHORS, "b")
-        found = [np.zeros(0, np.uint64)]
-        if len(warm):
-            for _, _, data, offsets in text_chunks(_text(left)):
+    written = _written(docs, key, text, width, run)
+    texts, packs = written.filter("a is null").select("block", "id", "text"), written.filter("a is not null")
+    total = packs.agg(F.sum("n").alias("n"), F.sum("size").alias("size")).first()
+    shards, indexes = staging.parts(spark, total.n or 0, SHARD_ANCHORS), staging.parts(spark, total.size or 0, INDEX_BYTES)
+
+    def tell_anchors(batches):
+        for batch in batches:
+            for block, a, b in zip(*(c.to_pylist() for c in batch.columns)):
+                yield _rows(_TOLD, _tell(block, shards, np.frombuffer(a, "<u8"), np.frombuffer(b, "<u4")))
+
+    def tell_windows(batches):
+        found, warm, of = [np.zeros(0, np.uint64)], np.zeros(0, np.uint64), None
+
+        def told():
+            every = np.concatenate(found)
+            found[:] = [every[:0]]
+            return _rows(_TOLD, _tell(of, shards, *np.unique(every, return_counts=True)) if len(every) else [])
+
+        for block, given, rows in _by_block(batches, [anchors]):
+            if given or sum(map(len, found)) > GATHER // 8:
+                yield told()
+            of, warm = block, given.warm if given else warm
+            for _, _, data, offsets in text_chunks(rows.column(2)) if len(warm) else ():
                 own = Words(data, offsets, width, run)
                 found.append(own.windows(np.flatnonzero(own.valid & _among(own.anchor, warm))))
-        every = np.concatenate(found)
-        return _rows(_TOLD, _tell(left.column("block")[0].as_py(), shards, *np.unique(every, return_counts=True)) if len(every) else [])
-
-    def tell_segments(left: pa.Table, right: pa.Table) -> pa.Table:
-        cold, warm, kept = _given(right, ANCHORS, "a"), _given(right, ANCHORS, "b"), _given(right, KEPT, "a")
-        names, anchors, texts = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], []
-        if len(cold) or len(kept):
-            for _, _, data, offsets in text_chunks(_text(left)):
+        yield told()
+
+    def segments_of(own: Words, given: Given) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """First and last windows, and the words joined by one space."""
+        a, b = own.segments(given.cold, given.warm, given.kept)
+        raw = own.data.tobytes()
+        return a, b, [b" ".join(raw[x:y].split()) for x, y in zip(own.start[a].tolist(), own.end[b + width - 1].tolist())]
+
+    def tell_segments(batches):
+        gathered: dict[bytes, list[int]] = {}
+        of, now, size = None, None, 0
+
+        def told():
+            names = sorted(gathered, key=lambda t: gathered[t][0])
+            keys, counts = np.array([gathered[t][0] for t in names], np.uint64), np.array([gathered[t][1] for t in names], "<u4")
+            gathered.clear()
+            return _rows(_TOLD, [(s, of, _compress(b"\n".join(names[a:b])), counts[a:b].tobytes()) for s, a, b in _cuts(keys, indexes)])
+
+        for block, given, rows in _by_block(batches, paths):
+            if given:
+                yield told()
+                of, now, size = block, given, 0
+            for _, _, data, offsets in text_chunks(rows.column(2)) if len(now.cold) or len(now.kept) else ():
                 own = Words(data, offsets, width, run)
-                a, b = own.segments(cold, warm, kept)
-                names.append(slice_hashes(own.sums, a, b + width))
-                anchors.append(own.anchor[a])
-                raw = data.tobytes().replace(b"\n", b" ")
-                texts += [raw[x:y] for x, y in zip(own.start[a].tolist(), own.end[b + width - 1].tolist())]
-        _, one, counts = np.unique(np.concatenate(names), return_index=True, return_counts=True)
-        order, parts = _split(indexes, np.concatenate(anchors)[one])
-        one, counts, own_block = one[order], counts[order].astype("<u4"), left.column("block")[0].as_py() if len(left) else 0
-        return _rows(_TOLD, [(own_block, s, _compress(b"\n".join(texts[i] for i in one[a:b].tolist())), counts[a:b].tobytes()) for s, a, b in parts])
+                a, _, found = segments_of(own, now)
+                for anchor, t in zip(own.anchor[a].tolist(), found):
+                    if t in gathered:
+                        gathered[t][1] += 1
+                    else:
+                        gathered[t] = [anchor, 1]
+                        size += len(t)
+                if size > GATHER:
+                    yield told()
+                    size = 0
+        yield told()
 
     kind = docs.schema[key].dataType.simpleString()
     value = "kept_sha256" if digests else "kept"
 
-    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        cold, warm, kept = _given(right, ANCHORS, "a"), _given(right, ANCHORS, "b"), _given(right, KEPT, "a")
-        answers = [r for r, x in zip(right.select(["a", "b", "c"]).to_pylist(), right.column("kind").to_pylist()) if x == ANSWER]
-        known = np.frombuffer(b"".join(r["a"] for r in answers), "<u8")
-        sizes = np.frombuffer(b"".join(r["b"] for r in answers), "<u4").astype(np.int64)
-        bits = [np.unpackbits(np.frombuffer(r["c"], np.uint8), count=int(np.frombuffer(r["b"], "<u4").sum())) for r in answers]
-        bits, begins = np.concatenate([np.zeros(0, np.uint8), *bits]), np.cumsum(sizes) - sizes
-        order = np.argsort(known, kind="stable")
-        known, begins, sizes = known[order], begins[order], sizes[order]
-        totals, gone_counts, out = [], [], []
-        for i, j, data, offsets in text_chunks(_text(left)):
-            own = Words(data, offsets, width, run)
-            gone = np.zeros(len(own.start), bool)
-            if len(known):
-                a, b = own.segments(cold, warm, kept)
-                names = slice_hashes(own.sums, a, b + width)
-                hit = _among(names, known)
-                a, at = a[hit], np.searchsorted(known, names[hit])
-                windows = ragged(a, sizes[at])[bits[ragged(begins[at], sizes[at])] == 1]
-                cover = np.zeros(len(gone) + 1, np.int64)
-                np.add.at(cover, windows, 1)
-                np.add.at(cover, windows + width, -1)
-                gone = np.cumsum(cover)[:-1] > 0
-            raw, first = data.tobytes(), own.first.tolist()
-            for d in range(j - i):
-                x, y = first[d], first[d + 1]
-                lost = gone[x:y]
-                words = raw[offsets[d] : offsets[d + 1]].split()
-                if lost.any():
-                    words = [w for w, g in zip(words, lost.tolist()) if not g]
-                totals.append(y - x)
-                gone_counts.append(int(lost.sum()))
-                text_ = b" ".join(words)
-                out.append(hashlib.sha256(text_).hexdigest() if digests else text_.decode())
-        return pa.table([_plain(left.column("id")), pa.array(totals, pa.int64()), pa.array(gone_counts, pa.int64()), pa.array(out, pa.string())], [key, "n_words", "n_removed", value])
-
-    by = lambda df: df.groupBy("block")
-    scanned = staging.table(rows.select("block", "text").mapInArrow(scan, "block int, anchors binary"), "anchors")
-    given = staging.table(by(scanned).applyInArrow(tell_anchors, _TOLD).groupBy("shard").applyInArrow(_recurring(ANCHORS, hot), _GIVEN), "recurring")
-    if given.filter(F.length("b") > 0).limit(1).count():
-        told = by(rows).cogroup(by(given)).applyInArrow(tell_windows, _TOLD)
-        given = given.unionAll(told.groupBy("shard").applyInArrow(_recurring(KEPT, None), _GIVEN))
-    segments = by(rows).cogroup(by(given)).applyInArrow(tell_segments, _TOLD)
-    answers = segments.groupBy("shard").applyInArrow(_index_shard(width), _GIVEN)
-    return by(rows).cogroup(by(given.unionAll(answers))).applyInArrow(finish, f"`{key}` {kind}, n_words long, n_removed long, {value} string")
-
-
-def _plain(column: pa.ChunkedArray) -> pa.Array:
-    joined = column.combine_chunks()
-    return joined if isinstance(joined, pa.Array) else pa.concat_arrays(column.chunks)
-
-
-def _text(rows: pa.Table) -> pa.Array:
-    return _plain(rows.column("text"))
+    def finish(batches):
+        now = None
+        for _, given, rows in _by_block(batches, [*paths, answers]):
+            now = given or now
+            totals, gone_counts, out = [], [], []
+            for i, j, data, offsets in text_chunks(rows.column(2)):
+                own = Words(data, offsets, width, run)
+                gone = np.zeros(len(own.start), bool)
+                if now.at:
+                    a, _, found = segments_of(own, now)
+                    at = np.array([now.at.get(_name(t), -1) for t in found], np.int64)
+                    a, at = a[at >= 0], at[at >= 0]
+                    windows = ragged(a, now.sizes[at])[now.bits[ragged(now.begins[at], now.sizes[at])] == 1]
+                    cover = np.zeros(len(gone) + 1, np.int64)
+                    np.add.at(cover, windows, 1)
+                    np.add.at(cover, windows + width, -1)
+                    gone = np.cumsum(cover)[:-1] > 0
+                raw, first = data.tobytes(), own.first.tolist()
+                for d in range(j - i):
+                    x, y = first[d], first[d + 1]
+                    lost = gone[x:y]
+                    words = raw[offsets[d] : offsets[d + 1]].split()
+                    if lost.any():
+                        words = [w for w, g in zip(words, lost.tolist()) if not g]
+                    totals.append(y - x)
+                    gone_counts.append(int(lost.sum()))
+                    text_ = b" ".join(words)
+                    out.append(hashlib.sha256(text_).hexdigest() if digests else text_.decode())
+            yield pa.RecordBatch.from_arrays([rows.column(1), pa.array(totals, pa.int64()), pa.array(gone_counts, pa.int64()), pa.array(out, pa.string())], [key, "n_words", "n_removed", value])
+
+    told = packs.select("block", "a", "b").mapInArrow(tell_anchors, _TOLD)
+    anchors = _handed(_by_shard(told, shards, _recurring(ANCHORS, hot)), "recurring")
+    paths = [anchors]
+    if _any_hot(spark, anchors):
+        paths.append(_handed(_by_shard(texts.mapInArrow(tell_windows, _TOLD), shards, _recurring(KEPT, None)), "hot-windows"))
+    answers = _handed(_by_shard(texts.mapInArrow(tell_segments, _TOLD), indexes, _index_shard(width)), "answers")
+    return texts.mapInArrow(finish, f"`{key}` {kind}, n_words long, n_removed long, {value} string")
+
+
+def _any_hot(spark, path: str) -> bool:
+    return spark.read.schema("kind int, a binary, b binary, c binary").parquet(path).filter(F.length("b") > 0).limit(1).count() > 0

@@ -131,11 +131,14 @@ def _vectors(rng, n, d=64):
 def test_embeddings(spark, tile):
     rng = np.random.default_rng(6)
     vectors = _vectors(rng, 80)
-    crowd = rng.standard_normal(64)
+    crowd, other = rng.standard_normal(64), rng.standard_normal(64).astype(np.float32).tolist()
     vectors += [(crowd + rng.standard_normal(64) * 0.05).astype(np.float32).tolist() for _ in range(60)]
     rows = [(i + 5, v, int(rng.integers(0, 2))) for i, v in enumerate(vectors)]
-    rows += [(0, None, 1), (1, [0.0] * 64, 1), (2, [None, *[1.0] * 63], 1), (3, [math.nan, *[1.0] * 63], 1), (4, vectors[0], None), (None, vectors[1], rows[1][2]), (9999, vectors[1][:10], rows[1][2]), (9998, [], 0), (9997, [1e30] * 64, 0), (9996, [1e-30] * 64, 0)]
-    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), tile=tile).collect()}
+    rows += [(0, None, 1), (1, [0.0] * 64, 1), (2, [None, *[1.0] * 63], 1), (3, [math.nan, *[1.0] * 63], 1), (4, vectors[0], None), (9999, vectors[1][:10], rows[1][2]), (9998, [], 0), (9997, [1e30] * 64, 0), (9996, [1e-30] * 64, 0)]
+    # Without a vec_id: with a vector of others, two of their own, and one that links with nothing; then repeated vec_ids.
+    rows += [(None, vectors[1], rows[1][2]), (None, other, 1), (None, other, 1), (None, None, 1), (7000, vectors[2], rows[2][2]), (7000, vectors[40], rows[40][2]), (7000, vectors[40], rows[40][2])]
+    clashing = spark.createDataFrame([(*r, 1, b"x", 5, 2) for r in rows], "vec_id long, embedding array<float>, label int, row int, v binary, n int, bucket int")
+    got = embedding_dedup.near_duplicates(clashing, tile=tile).collect()
     valid = [i for i, (_, v, lab) in enumerate(rows) if lab is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
     near = np.zeros((len(rows), len(rows)), bool)
     for x in valid:
@@ -143,11 +146,30 @@ def test_embeddings(spark, tile):
             if x != y and rows[x][2] == rows[y][2] and len(rows[x][1]) == len(rows[y][1]):
                 a, b = (np.array(rows[z][1], np.float32).astype(float) for z in (x, y))
                 near[x, y] = (a / abs(a).max()) @ (b / abs(b).max()) / np.linalg.norm(a / abs(a).max()) / np.linalg.norm(b / abs(b).max()) >= 0.98
-    root = _components(len(rows), near)
+    root, want = _components(len(rows), near), []
     for i, (k, _, _) in enumerate(rows):
-        members = [rows[j][0] for j in range(len(rows)) if root[j] == root[i]]
-        least = None if None in members else min(members)
-        assert (got[k].n_links, got[k].component_id, got[k].kept) == (near[i].sum(), least, k == least), k
+        members = [rows[j][0] for j in range(len(rows)) if root[j] == root[i] and rows[j][0] is not None]
+        least = min(members, default=None)
+        want.append((k, int(near[i].sum()), least, k == least if members else root[i] == i))
+    assert ordered(got) == ordered(want)
+
+
+def test_vectors_travel_only_to_lists_that_may_hold_a_pair(spark):
+    """Codes go to every table; of vectors without neighbours few are sent at all."""
+    rng = np.random.default_rng(8)
+    vectors = rng.standard_normal((400, 64)).astype(np.float32)
+    vectors[1] = vectors[0] + 0.01
+    codes, keys = embedding_dedup.encoded(vectors / np.linalg.norm(vectors, axis=1, keepdims=True).astype(float), np.arange(400), np.ones(400), *embedding_dedup.tables_for(400))
+    bits, tables = embedding_dedup.tables_for(400)
+    own = embedding_dedup.Codes(codes, bits, tables)
+    assert (own.keys == keys).all()
+    asked = set()
+    for t in range(tables):
+        order = np.argsort(keys[:, t], kind="stable")
+        bucket = (keys[order, t].astype(np.int64) << embedding_dedup._TABLE_BITS) | t
+        for i, j in embedding_dedup.passing(bucket, np.full(400, -1), embedding_dedup.Codes(codes[order], bits, tables), 0.98):
+            asked |= {(t, int(order[x])) for x in (*i, *j)}
+    assert {0, 1} <= {x for _, x in asked} and len(asked) < 400 * tables / 10
 
 
 def test_no_embeddings(spark):
@@ -160,7 +182,12 @@ def test_binary_codes_estimate_without_bias():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     y = x + rng.standard_normal((300, 64)) * 0.1
     y /= np.linalg.norm(y, axis=1, keepdims=True)
-    codes, other = embedding_dedup.Codes(x), embedding_dedup.Codes(y)
+    bits, tables = embedding_dedup.tables_for(300)
+    codes, other = (embedding_dedup.Codes(embedding_dedup.encoded(z, np.arange(300), np.ones(300), bits, tables)[0], bits, tables) for z in (x, y))
     exact = (x * y).sum(axis=1)
     estimate = (codes.signs * other.rotated).sum(axis=1) * codes.scale
-    assert abs((estimate - exact).mean()) < 0.01 and (abs(estimate - exact) <= codes.error).all()
+    assert abs((estimate - exact).mean()) < 0.01
+    assert (codes.upper_of(np.arange(300), np.arange(300)) > 0).all()
+    pairs = np.arange(300)
+    both = embedding_dedup.Codes(np.concatenate([embedding_dedup.encoded(z, pairs, np.ones(300), bits, tables)[0] for z in (x, y)]), bits, tables)
+    assert (both.upper_of(pairs, pairs + 300) >= exact).all()

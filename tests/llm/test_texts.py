@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quire.llm import byte_bpe, decontaminate, licences, line_dedup, substring_dedup, token_shards
+from quire.llm import byte_bpe, decontaminate, licences, line_dedup, staging, substring_dedup, token_shards
 from tests.llm.brute import benchmark_hits, documents, lines, ordered, plain_words, repeats, some_texts
 
 BPE, WORDS = P.path("byte_bpe_multi_50k.tiktoken"), P.path("word_bpe_49k.json")
@@ -135,6 +135,17 @@ def test_substrings(spark, width, run, hot):
     assert ordered(got) == ordered(repeats(ids, texts, width))
 
 
+def test_substrings_over_many_blocks(spark, monkeypatch):
+    """Blocks of some rows, several shards a task and packets that are sent before a block ends."""
+    for name, value in (("BLOCK_BYTES", 2000), ("GATHER", 500), ("SHARD_ANCHORS", 40), ("INDEX_BYTES", 20_000), ("MOST_PARTS", 3)):
+        monkeypatch.setattr(substring_dedup, name, value)
+    monkeypatch.setattr(staging, "BATCH_ROWS", 5)
+    texts = some_texts(11)
+    ids = [None, *range(3, len(texts) + 1), 3]
+    got = substring_dedup.remove_repeats(documents(spark, texts, ids), width=6, run=3, hot=5, digests=True).collect()
+    assert ordered(got) == ordered(repeats(ids, texts, 6))
+
+
 def test_substrings_of_nothing(spark):
     assert substring_dedup.remove_repeats(documents(spark, [])).count() == 0
     (row,) = substring_dedup.remove_repeats(documents(spark, ["A  b\n c"])).collect()
