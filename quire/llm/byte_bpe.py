@@ -24,6 +24,8 @@ from quire.llm import staging
 from quire.llm.mph import MinimalPerfectHash
 from quire.llm.textbytes import TokenCache, byte_sums, slice_hashes, text_chunks
 
+# Fixed value: the pattern that the array operations below follow, and no other.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LETTER, NUMBER, BLANK, OTHER = range(4)
 _classes: list[np.ndarray] = []
 
@@ -182,12 +184,15 @@ def encoder(path: str) -> ByteBPE:
     return _encoders[path]
 
 
-def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", digests: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", digests: bool = False, pattern: str = PATTERN) -> DataFrame:
     """key, n_tokens, and the ids (little-endian unsigned 32-bit, binary) with the text decoded from them.
 
     digests: the SHA-256 of ids and decoded bytes in their place, as ids_sha256 and decoded_sha256.
-    path: a rank file, found under the same path on every machine.
+    path: a rank file, found under the same path on every machine. pattern: the one that goes with it; any but PATTERN
+    is refused, as texts would be cut otherwise.
     """
+    if pattern != PATTERN:
+        raise ValueError("pre-tokens are cut for one pattern only")
     staging.reachable(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     names = ["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]

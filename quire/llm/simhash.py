@@ -3,8 +3,9 @@
 A fingerprint has 64 bits, each set if over half of the document's shingle hashes (XXH64, seed 42) have it set. Two
 fingerprints that differ in at most 3 bits agree in at least 5 of their 8 bytes. The index posts every different
 fingerprint under groups of 4 (position, byte) entries, chosen so that any 5 positions hold a group whole: no pair
-can be missed. A pair that meets is tallied - its number of equal positional bytes - and goes on with 5 or more; then
-the differing bits are counted. Each posting list gives out the edges of a spanning forest, never all its pairs.
+can be missed, and lists stay short where those of a single byte would hold a 256th of everything. The tally of a pair,
+its number of equal positional bytes over all eight, is taken where it meets; pairs of 5 and more are retained, and of
+these alone the differing bits are counted. Each posting list gives out the edges of a spanning forest, never all pairs.
 
 Documents of a given Jaccard similarity (0.8 over five-word shingles in the pipeline) differ in 10 and more of the 64
 bits, so that no number of equal bytes is guaranteed. similar() therefore looks for candidates by a signature of 96
@@ -20,8 +21,10 @@ outside the largest component found. Rows inside it are connected already, so no
 rows outside times the group.
 
 Copies fold into one fingerprint before anything is indexed. Cases: a text without words (null, empty) has the
-fingerprint 0, linked like any other; a text of fewer words than a shingle is one shingle; rows of one doc_id are one
-document; a null doc_id is smaller than any other; no rows give no rows; further columns are ignored.
+fingerprint 0, linked like any other; a text of fewer words than a shingle is one shingle; repeated rows, rows of one
+doc_id and rows without one are documents of their own; a component is named by the smallest doc_id that is there, null
+without any; no rows give no rows; further columns are passed on by one_of_each() and ignored by the others, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -36,12 +39,13 @@ from pyspark.sql import functions as F
 
 from quire.llm import staging
 from quire.llm.components import components, forest
-from quire.llm.line_dedup import NULL_ID
 from quire.llm.mph import mix
 
 SEED, BITS, BYTES = 42, 64, 8
 #: Of signatures: bytes, and groups of how many bytes.
 SIGNATURE, GROUPS, SIZE = 96, 14, 4
+#: Members of a posting list that may all be compared.
+LONG = 512
 #: By how much the tally of a candidate may fall short of the similarity asked for: four standard deviations at 0.8.
 SLACK = 0.16
 #: Of verification: members of a block, and how many members of a larger group are compared with all first.
@@ -88,7 +92,7 @@ def majority(digests: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long; a null doc_id becomes NULL_ID."""
+    """(doc_id, fp): fp is the fingerprint as a signed long."""
     staging.reachable(docs.sparkSession)
 
     def run(batches):
@@ -96,8 +100,7 @@ def fingerprints(docs: DataFrame, words: int = 3, key: str = "doc_id", text: str
             own = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.view(np.int64))], ["doc_id", "fp"])
 
-    rows = docs.select(F.coalesce(docs[key].cast("long"), F.lit(NULL_ID)).alias("doc_id"), docs[text].cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def posting_groups(total: int = BYTES, agree: int = 5, size: int = 4) -> list[tuple[int, ...]]:
@@ -110,10 +113,12 @@ def posting_groups(total: int = BYTES, agree: int = 5, size: int = 4) -> list[tu
     return groups
 
 
-def _near(x: np.ndarray, distance: int) -> np.ndarray:
-    """Of XORed pairs: the tally of equal positional bytes first, then the count of differing bits."""
-    shared = (np.ascontiguousarray(x).view(np.uint8).reshape(*x.shape, BYTES) == 0).sum(axis=-1)
-    return (shared >= BYTES - distance) & (np.bitwise_count(x) <= distance)
+def _near(x: np.ndarray, distance: int) -> tuple[np.ndarray, ...]:
+    """The places of near pairs among XORed ones: the tally of equal positional bytes retains pairs, bits decide on these."""
+    tally = (np.ascontiguousarray(x).view(np.uint8).reshape(*x.shape, BYTES) == 0).sum(axis=-1)
+    retained = np.nonzero(tally >= BYTES - distance)
+    fine = np.bitwise_count(x[retained]) <= distance
+    return tuple(at[fine] for at in retained)
 
 
 def _list_edges(own: np.ndarray, distance: int, free: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,7 +127,7 @@ def _list_edges(own: np.ndarray, distance: int, free: int) -> tuple[np.ndarray,
     near = sum(1 for k in range(distance + 1) for _ in combinations(range(free.bit_count()), k))
     if len(own) <= near:
         for i in range(0, len(own), 128):
-            x, y = np.nonzero(_near(own[i : i + 128, None] ^ own[None, i:], distance))
+            x, y = _near(own[i : i + 128, None] ^ own[None, i:], distance)
             a.append(own[i + x])
             b.append(own[i + y])
     else:  # more members than neighbours each can have: look the neighbours up
@@ -169,7 +174,7 @@ def links(fps: DataFrame, distance: int = 3) -> DataFrame:
             if not len(begin):
                 break
             i = np.arange(int((size - step).sum())) + np.repeat(begin - (np.cumsum(size - step) - (size - step)), size - step)
-            hit = _near(own[i] ^ own[i + step], distance)
+            (hit,) = _near(own[i] ^ own[i + step], distance)
             a.append(own[i[hit]])
             b.append(own[i[hit] + step])
         for k in np.flatnonzero(sizes > 32).tolist():
@@ -184,26 +189,44 @@ def links(fps: DataFrame, distance: int = 3) -> DataFrame:
     return posted.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").mapInArrow(meet, "a long, b long")
 
 
-def _signature_edges(own: np.ndarray, agree: int) -> tuple[np.ndarray, np.ndarray]:
+def _signature_edges(own: np.ndarray, agree: int, left: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
     """Edges between rows that agree in so many bytes, enough to connect all that do.
 
-    Some rows are compared with all; what they leave outside the largest component is compared with all too. Rows
-    inside it are connected already, so no link is lost, and a large group of copies costs a few comparisons each.
+    Some rows are compared with all; what they leave outside the largest component goes on. Rows inside it are connected
+    already, so no link is lost, and a large group of copies costs a few comparisons each. In a list of up to LONG the
+    rows outside are compared with all. A longer one is dealt again by each of the groups of bytes ``left``, as a pair at
+    the similarity asked for shares a few of them (0.000005 miss all 23), so many small groups in one list stay cheap.
     """
-    a, b, n = [], [], len(own)
+    a, b, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], len(own)
 
-    def compare(rows: np.ndarray) -> None:
+    def compare(rows: np.ndarray, among: np.ndarray) -> None:
         for i in range(0, len(rows), 16):
-            x, y = np.nonzero((own[rows[i : i + 16], None] == own[None]).sum(axis=2) >= agree)
-            x = rows[i : i + 16][x]
+            x, y = np.nonzero((own[rows[i : i + 16], None] == own[among][None]).sum(axis=2) >= agree)
+            x, y = rows[i : i + 16][x], among[y]
             a.append(x[x != y])
             b.append(y[x != y])
 
-    compare(np.unique(np.linspace(0, n - 1, 16).astype(np.int64)))
+    everything = np.arange(n)
+    compare(np.unique(np.linspace(0, n - 1, 16).astype(np.int64)), everything)
     nodes, roots = forest(np.concatenate(a), np.concatenate(b))
     root = np.arange(n)
     root[nodes] = roots
-    compare(np.flatnonzero(root != np.bincount(root).argmax()))
+    outside = root != np.bincount(root).argmax()
+    if n <= LONG or not left:
+        compare(np.flatnonzero(outside), everything)
+        return np.concatenate(a), np.concatenate(b)
+    for k, g in enumerate(left):
+        key = np.ascontiguousarray(own[:, g * SIZE : (g + 1) * SIZE]).view("<u4").ravel()
+        order = np.argsort(key, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+            if len(part) < 2 or not outside[part].any():
+                continue
+            if len(part) <= LONG:
+                compare(part[outside[part]], part)
+            else:  # a pair that shares an earlier group has been met there
+                x, y = _signature_edges(own[part], agree, left[k + 1 :])
+                a.append(part[x])
+                b.append(part[y])
     return np.concatenate(a), np.concatenate(b)
 
 
@@ -245,7 +268,8 @@ def signature_links(signed: DataFrame, similarity: float) -> DataFrame:
                 b.append(node[y[hit]])
         for k in np.flatnonzero(sizes > 16).tolist():
             at = order[edge[k] : edge[k + 1]]
-            x, y = _signature_edges(bytes_of(at), agree)
+            posted_by = int(key[at[0]]) >> 32
+            x, y = _signature_edges(bytes_of(at), agree, tuple(g for g in range(SIGNATURE // SIZE) if g != posted_by))
             x, y = forest(node[at[x]], node[at[y]])
             a.append(x)
             b.append(y)
@@ -335,27 +359,25 @@ def verified(sets: DataFrame, similarity: float) -> DataFrame:
     return first.unionAll(_compared(dealt.unionAll(everywhere(large.join(outside, ["group", "node"], "left_semi"))), similarity))
 
 
-def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, component_id), a row for each row of docs; linked are documents of that Jaccard similarity or more."""
-    staging.reachable(docs.sparkSession)
+def _alike(table: DataFrame, words: int, similarity: float, distance: int) -> DataFrame:
+    """(row, component), every row of a written table (row, text, ...): the smallest row that links reach."""
 
     def run(batches):
         for batch in staging.pieces(batches):
             every = [shingle_digests(t, words) for t in batch.column(1).to_pylist()]
             own = np.array([majority(d) for d in every], np.uint64)
             sets = [xxhash.xxh128_digest(shingle_set(d)) for d in every]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.view(np.int64)), pa.array([signature(d) for d in every], pa.binary()), pa.array(sets, pa.binary())], ["doc_id", "fp", "sig", "same"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.view(np.int64)), pa.array([signature(d) for d in every], pa.binary()), pa.array(sets, pa.binary())], ["row", "fp", "sig", "same"])
 
     def whole(batches):
         for batch in staging.pieces(batches):
             sets = [shingle_set(shingle_digests(t, words)) for t in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], ["group", "size", "node", "set"])
 
-    rows = docs.select(F.coalesce(docs[key].cast("long"), F.lit(NULL_ID)).alias("doc_id"), docs[text].cast("string").alias("text"))
-    own = staging.table(rows.mapInArrow(run, "doc_id long, fp long, sig binary, same binary"), "signatures")
-    # Rows of one set of shingles are one node: their smallest doc_id. Copies fold into one row before any join, so the
-    # joins that find the candidates have no hot key.
-    pairs = staging.table(own.groupBy("fp", "sig", "same").agg(F.min("doc_id").alias("least")), "pairs")
+    own = staging.table(table.select("row", "text").mapInArrow(run, "row long, fp long, sig binary, same binary"), "signatures")
+    # Rows of one set of shingles are one node: their smallest row. Copies fold into one before any join, so the joins
+    # that find the candidates have no hot key.
+    pairs = staging.table(own.groupBy("fp", "sig", "same").agg(F.min("row").alias("least")), "pairs")
     signed = pairs.groupBy("sig").agg(F.min("least").alias("node"))
     printed = pairs.groupBy("fp").agg(F.min("least").alias("node"))
     near = links(printed.select("fp"), distance)
@@ -366,21 +388,37 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, distance:
     classes = staging.table(pairs.groupBy("sig", "same").agg(F.min("least").alias("node")).join(of, "sig").select("same", "node", "group"), "classes")
     sizes = classes.groupBy("group").agg(F.count("*").alias("size")).filter("size > 1")
     wanted = staging.table(classes.select("group", "node").distinct().join(sizes, "group").select("group", "size", "node"), "wanted")
-    texts = rows.join(wanted, rows["doc_id"] == wanted["node"]).select("group", "size", "node", "text")
-    sets = staging.table(texts.mapInArrow(whole, "group long, size long, node long, set binary").distinct(), "sets")
+    texts = table.select("row", "text").join(wanted, F.col("row") == F.col("node")).select("group", "size", "node", "text")
+    sets = staging.table(texts.mapInArrow(whole, "group long, size long, node long, set binary"), "sets")
     linked = components(verified(sets, similarity)).toDF("node", "component")
     # A written table, so that the join that names every row is a plain one, which adaptive execution splits.
     of = staging.table(classes.join(linked, "node", "left").select("same", F.coalesce("component", "node").alias("component")), "named")
-    out = own.select("doc_id", "same").join(of, "same")
-    real = lambda c: F.nullif(F.col(c), F.lit(NULL_ID))
-    return out.select(real("doc_id").alias(key), real("component").alias("component_id"))
+    return own.select("row", "same").join(of, "same").select("row", "component")
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """docs without the rows that are not their component's smallest key; rows of one key stay or go together."""
-    found = similar(docs, key=key, **options)
-    gone = found.filter(~found[key].eqNullSafe(found["component_id"])).select(found[key].alias("_gone")).distinct()
-    return docs.join(gone, docs[key].eqNullSafe(gone["_gone"]), "left_anti")
+def _numbered(docs: DataFrame, columns: list[str], key: str, text: str) -> DataFrame:
+    """(row, id, text, c0, c1, ... as columns), written: a number of its own for each row, whatever its id."""
+    kept = [docs[c].alias(f"c{i}") for i, c in enumerate(columns)]
+    return staging.table(docs.select(F.monotonically_increasing_id().alias("row"), docs[key].alias("id"), docs[text].cast("string").alias("text"), *kept), "rows")
+
+
+def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, component_id), a row for each row of docs; linked are documents of that Jaccard similarity or more."""
+    staging.reachable(docs.sparkSession)
+    table = _numbered(docs, [], key, text)
+    found = staging.table(_alike(table, words, similarity, distance).join(table.select("row", "id"), "row"), "alike")
+    least = found.groupBy("component").agg(F.min("id").alias("least"))
+    return found.join(least, "component").select(F.col("id").alias(key), F.col("least").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of each component: that of the smallest key that is there, of several the first."""
+    staging.reachable(docs.sparkSession)
+    table = _numbered(docs, docs.columns, key, text)
+    found = staging.table(_alike(table, words, similarity, distance).join(table.select("row", "id"), "row"), "alike")
+    best = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).getField("row").alias("best"))
+    gone = staging.table(found.join(best, "component").filter("row <> best").select("row"), "gone")
+    return table.join(gone, "row", "left_anti").select(*[F.col(f"c{i}") for i in range(len(docs.columns))]).toDF(*docs.columns)
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -395,5 +433,4 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, key: str
     least = grouped.groupBy("group").agg(F.min("first").alias("component"))
     named = grouped.join(least, "group").select(F.col("fp").alias("f"), "component")
     out = own.join(named, own["fp"] == named["f"])
-    real = lambda c: F.nullif(F.col(c), F.lit(NULL_ID))
-    return out.select(real("doc_id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), real("component").alias("component_id"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))

@@ -5,7 +5,11 @@ allows it, else 4. ``.idx``: a minimal perfect hash over the document keys whose
 and the document's position; by position, the key and the offset of its ids. Documents are dealt to shards by ranges
 of their key, ascending, so the shards in turn hold all documents in order.
 
-The index key is (doc_id, how many rows of the same doc_id came before), so repeated rows keep an entry each.
+The index key is (doc_id, how many rows of the same doc_id came before), so repeated rows keep an entry each. The number
+of shards follows the bytes of text; ranges are of the key and a hash of the text, so that many texts of one doc_id, or
+of none, spread over shards. The manifest says where each shard begins and how many rows of its first key lie in earlier
+ones, by which Shards finds the shard of any key.
+
 Cases: a null or empty text has the end id alone; a null doc_id sorts first and is found as key None; no documents
 give no shards; texts are whole; further columns are ignored. Words are known by a 64-bit hash when ids are reused.
 """
@@ -17,6 +21,7 @@ import os
 import struct
 import uuid
 import zlib
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +37,11 @@ from quire.llm.textbytes import TokenCache, byte_sums, text_chunks, word_spans
 
 MAGIC = b"QTSHARD1"
 _HEAD = "<8sBqqq"
+# The normaliser and the pattern for which the words of a text can be lower-cased and encoded apart.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+#: Bytes of text that a shard is meant to hold.
+SHARD_BYTES = 256 << 20
 _MARK = np.isin(np.arange(256), list(b".,;:!?"))
 _encoders: dict[str, "WordEncoder"] = {}
 
@@ -39,7 +49,8 @@ _encoders: dict[str, "WordEncoder"] = {}
 class WordEncoder:
     """The tokenizers library over words: ids of a text are those of its runs between ASCII white space.
 
-    That holds for tokenizers whose pattern drops white space and never matches across it.
+    That holds for tokenizers whose pattern drops white space and never matches across it; a file with another normaliser,
+    pattern or special tokens than those known is refused.
     """
 
     def __init__(self, path: str):
@@ -47,6 +58,11 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        spec = json.loads(self.tokenizer.to_str())
+        steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        special = [t["content"].startswith("<|") and not t["normalized"] for t in spec["added_tokens"]]
+        if (spec["normalizer"] or {}).get("normalizers") != NORMALIZERS or steps[0] != SPLIT or spec["post_processor"] or not all(special):
+            raise ValueError(f"{path}: words of its texts can't be encoded apart")
         self.cache = TokenCache(self._encode_new)
 
     def _encode_new(self, words: list[bytes], _hashes: np.ndarray) -> list:
@@ -152,16 +168,43 @@ class Shard:
         return None if place < 0 else self.ids(place)
 
 
+class Shards:
+    """All shards of a manifest: the ids of any document by its key, from one range of one file."""
+
+    def __init__(self, out: str):
+        store, base = fs.FileSystem.from_uri(out)
+        with store.open_input_stream(f"{base}/manifest.json") as f:
+            self.entries = json.loads(f.read())
+        self.firsts = [self._order(e["first"]) for e in self.entries]
+        self.opened: dict[int, Shard] = {}
+
+    @staticmethod
+    def _order(key: int | None) -> tuple[bool, int]:
+        return key is not None, key or 0
+
+    def get(self, key: int | None, copy: int = 0) -> np.ndarray | None:
+        i = bisect_right(self.firsts, self._order(key)) - 1
+        own = lambda: self.firsts[i] == self._order(key)
+        while i > 0 and own() and copy < self.entries[i]["base"]:
+            i -= 1
+        if i < 0:
+            return None
+        if i not in self.opened:
+            self.opened[i] = Shard(self.entries[i]["path"])
+        return self.opened[i].get(key, copy - self.entries[i]["base"] * own())
+
+
 def write(docs: DataFrame, out: str, tokenizer: str, end_id: int | None = 1, key: str = "doc_id", text: str = "text", shards: int | None = None) -> list[dict]:
     """Encodes and writes all documents below the URI out, a shared folder; returns one entry for each shard, in order.
 
-    Each entry has path, n_docs, n_tokens and start (ids in the shards before it); they also go to manifest.json.
-    A task writes files of its own name, so that a repeated one disturbs nothing; the manifest names those that count.
+    Each entry has path, n_docs, n_tokens, start (ids in the shards before it), first (its first key) and base (rows of
+    that key in the shards before it); they also go to manifest.json. A task writes files of its own name, so that a
+    repeated one disturbs nothing; the manifest names those that count.
     """
     spark = docs.sparkSession
     staging.reachable(spark)
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(docs[key].cast("long").alias("k"), docs[text].cast("string").alias("t"))
+    shards = shards or staging.parts(spark, rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0, SHARD_BYTES)
 
     def run(batches):
         part, name = TaskContext.get().partitionId(), f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:8]}"
@@ -175,23 +218,31 @@ def write(docs: DataFrame, out: str, tokenizer: str, end_id: int | None = 1, key
                 sink = store.open_output_stream(f"{base}/{name}.ids")
             keys.append(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False))
             null.append(batch.column(0).is_null().to_numpy(zero_copy_only=False))
-            for ids in words.encode(batch.column(1)):
+            for ids in words.encode(batch.column(2)):
                 raw = np.concatenate([ids, tail]).astype(f"<u{width}")
                 sink.write(raw.tobytes())
                 lengths.append(len(raw))
         if sink is not None:
             sink.close()
             offsets = np.concatenate([[0], np.cumsum(lengths)])
+            key_, none = np.concatenate(keys), np.concatenate(null)
             with store.open_output_stream(f"{base}/{name}.idx") as f:
-                f.write(index_bytes(width, np.concatenate(keys), np.concatenate(null), offsets))
-            yield pa.RecordBatch.from_pydict({"shard": [part], "name": [name], "n_docs": [len(lengths)], "n_tokens": [int(offsets[-1])]})
-
-    ranged = rows.repartitionByRange(shards, F.col("k").asc_nulls_first()).sortWithinPartitions(F.col("k").asc_nulls_first(), "t")
-    made = sorted(ranged.mapInArrow(run, "shard long, name string, n_docs long, n_tokens long").collect())  # one row a shard
-    entries, start = [], 0
+                f.write(index_bytes(width, key_, none, offsets))
+            of = lambda i: None if none[i] else int(key_[i])
+            last = int(((key_ == key_[-1]) & (none == none[-1])).sum())
+            row = ([part], [name], [len(lengths)], [int(offsets[-1])], [of(0)], [of(-1)], [last])
+            kinds = (pa.int64(), pa.string(), *[pa.int64()] * 5)
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds)], ["shard", "name", "n_docs", "n_tokens", "first", "last", "n_last"])
+
+    order = [F.col("k").asc_nulls_first(), F.col("h")]
+    ranged = rows.select("k", F.xxhash64("t").alias("h"), "t").repartitionByRange(shards, *order).sortWithinPartitions(*order, "t")
+    made = sorted(ranged.mapInArrow(run, "shard long, name string, n_docs long, n_tokens long, first long, last long, n_last long").collect())  # one row a shard
+    entries, start, before = [], 0, (False, None, 0)
     for r in made:
-        entries.append({"path": f"{out}/{r.name}", "n_docs": r.n_docs, "n_tokens": r.n_tokens, "start": start})
+        base = before[2] if before[:2] == (True, r.first) else 0
+        entries.append({"path": f"{out}/{r.name}", "n_docs": r.n_docs, "n_tokens": r.n_tokens, "start": start, "first": r.first, "base": base})
         start += r.n_tokens
+        before = (True, r.last, r.n_last + (base if r.last == r.first else 0))
     store, base = fs.FileSystem.from_uri(out)
     store.create_dir(base, recursive=True)
     with store.open_output_stream(f"{base}/manifest.json") as f:

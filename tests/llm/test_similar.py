@@ -28,11 +28,12 @@ def _components(n, near):
 
 
 def test_fingerprints_and_components(spark):
-    texts = [t if t is None or len(t) < 50_000 else t[:50_000] for t in some_texts(3)]
+    texts = some_texts(3)
     ids = [None, *range(10, len(texts) + 9)]
     prints = np.array([_fingerprint(t) for t in texts], np.uint64)
     root = _components(len(texts), np.bitwise_count(prints[:, None] ^ prints[None]) <= 3)
-    want = [(ids[i], f"{int(prints[i]):016x}", ids[root[i]]) for i in range(len(texts))]
+    least = {r: min((ids[i] for i in np.flatnonzero(root == r) if ids[i] is not None), default=None) for r in set(root.tolist())}
+    want = [(ids[i], f"{int(prints[i]):016x}", least[int(root[i])]) for i in range(len(texts))]
     assert ordered(simhash.near_duplicates(documents(spark, texts, ids)).collect()) == ordered(want)
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
 
@@ -106,6 +107,31 @@ def test_links_are_verified_by_the_similarity_of_shingle_sets(spark, monkeypatch
     assert [got[i] for i in range(len(texts))] == [int(np.flatnonzero(want == want[i])[0]) for i in range(len(texts))]
 
 
+def test_copies_without_an_id(spark):
+    """One row of each group stays, that of the smallest id that is there; rows of one id are judged apart."""
+    a, b, c = ("some words of text " * 9 + x for x in ("one", "two two", "three three three"))
+    texts, ids = [a, a, a, b, b, c, a, c, "other words stand here now"], [None, 7, 5, None, None, 5, 5, 5, None]
+    docs = documents(spark, texts, ids)
+    apart = simhash.one_of_each(docs, similarity=0.99)
+    assert apart.columns == docs.columns and ordered((r.doc_id, r.text) for r in apart.collect()) == ordered([(5, a), (None, b), (5, c), (None, texts[-1])])
+    assert ordered(simhash.similar(docs, similarity=0.99).collect()) == ordered([(None, 5), (7, 5), (5, 5), (None, None), (None, None), (5, 5), (5, 5), (5, 5), (None, None)])
+
+
+@pytest.mark.parametrize("groups", [40, 300])
+def test_a_long_list_of_small_groups_connects_as_all_pairs_do(monkeypatch, groups):
+    """And no list of the rows that share one group of bytes is compared with itself whole."""
+    monkeypatch.setattr(simhash, "LONG", 64)
+    rng = np.random.default_rng(12)
+    base = rng.integers(0, 256, (groups, simhash.SIGNATURE), dtype=np.uint8)
+    own = np.repeat(base, 4, axis=0)
+    own[rng.random(own.shape) < 0.15] = 7
+    own[:, :4] = 1  # the group by which they are posted
+    a, b = simhash._signature_edges(own, 62, tuple(range(1, 24)))
+    near = np.zeros((len(own), len(own)), bool)
+    near[a, b] = near[b, a] = True
+    assert (_components(len(own), near) == _components(len(own), (own[:, None] == own[None]).sum(axis=2) >= 62)).all()
+
+
 def test_a_large_list_of_signatures_connects_as_all_pairs_do():
     rng = np.random.default_rng(5)
     own = rng.integers(0, 256, (120, simhash.SIGNATURE), dtype=np.uint8)

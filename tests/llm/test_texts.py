@@ -72,12 +72,31 @@ def test_token_shards(spark, tmp_path):
     assert ordered((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == ordered((k, len(e), crc(e)) for k, e in zip(ids, encoded))
     assert [r.start for r in got] == np.concatenate([[0], np.cumsum([r.n_tokens for r in got])[:-1]]).tolist()
     assert json.loads((tmp_path / "shards/manifest.json").read_text()) == entries
-    shards = [token_shards.Shard(e["path"]) for e in entries]
-    find = lambda k, c=0: next((x for s in shards if (x := s.get(k, c)) is not None), None)
-    assert find(-3).tolist() == encoded[ids.index(-3)] and find(10**9) is None
-    four = [encoded[i] for i, k in enumerate(ids) if k == 4]
-    assert sorted(find(4, c).tolist() for c in range(len(four))) == sorted(four)
-    assert find(None).tolist() in (encoded[0], encoded[1])
+    shards = token_shards.Shards(f"file://{tmp_path}/shards")
+    assert shards.get(-3).tolist() == encoded[ids.index(-3)] and shards.get(10**9) is None and shards.get(-99) is None
+    for k in {*ids}:
+        every = [encoded[i] for i, x in enumerate(ids) if x == k]
+        assert ordered(shards.get(k, c).tolist() for c in range(len(every))) == ordered(every) and shards.get(k, len(every)) is None
+
+
+def test_rows_of_one_id_spread_over_shards(spark, tmp_path):
+    texts = [f"text number {i}" for i in range(400)]
+    ids = [None] * 150 + [3] * 150 + list(range(4, 104))
+    entries = token_shards.write(documents(spark, texts, ids), f"file://{tmp_path}/hot", WORDS, shards=8)
+    assert len(entries) == 8 and max(e["n_docs"] for e in entries) < 120 and sum(e["base"] > 0 for e in entries) >= 4
+    shards = token_shards.Shards(f"file://{tmp_path}/hot")
+    tokenizer = Tokenizer.from_file(WORDS)
+    for k in (None, 3, 50):
+        want = [[*tokenizer.encode(t, add_special_tokens=False).ids, 1] for i, t in zip(ids, texts) if i == k]
+        assert ordered(shards.get(k, c).tolist() for c in range(len(want))) == ordered(want) and shards.get(k, len(want)) is None
+
+
+def test_other_tokenizers_are_refused():
+    with pytest.raises(ValueError):
+        token_shards.WordEncoder(P.path("byte_bpe_50k.json"))
+    with pytest.raises(ValueError):
+        byte_bpe.encode(None, BPE, pattern=r"\S+|\s+")
+    assert byte_bpe.PATTERN == P.PATTERN
 
 
 def test_no_token_shards(spark, tmp_path):
