@@ -112,7 +112,8 @@ def _found(docs: DataFrame, columns: list[str], benchmark: DataFrame, n: int, te
     places = near(table, windows, lengths, set_bytes)
     own = table.select("row", "text").join(places, "row").select("row", "places", words_of(lower_az(F.col("text"))).alias("w"))
     cut = F.filter(F.transform("places", lambda p: F.struct(p.start.alias("start"), p.length.alias("length"), F.slice("w", p.start + 1, p.length).alias("words"))), lambda p: F.size(p.words) == p.length)
-    each = own.select("row", F.when(F.size("w") > 0, cut).alias("cut")).select("row", F.explode("cut").alias("p")).select("row", "p.*")
+    # explode() would have a filter inferred that splits the text anew for each place, hence the outer one.
+    each = own.select("row", F.explode_outer(F.when(F.size("w") > 0, cut)).alias("p")).select("row", "p.*")
     few = sum(r.bytes for r in sizes) <= set_bytes
     return table, each.join(F.broadcast(windows) if few else windows, "words").select("row", "start", "length", "item_id")
 
