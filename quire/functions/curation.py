@@ -13,6 +13,10 @@ ITEM_HINTS = ("ring", "spear", "gem", "circlet", "tablet", "cloak", "pin", "sack
 FACTION_HINTS = ("cult", "knights", "company", "band", "guild", "order", "empire", "brigade", "darlings")
 QUANTIFIER = r"(?i)^(many|several|some|a couple|\d+\b|two|three|four|five|six|seven|eight|nine|ten)\b"
 CONNECTOR = r"(?i)\b(connect|lead|via|through|across|toward|into|onto|to|from|down|up|entrance|exit|gate|basket|rappel|levitat|teleport|stair|hole)\b"
+#: A quoted phrase in title case.
+QUOTED_PHRASE = r'"([A-Z][A-Za-z]+(?:[ \-](?:of|the|and|[A-Z][A-Za-z.\-]+))*)"'
+#: What stands before a deity's name in the name of a place or group.
+HEADS = "Temple|Pyramid|Library|Forum|Glory|Catacombs|Chamber|Shrine|Sanctuary|Statue|Priory|Order|Monastery|Hall|Tower|Gate|Gates|Tomb|Stairs|Vault|Arena"
 QUOTED = {
     "Item": "Rug|Rugs|Chair|Rod|Wand|Pebble|Mirror|Scepter|Armor",
     "Location": "Hall|Temple|Library|Well|Cavern|Chasm|Pyramid|Palace|Court|Arena",
@@ -59,7 +63,7 @@ def is_specific(name: Column, generic: tuple[str, ...] = (), parts: tuple[str, .
 
 def quoted_candidates(body: Column) -> Column:
     """Array of (name, kind) of quoted title-case phrases of up to eight words."""
-    names = F.regexp_extract_all(body, F.lit(r'"([A-Z][A-Za-z]+(?:[ \-](?:of|the|and|[A-Z][A-Za-z.\-]+))*)"'), F.lit(1))
+    names = F.regexp_extract_all(body, F.lit(QUOTED_PHRASE), F.lit(1))
     kind = lambda n: F.when(n.rlike(QUOTED["Item"]), "Item").when(n.rlike(QUOTED["Location"]), "Location").when(n.rlike(QUOTED["Faction"]), "Faction").otherwise("NPC")
     return F.transform(F.array_distinct(F.filter(names, lambda n: F.size(F.split(n, " ")) <= 8)), lambda n: F.struct(n.alias("name"), kind(n).alias("kind")))
 
@@ -175,14 +179,53 @@ def canonical_ends(edges: DataFrame, names: DataFrame) -> DataFrame:
     return out
 
 
-def supported_in(pairs: DataFrame, texts: DataFrame, words: int = 5) -> DataFrame:
-    """Pairs (a, b) of names of up to so many words that stand together in a text. texts: (id, body).
+def demote(body: Column, name: str, before: str = HEADS) -> Column:
+    """Links to a page of that name become its plain name where one of these words and 'of' stand before them."""
+    return F.regexp_replace(body, rf"(?i)\b({before}) of \[\[[^\[\]|]*\Q{name}\E(?:\.md)?\|[^\]]+\]\]", f"$1 of {name}")
 
-    Runs of words meet the names by equality; the names of a text then meet each other.
+
+def linkify_first(line: Column, names: dict[str, str]) -> Column:
+    """The first word of a line without links that names a page's demonym becomes a link to that page, as it is spelled.
+
+    names: demonym, in any case, to page; the longest that occurs is taken, and one link is made at most.
     """
-    from quire.operators.entities import text_mentions
+    out = line
+    for word in sorted(names, key=lambda w: (len(w), w)):  # the longest is asked last, so it decides
+        pattern = rf"(?i)\b\Q{word}\E\b"
+        out = F.when(line.rlike(pattern), F.concat(F.regexp_extract(line, rf"(?s)^(.*?){pattern}", 1), F.lit(f"[[{names[word]}|"), F.regexp_extract(line, rf"(?i)\b(\Q{word}\E)\b", 1), F.lit("]]"), F.regexp_extract(line, rf"(?s)^.*?{pattern}(.*)$", 1))).otherwise(out)
+    return F.when(line.contains("[["), line).otherwise(out)
+
+
+def session_title(title: Column) -> Column:
+    """'Session 8B - the end', however spaced and spelled, as 'Session 8b - the end'."""
+    number, rest = F.regexp_extract(title, r"(?i)^\s*session\s*(\d+[a-z]?)\s*[-:\u2013]*\s*(.*)$", 1), F.regexp_extract(title, r"(?i)^\s*session\s*(\d+[a-z]?)\s*[-:\u2013]*\s*(.*)$", 2)
+    return F.when(number != "", F.concat(F.lit("Session "), F.lower(number), F.when(rest != "", F.concat(F.lit(" - "), F.rtrim(rest))).otherwise(""))).otherwise(title)
+
 
-    names = pairs.select(F.col("a").alias("n")).union(pairs.select("b")).distinct().select(F.lower("n").alias("alias"), F.col("n").alias("canonical"))
-    found = text_mentions(texts.select(F.col("id").alias("path"), F.lit(0).alias("no"), F.regexp_replace("body", r"\s", " ").alias("line")), names, words).select("path", "canonical").distinct()
-    left, right = found.toDF("path", "a"), found.toDF("path", "b")
-    return pairs.join(left, "a").join(right, ["path", "b"]).select("a", "b").distinct()
+def of_kinds(candidates: DataFrame, kinds: tuple[str, ...] | None = None, items: str = "all", unique: Column | None = None) -> DataFrame:
+    """Candidates (kind, ...) of those kinds; items: with 'unique' those of kind Item only where ``unique`` holds."""
+    out = candidates.filter(F.col("kind").isin(*kinds)) if kinds else candidates
+    return out.filter((F.col("kind") != "Item") | unique) if items == "unique" and unique is not None else out
+
+
+def contained(names: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, name): names that a text holds, anywhere and as they are spelled. names: (name); texts: (id, body), ids differ.
+
+    Texts meet names by the first three characters of these (or all, if there are fewer) as an equality; what meets is
+    then looked up in the text. The cost follows the texts and what they share with names, not the product.
+    """
+    keyed = names.select("name").distinct().filter("name <> ''").withColumn("gram", F.substring("name", 1, 3))
+    sizes = sorted(r[0] for r in keyed.select(F.length("gram")).distinct().collect())  # 1, 2 or 3
+    if not sizes:
+        return texts.select("id", F.lit("").alias("name")).limit(0)
+    every = lambda n: F.regexp_extract_all("body", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))  # one pass over the text
+    grams = F.flatten(F.array(*[F.array_distinct(every(n)) for n in sizes]))
+    met = texts.select("id", F.explode(grams).alias("gram")).join(keyed, "gram").select("id", "name").distinct()
+    return met.join(texts.select("id", "body"), "id").filter(F.col("body").contains(F.col("name"))).select("id", "name")
+
+
+def supported_in(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of names that stand together in a text, as they are spelled. texts: (id, body)."""
+    found = contained(pairs.select(F.col("a").alias("name")).union(pairs.select("b")), texts)
+    left, right = found.toDF("id", "a"), found.toDF("id", "b")
+    return pairs.join(left, "a").join(right, ["id", "b"]).select("a", "b").distinct()

@@ -39,15 +39,15 @@ def insert_links(names: dict[str, str], first_only: bool = False):
     return run
 
 
-def unnest(text: str | None, most: int = 20) -> str | None:
-    """Links inside links give way to what they show, innermost first; most: rounds at the utmost."""
+def unnest(text: str | None) -> str | None:
+    """Links inside links give way to what they show, innermost first, until there are none.
+
+    Each round drops at least one pair of brackets, so the rounds end.
+    """
     if text is None:
         return None
     inner = re.compile(r"(\[\[[^\[\]]*)\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]")
-    for _ in range(most):
-        new = inner.sub(r"\1\2", text)
-        if new == text:
-            break
+    while (new := inner.sub(r"\1\2", text)) != text:
         text = new
     return text
 

@@ -7,11 +7,18 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The syntax of links, tags, comments, highlights and anchors.
 #: A wiki link: its target and, after a bar, what is shown.
 WIKILINK = r"\[\[([^\]|]+)(?:\|([^\]]*))?\]\]"
 #: A link with heading and embed mark: embed, target, heading, alias.
 FULL_LINK = r"(!?)\[\[([^\[\]|#]*)(#[^\[\]|]*)?(?:\|([^\[\]]*))?\]\]"
-TAG = r"(?:^|(?<=\s))#([\p{L}\p{M}\p{N}\-_/]+)"
+#: Pictographs, flags and the marks that join or vary them, as ranges: the class of emoji is none that Java's patterns know.
+EMOJI = r"\x{200D}\x{20E3}\x{231A}-\x{23FF}\x{25AA}-\x{27BF}\x{2934}\x{2935}\x{2B05}-\x{2B55}\x{FE0F}\x{1F000}-\x{1FAFF}"
+TAG = rf"(?:^|(?<=\s))#([\p{{L}}\p{{M}}\p{{N}}{EMOJI}\-_/]+)"
+
+
+#: Where the name of a video stands in its address.
+YOUTUBE = r"^.*(youtu.be/|v/|u/\w/|embed/|watch\?v=|&v=)([^#&?]*).*"
 
 
 def _replaced(text: Column, *pairs: tuple[str, str]) -> Column:
@@ -51,6 +58,11 @@ def file_name(text: Column) -> Column:
     return squeeze(F.regexp_replace(text, r'[\\/:*?"<>|]', " - "))
 
 
+def stub_name(text: Column) -> Column:
+    """The other rule: slashes and bars become hyphens, a colon a hyphen after a space."""
+    return squeeze(_replaced(text, (r"[/|]", "-"), (":", " -")))
+
+
 def safe_title(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(text, r"[^\p{L}\p{N} _\-]", "")), " ", "_"), "_+", "_")
 
@@ -164,8 +176,7 @@ def packed(parts: Column, most: int = 2400) -> Column:
 
 def chunks(text: Column, size: int = 2500) -> Column:
     """Consecutive pieces of so many characters; none for an empty text."""
-    starts = F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text), F.lit(size))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.substring(text, i, F.lit(size)))
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
 
 
 def query_terms(query: Column) -> Column:
@@ -195,6 +206,26 @@ def media_kind(target: Column) -> Column:
     )
 
 
+def youtube_embed(url: Column) -> Column:
+    """The embed address of a video, with its list, or of a list alone; null for other addresses."""
+    video = F.regexp_extract(url, YOUTUBE, 2)
+    playlist = F.nullif(F.regexp_extract(url, r"[?&]list=([^#?&]*)", 1), F.lit(""))
+    base = F.lit("https://www.youtube.com/embed/")
+    one = F.concat(base, video, F.coalesce(F.concat(F.lit("?list="), playlist), F.lit("")))
+    return F.when(F.length(video) == 11, one).when(playlist.isNotNull(), F.concat(base, F.lit("videoseries?list="), playlist))
+
+
+def class_names(*names: Column) -> Column:
+    """The names that are there, apart by a space."""
+    return F.concat_ws(" ", *[F.nullif(n, F.lit("")) for n in names])
+
+
+def emoji_code(text: Column) -> Column:
+    """The code points of a text in hexadecimal, joined by hyphens, without the mark that only asks for colour."""
+    points = F.filter(F.transform(F.split(text, ""), lambda c: F.lower(F.hex(F.ascii(c)))), lambda h: (h != "0") & (h != "fe0f"))
+    return F.array_join(points, "-")
+
+
 def edge_label(suffix: Column) -> Column:
     """What a route says of itself: via and method, a feature only without either; 'if stated' dropped."""
     part = lambda p: F.trim(F.regexp_replace(F.regexp_extract(suffix, p, 1), r"(?i)\bif stated\b", ""))
@@ -211,9 +242,16 @@ def callout_kind(line: Column, aliases: dict[str, str]) -> Column:
     return F.when(raw != "", F.coalesce(named[raw], raw) if named is not None else raw)
 
 
+def block_text(body: Column, anchor: Column) -> Column:
+    """The line or paragraph that the anchor ^id ends, without it; null where no block has it."""
+    parts = F.split(body, r"\n\s*\n|\n(?=\s*[-*] )")
+    own = F.filter(parts, lambda p: block_id(F.regexp_replace(p, r"\s+$", "")) == anchor)
+    return F.when(F.size(own) > 0, strip(F.regexp_replace(own[0], r"\s\^[A-Za-z0-9_\-]+\s*$", "")))
+
+
 def block_id(line: Column) -> Column:
     """The anchor ^id at the end of a block; null where there is none."""
-    return F.nullif(F.regexp_extract(line, r"\s\^([A-Za-z0-9_\-]+)\s*$", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(line, r"\s\^([A-Za-z0-9_\-]+)\s*\z", 1), F.lit(""))
 
 
 def group_line(line: Column) -> Column:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text
 from quire.functions.fuzzy import can_reach, ratio
+from quire.plans.cut import cut, numbered
 from quire.plans.workers import reach
 
 #: In what order kinds claim a name they share: the first wins, or with policy "last" the last.
@@ -34,19 +35,28 @@ def resolve(candidates: DataFrame, names: DataFrame, column: str = "candidate")
 def resolve_fuzzy(candidates: DataFrame, names: DataFrame, least: float = 0.9, column: str = "candidate") -> DataFrame:
     """(candidate, name, ratio): the most similar name of at least that ratio, the smallest of equals.
 
-    Names of a ratio of 0.9 share most of their character pairs: candidates meet the names that share a rare-enough
-    part with them - a pair of characters at a matching place - rather than all of them.
+    A candidate is cut into pieces, one of which a name of the ratio holds unchanged, so they meet by equality. At a high
+    ratio few and long pieces do; so ratios go down in steps, and what one step has resolved, whose best name is then
+    known, doesn't come to the next with its shorter and commoner pieces.
     """
     reach(candidates.sparkSession)
-    key = text.name_key(F.col(column))
-    own = candidates.select(column).distinct().withColumn("key", key).filter("key <> ''")
+    left = cut(candidates.select(column).distinct().withColumn("key", text.name_key(F.col(column))).filter("key <> ''"))
+    found = None
+    for step in [s for s in (0.97, 0.94) if s > least] + [least]:
+        best = cut(_nearest(left, names, step, column))
+        found = best if found is None else found.unionAll(best)
+        left = left.join(best.select(column), column, "left_anti")
+    return found
+
+
+def _nearest(own: DataFrame, names: DataFrame, least: float, column: str) -> DataFrame:
     # Of a name of n characters, a ratio r leaves at most (1 - r) * (n + m) characters unmatched; cut into one piece
     # more than that, one piece at least stands unchanged in the other. Pieces then have r / (2 - 2r) characters at most,
     # so their sizes are a handful of numbers, which bounds the broadcast.
-    pieces = lambda c: F.ceil(F.length(c) * 2 * F.lit((1 - least) / least)).cast("int") + 1
+    pieces = lambda c: F.floor(F.length(c) * 2 * F.lit((1 - least) / least) + 1e-9).cast("int") + 1
     part = F.greatest(F.floor(F.length("key") / pieces(F.col("key"))).cast("int"), F.lit(1))
-    cut = F.transform(F.sequence(F.lit(0), F.least(pieces(F.col("key")), F.length("key")) - 1), lambda i: F.substring("key", i * part + 1, part))
-    left = own.withColumn("part", F.explode(F.array_distinct(cut)))
+    chop = F.transform(F.sequence(F.lit(0), F.least(pieces(F.col("key")), F.length("key")) - 1), lambda i: F.substring("key", i * part + 1, part))
+    left = own.withColumn("part", F.explode(F.array_distinct(chop)))
     sizes = left.select(F.length("part").alias("size")).distinct()
     grams = names.select("name").join(F.broadcast(sizes), F.col("size") <= F.length("name")).withColumn("part", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("name") - F.col("size") + 1), lambda i: F.substring("name", i, F.col("size"))))))
     # What is left unmatched is at most inserted and deleted, so it bounds the edit distance: pairs that share no more
@@ -67,17 +77,33 @@ def link_mentions(lines: DataFrame, names: DataFrame) -> DataFrame:
     return links.join(owner, "target").select("path", "no", "canonical", "target")
 
 
-def text_mentions(lines: DataFrame, names: DataFrame, most_words: int = 5) -> DataFrame:
+#: First words that a plan may carry; beyond it every word of a line may begin a name.
+FIRST_WORDS = 1000
+
+
+def _tokens(line: Column) -> Column:
+    return F.filter(F.split(F.regexp_replace(line, r"([^\p{L}\p{N}_ ])", " $1 "), " +"), lambda w: w != "")
+
+
+def text_mentions(lines: DataFrame, names: DataFrame) -> DataFrame:
     """(path, no, canonical, alias, n): names in the lines outside links, between non-word characters.
 
-    Runs of up to ``most_words`` words meet the names by equality, so the cost follows the text and not its product
-    with the names; every alias counts for itself. names: (alias, canonical), lower case, words apart by one space.
+    Runs of words meet the names by equality, so the cost follows the text and not its product with the names; runs have
+    the lengths that the names have, however long, and begin with a first word of theirs where these are few. Every alias
+    counts for itself. names: (alias, canonical), lower case. Counts the names when it is called.
     """
+    known = names.select("alias", "canonical").distinct().withColumn("t", _tokens(F.col("alias"))).filter(F.size("t") > 0)
+    lengths = sorted(r[0] for r in known.select(F.size("t")).distinct().collect())  # a handful of numbers
+    first = [r[0] for r in known.select(F.col("t")[0]).distinct().limit(FIRST_WORDS + 1).collect()]
     plain = F.lower(F.regexp_replace("line", r"\[\[.*?\]\]", " . "))
-    words = F.filter(F.split(F.regexp_replace(plain, r"([^\p{L}\p{N}_ ])", " $1 "), " +"), lambda w: w != "")
-    rows = lines.select("path", "no", words.alias("w")).filter(F.size("w") > 0)
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(most_words), F.size("w") - i + 1)), lambda k: F.array_join(F.slice("w", i, k), " "))))
-    return rows.select("path", "no", F.explode(runs).alias("alias")).join(names.select("alias", "canonical").distinct(), "alias").groupBy("path", "no", "canonical", "alias").agg(F.count("*").alias("n"))
+    rows = lines.select("path", "no", _tokens(plain).alias("w")).filter(F.size("w") > 0)
+    starts = F.sequence(F.lit(1), F.size("w"))
+    if len(first) <= FIRST_WORDS:
+        starts = F.filter(starts, lambda i: F.element_at("w", i).isin(first))
+    fits = lambda i: F.filter(F.array(*map(F.lit, lengths)), lambda k: i + k - 1 <= F.size("w"))
+    runs = F.flatten(F.transform(starts, lambda i: F.transform(fits(i), lambda k: F.array_join(F.slice("w", i, k), " "))))
+    keyed = known.select(F.array_join("t", " ").alias("run"), "alias", "canonical")
+    return rows.select("path", "no", F.explode(runs).alias("run")).join(keyed, "run").groupBy("path", "no", "canonical", "alias").agg(F.count("*").alias("n"))
 
 
 def coverage(mentions: DataFrame) -> DataFrame:
@@ -94,14 +120,52 @@ def coverage(mentions: DataFrame) -> DataFrame:
     )
 
 
+def _order(by: str) -> list[Column]:
+    total = F.col("link_mentions") + F.col("text_mentions")
+    first = {"mentions": [total.desc()], "links": [F.col("link_mentions").desc()], "sessions": [F.col(c).desc() for c in ("sessions", "link_sessions", "link_mentions", "text_mentions")]}
+    return [*first[by], F.col("canonical").asc()]
+
+
 def ranked(counts: DataFrame, by: str = "mentions", top: int | None = None) -> DataFrame:
-    """Adds ``rank``, running on through ties. by mentions: the total, then the name; by sessions: coverage first."""
-    if by == "mentions":
-        order = [(F.col("link_mentions") + F.col("text_mentions")).desc(), F.col("canonical").asc()]
-    else:
-        order = [F.col(c).desc() for c in ("sessions", "link_sessions", "link_mentions", "text_mentions")] + [F.col("canonical").asc()]
-    out = counts.orderBy(*order).limit(top) if top else counts
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    """Adds ``rank``, running on through ties. by mentions: the total, then the name; links: these alone; sessions: coverage first."""
+    order = _order(by)
+    return numbered(counts.orderBy(*order).limit(top) if top else counts, *order)
+
+
+#: The ranked lists: what counts, in what order, how many, and whether of stubs alone (True) or of others alone (False).
+PUNCH_LISTS = {
+    "all": ("mentions", None, None), "links": ("links", None, None), "stubs": ("mentions", None, True),
+    "stub_links": ("links", None, True), "sessions": ("sessions", 500, None), "high_value": ("sessions", 200, False),
+}
+
+
+def punch_list(counts: DataFrame, which: str, ignored: DataFrame | None = None) -> DataFrame:
+    """One of PUNCH_LISTS, with its rank. counts: coverage() with canonical, stub; what has nothing to count is left out.
+
+    ignored: (name), lower case.
+    """
+    by, top, stub = PUNCH_LISTS[which]
+    some = {"mentions": F.col("link_mentions") + F.col("text_mentions"), "links": F.col("link_mentions"), "sessions": F.col("sessions")}[by]
+    rows = counts.filter(some > 0)
+    if stub is not None:
+        rows = rows.filter(F.col("stub") == stub)
+    if ignored is not None:
+        rows = rows.join(ignored.select(F.col("name").alias("_i")), F.lower("canonical") == F.col("_i"), "left_anti")
+    return ranked(rows, by, top)
+
+
+def table_line(*cells: Column) -> Column:
+    """A line of a Markdown table."""
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *[c.cast("string") for c in cells]), F.lit(" |"))
+
+
+def mention_index(mentions: DataFrame) -> DataFrame:
+    """(canonical, mentions): each entity's mentions as an array ordered by file and line, for a nested dump.
+
+    mentions: (canonical, path, no, is_link, shown). An entity's list is one cell; ranked lists need none of it.
+    """
+    one = F.struct("path", "no", F.when(F.col("is_link"), "link").otherwise("text").alias("type"), "shown")
+    return mentions.groupBy("canonical").agg(F.array_sort(F.collect_list(one)).alias("mentions"))
 
 
 def unsupported(pairs: DataFrame, seen: DataFrame) -> DataFrame:
@@ -111,9 +175,25 @@ def unsupported(pairs: DataFrame, seen: DataFrame) -> DataFrame:
     return pairs.join(together, ["a", "b"], "left_anti")
 
 
-def duplicates(entities: DataFrame) -> DataFrame:
-    """(folder, key, names, n): entities of a folder that share a title key."""
-    return entities.groupBy("folder", text.title_key(F.col("title")).alias("key")).agg(F.sort_array(F.collect_set("title")).alias("names"), F.count("*").alias("n")).filter("n > 1")
+def duplicates(entities: DataFrame, distinct_by_intent: Column | None = None) -> DataFrame:
+    """(folder, key, names, n): entities of a folder that share a title key.
+
+    distinct_by_intent: over (folder, title); a group that holds such a title is left out.
+    """
+    meant = F.lit(False) if distinct_by_intent is None else distinct_by_intent
+    out = entities.groupBy("folder", text.title_key(F.col("title")).alias("key")).agg(F.sort_array(F.collect_set("title")).alias("names"), F.count("*").alias("n"), F.max(meant).alias("_meant"))
+    return out.filter("n > 1 and not _meant").drop("_meant")
+
+
+def appearances(mentions: DataFrame) -> DataFrame:
+    """(title, sessions): the sessions in which each candidate appears, in order. mentions: (title, session)."""
+    return mentions.groupBy("title").agg(F.array_sort(F.collect_set("session")).alias("sessions"))
+
+
+def resolution_counts(candidates: DataFrame, names: DataFrame, column: str = "candidate") -> DataFrame:
+    """(candidates, existing, missing) over the different candidates."""
+    own = resolve(candidates.select(column).distinct(), names, column)
+    return own.agg(F.count("*").alias("candidates"), F.count_if(F.col("canonical").isNotNull()).alias("existing"), F.count_if(F.col("canonical").isNull()).alias("missing"))
 
 
 def screened(candidates: DataFrame, stops: DataFrame) -> DataFrame:

@@ -34,17 +34,20 @@ def top_degrees(edges: DataFrame, n: int = 20) -> DataFrame:
 def neighbourhood(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """(node, distance): nodes within so many undirected steps of the start nodes; -1: all that can be reached.
 
-    A loop of joins over the frontier alone; each step drops what an earlier one has found, so cycles end.
+    A loop of joins over the frontier alone; each step looks the frontier up at both ends of the edges, which are written
+    once where more than a step is taken, and drops what an earlier one has found, so cycles end.
     """
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
+    from quire.plans.cut import cut
+
+    own = edges.select("a", "b") if depth in (0, 1) else cut(edges.select("a", "b"))
     seen = start.select("node").distinct().withColumn("distance", F.lit(0))
     front, d = seen, 0
     while d != depth:
         d += 1
-        front = front.join(both, front["node"] == both["a"]).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("distance", F.lit(d))
+        at = front.select("node")
+        ends = own.join(at, own["a"] == at["node"], "left_semi").select(F.col("b").alias("node")).union(own.join(at, own["b"] == at["node"], "left_semi").select(F.col("a").alias("node")))
+        front = ends.distinct().join(seen, "node", "left_anti").withColumn("distance", F.lit(d))
         if depth < 0 or d % 4 == 0:
-            from quire.plans.cut import cut
-
             front = cut(front)
             seen = cut(seen.unionByName(front))
             if not front.limit(1).count():
@@ -64,3 +67,28 @@ def routes(edges: DataFrame, labels: int = 2) -> DataFrame:
     """(a, b, label): directed pairs of places without loops, each with its smallest labels. edges: (a, b, label)."""
     some = F.slice(F.array_sort(F.collect_set(F.nullif("label", F.lit("")))), 1, labels)
     return edges.filter("a <> b").groupBy("a", "b").agg(F.array_join(some, " | ").alias("label"))
+
+
+def phrases(edges: DataFrame, pattern: str) -> DataFrame:
+    """(phrase): what the suffixes of routes state by a pattern's group, each once. edges: (suffix)."""
+    found = F.explode(F.regexp_extract_all("suffix", F.lit(pattern), F.lit(1))).alias("raw")
+    return edges.select(found).select(F.trim("raw").alias("phrase")).filter("phrase <> ''").distinct()
+
+
+# How routes state what they pass and how.
+VIA, METHOD = r"(?i)\[via\s+([^\]]+)\]", r"(?i)\[method:\s*([^\]]+)\]"
+
+
+def sanity(edges: DataFrame, accepted: DataFrame) -> DataFrame:
+    """(kind, phrases, rejected): how many phrases of each kind there are, and how many of these no one accepts.
+
+    accepted: (kind, phrase); kind: via or method.
+    """
+    every = phrases(edges, VIA).withColumn("kind", F.lit("via")).unionByName(phrases(edges, METHOD).withColumn("kind", F.lit("method")))
+    good = accepted.select("kind", "phrase").distinct().withColumn("_good", F.lit(True))
+    return every.join(good, ["kind", "phrase"], "left").groupBy("kind").agg(F.count("*").alias("phrases"), F.count_if(F.col("_good").isNull()).alias("rejected"))
+
+
+def label_counts(edges: DataFrame) -> DataFrame:
+    """(label, n): how many routes state each label."""
+    return edges.groupBy("label").agg(F.count("*").alias("n"))

@@ -15,17 +15,22 @@ def tag_rollup(notes: DataFrame) -> DataFrame:
 
 
 def folder_rollup(files: DataFrame) -> DataFrame:
-    """(folder, n, newest): files below each folder, however deep. files: (slug, modified)."""
-    return files.select("slug", "modified", F.explode(paths.folders(F.col("slug"))).alias("folder")).filter(~F.col("folder").isin(".", "tags")).groupBy("folder").agg(F.count("*").alias("n"), F.max("modified").alias("newest"))
+    """(folder, n, and the newest of each date): files below each folder, however deep. files: (slug, created, modified, published)."""
+    rows = files.select("created", "modified", "published", F.explode(paths.folders(F.col("slug"))).alias("folder")).filter(~F.col("folder").isin(".", "tags"))
+    return rows.groupBy("folder").agg(F.count("*").alias("n"), *[F.max(c).alias(c) for c in ("created", "modified", "published")])
 
 
-def children(files: DataFrame) -> DataFrame:
-    """(folder, child, is_folder, n): what stands right in each folder; sub-folders stand for all below them."""
+def children(files: DataFrame, dates: tuple[str, ...] = ()) -> DataFrame:
+    """(folder, child, is_folder, n, dates): what stands right in each folder; sub-folders stand for all below them.
+
+    dates: columns of files, of which a file has its own and a sub-folder each one's newest among the files right in it.
+    """
     depth = F.size(F.split("slug", "/"))
     prefix = F.posexplode(F.concat(F.array(F.lit("")), paths.folders(F.col("slug")))).alias("at", "folder")
-    rows = files.select("slug", depth.alias("depth"), prefix)
-    child = F.element_at(F.split("slug", "/"), F.col("at") + 1)
-    return rows.select("folder", child.alias("child"), (F.col("at") < F.col("depth") - 1).alias("is_folder")).groupBy("folder", "child", "is_folder").agg(F.count("*").alias("n"))
+    rows = files.select("slug", *dates, depth.alias("depth"), prefix)
+    child, left = F.element_at(F.split("slug", "/"), F.col("at") + 1), F.col("depth") - 1 - F.col("at")
+    newest = [F.max(F.when(F.col("left") <= 1, F.col(c))).alias(c) for c in dates]
+    return rows.select("folder", *dates, child.alias("child"), left.alias("left"), (left > 0).alias("is_folder")).groupBy("folder", "child", "is_folder").agg(F.count("*").alias("n"), *newest)
 
 
 def closure(files: DataFrame) -> DataFrame:
@@ -40,16 +45,42 @@ def breadcrumbs(files: DataFrame) -> DataFrame:
 
 
 def numeric_key(name: Column) -> Column:
-    """For sorting: runs of digits padded to equal length, case and accents aside."""
+    """For sorting: runs of digits by their value, however long, case and accents aside."""
     parts = F.regexp_extract_all(name, F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.lower(F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, 20, "0")).otherwise(p)), ""))
+    digits = lambda p: F.regexp_replace(p, r"^0+(?=\d)", "")
+    padded = lambda p: F.concat(F.lpad(F.length(digits(p)).cast("string"), 10, "0"), digits(p))
+    joined = F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), padded(p)).otherwise(p)), "")
+    return F.collate(joined, "UNICODE_CI_AI")
+
 
+def explorer(listing: DataFrame, keep: Column | None = None, shown: Column | None = None, order: list[Column] | None = None) -> DataFrame:
+    """children() in display order within each folder: folders first, then names by number and letter.
 
-def explorer(listing: DataFrame, keep: Column | None = None) -> DataFrame:
-    """children() in display order within each folder: folders first, then names by number and letter."""
+    keep, shown and order stand for the steps filter, map and sort: which rows, what name they show, in what order.
+    """
     rows = listing.filter(keep) if keep is not None else listing.filter("child <> 'tags'")
-    order = Window.partitionBy("folder").orderBy(F.col("is_folder").desc(), numeric_key(F.col("child")), "child")
-    return rows.withColumn("position", F.row_number().over(order))
+    rows = rows.withColumn("shown", shown if shown is not None else F.col("child"))
+    by = order if order is not None else [F.col("is_folder").desc(), numeric_key(F.col("shown"))]
+    out = rows.withColumn("position", F.row_number().over(Window.partitionBy("folder").orderBy(*by, "child")))
+    return out if shown is not None else out.drop("shown")
+
+
+def find(listing: DataFrame, path: str) -> DataFrame:
+    """The rows of children() below a folder given by its path, '' for the root, however deep."""
+    return listing if not path else listing.filter((F.col("folder") == path) | F.col("folder").startswith(path + "/"))
+
+
+def folder_pages(files: DataFrame) -> DataFrame:
+    """(slug, title): a page for each folder that has files below it."""
+    every = files.select(F.explode(paths.folders(F.col("slug"))).alias("folder")).filter(~F.col("folder").isin(".", "tags")).distinct()
+    return every.select(F.concat("folder", F.lit("/index")).alias("slug"), F.element_at(F.split("folder", "/"), -1).alias("title"))
+
+
+def tag_pages(notes: DataFrame) -> DataFrame:
+    """(slug, title): a page for each tag and those above it, and the index of tags."""
+    every = notes.select(F.explode(F.flatten(F.transform("tags", paths.prefixes))).alias("tag")).distinct()
+    index = notes.sparkSession.createDataFrame([("index",)], "tag string")
+    return every.unionAll(index).select(F.concat(F.lit("tags/"), F.col("tag")).alias("slug"), F.col("tag").alias("title"))
 
 
 def newest_by_tag(notes: DataFrame, limit: int = 10) -> DataFrame:

@@ -46,6 +46,32 @@ def valid(edges: DataFrame, slugs: DataFrame) -> DataFrame:
     return edges.join(slugs.select(F.col("slug").alias("dst")).distinct(), "dst", "left_semi")
 
 
+def rewritten_hrefs(notes: DataFrame, slugs: DataFrame) -> DataFrame:
+    """(src, target, href): each internal link of each note with the relative address it is rewritten to.
+
+    The target is the only page of that file name, else the path as it stands, as seen from the page.
+    """
+    own = notes.select(F.col("slug").alias("src"), F.explode("links").alias("raw")).filter(paths.is_internal(F.col("raw"))).distinct()
+    plain = own.withColumn("target", paths.slugify_path(paths.link_path(F.col("raw")))).withColumn("anchor", paths.link_anchor(F.col("raw")))
+    found = shortest(plain, slugs)
+    return found.select("src", F.col("raw").alias("target"), F.concat(paths.resolve_relative(F.col("src"), F.col("slug")), "anchor").alias("href"))
+
+
+def transclusion_texts(embeds: DataFrame, notes: DataFrame) -> DataFrame:
+    """(page, target, anchor, text): what each embed brings in - a block, a heading's range or the whole page.
+
+    embeds: (page, target, anchor), anchor as #^block, #heading or empty; notes: (slug, body). Null where the page holds
+    no such block or heading; embeds of pages that aren't there are left out.
+    """
+    from quire.functions import text
+    from quire.operators import markdown
+
+    own = notes.select(F.col("slug").alias("_slug"), "body")
+    found = F.when(F.col("anchor").startswith("#^"), text.block_text(F.col("body"), F.substring("anchor", F.lit(3), F.length("anchor"))))
+    found = found.when(F.col("anchor").startswith("#"), markdown.heading_text(F.col("body"), F.substring("anchor", F.lit(2), F.length("anchor")))).otherwise(F.col("body"))
+    return embeds.join(own, embeds["target"] == own["_slug"]).select("page", "target", "anchor", found.alias("text"))
+
+
 def transcluded(embeds: DataFrame, blocks: DataFrame, depth: int | None = None) -> DataFrame:
     """(page, path, depth): pages whose text an embed brings in, directly or through others, each once.
 

@@ -31,6 +31,28 @@ def table_of_contents(raw: Column, deepest: int = 3, least: int = 1) -> Column:
     return F.when(F.size(own) > least, toc).otherwise(F.filter(toc, lambda h: F.lit(False)))
 
 
+def heading_text(body: Column, slug: Column) -> Column:
+    """From the first heading of that slug to the next that is no deeper; null where there is none."""
+    lines = F.split(body, r"\r?\n")
+    mark = lambda x: F.regexp_extract(x, r"^(#{1,6}) +(.+?)\s*#*\s*$", 1)
+    name = lambda x: paths.slug_anchor(F.trim(F.regexp_extract(x, r"^(#{1,6}) +(.+?)\s*#*\s*$", 2)))
+    heads = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("at"), F.length(mark(x)).alias("depth"), name(x).alias("slug"))), lambda h: h.depth > 0)
+    start = F.get(F.filter(heads, lambda h: h.slug == slug), F.lit(0))
+    stop = F.get(F.filter(heads, lambda h: (h.at > start.at) & (h.depth <= start.depth)), F.lit(0))
+    until = F.coalesce(stop.at, F.size(lines))
+    return F.when(start.isNotNull(), F.regexp_replace(F.array_join(F.slice(lines, start.at + 1, until - start.at), "\n"), r"\s+\z", ""))
+
+
+def citations(raw: Column) -> Column:
+    """The different keys that a text cites, [@key] or [@a; @b], in order."""
+    return F.array_distinct(F.regexp_extract_all(raw, F.lit(r"(?<=[\[;\s])@([A-Za-z0-9_:.#$%&\-+?<>~/]*[A-Za-z0-9_])(?=[^\[\]]*\])"), F.lit(1)))
+
+
+def hard_breaks(raw: Column) -> Column:
+    """Line ends within paragraphs as breaks."""
+    return F.regexp_replace(raw, r"(?<=\S)[ \t]*\n(?=[^\n])", "  \n")
+
+
 def blocks(notes: DataFrame) -> DataFrame:
     """(slug, block_id, line) of the lines that end in an anchor."""
     lines = notes.select("slug", F.explode(F.split("body", r"\r?\n")).alias("line"))

@@ -20,27 +20,54 @@ def index(pages: DataFrame, key: str = "slug") -> DataFrame:
     return pages.select(key, F.explode(every).alias("x")).select(key, "x.field", "x.token")
 
 
+def prefix_index(indexed: DataFrame, key: str = "slug") -> DataFrame:
+    """(prefix, key, field), each once: every beginning of every token, so that a word of a query is found by equality.
+
+    Written by ``prefix`` (partitioned, sorted or bucketed) a query reads what it asks for, and not the index.
+    """
+    each = F.explode(F.transform(F.sequence(F.lit(1), F.length("token")), lambda n: F.substring("token", F.lit(1), n))).alias("prefix")
+    return indexed.filter("token <> ''").select(key, "field", each).select("prefix", key, "field").distinct()
+
+
 def query(indexed: DataFrame, text: str, limit: int = 8, key: str = "slug") -> DataFrame:
-    """(key, field_rank): pages in one of whose fields all words of the query begin a token, best field first."""
-    words = text.lower().split()
+    """(key, field_rank): pages in one of whose fields all words of the query begin a token, best field first.
+
+    indexed: index() or prefix_index(); over the latter words are compared by equality.
+    """
+    words = list(dict.fromkeys(text.lower().split()))
     if not words:
         return indexed.select(key, F.lit(0).cast("long").alias("field_rank")).limit(0)
     rank = F.array_position(F.array(*map(F.lit, FIELDS)), F.col("field"))
-    hit = [F.max(F.col("token").startswith(w).cast("int")) for w in words]
-    rows = indexed.filter(F.exists(F.array(*map(F.lit, words)), lambda w: F.col("token").startswith(w)))
+    if "prefix" in indexed.columns:
+        rows, hit = indexed.filter(F.col("prefix").isin(words)), [F.max((F.col("prefix") == w).cast("int")) for w in words]
+    else:
+        rows, hit = indexed.filter(F.exists(F.array(*map(F.lit, words)), lambda w: F.col("token").startswith(w))), [F.max(F.col("token").startswith(w).cast("int")) for w in words]
     every = rows.groupBy(key, rank.alias("field_rank")).agg(*[h.alias(f"h{i}") for i, h in enumerate(hit)])
     full = every.filter(" AND ".join(f"h{i} = 1" for i in range(len(hit))))
     return full.groupBy(key).agg(F.min("field_rank").alias("field_rank")).orderBy("field_rank", key).limit(limit)
 
 
+def tag_marks(tags: Column, term: str, limit: int = 5) -> Column:
+    """The first tags of a result as list items, those that hold the term marked."""
+    item = lambda t: F.when(F.lower(t).contains(term.lower()), F.concat(F.lit('<li><p class="match-tag">#'), t, F.lit("</p></li>"))).otherwise(F.concat(F.lit("<li><p>#"), t, F.lit("</p></li>")))
+    return F.slice(F.transform(tags, item), 1, limit)
+
+
 def tag_query(pages: DataFrame, tag: str, text: str = "", limit: int = 8, key: str = "slug") -> DataFrame:
     """Pages with a tag that begins so, and whose title or content has all words of the text."""
     own = pages.filter(F.exists("tags", lambda t: F.lower(t).startswith(tag.lower())))
     if text.split():
-        own = own.join(query(index(own, key).filter("field <> 'tags'"), text, limit=10_000, key=key).select(key), key, "left_semi")
+        own = own.join(_having(index(own, key).filter("field <> 'tags'"), text, key), key, "left_semi")
     return own.orderBy(key).limit(limit).select(key)
 
 
+def _having(indexed: DataFrame, text: str, key: str) -> DataFrame:
+    """(key): all pages, in whatever number, in one of whose fields all words begin a token."""
+    words = list(dict.fromkeys(text.lower().split()))
+    every = indexed.groupBy(key, "field").agg(*[F.max(F.col("token").startswith(w)).alias(f"h{i}") for i, w in enumerate(words)])
+    return every.filter(" AND ".join(f"h{i}" for i in range(len(words)))).select(key).distinct()
+
+
 def snippets(pages: DataFrame, term: str, width: int = 30, key: str = "slug") -> DataFrame:
     """(key, start, hits): the window of so many tokens with most hits of the query's words, the last of equals."""
     words = [w for w in term.lower().split() if w]

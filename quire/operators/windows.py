@@ -25,11 +25,16 @@ def hit_windows(rows: DataFrame, parts: str, pattern: str, screen: str | None =
     return out.filter(F.col("window").rlike(screen)) if screen else out
 
 
-def heading_ranges(headings: DataFrame) -> DataFrame:
-    """Adds ``until``: the next heading's position that is no deeper, null at the end. headings: (slug, at, depth)."""
-    later = headings.select(F.col("slug").alias("s"), F.col("at").alias("next"), F.col("depth").alias("d"))
-    cond = (headings["slug"] == later["s"]) & (later["next"] > headings["at"]) & (later["d"] <= headings["depth"])
-    return headings.join(later, cond, "left").groupBy("slug", "at", "depth").agg(F.min("next").alias("until"))
+def heading_ranges(headings: DataFrame, deepest: int = 6) -> DataFrame:
+    """Adds ``until``: the next heading's position that is no deeper, null at the end. headings: (slug, at, depth).
+
+    One pass over a page's headings, last first, that carries the nearest heading of each depth; depths below
+    ``deepest``, which Markdown does not have, would count as that.
+    """
+    after = Window.partitionBy("slug").orderBy(F.col("at").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    depth = F.least(F.col("depth").cast("int"), F.lit(deepest))
+    nearest = F.array(*[F.last(F.when(depth <= d, F.col("at")), ignorenulls=True).over(after) for d in range(1, deepest + 1)])
+    return headings.withColumn("until", F.element_at(nearest, F.greatest(depth, F.lit(1))))
 
 
 def page(rows: DataFrame, by: str, start: int, limit: int) -> DataFrame:

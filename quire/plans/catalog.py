@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import paths, text
 from quire.operators import entities, graph, hierarchy, links, markdown, search, windows
-from quire.plans.fixtures import NOTES_SQL, TEXT_SQL, notes, parsed, read, text_table
+from quire.plans.fixtures import FLAT_SQL, NOTES_SQL, TEXT_SQL, notes, parsed, read, text_table
 from quire.sources import reports, sinks
 from quire.streaming import changes
 
@@ -55,17 +55,17 @@ def relationship_section(spark, d):
     return rows.select("slug", F.regexp_replace("target", "^nation/", "").alias("target"))
 
 
-@query("SELECT 'nation/' || n_name AS slug, 'tip' AS kind, CAST(1 AS BIGINT) AS n FROM nation")
+@query("SELECT 'nation/' || n_name AS slug, ['tip', 'warning', 'own', 'question', 'note', 'danger', 'abstract'][n_nationkey % 7 + 1] AS kind, CAST(1 AS BIGINT) AS n FROM nation")
 def callout_counts(spark, d):
     return markdown.callouts(parsed(spark, d))
 
 
-@query("SELECT 'region/' || replace(r_name, ' ', '-') AS slug, 'top' AS block_id, 'A region.' AS line FROM region")
+@query("SELECT 'region/' || replace(r_name, ' ', '-') AS slug, 'top' AS block_id, 'A region.' AS line FROM region UNION ALL SELECT 'nation/' || n_name, 'b' || n_nationkey, 'Text ' || n_nationkey FROM nation WHERE n_nationkey % 2 = 1")
 def block_anchors(spark, d):
     return markdown.blocks(parsed(spark, d))
 
 
-@query("SELECT 'nation/' || n_name AS slug, [0, 0][i] AS depth, ['Relationships', 'Notes'][i] AS text, ['relationships', 'notes'][i] AS anchor FROM nation, (VALUES (1), (2)) t(i)")
+@query("SELECT 'nation/' || n_name AS slug, [0, 0, 1][i] AS depth, ['Relationships', 'Notes', 'Part ' || n_nationkey][i] AS text, ['relationships', 'notes', 'part-' || n_nationkey][i] AS anchor FROM nation, (VALUES (1), (2), (3)) t(i) WHERE i < 3 OR n_nationkey % 2 = 1")
 def tables_of_contents(spark, d):
     rows = parsed(spark, d).select("slug", F.explode(markdown.table_of_contents(F.col("body"))).alias("h"))
     return rows.select("slug", "h.depth", "h.text", F.col("h.slug").alias("anchor"))
@@ -110,14 +110,9 @@ def _embeds(spark, d) -> tuple[DataFrame, DataFrame]:
     return n.select(page.alias("page"), target.alias("target")), n.select(page.alias("path"))
 
 
-@query("WITH RECURSIVE e AS (SELECT 'nation/' || n_name AS page, 'nation/NATION_' || ((n_nationkey + 1) % 25) AS path FROM nation), w(page, path, depth) AS (SELECT page, path, 1 FROM e UNION ALL SELECT w.page, e.path, depth + 1 FROM w JOIN e ON e.page = w.path WHERE depth < 3) SELECT page, path, min(depth) AS depth FROM w WHERE page <> path GROUP BY ALL")
-def transclusions(spark, d):
-    return links.transcluded(*_embeds(spark, d), depth=3)
-
-
 # Every page that embeds reach; no way without a repeat is longer than there are pages.
 @query("WITH RECURSIVE e AS (SELECT 'nation/' || n_name AS page, 'nation/NATION_' || ((n_nationkey + 1) % 25) AS path FROM nation), w(page, path, depth) AS (SELECT page, path, 1 FROM e UNION SELECT w.page, e.path, depth + 1 FROM w JOIN e ON e.page = w.path WHERE depth < (SELECT count(*) FROM nation)) SELECT page, path, min(depth) AS depth FROM w WHERE page <> path GROUP BY ALL")
-def transclusions_whole(spark, d):
+def transclusions(spark, d):
     return links.transcluded(*_embeds(spark, d))
 
 
@@ -143,26 +138,22 @@ def entity_names_last(spark, d):
 
 
 # The candidate lacks one letter of its name, so all others match: twice their number over the sum of the lengths.
-@query("SELECT regexp_replace(s_name, 'pplier', 'plier') AS candidate, lower(s_name) AS name, 2.0 * (length(s_name) - 1) / (2 * length(s_name) - 1) AS ratio FROM supplier WHERE s_suppkey % 10 = 3")
-def fuzzy_entities(spark, d):
-    names = read(spark, d, "supplier").select(F.lower("s_name").alias("name"))
-    typos = read(spark, d, "supplier").filter("s_suppkey % 10 = 3").select(F.regexp_replace("s_name", "pplier", "plier").alias("candidate"))
-    return entities.resolve_fuzzy(typos, names)
-
-
 @query("SELECT regexp_replace(s_name, 'pplier', 'plier') AS candidate, lower(s_name) AS name, 2.0 * (length(s_name) - 1) / (2 * length(s_name) - 1) AS ratio FROM supplier")
-def fuzzy_entities_whole(spark, d):
+def fuzzy_entities(spark, d):
     suppliers = read(spark, d, "supplier")
     return entities.resolve_fuzzy(suppliers.select(F.regexp_replace("s_name", "pplier", "plier").alias("candidate")), suppliers.select(F.lower("s_name").alias("name")))
 
 
-_MENTION_SQL = "turn AS (SELECT conv_id || '-' || turn AS path, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]') AS w FROM conversations), name AS (SELECT unnest(['the', 'of the', 'in', 'que', 'de la', 'und die']) AS alias), run AS (SELECT path, array_to_string(list_slice(w, i, i + k - 1), ' ') AS alias FROM turn, unnest(generate_series(1, len(w))) a(i), (VALUES (1), (2)) b(k) WHERE i + k - 1 <= len(w))"
+_MENTION_SQL = "turn AS (SELECT conv_id || '-' || turn AS path, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]') AS w FROM conversations), item AS (SELECT regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]') AS w FROM benchmark), size(k) AS (VALUES (1), (2), (7)), name AS (SELECT DISTINCT array_to_string(list_slice(w, 1, k), ' ') AS alias FROM item, size WHERE len(w) >= k), run AS (SELECT path, array_to_string(list_slice(w, i, i + k - 1), ' ') AS alias FROM turn, unnest(generate_series(1, len(w))) a(i), size WHERE i + k - 1 <= len(w))"
 
 
 def _mentions(spark, d) -> DataFrame:
+    """The first word, two words and seven words of each item of the benchmark as names, in what is said."""
     lines = read(spark, d, "conversations").select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("path"), F.lit(0).alias("no"), F.regexp_replace("text", r"\s", " ").alias("line"))
-    names = spark.createDataFrame([(x, x.upper()) for x in ("the", "of the", "in", "que", "de la", "und die")], "alias string, canonical string")
-    return entities.text_mentions(lines, names, most_words=2)
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"), F.lit(0))
+    each = read(spark, d, "benchmark").select(words.alias("w")).select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.slice("w", 1, k).alias("w")) for k in (1, 2, 7)])).alias("x"))
+    names = each.filter(F.size("x.w") == F.col("x.k")).select(F.array_join("x.w", " ").alias("alias")).distinct()
+    return entities.text_mentions(lines, names.select("alias", F.upper("alias").alias("canonical")))
 
 
 @query(f"WITH {_MENTION_SQL} SELECT path, upper(alias) AS canonical, alias, count(*) AS n FROM run JOIN name USING (alias) GROUP BY ALL")
@@ -186,13 +177,13 @@ def note_mentions(spark, d):
     return entities.ranked(entities.coverage(found), by="sessions").select("canonical", "link_mentions", "text_mentions", "files", "sessions", "rank")
 
 
-@query("WITH seen AS (SELECT DISTINCT 'p' || l_partkey AS name, l_orderkey AS session FROM lineitem WHERE l_partkey < 60 UNION SELECT DISTINCT 's' || l_suppkey, l_orderkey FROM lineitem WHERE l_suppkey < 60), pair AS (SELECT 'p' || a AS a, 's' || b AS b FROM generate_series(0, 19) x(a), generate_series(0, 19) y(b)) SELECT a, b FROM pair WHERE NOT EXISTS (SELECT 1 FROM seen x JOIN seen y ON x.session = y.session WHERE x.name = pair.a AND y.name = pair.b)")
+# Customers and the suppliers of their nation, of which no order of theirs has a line.
+@query("WITH pair AS (SELECT 'c' || c_custkey AS a, 's' || s_suppkey AS b FROM customer JOIN supplier ON c_nationkey = s_nationkey) SELECT a, b FROM pair EXCEPT SELECT 'c' || o_custkey, 's' || l_suppkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
 def unsupported_pairs(spark, d):
-    l = read(spark, d, "lineitem")  # noqa: E741
-    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    seen = l.filter("l_partkey < 60").select(name("p", "l_partkey").alias("name"), F.col("l_orderkey").alias("session")).union(l.filter("l_suppkey < 60").select(name("s", "l_suppkey"), "l_orderkey")).distinct()
-    pairs = spark.range(400).select(name("p", "id").alias("a"), F.col("id")).select(F.concat(F.lit("p"), F.floor(F.col("id") / 20).cast("string")).alias("a"), F.concat(F.lit("s"), (F.col("id") % 20).cast("string")).alias("b"))
-    return entities.unsupported(pairs, seen)
+    o, l, c, s = (read(spark, d, t) for t in ("orders", "lineitem", "customer", "supplier"))  # noqa: E741
+    name = lambda p, k: F.concat(F.lit(p), F.col(k).cast("string"))
+    seen = o.select(name("c", "o_custkey").alias("name"), F.col("o_orderkey").alias("session")).union(l.select(name("s", "l_suppkey"), "l_orderkey")).distinct()
+    return entities.unsupported(c.join(s, c["c_nationkey"] == s["s_nationkey"]).select(name("c", "c_custkey").alias("a"), name("s", "s_suppkey").alias("b")), seen)
 
 
 @query("SELECT p_type AS folder, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS key, count(*) AS n FROM part GROUP BY ALL HAVING count(*) > 1")
@@ -236,10 +227,10 @@ def neighbours(spark, d):
     return graph.neighbourhood(_edges(spark, d), spark.createDataFrame([("s1",)], "node string"), 2)
 
 
-@query(f"WITH {_EDGE_SQL} SELECT a, b FROM e WHERE a IN ('p1', 'p2', 'p3', 'p4') AND b IN (SELECT 's' || s_suppkey FROM supplier WHERE s_acctbal > 0)")
+@query(f"WITH {_EDGE_SQL} SELECT a, b FROM e WHERE a IN (SELECT 'p' || p_partkey FROM part WHERE p_size > 25) AND b IN (SELECT 's' || s_suppkey FROM supplier WHERE s_acctbal > 0)")
 def induced_subgraph(spark, d):
     good = read(spark, d, "supplier").filter("s_acctbal > 0").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node"))
-    return graph.induced(_edges(spark, d), good.union(spark.createDataFrame([("p1",), ("p2",), ("p3",), ("p4",)], "node string")))
+    return graph.induced(_edges(spark, d), good.union(read(spark, d, "part").filter("p_size > 25").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")))))
 
 
 @query(f"WITH {NOTES_SQL}, l AS (SELECT DISTINCT slug AS src, replace(unnest(links), ' ', '-') AS dst FROM note) SELECT src, dst, 'link' AS kind FROM l WHERE dst IN (SELECT slug FROM note) UNION SELECT slug, 'tags/' || t, 'tag' FROM (SELECT slug, unnest(tags) AS t FROM note) WHERE t <> 'land'")
@@ -275,9 +266,9 @@ def tag_rollup(spark, d):
     return hierarchy.tag_rollup(parsed(spark, d))
 
 
-@query(f"WITH {NOTES_SQL} SELECT folder, count(*) AS n, max(modified) AS newest FROM note GROUP BY folder")
+@query(f"WITH {NOTES_SQL} SELECT folder, count(*) AS n, max(modified) AS created, max(modified) AS modified, max(modified) AS published FROM note GROUP BY folder")
 def folder_rollup(spark, d):
-    return hierarchy.folder_rollup(parsed(spark, d)).withColumn("newest", F.col("newest").cast("timestamp_ntz"))
+    return hierarchy.folder_rollup(parsed(spark, d)).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("created", "modified", "published")})
 
 
 @query("SELECT '' AS folder, lower(p_type) AS child, true AS is_folder, count(*) AS n FROM part GROUP BY ALL UNION ALL SELECT lower(p_type), replace(p_brand, '#', ''), true, count(*) FROM part GROUP BY ALL UNION ALL SELECT lower(p_type) || '/' || replace(p_brand, '#', ''), 'p' || p_partkey, false, 1 FROM part")
@@ -335,14 +326,15 @@ def slug_universe(spark, d):
     return universe(parsed(spark, d))
 
 
-@query("SELECT 'region' AS folder, count(*) AS n_notes, string_agg('# ' || r_name || chr(10) || chr(10) || 'A region. ^top', chr(10) || chr(10) ORDER BY 'region/' || r_name || '.md') AS text FROM region")
+@query(f"WITH {FLAT_SQL} SELECT folder, row_number() OVER (PARTITION BY folder ORDER BY path) AS position, path, text FROM flat")
 def flattened_export(spark, d):
-    return sinks.flattened(parsed(spark, d).filter("folder = 'region'"))
+    return sinks.flattened(parsed(spark, d))
 
 
-@query("WITH x AS (SELECT n_name AS folder, repeat('x', n_nationkey + 1) AS text FROM nation) SELECT folder, text FROM x WHERE folder NOT IN ('NATION_0', 'NATION_1') UNION ALL SELECT 'NATION_0+NATION_1', 'x' || chr(10) || chr(10) || 'xx'")
+@query("WITH x AS (SELECT n_name AS folder, CAST(i AS BIGINT) AS position, repeat('x', n_nationkey + i) AS text FROM nation, (VALUES (1), (2)) t(i)) SELECT CASE WHEN folder IN ('NATION_0', 'NATION_1') THEN 'NATION_0+NATION_1' ELSE folder END AS output, CASE folder WHEN 'NATION_1' THEN 1 ELSE 0 END AS part, folder, position, text FROM x")
 def merged_exports(spark, d):
-    return sinks.merge_smallest(read(spark, d, "nation").select(F.col("n_name").alias("folder"), F.expr("repeat('x', n_nationkey + 1)").alias("text")))
+    rows = read(spark, d, "nation").select(F.col("n_name").alias("folder"), F.posexplode(F.expr("array(repeat('x', n_nationkey + 1), repeat('x', n_nationkey + 2))")).alias("i", "text"))
+    return sinks.merge_smallest(rows.select("folder", (F.col("i") + 1).cast("long").alias("position"), "text"))
 
 
 @query(f"WITH {NOTES_SQL}, t AS (SELECT DISTINCT unnest(links) AS title FROM note) SELECT title FROM t WHERE title NOT IN (SELECT title FROM note)")
@@ -394,12 +386,18 @@ def unlinked_text(spark, d):
     return b.select("item_id", kept.alias("kept"), text.unlink(kept).alias("plain"))
 
 
-@query()
+@query(f"""WITH {TEXT_SQL}, part AS (SELECT id, string_split(regexp_replace(trim(regexp_replace(body, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), '([.!?]) ', '\\1' || chr(1), 'g'), chr(1)) AS s FROM body
+), fold AS (SELECT id, list_reduce(list_prepend({{'o': '', 'done': false}}, list_transform(s, lambda x: {{'o': x, 'done': false}})), lambda a, x:
+    CASE WHEN a.done OR (a.o <> '' AND (x.o = '' OR length(a.o) + 1 + length(x.o) > 150)) THEN {{'o': a.o, 'done': true}} WHEN a.o = '' THEN {{'o': x.o, 'done': false}} ELSE {{'o': a.o || ' ' || x.o, 'done': false}} END).o AS o FROM part)
+SELECT id, CASE WHEN length(o) > 300 THEN o[:300] || '...' ELSE o END AS description FROM fold""")
 def descriptions(spark, d):
     return text_table(spark, d).select("id", text.description(F.col("body")).alias("description"))
 
 
-@query()
+@query("""WITH fold AS (SELECT doc_id, list_reduce(list_prepend({'l': CAST([] AS BIGINT[]), 'now': CAST(0 AS BIGINT)}, list_transform(string_split(text, chr(10)), lambda x: {'l': CAST([] AS BIGINT[]), 'now': CAST(length(x) AS BIGINT)})), lambda a, x:
+    CASE WHEN a.now > 0 AND a.now + 2 + x.now <= 2400 THEN {'l': a.l, 'now': a.now + 2 + x.now} WHEN a.now = 0 THEN {'l': a.l, 'now': x.now} ELSE {'l': list_append(a.l, a.now), 'now': x.now} END) AS f FROM documents
+), pieces AS (SELECT doc_id, CASE WHEN f.now = 0 THEN f.l ELSE list_append(f.l, f.now) END AS l FROM fold)
+SELECT doc_id, CAST(i - 1 AS INT) AS piece, CAST(l[i] AS INT) AS n FROM pieces, unnest(generate_series(1, len(l))) t(i)""")
 def packed_paragraphs(spark, d):
     docs = read(spark, d, "documents")
     return docs.select("doc_id", F.posexplode(text.packed(F.split("text", "\n"))).alias("piece", "text")).select("doc_id", "piece", F.length("text").alias("n"))
@@ -453,9 +451,9 @@ def carried_sections(spark, d):
 # Search (Q1-Q7, T12, U7)
 
 
-@query("WITH t AS (SELECT item_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> ''))) AS token FROM benchmark) SELECT token, count(*) AS n FROM t GROUP BY token")
+@query("WITH t AS (SELECT 'content' AS field, item_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> ''))) AS token FROM benchmark UNION ALL SELECT 'title', item_id, unnest(['item', CAST(item_id AS VARCHAR)]) FROM benchmark UNION ALL SELECT 'tags', item_id, 'mod/' || item_id % 3 FROM benchmark) SELECT field, token, count(*) AS n FROM t GROUP BY field, token")
 def inverted_index(spark, d):
-    return search.index(_items(spark, d), "item_id").filter("field = 'content'").groupBy("token").agg(F.count("*").alias("n"))
+    return search.index(_items(spark, d), "item_id").groupBy("field", "token").agg(F.count("*").alias("n"))
 
 
 def _items(spark, d) -> DataFrame:
@@ -536,9 +534,10 @@ def set_intersection(spark, d):
     return pick("F").intersect(pick("O"))
 
 
-@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT user_id AS k FROM events WHERE event_type = 'view' EXCEPT SELECT user_id FROM events WHERE event_type = 'error'")
 def set_difference(spark, d):
-    return read(spark, d, "customer").select(F.col("c_custkey").alias("k")).subtract(read(spark, d, "orders").select("o_custkey"))
+    pick = lambda t: read(spark, d, "events").filter(F.col("event_type") == t).select(F.col("user_id").alias("k"))
+    return pick("view").subtract(pick("error"))
 
 
 @query("SELECT name, min(pos) AS first FROM (SELECT lower(p_name) AS name, p_partkey AS pos FROM part) GROUP BY name")
@@ -563,15 +562,17 @@ def candidate_kinds(spark, d):
     return p.select("p_partkey", curation.guess_kind(F.col("p_name")).alias("kind"), curation.is_specific(name).alias("specific"))
 
 
-@query("SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN '[[Place|shown]]' WHEN 1 THEN 'shown' ELSE '[[pcs/X.md|shown]]' END AS new FROM nation WHERE n_nationkey < 20 UNION ALL SELECT n_nationkey, '[[t' || n_nationkey || '|shown]]' FROM nation WHERE n_nationkey >= 20")
+# A link a customer; of what maps a nation's number the first of location, plain and redirect holds; others stay.
+@query("WITH l AS (SELECT c_custkey, c_custkey % 60 AS k, CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE c_name END AS label FROM customer) SELECT c_custkey, CASE WHEN k < 25 AND k % 3 = 0 THEN '[[Place ' || k || coalesce('|' || nullif(label, ''), '') || ']]' WHEN k < 25 AND k % 2 = 0 THEN coalesce(nullif(label, ''), 'Plain ' || k) WHEN k < 25 THEN '[[pcs/X' || k || '.md|' || coalesce(nullif(label, ''), 'X' || k) || ']]' ELSE '[[t' || k || coalesce('|' || nullif(label, ''), '') || ']]' END AS new FROM l")
 def relinked(spark, d):
     from quire.functions import curation
 
-    n = read(spark, d, "nation")
-    target = F.concat(F.lit("t"), F.col("n_nationkey").cast("string"))
-    act = F.when(F.col("n_nationkey") % 3 == 0, F.struct(F.lit("location").alias("action"), F.lit("Place").alias("to"))).when(F.col("n_nationkey") % 3 == 1, F.struct(F.lit("plain").alias("action"), F.lit("P").alias("to"))).otherwise(F.struct(F.lit("redirect").alias("action"), F.lit("pcs/X.md").alias("to")))
-    mapping = n.filter("n_nationkey < 20").select(target.alias("target"), act.alias("m")).select("target", "m.*")
-    return curation.relink(n.select("n_nationkey", target.alias("target"), F.lit("shown").alias("label")), mapping).select("n_nationkey", "new")
+    c, n, k = read(spark, d, "customer"), read(spark, d, "nation"), F.col("n_nationkey")
+    made = lambda action, to, on: F.when(on, F.struct(F.lit(action).alias("action"), F.format_string(to, k).alias("to")))
+    acts = F.array_compact(F.array(made("location", "Place %d", k % 3 == 0), made("plain", "Plain %d", k % 2 == 0), made("redirect", "pcs/X%d.md", F.lit(True))))
+    mapping = n.select(F.format_string("t%d", k).alias("target"), F.explode(acts).alias("m")).select("target", "m.*")
+    label = F.when(F.col("c_custkey") % 4 == 0, None).when(F.col("c_custkey") % 4 == 1, "").otherwise(F.col("c_name"))
+    return curation.relink(c.select("c_custkey", F.format_string("t%d", F.col("c_custkey") % 60).alias("target"), label.alias("label")), mapping).select("c_custkey", "new")
 
 
 @query("SELECT s_suppkey, 'nation/NATION_' || s_nationkey || '.md' AS a, 'Nowhere ' || s_suppkey AS b FROM supplier")
@@ -593,13 +594,15 @@ def route_labels(spark, d):
     return read(spark, d, "supplier").select("s_suppkey", curation.short_labels(label, canon, ("unknown",), ("market",)).alias("label"))
 
 
-@query("WITH w AS (SELECT conv_id || '-' || turn AS id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM conversations) SELECT DISTINCT a, b FROM (VALUES ('the', 'in'), ('que', 'the'), ('zzz', 'in')) p(a, b), w WHERE list_contains(w, a) AND list_contains(w, b)")
+# The first two words of each benchmark item, as they are spelled, anywhere in one text of a conversation.
+@query("WITH p AS (SELECT DISTINCT w[1] AS a, w[2] AS b FROM (SELECT string_split(text, ' ') AS w FROM benchmark) WHERE w[1] <> '' AND w[2] <> '') SELECT a, b FROM p WHERE EXISTS (SELECT 1 FROM conversations WHERE contains(text, a) AND contains(text, b))")
 def supported_pairs(spark, d):
     from quire.functions import curation
 
-    pairs = spark.createDataFrame([("the", "in"), ("que", "the"), ("zzz", "in")], "a string, b string")
+    w = F.split("text", " ")
+    pairs = read(spark, d, "benchmark").filter(F.size(w) > 1).select(w[0].alias("a"), w[1].alias("b")).filter("a <> '' and b <> ''").distinct()
     c = read(spark, d, "conversations")
-    return curation.supported_in(pairs, c.select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.col("text").alias("body")), 1)
+    return curation.supported_in(pairs, c.select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.col("text").alias("body")))
 
 
 @query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN '---' || chr(10) || 'tags:' || chr(10) || '  - new' || chr(10) || '---' || chr(10) ELSE '---' || chr(10) || 'tags:' || chr(10) || '  - new' || chr(10) || '---' || chr(10) || chr(10) END || p_name AS raw FROM part")
@@ -631,10 +634,10 @@ def session_range(spark, d):
     return read(spark, d, "orders").select("o_orderkey", curation.session_number(title).alias("number")).filter("number between 1 and 10")
 
 
-@query("SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey < 20)")
+@query("SELECT DISTINCT user_id AS k FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup')")
 def unseen(spark, d):
-    seen = read(spark, d, "supplier").filter("s_suppkey < 20").select(F.col("s_nationkey").alias("k"))
-    return sinks.missing(read(spark, d, "customer").select(F.col("c_nationkey").alias("k")), seen, "k")
+    e = read(spark, d, "events").select(F.col("user_id").alias("k"), "event_type")
+    return sinks.missing(e.select("k"), e.filter("event_type = 'signup'"), "k")
 
 
 @query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'A' ELSE 'Start' END AS a, CASE WHEN page_id % 2 = 0 THEN 'B' ELSE 'End ' || page_id END AS b, page_id % 2 = 1 AS way FROM pages")
@@ -646,9 +649,10 @@ def first_hops(spark, d):
     return read(spark, d, "pages").select("page_id", curation.first_hop(line).alias("h"), curation.states_a_way(window).alias("way")).select("page_id", "h.a", "h.b", "way")
 
 
-@query("SELECT item_id, 'Item' AS kind, 'Rod of Kings' AS name FROM benchmark UNION ALL SELECT item_id, 'NPC', 'Old Bob' FROM benchmark")
+@query("SELECT item_id, ['Item', 'Location', 'Faction', 'NPC'][item_id % 4 + 1] AS kind, ['Rod of Kings', 'Old Hall', 'Black Company', 'Green Dragon'][item_id % 4 + 1] AS name FROM benchmark UNION ALL SELECT item_id, 'NPC', 'Old Bob' FROM benchmark")
 def quoted_candidates(spark, d):
     from quire.functions import curation
 
-    body = F.concat(F.lit('A "Rod of Kings" and "Old Bob", "small". '), F.col("text"))
+    name = F.element_at(F.array(*map(F.lit, ("Rod of Kings", "Old Hall", "Black Company", "Green Dragon"))), (F.col("item_id") % 4 + 1).cast("int"))
+    body = F.concat(F.lit('A "'), name, F.lit('" and "Old Bob", "small". '), F.col("text"))
     return read(spark, d, "benchmark").select("item_id", F.explode(curation.quoted_candidates(body)).alias("c")).select("item_id", "c.kind", "c.name")

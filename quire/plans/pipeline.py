@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -27,7 +28,7 @@ def explicit_publish() -> Column:
 class Build:
     """text_transforms run on the raw text, transformers on the parsed notes; filters all have to hold.
 
-    Emitters turn notes into outputs; nothing is written here, so a dry run is to build and not to write.
+    Emitters turn notes into outputs; only write() writes, so a dry run is to build and not to write.
     """
 
     text_transforms: list[Callable[[Column], Column]] = field(default_factory=lambda: [text.strip_comments])
@@ -38,7 +39,7 @@ class Build:
     def parse(self, notes: DataFrame, as_of: Column | None = None) -> DataFrame:
         from quire.sources.notes import parse_notes
 
-        raw = reduce(lambda c, f: f(c), self.text_transforms, F.trim("raw"))
+        raw = reduce(lambda c, f: f(c), self.text_transforms, text.strip(F.col("raw")))
         return reduce(lambda df, f: f(df), self.transformers, parse_notes(notes.withColumn("raw", raw), as_of))
 
     def published(self, parsed: DataFrame) -> DataFrame:
@@ -49,6 +50,17 @@ class Build:
         keep = reduce(lambda a, b: a & b, self.filters, F.lit(True))
         return parsed.agg(F.count("*").alias("parsed"), F.count_if(~keep).alias("dropped"))
 
+    def write(self, published: DataFrame, root: str) -> dict[str, tuple[int, float]]:
+        """Writes what each emitter gives (slug, ext, content) below a folder of its name; files and seconds of each."""
+        from quire.sources.sinks import write_files
+
+        out = {}
+        for name, rows in self.emit(published).items():
+            began = time.monotonic()
+            n = write_files(rows, f"{root.rstrip('/')}/{name}").count()
+            out[name] = (n, time.monotonic() - began)
+        return out
+
     def emit(self, published: DataFrame) -> dict[str, DataFrame]:
         return {name: f(published) for name, f in self.emitters.items()}
 
@@ -58,3 +70,9 @@ def slug_universe(parsed: DataFrame) -> DataFrame:
     from quire.functions import paths
 
     return parsed.select("slug").union(parsed.select(F.explode(F.transform("aliases", lambda a: paths.slugify_path(a))))).distinct()
+
+
+def visited(pages: DataFrame, seen: DataFrame) -> DataFrame:
+    """Adds ``visited`` to pages (slug): whether a reader's list (slug) has them."""
+    own = seen.select(F.col("slug").alias("_s")).distinct().withColumn("visited", F.lit(True))
+    return pages.join(own, pages["slug"] == F.col("_s"), "left").withColumn("visited", F.coalesce("visited", F.lit(False))).drop("_s")

@@ -15,7 +15,8 @@ SYNONYMS = {
     "modified": ("modified", "lastmod", "updated", "last-modified", "created", "date"),
     "published": ("published", "publishDate", "date"),
 }
-_BLOCK = r"(?s)\A---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\z)"
+_BLOCK = r"(?s)\A---[ \t]*\r?\n(?:(.*?)\r?\n)??---[ \t]*(?:\r?\n|\z)"
+_TOML = r"(?s)\A\+\+\+[ \t]*\r?\n(?:(.*?)\r?\n)??\+\+\+[ \t]*(?:\r?\n|\z)"
 
 
 def read_notes(spark: SparkSession, root: str, ignore: tuple[str, ...] = ()) -> DataFrame:
@@ -27,19 +28,92 @@ def read_notes(spark: SparkSession, root: str, ignore: tuple[str, ...] = ()) ->
     base = root.rstrip("/").split("://")[-1] + "/"
     path = F.element_at(F.split(F.col("path"), F.lit(r"\Q" + base + r"\E")), -1)
     out = files.select(path.alias("path"), F.col("content").cast("string").alias("raw"), F.col("modificationTime").alias("modified"))
-    for glob in ignore:
-        pattern = glob.replace(".", r"\.").replace("**", "\0").replace("*", "[^/]*").replace("\0", ".*")
+    for pattern in map(_pattern, ignore):
         out = out.filter(~F.col("path").rlike(f"(^|/){pattern}(/|$)"))
     return out
 
 
+def _pattern(glob: str) -> str:
+    return glob.replace(".", r"\.").replace("**", "\0").replace("*", "[^/]*").replace("\0", ".*")
+
+
+def not_ignored(path: Column, rules: list[str]) -> Column:
+    """Whether the lines of a .gitignore leave a path in: comments and blank lines say nothing, a slash before the end
+    anchors a rule at the root, one at the end means folders, ! takes back what earlier rules leave out."""
+    out = F.lit(True)
+    for rule in (r.strip() for r in rules):
+        if rule and not rule.startswith("#"):
+            back, rule = rule.startswith("!"), rule.lstrip("!")
+            anchored, only_folders = "/" in rule.rstrip("/"), rule.endswith("/")
+            found = path.rlike(("^" if anchored else "(^|/)") + _pattern(rule.strip("/")) + ("/" if only_folders else "(/|$)"))
+            out = F.when(found, F.lit(back)).otherwise(out)
+    return out
+
+
 def front_matter(raw: Column) -> Column:
-    """The block between the lines of three hyphens at the top; empty where there is none."""
-    return F.regexp_extract(raw, _BLOCK, 1)
+    """The block between the lines of three hyphens at the top, or of three plus signs; empty where there is none.
+
+    The latter is another notation, name = value; its lines are turned into those of the first.
+    """
+    toml = F.regexp_replace(F.regexp_extract(raw, _TOML, 1), r"(?m)^([A-Za-z0-9_\-]+)[ \t]*=[ \t]*", "$1: ")
+    return F.when(raw.startswith("+++"), toml).otherwise(F.regexp_extract(raw, _BLOCK, 1))
 
 
 def body(raw: Column) -> Column:
-    return F.trim(F.regexp_replace(raw, _BLOCK, ""))
+    from quire.functions import text
+
+    return text.strip(F.when(raw.startswith("+++"), F.regexp_replace(raw, _TOML, "")).otherwise(F.regexp_replace(raw, _BLOCK, "")))
+
+
+def listed_fields(raw: Column, most_lines: int = 400) -> Column:
+    """(title, aliases) as the line-based reader has them, over the lines of the block, which has to end early.
+
+    Every ``aliases:`` line opens a list; items add to it, blank lines and comments leave it open, others close it. The
+    bound on lines is part of the format: a block that ends later is none.
+    """
+    lines = F.transform(F.split(raw, r"\r?\n"), lambda x: F.rtrim(x))
+    marks = F.filter(F.transform(lines, lambda x, i: F.when(F.trim(x) == "---", i)), lambda i: i.isNotNull() & (i < most_lines))
+    own = F.when((F.size(marks) > 1) & (marks[0] == 0), F.slice(lines, F.lit(2), F.greatest(marks[1] - 1, F.lit(0)))).otherwise(F.array().cast("array<string>"))
+    bare = lambda x: F.regexp_replace(F.trim(x), '^"+|"+$', "")
+    item = r"^\s*-[ \t]+(.+)$"
+
+    def step(acc, x):
+        name, inside = bare(F.regexp_extract(x, r"^title:(.*)$", 1)), acc.inside & x.rlike(item)
+        return F.struct(
+            F.when(x.startswith("title:") & (name != ""), name).otherwise(acc.title).alias("title"),
+            F.when(inside, F.concat(acc.aliases, F.array(bare(F.regexp_extract(x, item, 1))))).otherwise(acc.aliases).alias("aliases"),
+            F.when(x.rlike(r"^aliases:\s*$"), True).when(x.startswith("title:"), False).otherwise(acc.inside & (inside | (F.trim(x) == "") | F.ltrim(x).startswith("#"))).alias("inside"),
+        )
+
+    start = F.struct(F.lit(None).cast("string").alias("title"), F.array().cast("array<string>").alias("aliases"), F.lit(False).alias("inside"))
+    return F.aggregate(own, start, step, lambda acc: F.struct(acc.title.alias("title"), acc.aliases.alias("aliases")))
+
+
+def indented_list(block: Column, name: str) -> Column:
+    """The items of a field whose lines begin with two blanks and a hyphen; others end it. Empty where there are none."""
+    items = F.regexp_extract(block, rf"(?m)^{name}:[ \t]*\r?\n((?:  -[^\r\n]*(?:\r?\n|\z))+)", 1)
+    lines = F.filter(F.split(items, r"\r?\n"), lambda x: x != "")
+    return F.transform(lines, lambda x: F.regexp_replace(F.trim(F.substring(x, F.lit(4), F.length(x))), r"""^(["'])(.*)\1$""", "$2"))
+
+
+def place_names(notes: DataFrame) -> DataFrame:
+    """(name, canonical): each page by its file's name and by its aliases, lower case; an alias wins over a file's name.
+
+    notes: (path, aliases). Of several pages that share a name in one way the last path wins.
+    """
+    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.md$", "")
+    every = notes.select("path", stem.alias("canonical"), F.explode(F.concat(F.array(F.struct(F.lit(0).alias("rank"), stem.alias("name"))), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.struct(F.lit(1).alias("rank"), a.alias("name"))))).alias("n"))
+    return every.groupBy(F.lower("n.name").alias("name")).agg(F.max_by("canonical", F.struct("n.rank", "path")).alias("canonical"))
+
+
+def git_dates(commits: DataFrame) -> DataFrame:
+    """(path, modified): the newest commit of each file. commits: (value), each a date line and the lines of its files.
+
+    That is ``git log --format=%x00%cI --name-only``, read as text with the zero character between records.
+    """
+    lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")
+    rows = commits.select(F.try_to_timestamp(lines[0]).alias("modified"), F.explode(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))).alias("path"))
+    return rows.groupBy("path").agg(F.max("modified").alias("modified"))
 
 
 def scalar(block: Column, name: str) -> Column:
@@ -72,15 +146,27 @@ def date_of(block: Column, field: str) -> Column:
     return F.coalesce(*[F.try_to_timestamp(scalar(block, n)) for n in SYNONYMS[field]])
 
 
+def dated(notes: DataFrame, git: DataFrame | None = None) -> DataFrame:
+    """notes (path, front, file, ...) with ``modified``: what the note states, else its last commit, else its file's date."""
+    from quire.functions.curation import best_date
+
+    if git is None:
+        return notes.withColumn("modified", best_date(F.col("front"), F.lit(None).cast("timestamp"), F.col("file")))
+    own = git.select(F.col("path").alias("_p"), F.col("modified").alias("_m"))
+    return notes.join(own, notes["path"] == own["_p"], "left").withColumn("modified", best_date(F.col("front"), F.col("_m"), F.col("file"))).drop("_p", "_m")
+
+
 def parse_notes(notes: DataFrame, as_of: Column | None = None) -> DataFrame:
-    """(path, folder, slug, title, body, tags, aliases, draft, publish, created, modified, published, links).
+    """(path, folder, slug, title, body, tags, aliases, permalink, draft, publish, created, modified, published, links).
+
+    A permalink is an alias too.
 
     Dates that are missing or unreadable fall back on one another and then on as_of, which is never the clock.
     """
     from quire.functions import paths, text
 
-    block, raw = front_matter(F.col("raw")), F.col("raw")
-    out = notes.select("*", block.alias("_block"), body(raw).alias("body"))
+    raw = text.strip(F.col("raw"))
+    out = notes.select("*", front_matter(raw).alias("_block"), body(raw).alias("body"))
     block = F.col("_block")
     first = lambda field: F.coalesce(*[listed(block, n) for n in SYNONYMS[field]], F.array().cast("array<string>"))
     tags = F.array_distinct(F.concat(F.transform(first("tags"), paths.slug_tag), F.transform(text.inline_tags(F.col("body")), paths.slug_tag)))
@@ -92,7 +178,8 @@ def parse_notes(notes: DataFrame, as_of: Column | None = None) -> DataFrame:
         title(block, F.col("body"), F.col("path")).alias("title"),
         "body",
         tags.alias("tags"),
-        first("aliases").alias("aliases"),
+        F.array_compact(F.array_append(first("aliases"), scalar(block, "permalink"))).alias("aliases"),
+        scalar(block, "permalink").alias("permalink"),
         F.coalesce(scalar(block, "draft") == "true", F.lit(False)).alias("draft"),
         F.coalesce(scalar(block, "publish") == "true", F.lit(False)).alias("publish"),
         F.coalesce(date_of(block, "created"), default).alias("created"),

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text
 
+# Fixed value: the line format of routes.
 EDGE = r"^- \[\[([^\]]+)\]\] -> \[\[([^\]]+)\]\](.*)$"
 
 
@@ -35,22 +39,67 @@ def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
-def split_recaps(lines: DataFrame, header: str, date: str = r"^\d{4}-\d{2}-\d{2}$", most: int | None = 15) -> DataFrame:
-    """(part, date, header, text) of numbered lines (no, value): from each header's date line to the next one's.
+def split_recaps(lines: DataFrame, headers: tuple[str, ...], date: str = r"^\d{4}-\d{2}-\d{2}\r?$", up_to: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, part, date, header, numbers, text) of numbered lines (by, no, value): from each header's date line to the next part.
 
-    A header without a date line right before it begins by itself; most: parts that are kept, in order.
+    headers: patterns, the first that matches a line holds; the digits at the beginning of their groups but the last are
+    the numbers of the part. up_to: parts of whose numbers all are at most that begin; the text of others stays with the
+    part before them. A header's date line is the last one before it that no other header follows; without one it begins itself.
+    Files are told apart by the columns ``by``; one file is worked on in one task.
     """
-    order = Window.orderBy("no")
-    own = F.col("value").rlike(header)
-    dated = F.lag("value").over(order).rlike(date)
-    marked = lines.withColumn("_head", own).withColumn("_start", F.lead("value").over(order).rlike(header) & F.col("value").rlike(date) | own & ~F.coalesce(dated, F.lit(False)))
-    part = marked.withColumn("part", F.sum(F.col("_start").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).filter("part > 0")
-    out = part.groupBy("part").agg(
-        F.min(F.when(F.col("value").rlike(date), F.col("value"))).alias("date"),
-        F.min_by("value", F.when(F.col("_head"), F.col("no"))).alias("header"),
+    file = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    order = file.orderBy("no")
+    kinds = [F.when(F.col("value").rlike(p), F.array(*[F.regexp_extract(F.regexp_extract("value", p, g), r"^(\d+)", 1).try_cast("int") for g in range(1, re.compile(p).groups)])) for p in headers]
+    marked = lines.withColumn("numbers", F.coalesce(*[F.array_compact(k) for k in kinds]))
+    earlier = F.last(F.when(F.col("numbers").isNotNull(), F.col("no")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = marked.withColumn("_earlier", earlier)
+    if up_to is not None:
+        marked = marked.withColumn("numbers", F.when(F.forall("numbers", lambda n: n <= up_to), F.col("numbers")))
+    before = F.last(F.when(F.col("value").rlike(date), F.col("no")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    own_date = F.when(F.col("_earlier").isNull() | (before > F.col("_earlier")), before)
+    heads = marked.withColumn("_start", F.when(F.col("numbers").isNotNull(), F.coalesce(own_date, "no")))
+    # Where each part begins, carried back to its first line, then counted on.
+    begins = heads.withColumn("_begins", F.min("_start").over(order.rowsBetween(0, Window.unboundedFollowing)) == F.col("no"))
+    part = begins.withColumn("part", F.sum(F.col("_begins").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).filter("part > 0")
+    first = F.min_by(F.struct("value", "numbers"), F.when(F.col("numbers").isNotNull(), F.col("no")))
+    out = part.groupBy(*by, "part").agg(
+        F.min_by("value", F.when(F.col("value").rlike(date), F.col("no"))).alias("date"), first.alias("_h"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "value"))), lambda x: x.value), "\n").alias("text"),
-    )
-    return out.filter(F.col("part") <= most) if most else out
+    )
+    return out.select(*by, "part", "date", F.col("_h.value").alias("header"), F.col("_h.numbers").alias("numbers"), "text")
+
+
+def models(listing: DataFrame) -> DataFrame:
+    """(model): those of a service's JSON listing (value) that can chat, as their names say; an unreadable one gives none."""
+    ids = F.from_json("value", "data array<struct<id string>>").getField("data")
+    return listing.select(F.explode(F.transform(ids, lambda m: m.id)).alias("model")).filter(~F.lower("model").contains("embed"))
+
+
+def completed(log: DataFrame, folder: str = "npcs") -> DataFrame:
+    """(name, at): the pages of a folder that an audit log's links name, once each, in order. log: (no, value)."""
+    names = F.regexp_extract_all("value", F.lit(rf"\[\[(?:vault/)?{folder}/[^\]|]+\|([^\]]+)\]\]"), F.lit(1))
+    return log.select("no", F.posexplode(names).alias("i", "name")).groupBy("name").agg(F.min(F.struct("no", "i")).alias("at"))
+
+
+def bibliography(files: DataFrame) -> DataFrame:
+    """(key, type, field, value) of BibTeX texts (value); values lose their braces or quotes, entries without fields are left out."""
+    entry = r"(?s)@(\w+)\s*\{\s*([^,\s]+)\s*,(.*?)\n\s*\}"
+    part = lambda k: F.regexp_extract_all("value", F.lit(entry), F.lit(k))
+    rows = files.select(F.explode(F.arrays_zip(part(1).alias("t"), part(2).alias("k"), part(3).alias("f"))).alias("e"))
+    field = r"(?s)(\w+)\s*=\s*(\{(?:[^{}]|\{[^{}]*\})*\}|\"[^\"]*\"|\w+)"
+    own = lambda k: F.regexp_extract_all("e.f", F.lit(field), F.lit(k))
+    each = rows.select(F.col("e.k").alias("key"), F.lower("e.t").alias("type"), F.explode(F.arrays_zip(own(1).alias("n"), own(2).alias("v"))).alias("x"))
+    return each.select("key", "type", F.lower("x.n").alias("field"), F.regexp_replace("x.v", r'^[{"]|[}"]$', "").alias("value"))
+
+
+def edge_report(routes: DataFrame) -> DataFrame:
+    """(place, position, line): the lines that state a route with both ends linked, by the place they were found for.
+
+    routes: (place, no, value); others are left out. The first position of a place is its heading.
+    """
+    line = F.trim("value")
+    rows = routes.filter(line.rlike(EDGE)).select("place", line.alias("line"), F.row_number().over(Window.partitionBy("place").orderBy("no")).alias("position"))
+    return rows.select("place", "position", "line").unionAll(rows.select("place").distinct().select("place", F.lit(0).alias("position"), F.concat(F.lit("## "), F.col("place")).alias("line")))
 
 
 def section_lines(lines: DataFrame, by: list[str], order: str, header: str, column: str = "value") -> DataFrame:
@@ -59,8 +108,11 @@ def section_lines(lines: DataFrame, by: list[str], order: str, header: str, colu
     return lines.withColumn("section", F.last(F.when(F.col(column).rlike(header), F.regexp_extract(column, header, 1)), ignorenulls=True).over(w))
 
 
-def chat(rows: DataFrame, client, prompt: str = "prompt", on_error: str = "null") -> DataFrame:
-    """Adds ``reply`` = client(prompt), a function that runs on executors; on_error: null, accept (YES) or raise."""
+def chat(rows: DataFrame, client, prompt: str = "prompt", on_error: str = "null", at_once: int = 8) -> DataFrame:
+    """Adds ``reply`` = client(prompt), a function that runs on executors; on_error: null, accept (YES) or raise.
+
+    A task has at most ``at_once`` requests under way.
+    """
     import pandas as pd
 
     def one(p):
@@ -72,8 +124,16 @@ def chat(rows: DataFrame, client, prompt: str = "prompt", on_error: str = "null"
             return "YES" if on_error == "accept" else None
 
     def run(frames):
-        for frame in frames:
-            frame["reply"] = pd.Series([one(p) for p in frame[prompt]], dtype=object, index=frame.index)
-            yield frame
+        with ThreadPoolExecutor(at_once) as pool:
+            for frame in frames:
+                frame["reply"] = pd.Series(list(pool.map(one, frame[prompt])), dtype=object, index=frame.index)
+                yield frame
 
     return rows.mapInPandas(run, ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + ", reply string")
+
+
+def screened(rows: DataFrame, client, prompt: str = "prompt", on_error: str = "accept") -> DataFrame:
+    """The rows to whose prompt the reply begins with Y, or says YES anywhere where an error accepts."""
+    said = F.upper(F.trim("reply"))
+    yes = said.contains("YES") if on_error == "accept" else said.startswith("Y")
+    return chat(rows, client, prompt, on_error).filter(yes).drop("reply")

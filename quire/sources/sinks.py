@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import paths, text
+from quire.plans.cut import numbered
+from quire.plans.workers import reach
 
 
-def content_index(notes: DataFrame) -> DataFrame:
-    """(slug, title, links, tags, content), one row a slug: what searches and graphs read."""
-    return notes.select("slug", "title", F.transform("links", lambda x: paths.simplify_slug(paths.slugify_path(x))).alias("links"), "tags", F.col("body").alias("content"))
+def content_index(notes: DataFrame, empty: bool = True) -> DataFrame:
+    """(slug, title, links, tags, content), one row a slug: what searches and graphs read; empty: pages without text too."""
+    rows = notes if empty else notes.filter(F.coalesce("body", F.lit("")) != "")
+    return rows.select("slug", "title", F.transform("links", lambda x: paths.simplify_slug(paths.slugify_path(x))).alias("links"), "tags", F.col("body").alias("content"))
 
 
 def sitemap(notes: DataFrame, base: str) -> DataFrame:
@@ -19,8 +22,9 @@ def sitemap(notes: DataFrame, base: str) -> DataFrame:
     return notes.select("slug", F.concat(F.lit("<url><loc>"), loc, F.lit("</loc><lastmod>"), F.date_format("modified", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit("</lastmod></url>")).alias("xml"))
 
 
-def feed(notes: DataFrame, limit: int = 10) -> DataFrame:
-    """The newest notes: by date downwards, the undated last, then by title; a limit is what a feed is."""
+def feed(notes: DataFrame, limit: int = 10, keep: Column | None = None) -> DataFrame:
+    """The newest notes, of those to keep: by date downwards, the undated last, then by title; a limit is what a feed is."""
+    notes = notes if keep is None else notes.filter(keep)
     item = F.concat(F.lit("<item><title>"), text.escape_html(F.col("title")), F.lit("</title><guid>"), F.col("slug"), F.lit("</guid></item>"))
     return notes.orderBy(F.col("modified").desc_nulls_last(), F.lower("title"), "slug").limit(limit).select("slug", "title", "modified", item.alias("xml"))
 
@@ -36,21 +40,133 @@ def content_pages(notes: DataFrame) -> DataFrame:
     return notes.filter(~F.col("slug").endswith("/index") & ~F.col("slug").startswith("tags/"))
 
 
+def write_files(rows: DataFrame, root: str) -> DataFrame:
+    """Writes a file for each row (slug, ext, content) below the URI root; (path, bytes) of what was written, once it is read.
+
+    Folders are made, files replaced; a task that is repeated writes the same files again. Nulls are empty.
+    """
+    import pyarrow as pa
+    from pyarrow import fs
+
+    reach(rows.sparkSession)
+
+    def run(batches):
+        store, base = fs.FileSystem.from_uri(root)
+        made: set[str] = set()
+        for batch in batches:
+            names, sizes = [], []
+            for slug, ext, content in zip(*(c.to_pylist() for c in batch.columns)):
+                path, raw = f"{slug}{ext or ''}", (content or "").encode() if not isinstance(content, bytes) else content
+                folder = f"{base}/{path}".rsplit("/", 1)[0]
+                if folder not in made:
+                    store.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with store.open_output_stream(f"{base}/{path}") as f:
+                    f.write(raw)
+                names.append(path)
+                sizes.append(len(raw))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], ["path", "bytes"])
+
+    return rows.select("slug", "ext", "content").mapInArrow(run, "path string, bytes long")
+
+
+def copy_files(files: DataFrame, root: str, keep: Column | None = None) -> DataFrame:
+    """The same for assets: binaryFile rows (path, content), all but notes, their paths slugged."""
+    rows = files.filter(~F.col("path").endswith(".md") if keep is None else keep)
+    return write_files(rows.select(paths.slugify_path(F.col("path")).alias("slug"), F.lit("").alias("ext"), "content"), root)
+
+
+def removed_files(events: DataFrame) -> DataFrame:
+    """(path): assets that changes delete, as they are named in the output. events: coalesced (path, op)."""
+    return events.filter((F.col("op") == "delete") & ~F.col("path").endswith(".md")).select(paths.slugify_path(F.col("path")).alias("path"))
+
+
+def site_files(base_url: str, title: str, spark) -> DataFrame:
+    """(slug, ext, content) of the files that stand beside the pages: the domain's name and the page for what isn't there."""
+    page = f"<html><head><title>404 - {title}</title></head><body><h1>404</h1></body></html>"
+    return spark.createDataFrame([("CNAME", "", base_url.split("/")[0]), ("404", ".html", page)], "slug string, ext string, content string")
+
+
+def append_log(rows: DataFrame, path: str) -> None:
+    """Adds rows to a folder of JSON lines."""
+    rows.write.mode("append").json(path)
+
+
 def flattened(notes: DataFrame) -> DataFrame:
-    """(folder, n_notes, text): the notes of each folder by path, links reduced to what they show."""
-    one = F.struct("path", text.unlink(F.col("body")).alias("t"))
-    return notes.groupBy("folder").agg(F.count("*").alias("n_notes"), F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda x: x.t), "\n\n").alias("text"))
+    """(folder, position, path, text): the notes of each folder by path, links reduced to what they show, numbered from 1.
+
+    A folder's text is these in turn, a blank line between; no folder is ever in one cell or one task.
+    """
+    rows = numbered(notes.select("folder", "path", text.unlink(F.col("body")).alias("text")), "folder", "path", name="_at")
+    first = rows.groupBy("folder").agg(F.min("_at").alias("_first"))
+    return rows.join(first, "folder").select("folder", (F.col("_at") - F.col("_first") + 1).alias("position"), "path", "text")
 
 
 def merge_smallest(exports: DataFrame, most: int = 10) -> DataFrame:
-    """Joins the two smallest outputs into one if there are more than ``most``. exports: (folder, text), a few rows."""
-    from pyspark.sql import Window
-
-    size = F.length("text")
-    ranked = exports.select("folder", "text", F.row_number().over(Window.orderBy(size, "folder")).alias("rank"), F.count("*").over(Window.partitionBy()).alias("n"))
-    key = F.when((F.col("n") > most) & (F.col("rank") <= 2), F.lit(1)).otherwise(F.col("rank"))
-    parts = F.array_sort(F.collect_list(F.struct("rank", "folder", "text")))
-    return ranked.groupBy(key.alias("key")).agg(parts.alias("p")).select(F.array_join(F.transform("p", lambda x: x.folder), "+").alias("folder"), F.array_join(F.transform("p", lambda x: x.text), "\n\n").alias("text"))
+    """(output, part, folder, position, text): the two smallest folders as one output if there are more than ``most``.
+
+    exports: (folder, position, text), as flattened() gives them. A folder's size is that of its text with blank lines.
+    """
+    sizes = exports.groupBy("folder").agg((F.sum(F.length("text")) + 2 * (F.count("*") - 1)).alias("size"))
+    small = sizes.orderBy("size", "folder").limit(2).agg(F.array_sort(F.collect_list(F.struct("size", "folder"))).alias("s"))  # two rows
+    merged = small.join(sizes.agg(F.count("*").alias("n"))).filter(F.col("n") > most)
+    names = F.transform("s", lambda x: x.folder)
+    named = merged.select(F.array_join(names, "+").alias("output"), F.posexplode(names).alias("part", "_f"))
+    out = exports.join(F.broadcast(named), exports["folder"] == F.col("_f"), "left")
+    return out.select(F.coalesce("output", "folder").alias("output"), F.coalesce("part", F.lit(0)).alias("part"), "folder", "position", "text")
+
+
+def write_exports(exports: DataFrame, path: str, parts: int = 200) -> None:
+    """Writes merge_smallest() as text, a folder for each output, whose files in the order of their names are its text."""
+    order = ["output", "part", "position"]
+    exports.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("output", "text").write.partitionBy("output").option("lineSep", "\n\n").text(path)
+
+
+def stubs(wanted: DataFrame, there: DataFrame, kinds: dict[str, str] | None = None) -> DataFrame:
+    """(path, content): the pages of names that have none. wanted: (kind, name, seen), seen: the sessions it appears in.
+
+    there: (path). kinds: kind to folder. Slashes in names become hyphens, what file systems refuse goes.
+    """
+    folders = kinds or {"NPC": "npcs", "Location": "locations", "Faction": "factions", "Item": "items"}
+    table = F.create_map(*[F.lit(x) for pair in folders.items() for x in pair])
+    one = F.create_map(*[F.lit(x) for k, f in folders.items() for x in (k, {"pcs": "pc"}.get(f, f[:-1]))])
+    kind = F.col("kind")
+    head = F.concat(F.lit('---\ntitle: "'), "name", F.lit('"\ntags:\n  - '), one[kind], F.lit("\naliases:\n---\n# "), "name", F.lit("\n\n## Summary\n- TODO: Short description.\n\n## Appears In\n"))
+    seen = F.array_join(F.transform(F.array_sort(F.array_distinct("seen")), lambda s: F.concat(F.lit("- [[sessions/"), s, F.lit("|"), F.regexp_replace(s, r"\.md$", ""), F.lit("]]\n"))), "")
+    rows = wanted.filter(table[kind].isNotNull()).select(F.concat(table[kind], F.lit("/"), text.stub_name(F.col("name")), F.lit(".md")).alias("path"), F.concat(head, seen).alias("content"))
+    return missing(rows, there, "path")
+
+
+def verdict_lines(verdicts: DataFrame) -> DataFrame:
+    """(subject, target, line, todo): what a report says of each judged link, and what is to be done, null for nothing.
+
+    verdicts: (subject, target, label, found, reply), reply a JSON text or null where there is none.
+    """
+    said = F.from_json("reply", "references_present string, should_exist string, data_match string, info_to_pull array<string>, reasons string, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    link = F.concat(F.lit("[["), "target", F.lit("|"), "label", F.lit("]]"))
+    no = lambda f: F.upper(F.coalesce(F.col(f"s.{f}"), F.lit(""))).startswith("NO")
+    word = lambda f: F.upper(F.coalesce(F.col(f"s.{f}"), F.lit("")))
+    rows = verdicts.withColumn("s", said)
+    failed = F.col("reply").isNull() | F.col("s._bad").isNotNull()
+    line = F.when(~F.col("found"), F.concat("label", F.lit(": not found"))).when(failed, F.concat(link, F.lit(": no reply"))).otherwise(F.concat_ws("; ", link, word("references_present"), word("should_exist"), word("data_match")))
+    todo = F.when(~F.col("found"), F.concat(F.lit("repair "), link)).when(failed, F.concat(F.lit("review "), link))
+    todo = todo.otherwise(F.nullif(F.concat_ws("; ", F.when(no("references_present"), F.concat(F.lit("check "), link)), F.when(no("should_exist"), F.concat(F.lit("merge "), link)), F.when(no("data_match"), F.concat(F.lit("reconcile "), link)), F.when(F.size(F.coalesce("s.info_to_pull", F.array().cast("array<string>"))) > 0, F.concat(F.lit("pull "), F.array_join(F.slice("s.info_to_pull", 1, 3), ", ")))), F.lit("")))
+    return rows.select("subject", "target", line.alias("line"), todo.alias("todo"))
+
+
+def with_todos(notes: DataFrame, todos: DataFrame) -> DataFrame:
+    """notes (path, body) that have todos, with these under a heading at the end. todos: (path, todo)."""
+    listed = todos.filter("todo is not null").groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list("todo")), lambda t: F.concat(F.lit("- "), t)), "\n").alias("_todos"))
+    mark = F.when(F.col("body").contains("\n## TODO"), F.lit("\n")).otherwise("\n\n## TODOs\n")
+    return notes.join(listed, "path").withColumn("body", F.concat("body", mark, "_todos", F.lit("\n"))).drop("_todos")
+
+
+def fenced(lines: DataFrame, title: str, language: str = "mermaid") -> DataFrame:
+    """(line): a listing (line), in the order it has, as a note with a title and a fenced block."""
+    order = lambda at, values: lines.sparkSession.createDataFrame([(at, v) for v in values], "_o int, line string")
+    head, tail = order(0, [f"# {title}\n\n```{language}"]), order(2, ["```"])
+    own = numbered(lines.withColumn("_o", F.lit(1)), "_o", "line", name="_at").select("_o", "_at", "line")
+    return head.select("_o", F.lit(0).alias("_at"), "line").unionAll(own).unionAll(tail.select("_o", F.lit(0).alias("_at"), "line")).orderBy("_o", "_at").select("line")
 
 
 def missing(wanted: DataFrame, there: DataFrame, key: str) -> DataFrame:

@@ -31,6 +31,29 @@ def applied(state: DataFrame, events: DataFrame) -> DataFrame:
     return out.filter(~F.coalesce("gone", F.lit(False))).drop("gone")
 
 
+def latest(events: DataFrame) -> DataFrame:
+    """(path, op, seq, content): the change that each path's state has undergone, from a stream of events, kept per path.
+
+    The state is the largest seq, whether the note is there, and its content; an event that isn't newer says nothing, so
+    repeated and late ones are harmless. Deleted paths keep their seq, against events that come late.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def run(key, frames, state):
+        seq, changed = (state.get[0], None) if state.exists else (-(2**63), None)
+        for frame in frames:
+            row = frame.loc[frame["seq"].idxmax()]
+            if int(row["seq"]) > seq:
+                seq, changed = int(row["seq"]), row
+        if changed is not None:
+            gone = changed["op"] == "delete"
+            state.update((seq, not gone, None if gone else changed["content"]))
+            yield pd.DataFrame({"path": [key[0]], "op": [changed["op"]], "seq": [seq], "content": [None if gone else changed["content"]]})
+
+    return events.groupBy("path").applyInPandasWithState(run, "path string, op string, seq long, content string", "seq long, there boolean, content string", "append", GroupStateTimeout.NoTimeout)
+
+
 def affected_folders(events: DataFrame) -> DataFrame:
     """(folder) above any changed path, and the root."""
     slug = paths.slugify_path(F.col("path"))
@@ -48,6 +71,21 @@ def affected_pages(edges: DataFrame, changed: DataFrame) -> DataFrame:
     return changed.select("slug").union(edges.join(changed.select(F.col("slug").alias("src")), "src", "left_semi").select("dst")).distinct()
 
 
+def partial(published: DataFrame, changed: DataFrame, emitters: dict[str, Callable[[DataFrame], DataFrame]], whole: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """What each emitter makes of the changed pages (slug) alone; those named in ``whole`` depend on all pages and make all anew."""
+    some = published.join(changed.select("slug").distinct(), "slug", "left_semi")
+    return {name: f(published if name in whole else some) for name, f in emitters.items()}
+
+
+def needs_rebuild(events: DataFrame, sources: tuple[str, ...] = (".ts", ".tsx", ".py", ".json", ".yaml")) -> bool:
+    """Whether a change is one of the program and not of notes, so that everything has to be made anew."""
+    path = F.col("path")
+    found = F.lit(False)
+    for ext in sources:
+        found = found | path.endswith(ext)
+    return events.filter(found).limit(1).count() > 0
+
+
 def run(events: DataFrame, checkpoint: str, emit: Callable[[DataFrame, int], None]):
     """Starts the stream; emit gets the coalesced events of each batch, one batch after the other."""
     return events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, n: emit(coalesced(df), n)).trigger(availableNow=True).start()

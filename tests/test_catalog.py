@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from quire.plans import catalog
+from quire.plans import catalog, catalog_more
 from tests.conftest import DATA
 
 
@@ -27,12 +27,15 @@ def _plain(v):
     return v if v is None or isinstance(v, (bool, int)) else str(v)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+ORACLES = catalog.ORACLES | catalog_more.ORACLES
+
+
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES | catalog_more.QUERIES))
 def test_query(spark, db, name):
     df = __spark_entry__.queries()[name](spark, str(DATA))
     got = sorted((tuple(_plain(r[c]) for c in sorted(df.columns)) for r in df.collect()), key=repr)
-    if name in catalog.ORACLES:
-        found = db.execute(catalog.ORACLES[name])
+    if name in ORACLES:
+        found = db.execute(ORACLES[name])
         names = [c[0] for c in found.description]
         assert sorted(names) == sorted(df.columns)
         order = [names.index(c) for c in sorted(names)]

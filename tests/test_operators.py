@@ -42,9 +42,18 @@ def test_small_sources(spark, tmp_path):
 
 
 def test_recaps_are_split(spark):
-    text = ["intro", "2024-01-01", "Session 1: A", "x", "2024-01-08", "Session 2: B", "y", "Session 3: C", "z"]
-    got = reports.split_recaps(spark.createDataFrame(list(enumerate(text)), "no int, value string"), r"^Session \d+:")
-    assert rows(got, "part", "date", "header") == [(1, "2024-01-01", "Session 1: A"), (2, "2024-01-08", "Session 2: B"), (3, None, "Session 3: C")]
+    text = ["intro", "2024-01-01", "Session 1: A", "x", "2024-01-08", "note", "Session 2b: B", "y", "Sessions 3a and 4: C", "z", "2024-02-01", "Session 16: D", "w"]
+    lines = spark.createDataFrame(list(enumerate(text)), "no int, value string")
+    headers = (r"^Sessions (\d+[a-z]?) and (\d+): (.+)$", r"^Session (\d+)([a-z]?): (.+)$")
+    got = reports.split_recaps(lines, headers)
+    assert rows(got, "part", "date", "header") == [(1, "2024-01-01", "Session 1: A"), (2, "2024-01-08", "Session 2b: B"), (3, None, "Sessions 3a and 4: C"), (4, "2024-02-01", "Session 16: D")]
+    some = {r.part: r for r in reports.split_recaps(lines, headers, up_to=15).collect()}
+    assert len(some) == 3 and some[3].numbers == [3, 4] and some[3].text.endswith("Session 16: D\nw")
+
+
+def test_no_recap_is_lost(spark):
+    lines = spark.createDataFrame([(i, f"Session {i // 2}: x" if i % 2 else "2024-01-01") for i in range(40)], "no int, value string")
+    assert reports.split_recaps(lines, (r"^Session (\d+): (.+)$",)).count() == 20
 
 
 def test_chat(spark):
@@ -80,7 +89,7 @@ def test_every_supplier_is_resolved(spark):
     from quire.plans import catalog
 
     sf = "/root/testdata/sf0.001"
-    found = dict(rows(catalog.QUERIES["fuzzy_entities_whole"](spark, sf), "candidate", "name"))
+    found = dict(rows(catalog.QUERIES["fuzzy_entities"](spark, sf), "candidate", "name"))
     assert found == {r.s_name.replace("pplier", "plier"): r.s_name.lower() for r in spark.read.parquet(f"{sf}/supplier.parquet").collect()}
 
 
@@ -161,3 +170,106 @@ def test_changes_as_a_stream(spark, tmp_path):
     state = spark.createDataFrame([("a", 3, "z")], "path string, seq long, content string")
     late = spark.createDataFrame([("a", "change", 2, "old"), ("b", "add", 9, "n")], changes.SCHEMA)
     assert rows(changes.applied(state, late)) == [("a", 3, "z"), ("b", 9, "n")]
+
+
+def test_names_of_many_words_are_found(spark):
+    lines = spark.createDataFrame([("p", 1, "So the very old and wise King of Kings spoke, the very old man. O'Brien")], "path string, no int, line string")
+    names = spark.createDataFrame([("the very old and wise king of kings", "K"), ("the very old", "V"), ("o'brien", "O"), ("", "E")], "alias string, canonical string")
+    found = entities.text_mentions(lines, names)
+    assert rows(found, "canonical", "n") == [("K", 1), ("O", 1), ("V", 2)]
+
+
+@pytest.mark.parametrize("bound", [0, 1000])
+def test_mentions_with_many_first_words(spark, monkeypatch, bound):
+    monkeypatch.setattr(entities, "FIRST_WORDS", bound)
+    lines = spark.createDataFrame([("p", i, f"word{i} of {i % 3}") for i in range(20)], "path string, no int, line string")
+    names = spark.createDataFrame([(f"word{i} of", str(i)) for i in range(0, 20, 2)] + [("of 1", "x")], "alias string, canonical string")
+    assert entities.text_mentions(lines, names).count() == 10 + 7
+
+
+def test_embeds_are_followed_to_the_end(spark):
+    chain = spark.createDataFrame([(f"p{i}", f"p{i + 1}") for i in range(9)] + [("p9", "p0")], "page string, target string")
+    pages = spark.createDataFrame([(f"p{i}",) for i in range(10)], "path string")
+    assert links.transcluded(chain, pages).filter("page = 'p0'").count() == 9
+
+
+def test_deep_nesting_is_repaired():
+    from quire.functions.rewrite import unnest
+
+    text = "x"
+    for i in range(30):
+        text = f"[[a{i} {text}|b]]" if i % 2 else f"[[{text}]]"
+    assert unnest(text).count("[[") == 1
+
+
+def test_files_are_written_and_a_site_is_built(spark, tmp_path):
+    from quire.__main__ import main
+
+    (tmp_path / "notes/a").mkdir(parents=True)
+    (tmp_path / "notes/a/One.md").write_text("\n---\ntitle: One\naliases: [Uno]\ndate: 2024-01-02\n---\ntext [[Two]]\n")
+    (tmp_path / "notes/Two.md").write_text("+++\ntitle = \"Two\"\n+++\nmore")
+    (tmp_path / "notes/Draft.md").write_text("---\ndraft: true\n---\nno")
+    base = f"file://{tmp_path}"
+    assert main(["build", "-d", f"{base}/notes", "-o", f"{base}/site", "--dry-run"], spark) == {"parsed": 3, "dropped": 1}
+    out = main(["build", "-d", f"{base}/notes", "-o", f"{base}/site"], spark)
+    assert out["written"]["pages"] == 2 and out["written"]["redirects"] == 1
+    assert (tmp_path / "site/pages/a/One.md").read_text() == "text [[Two]]" and (tmp_path / "site/redirects/Uno.html").exists() and (tmp_path / "site/site/CNAME").read_text() == "example.org"
+    files = spark.createDataFrame([("a b.png", b"\x00\xff"), ("x.md", b"-")], "path string, content binary")
+    assert [tuple(r) for r in sinks.copy_files(files, f"{base}/assets").collect()] == [("a-b.png", 2)] and (tmp_path / "assets/a-b.png").read_bytes() == b"\x00\xff"
+
+
+def test_exports_are_written_in_order(spark, tmp_path):
+    notes = spark.createDataFrame([("a", f"a/{i:03}", f"text {i}") for i in range(50)] + [("b", "b/1", "[[x|y]]")], "folder string, path string, body string")
+    flat = sinks.flattened(notes)
+    sinks.write_exports(sinks.merge_smallest(flat, most=1), f"file://{tmp_path}/out", parts=7)
+    (whole,) = (tmp_path / "out").glob("output=*")
+    assert "".join(p.read_text() for p in sorted(whole.glob("part-*"))).split("\n\n") == ["y", *(f"text {i}" for i in range(50)), ""]
+
+
+def test_numbers_run_over_partitions(spark):
+    from pyspark.sql import functions as F
+
+    from quire.plans.cut import numbered
+
+    df = spark.range(1000).withColumn("k", F.col("id") % 7).repartition(8)
+    got = numbered(df, "k", F.col("id").desc()).collect()
+    assert sorted(r["rank"] for r in got) == list(range(1, 1001))
+    assert [r.id for r in sorted(got, key=lambda r: r["rank"])] == sorted(range(1000), key=lambda i: (i % 7, -i))
+    sums = {r.id: r.at for r in numbered(df, "id", name="at", size=F.col("k")).collect()}
+    assert all(sums[i] == sum(j % 7 for j in range(i)) for i in range(0, 1000, 97))
+
+
+def test_streams_keep_the_latest_change_of_each_path(spark, tmp_path):
+    import json
+
+    folder = tmp_path / "events"
+    folder.mkdir()
+    batches = [[("a", "add", 1, "one"), ("b", "add", 2, "x")], [("a", "change", 5, "five"), ("a", "change", 4, "late")], [("a", "change", 3, "old"), ("b", "delete", 6, None)], [("b", "add", 6, "again")]]
+    found = []
+    stream = changes.latest(changes.read_changes(spark, f"file://{folder}", 1))
+    for i, rows_ in enumerate(batches):
+        (folder / f"{i}.json").write_text("\n".join(json.dumps(dict(zip(("path", "op", "seq", "content"), r))) for r in rows_))
+        q = stream.writeStream.option("checkpointLocation", f"file://{tmp_path}/state").foreachBatch(lambda df, n: found.append(sorted(map(tuple, df.collect())))).trigger(availableNow=True).start()
+        q.awaitTermination()
+    assert [x for x in found if x] == [[("a", "add", 1, "one"), ("b", "add", 2, "x")], [("a", "change", 5, "five")], [("b", "delete", 6, None)]]
+
+
+def test_source_changes_ask_for_a_rebuild(spark):
+    events = spark.createDataFrame([("a.md", "change"), ("x/b.png", "delete")], "path string, op string")
+    assert not changes.needs_rebuild(events) and changes.needs_rebuild(events.union(spark.createDataFrame([("quartz.ts", "change")], events.schema)))
+    assert rows(sinks.removed_files(events)) == [("x/b.png",)]
+
+
+def test_todos_go_to_the_end(spark):
+    notes = spark.createDataFrame([("a", "text"), ("b", "text\n\n## TODO\n- x"), ("c", "no")], "path string, body string")
+    todos = spark.createDataFrame([("a", "one"), ("a", "two"), ("b", "three"), ("c", None)], "path string, todo string")
+    assert rows(sinks.with_todos(notes, todos)) == [("a", "text\n\n## TODOs\n- one\n- two\n"), ("b", "text\n\n## TODO\n- x\n- three\n")]
+
+
+def test_git_dates_come_after_the_note_s_own(spark):
+    from quire.sources import notes
+
+    own = spark.createDataFrame([("a", "2024-01-01", "2020-01-01"), ("b", None, "2020-01-01"), ("c", None, "2020-01-01")], "path string, front string, file string").selectExpr("path", "timestamp(front) AS front", "timestamp(file) AS file")
+    git = notes.git_dates(spark.createDataFrame([("2023-05-05T10:00:00Z\n\nb\na\n",), ("2022-05-05T10:00:00Z\n\nb\n",)], "value string"))
+    assert [str(r.modified)[:10] for r in notes.dated(own, git).orderBy("path").collect()] == ["2024-01-01", "2023-05-05", "2020-01-01"]
+    assert [str(r.modified)[:10] for r in notes.dated(own).orderBy("path").collect()] == ["2024-01-01", "2020-01-01", "2020-01-01"]
