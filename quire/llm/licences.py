@@ -34,6 +34,14 @@ NOTICES = (
     ("mpl", "mozilla public license", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("isc", "with or without fee is hereby granted", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("cc-by", "creative commons attribution", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("agpl", "gnu affero general public license", "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
+    ("cc-by-sa", "creative commons attribution sharealike", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("cc0", "waived all copyright and related or neighboring rights", "The person who associated CC0 with this work has waived all copyright and related or neighboring rights to this work"),
+    ("zlib", "provided as is without any express or implied warranty", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software"),
+    ("boost", "boost software license", "Distributed under the Boost Software License, Version 1.0. See accompanying file LICENSE_1_0.txt"),
+    ("epl", "eclipse public license", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("ofl", "sil open font license", "This Font Software is licensed under the SIL Open Font License, Version 1.1"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("unlicense", "released into the public domain", "This is free and unencumbered software released into the public domain"),
 )
 RARE, SHARE = 12, 0.75

@@ -44,6 +44,8 @@ from quire.llm.mph import mix
 SEED, BITS, BYTES = 42, 64, 8
 #: Of signatures: bytes, and groups of how many bytes.
 SIGNATURE, GROUPS, SIZE = 96, 14, 4
+#: Postings that a task is meant to go through.
+POSTINGS = 1_000_000
 #: Members of a posting list that may all be compared.
 LONG = 512
 #: By how much the tally of a candidate may fall short of the similarity asked for: four standard deviations at 0.8.
@@ -142,8 +144,11 @@ def _list_edges(own: np.ndarray, distance: int, free: int) -> tuple[np.ndarray,
     return np.concatenate(a), np.concatenate(b)
 
 
-def links(fps: DataFrame, distance: int = 3) -> DataFrame:
-    """(a, b): edges between different fingerprints that give the same components as all near pairs. fps: one column."""
+def links(fps: DataFrame, distance: int = 3, total: int = 0) -> DataFrame:
+    """(a, b): edges between different fingerprints that give the same components as all near pairs. fps: one column.
+
+    total: about how many there are, which decides on the number of tasks. A task goes through its lists one after the other.
+    """
     if not 0 <= distance <= 3:
         raise ValueError("the posting groups hold for distances up to 3")
     spark = fps.sparkSession
@@ -160,10 +165,10 @@ def links(fps: DataFrame, distance: int = 3) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0)], ["key", "fp"])
 
     def meet(batches):
-        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)) for b in batches]
-        if not parts:
-            return
-        key, own = (np.concatenate(x) for x in zip(*parts))
+        for portion in staging.whole_runs(batches, 200_000):
+            yield joined(portion.column(0).to_numpy(), portion.column(1).to_numpy().view(np.uint64))
+
+    def joined(key, own):
         order = np.lexsort((own, key))
         key, own = key[order], own[order]
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
@@ -183,10 +188,10 @@ def links(fps: DataFrame, distance: int = 3) -> DataFrame:
             a.append(x.view(np.uint64))
             b.append(y.view(np.uint64))
         x, y = forest(np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
 
     posted = fps.toDF("fp").mapInArrow(post, "key long, fp long")
-    return posted.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").mapInArrow(meet, "a long, b long")
+    return posted.repartition(staging.parts(spark, total * len(groups), POSTINGS), "key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long")
 
 
 def _signature_edges(own: np.ndarray, agree: int, left: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
@@ -230,8 +235,8 @@ def _signature_edges(own: np.ndarray, agree: int, left: tuple[int, ...] = ()) ->
     return np.concatenate(a), np.concatenate(b)
 
 
-def signature_links(signed: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): edges that connect the nodes whose signatures agree. signed: (node, sig), different signatures."""
+def signature_links(signed: DataFrame, similarity: float, total: int = 0) -> DataFrame:
+    """(a, b): edges that connect the nodes whose signatures agree. signed: (node, sig), different signatures, about ``total``."""
     least = similarity - SLACK
     agree = int(np.ceil(SIGNATURE * (least + (1 - least) / 256)))
 
@@ -244,10 +249,10 @@ def signature_links(signed: DataFrame, similarity: float) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0), batch.column(1)], ["key", "node", "sig"])
 
     def meet(batches):
-        every = [pa.Table.from_batches([b]) for b in batches]
-        if not every:
-            return
-        rows = pa.concat_tables(every)
+        for portion in staging.whole_runs(batches, 20_000):
+            yield joined(portion)
+
+    def joined(rows):
         key, node = rows.column("key").to_numpy(), rows.column("node").to_numpy()
         order = np.lexsort((node, key))
         edge = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0, [True]]))
@@ -274,11 +279,11 @@ def signature_links(signed: DataFrame, similarity: float) -> DataFrame:
             a.append(x)
             b.append(y)
         x, y = forest(np.concatenate(a), np.concatenate(b))
-        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
 
-    parts = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = staging.parts(signed.sparkSession, total * GROUPS, POSTINGS)
     posted = signed.select("node", "sig").mapInArrow(post, "key long, node long, sig binary")
-    return posted.repartition(parts, "key").mapInArrow(meet, "a long, b long")
+    return posted.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long")
 
 
 def shingle_set(digests: bytes) -> bytes:
@@ -380,10 +385,11 @@ def _alike(table: DataFrame, words: int, similarity: float, distance: int) -> Da
     pairs = staging.table(own.groupBy("fp", "sig", "same").agg(F.min("row").alias("least")), "pairs")
     signed = pairs.groupBy("sig").agg(F.min("least").alias("node"))
     printed = pairs.groupBy("fp").agg(F.min("least").alias("node"))
-    near = links(printed.select("fp"), distance)
+    total = pairs.count()
+    near = links(printed.select("fp"), distance, total)
     near = near.join(printed.toDF("a", "x"), "a").join(printed.toDF("b", "y"), "b").select("x", "y")
     both = pairs.join(printed.toDF("fp", "x"), "fp").join(signed.toDF("sig", "y"), "sig").select("x", "y")
-    named = components(near.unionAll(signature_links(signed, similarity)).unionAll(both.filter("x <> y").distinct())).toDF("node", "group")
+    named = components(near.unionAll(signature_links(signed, similarity, total)).unionAll(both.filter("x <> y").distinct())).toDF("node", "group")
     of = staging.table(signed.join(named, "node", "left").select("sig", F.coalesce("group", "node").alias("group")), "candidates")
     classes = staging.table(pairs.groupBy("sig", "same").agg(F.min("least").alias("node")).join(of, "sig").select("same", "node", "group"), "classes")
     sizes = classes.groupBy("group").agg(F.count("*").alias("size")).filter("size > 1")
@@ -407,7 +413,7 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, distance:
     staging.reachable(docs.sparkSession)
     table = _numbered(docs, [], key, text)
     found = staging.table(_alike(table, words, similarity, distance).join(table.select("row", "id"), "row"), "alike")
-    least = found.groupBy("component").agg(F.min("id").alias("least"))
+    least = staging.table(found.groupBy("component").agg(F.min("id").alias("least")), "least")
     return found.join(least, "component").select(F.col("id").alias(key), F.col("least").alias("component_id"))
 
 
@@ -416,7 +422,7 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, distan
     staging.reachable(docs.sparkSession)
     table = _numbered(docs, docs.columns, key, text)
     found = staging.table(_alike(table, words, similarity, distance).join(table.select("row", "id"), "row"), "alike")
-    best = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).getField("row").alias("best"))
+    best = staging.table(found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).getField("row").alias("best")), "best")
     gone = staging.table(found.join(best, "component").filter("row <> best").select("row"), "gone")
     return table.join(gone, "row", "left_anti").select(*[F.col(f"c{i}") for i in range(len(docs.columns))]).toDF(*docs.columns)
 
@@ -428,9 +434,11 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, key: str
     """
     own = staging.table(fingerprints(docs, words, key, text), "fingerprints")
     first = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    group = components(links(own.select("fp").distinct(), distance)).toDF("fp", "group")
+    different = staging.table(own.select("fp").distinct(), "different")
+    group = components(links(different, distance, different.count())).toDF("fp", "group")
     grouped = first.join(group, "fp", "left").select("fp", F.coalesce("group", "fp").alias("group"), "first")
-    least = grouped.groupBy("group").agg(F.min("first").alias("component"))
+    grouped = staging.table(grouped, "grouped")
+    least = staging.table(grouped.groupBy("group").agg(F.min("first").alias("component")), "least")  # so that joins on a hot group are split
     named = grouped.join(least, "group").select(F.col("fp").alias("f"), "component")
     out = own.join(named, own["fp"] == named["f"])
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))

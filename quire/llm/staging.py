@@ -11,6 +11,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -86,10 +87,33 @@ def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     What an operator makes of a piece is many times the piece, so this and not the JVM's batch bounds a worker's memory.
     """
     for batch in batches:
-        rows = batch.num_rows
-        step = max(1, min(BATCH_ROWS, rows * BATCH_BYTES // max(1, batch.nbytes)))
-        for at in range(0, rows, step):
-            yield batch.slice(at, step)
+        todo = [batch.slice(at, BATCH_ROWS) for at in range(0, batch.num_rows, BATCH_ROWS)][::-1]
+        while todo:
+            piece = todo.pop()
+            if piece.num_rows > 1 and piece.nbytes > BATCH_BYTES:
+                half = piece.num_rows // 2
+                todo += [piece.slice(half), piece.slice(0, half)]
+            else:
+                yield piece
+
+
+def whole_runs(batches: Iterable[pa.RecordBatch], least: int) -> Iterator[pa.Table]:
+    """A partition sorted by its first column, an integer, in portions that end where that changes, of so many rows if there are."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= least:
+            table = pa.Table.from_batches(held)
+            key = table.column(0).to_numpy()
+            end = int(np.searchsorted(key, key[-1], "left"))
+            if end:  # the last run may go on
+                yield table.slice(0, end)
+                held = table.slice(end).combine_chunks().to_batches()
+                n -= end
+    if n:
+        yield pa.Table.from_batches(held)
 
 
 def parts(spark: SparkSession, total: int, each: int) -> int:

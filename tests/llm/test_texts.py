@@ -221,3 +221,31 @@ def test_licences(spark):
         assert 0 <= r.score <= 1
     assert (got[6].labels, got[7].labels, got[8].labels, got[9].labels) == ("mit", "lgpl", "apache", "")
     assert licences.scan(documents(spark, [])).count() == 0
+
+
+def _plain_labels(text):
+    """Each template tried at every place: all of its key phrase, and three quarters of its rarest words and that."""
+    templates = [(label, plain_words(p), plain_words(p)) for p, label in licences.PHRASES] + [(label, plain_words(k), plain_words(t)) for label, k, t in licences.NOTICES]
+    df = lambda x: sum(x in words for _, _, words in templates)
+    w, found, best = plain_words(text), set(), 0.0
+    for n, (label, key, words) in enumerate(templates):
+        at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
+        rare = words if n < len(licences.PHRASES) else sorted(range(len(words)), key=lambda i: (df(words[i]), i))[: licences.RARE]
+        entries = set(range(at, at + len(key))) | (set(range(len(words))) if rare is words else set(rare))
+        for start in range(-len(words), len(w)):
+            met = [0 <= start + i < len(w) and w[start + i] == words[i] for i in sorted(entries)]
+            if w[start + at : start + at + len(key)] == key and start + at >= 0 and sum(met) >= licences.SHARE * len(entries):
+                found.add(label)
+                best = max(best, sum(met) / len(entries))
+    return ",".join(sorted(found)), best
+
+
+def test_labels_are_those_of_a_plain_search(spark):
+    texts = []
+    for _, key, notice in licences.NOTICES:
+        w = plain_words(notice)
+        texts += [f"x {notice} y", " ".join(w[2:]), " ".join(w[:-3]), " ".join(x if i % 2 else "other" for i, x in enumerate(w)), f"about the {key} itself", " ".join(plain_words(key)[1:]), notice.upper()]
+    got = licences.scan(documents(spark, texts)).orderBy("doc_id").collect()
+    assert [(r.labels, round(r.score, 9)) for r in got] == [(a, round(b, 9)) for a, b in map(_plain_labels, texts)]
+    assert all(n[0] in r.labels.split(",") for n, r in zip(licences.NOTICES, got[::7]))
+    assert licences.scan(documents(spark, ["MIT LICEN\u017fE Apache \u212a"])).first().labels == ""
