@@ -73,7 +73,7 @@ def link_mentions(lines: DataFrame, names: DataFrame) -> DataFrame:
     names: (target, canonical), lower case; of several owners of a target the smallest canonical wins.
     """
     owner = names.groupBy("target").agg(F.min("canonical").alias("canonical"))
-    links = lines.select("path", "no", F.explode(text.link_targets(F.col("line"))).alias("raw")).withColumn("target", F.lower(F.trim("raw")))
+    links = lines.select("path", "no", F.explode(text.link_targets(F.col("line"))).alias("raw")).withColumn("target", F.lower(text.strip(F.col("raw"))))
     return links.join(owner, "target").select("path", "no", "canonical", "target")
 
 
@@ -190,6 +190,16 @@ def appearances(mentions: DataFrame) -> DataFrame:
     return mentions.groupBy("title").agg(F.array_sort(F.collect_set("session")).alias("sessions"))
 
 
+def distinct_in_order(rows: DataFrame, column: str, at: str) -> DataFrame:
+    """(name, first): the different values of a column, case and blanks aside, with where each is first, by which they sort."""
+    return rows.groupBy(text.spaced_key(F.col(column)).alias("name")).agg(F.min(at).alias("first"))
+
+
+def shared(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
+    """(column): what both hold, once each; sessions of two entities, say."""
+    return left.select(column).intersect(right.select(column))
+
+
 def resolution_counts(candidates: DataFrame, names: DataFrame, column: str = "candidate") -> DataFrame:
     """(candidates, existing, missing) over the different candidates."""
     own = resolve(candidates.select(column).distinct(), names, column)

@@ -531,23 +531,24 @@ def role_counts(spark, d):
 def set_intersection(spark, d):
     o = read(spark, d, "orders")
     pick = lambda s: o.filter(F.col("o_orderstatus") == s).select(F.col("o_custkey").alias("k"))
-    return pick("F").intersect(pick("O"))
+    return entities.shared(pick("F"), pick("O"), "k")
 
 
-@query("SELECT user_id AS k FROM events WHERE event_type = 'view' EXCEPT SELECT user_id FROM events WHERE event_type = 'error'")
+@query("SELECT user_id * 1000 + event_id % 1000 AS k FROM events WHERE event_type = 'view' EXCEPT SELECT user_id * 1000 + event_id % 1000 FROM events WHERE event_type = 'error'")
 def set_difference(spark, d):
-    pick = lambda t: read(spark, d, "events").filter(F.col("event_type") == t).select(F.col("user_id").alias("k"))
-    return pick("view").subtract(pick("error"))
+    pick = lambda t: read(spark, d, "events").filter(F.col("event_type") == t).select((F.col("user_id") * 1000 + F.col("event_id") % 1000).alias("k"))
+    return sinks.missing(pick("view"), pick("error"), "k")
 
 
 @query("SELECT name, min(pos) AS first FROM (SELECT lower(p_name) AS name, p_partkey AS pos FROM part) GROUP BY name")
 def ordered_distinct(spark, d):
-    return read(spark, d, "part").groupBy(text.spaced_key(F.col("p_name")).alias("name")).agg(F.min("p_partkey").alias("first"))
+    return entities.distinct_in_order(read(spark, d, "part"), "p_name", "p_partkey")
 
 
 @query("SELECT p_type, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS brands FROM part GROUP BY p_type")
 def label_sets(spark, d):
-    return read(spark, d, "part").groupBy("p_type").agg(F.array_join(F.sort_array(F.collect_set("p_brand")), ",").alias("brands"))
+    found = entities.appearances(read(spark, d, "part").select(F.col("p_type").alias("title"), F.col("p_brand").alias("session")))
+    return found.select(F.col("title").alias("p_type"), F.array_join("sessions", ",").alias("brands"))
 
 
 # Curation (P5-P13, P16, P25, J11, J14, J18, J20, F18, F26, F27, F31, F35, F37, F47-F51)
@@ -634,9 +635,9 @@ def session_range(spark, d):
     return read(spark, d, "orders").select("o_orderkey", curation.session_number(title).alias("number")).filter("number between 1 and 10")
 
 
-@query("SELECT DISTINCT user_id AS k FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup')")
+@query("SELECT DISTINCT user_id * 100 + event_id % 100 AS k FROM events WHERE user_id * 100 + event_id % 100 NOT IN (SELECT user_id * 100 + event_id % 100 FROM events WHERE event_type = 'signup')")
 def unseen(spark, d):
-    e = read(spark, d, "events").select(F.col("user_id").alias("k"), "event_type")
+    e = read(spark, d, "events").select((F.col("user_id") * 100 + F.col("event_id") % 100).alias("k"), "event_type")
     return sinks.missing(e.select("k"), e.filter("event_type = 'signup'"), "k")
 
 
