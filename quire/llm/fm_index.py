@@ -63,7 +63,7 @@ class FMIndex:
         lengths = np.diff(begins)
         # One separator, 0, after each text; no pattern holds it.
         text = np.zeros(len(symbols) + len(lengths), np.int32)
-        own = np.arange(len(symbols)) + np.repeat(np.arange(len(lengths)), lengths)
+        own = np.arange(len(symbols), dtype=np.int32) + np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
         text[own] = symbols
         n, self.alphabet, self.depth = len(text), int(symbols.max()) + 1 if len(symbols) else 1, depth
         shift = lambda r, by: np.concatenate([r[by:], np.zeros(min(by, n), r.dtype)])[:n]
@@ -72,7 +72,8 @@ class FMIndex:
             rank, span = _dense(rank, shift(rank, span)), span * 2
         full = _dense(rank, shift(rank, depth - span))
         part = _dense(rank, shift(rank, depth - 1 - span)) if depth - 1 >= span else None
-        order = np.argsort(full, kind="stable")
+        order = np.argsort(full, kind="stable").astype(np.int32)
+        del rank, full
         self.bwt = WaveletMatrix(text[order - 1], self.alphabet)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=self.alphabet))])
         weight = np.zeros(n, np.int64)
@@ -85,9 +86,10 @@ class FMIndex:
                 rank, span = _dense(rank, shift(rank, span)), span * 2
             part = _dense(rank, shift(rank, depth - 1 - span)) if depth > 1 else np.zeros(n, np.int64)
         part = part[order]
-        edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        group = np.cumsum(np.concatenate([[0], part[1:] != part[:-1]]))
-        self.part_begin, self.part_end = edge[group], np.append(edge[1:], n)[group]
+        del order, weight, own
+        edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])).astype(np.int32)
+        group = np.cumsum(np.concatenate([[False], part[1:] != part[:-1]]), dtype=np.int32)
+        self.part_begin, self.part_end = edge[group], np.append(edge[1:], np.int32(n))[group]
 
     def step(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward search: the rows of each pattern with one symbol put before it."""

@@ -42,7 +42,7 @@ from quire.llm.textbytes import byte_sums, prefix_sums, ragged, slice_hashes, te
 
 WIDTH, RUN, HOT = 35, 8, 1000
 #: Bytes of text of a block and for each index, anchors of a shard, and bytes of segments that a worker gathers at once.
-BLOCK_BYTES, INDEX_BYTES, SHARD_ANCHORS, GATHER = 64 << 20, 16 << 20, 4_000_000, 16 << 20
+BLOCK_BYTES, INDEX_BYTES, SHARD_ANCHORS, GATHER = 64 << 20, 4 << 20, 4_000_000, 16 << 20
 #: Partitions of a shuffle at the utmost; beyond it a task works on several shards, one after the other.
 MOST_PARTS = 10_000
 #: What a block is given: hashes of anchors, of hot windows, and answers to segments.
@@ -192,6 +192,7 @@ def _index_shard(width: int):
         own = words.values.dictionary_encode().indices.to_numpy().astype(np.int32) + 1  # equal words by their bytes
         begins = np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy())]).astype(np.int64)
         lengths = np.diff(begins)
+        del words, different
         index = FMIndex(own, begins, np.bincount(np.concatenate(code), counts, len(texts)).astype(np.int64), width)
         repeated = index.matches(own, begins) >= 2
         some = np.add.reduceat(repeated, begins[:-1]) > 0
