@@ -144,5 +144,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, key: str = "doc_id"
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text", item: str = "item_id", item_text: str = "text", set_bytes: int = SET_BYTES) -> DataFrame:
     """docs without the rows that any window of the benchmark occurs in; every row is judged by its own text."""
     table, found = _found(docs, docs.columns, benchmark, n, text, item, item_text, set_bytes)
-    left = table.join(found.select("row").distinct(), "row", "left_anti")
+    # A written table, so that its size is known: while it is small, the texts need no shuffle.
+    gone = staging.table(found.select("row").distinct(), "contaminated")
+    left = table.join(gone, "row", "left_anti")
     return left.select(*[F.col(f"c{i}") for i in range(len(docs.columns))]).toDF(*docs.columns)

@@ -63,6 +63,15 @@ def clear(spark: SparkSession) -> None:
     _remove(spark, list(_staged))
 
 
+def drop_unread(docs: DataFrame, paths: list[str]) -> list[str]:
+    """Removes those of the staged paths that docs doesn't read; the others are returned."""
+    there = [p for p in paths if p in _staged]
+    files = docs.inputFiles() if there else []
+    read = [p for p in there if any(f"{p.rsplit('/', 1)[1]}/" in f for f in files)]
+    _remove(docs.sparkSession, [p for p in there if p not in read])
+    return read
+
+
 def mark() -> list[str]:
     """What is staged so far, for settled()."""
     return list(_staged)

@@ -107,3 +107,10 @@ def test_very_long_texts_come_in_small_pieces():
     assert sum(p.num_rows for p in found) == batch.num_rows and max(p.num_rows for p in found) <= staging.BATCH_ROWS
     assert all(p.num_rows == 1 or p.nbytes <= staging.BATCH_BYTES for p in found)
     assert sum((p.column(0).to_pylist() for p in found), []) == batch.column(0).to_pylist()
+
+
+def test_stages_that_are_not_written_in_between_keep_their_tables(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    lazy = corpus_pipeline.remove_lines(spark, docs, SF)
+    both = corpus_pipeline.remove_near_copies(spark, lazy, SF)
+    assert both.count() <= lazy.count() == docs.count()
