@@ -292,7 +292,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, key: str =
     group = components(met.filter("b is not null").select("a", "b")).toDF("row", "group")
     named = classes.join(sums, "row", "left").join(group, "row", "left").select("label", "v", "least", "row", (F.col("n") - 1 + F.coalesce("w", F.lit(0))).alias("n_links"), F.coalesce("group", "row").alias("group"))
     named = staging.table(named, "named")
-    least = named.groupBy("group").agg(F.min("least").alias("component"), F.min("row").alias("first"))
+    # A table of its own, so that the join on a hot group is a plain one, which adaptive execution splits.
+    least = staging.table(named.groupBy("group").agg(F.min("least").alias("component"), F.min("row").alias("first")), "groups")
     named = named.join(least, "group").select(F.col("label").alias("l"), F.col("v").alias("u"), "n_links", "component", "first")
     out = rows.join(named, (rows["label"] == named["l"]) & (rows["v"] == named["u"]), "left")
     component = F.when(F.col("l").isNull(), F.col("id")).otherwise(F.col("component"))
