@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import staging
 from quire.llm.fm_index import FMIndex
+from quire.llm.mph import mix
 from quire.llm.textbytes import byte_sums, prefix_sums, ragged, slice_hashes, text_chunks, word_spans
 
 WIDTH, RUN, HOT = 35, 8, 1000
@@ -60,6 +61,11 @@ def _slide(values: np.ndarray, size: int, best) -> np.ndarray:
     return best(out[: len(out) - rest], out[rest:]) if rest else out
 
 
+def anchor_name(least: np.ndarray) -> np.ndarray:
+    """What an anchor is known by: smallest hashes crowd at the lower end, and shards are ranges of what is spread evenly."""
+    return mix(least, 9)
+
+
 class Words:
     """The words of a chunk of documents with the hashes of their windows and anchors."""
 
@@ -72,14 +78,15 @@ class Words:
         self.valid = self.first[np.searchsorted(self.first, at, "right")] >= at + width if len(at) else np.zeros(0, bool)
         runs = np.arange(max(0, n - run + 1))
         self.runs = slice_hashes(self.sums, runs, runs + run)
-        self.anchor = _slide(self.runs, width - run + 1, np.minimum) if len(at) else np.zeros(0, np.uint64)
+        self.least = _slide(self.runs, width - run + 1, np.minimum) if len(at) else np.zeros(0, np.uint64)
+        self.anchor = anchor_name(self.least)
 
     def anchors(self) -> np.ndarray:
         """Places of the runs that are the anchor of a window they stand in; equal runs of one window all count."""
         if not self.valid.any():
             return np.zeros(0, np.int64)
         side = self.width - (len(self.start) - len(self.runs) + 1)  # windows that hold a run, less one
-        wide = np.concatenate([np.zeros(side, np.uint64), np.where(self.valid, self.anchor, 0), np.zeros(side, np.uint64)])
+        wide = np.concatenate([np.zeros(side, np.uint64), np.where(self.valid, self.least, 0), np.zeros(side, np.uint64)])
         return np.flatnonzero((_slide(wide, side + 1, np.maximum) == self.runs) & (self.runs > 0))
 
     def windows(self, at: np.ndarray) -> np.ndarray:
@@ -275,7 +282,7 @@ def _written(docs: DataFrame, key: str, text: str, width: int, run: int) -> Data
             yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, base + number)), batch.column(0), batch.column(1), *empty], names)
             for _, _, data, offsets in text_chunks(batch.column(1)):
                 own = Words(data, offsets, width, run)
-                at = own.runs[own.anchors()]
+                at = anchor_name(own.runs[own.anchors()])
                 found.append((at, np.ones(len(at), np.int64)))
                 size += len(data)
             if len(found) > 64:
