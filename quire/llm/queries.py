@@ -81,8 +81,29 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), digests=True, pattern=public_tokenizers.PATTERN)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm import importance
+
+    return importance.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm import mixing
+
+    return mixing.plan(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm import ranked
+
+    return ranked.search(ranked.build(read(spark, sf_dir, "documents")), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_decontaminate, op3_licences, op4_token_shards, op5_toxicity, op6_simhash, op7_line_dedup, op8_embedding_dedup, op9_substring_dedup, op10_byte_bpe)
+    f.__name__: f for f in (
+        op1_quality, op2_decontaminate, op3_licences, op4_token_shards, op5_toxicity, op6_simhash, op7_line_dedup, op8_embedding_dedup, op9_substring_dedup, op10_byte_bpe,
+        op11_importance_resampling, op12_source_mixing, op13_ranked_search,
+    )
 }
 
 #: Upper and lower case of A-Z alone, for translate().
@@ -152,5 +173,80 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
+
+#: crc32 of a text's bytes by its table: a byte at a time, over each different run of words once.
+OP11_SQL = f"""
+WITH crc AS (
+    SELECT list(c ORDER BY i) AS tab FROM (
+        SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS t(i)
+    )
+), text AS (
+    SELECT true AS own, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), {_WORD}) AS w FROM documents
+    UNION ALL SELECT false, 0, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), {_WORD}) FROM benchmark
+), gram AS (
+    SELECT own, id, array_to_string(list_slice(w, i, i + n), ' ') AS g FROM text, unnest(generate_series(1, len(w))) AS a(i), (VALUES (0), (1), (2)) AS b(n) WHERE i + n <= len(w)
+), hexed AS (SELECT g, hex(encode(g)) AS x FROM (SELECT DISTINCT g FROM gram)
+), bucket AS (
+    SELECT g, xor(list_reduce(list_prepend(4294967295, list_transform(range(len(x) // 2), lambda i: CAST('0x' || x[2 * i + 1 : 2 * i + 2] AS BIGINT))),
+                              lambda c, y: xor(c >> 8, tab[xor(c & 255, y) + 1])), 4294967295) % 10000 AS b FROM hexed, crc
+), feature AS (SELECT own, id, b FROM gram JOIN bucket USING (g)
+), tally AS (SELECT b, count(*) FILTER (own) AS s, count(*) FILTER (NOT own) AS t FROM feature GROUP BY b
+), total AS (SELECT CAST(sum(s) AS DOUBLE) AS s, CAST(sum(t) AS DOUBLE) AS t FROM tally
+), gain AS (
+    SELECT b, CAST(floor(1000.0::DOUBLE * ln((tally.t::DOUBLE + 1) * (total.s + 10000) / ((tally.s::DOUBLE + 1) * (total.t + 10000)))) AS BIGINT) AS gain FROM tally, total
+), weighed AS (SELECT id, sum(gain) AS weight FROM feature JOIN gain USING (b) WHERE own GROUP BY id
+), scored AS (
+    SELECT d.id AS doc_id, len(d.w) AS n_words, CASE WHEN len(d.w) < 2 THEN len(d.w) ELSE 3 * len(d.w) - 3 END AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+           CAST(coalesce(weight, 0) + floor(-1000.0::DOUBLE * ln(-ln((CAST('0x' || sha256('42:' || d.id)[1:8] AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+    FROM text d LEFT JOIN weighed USING (id) WHERE d.own
+), placed AS (
+    SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_words >= 20
+)
+SELECT s.doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CASE WHEN rank <= 5 * n // 100 THEN rank END AS rank, CAST(n_words AS BIGINT) AS n_words
+FROM scored s LEFT JOIN placed p ON s.doc_id = p.doc_id
+"""
+
+OP12_SQL = r"""
+WITH doc AS (
+    SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+), source AS (
+    SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 1.0::DOUBLE + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM doc GROUP BY source
+), capped AS (
+    SELECT *, (3 * source_size)::DOUBLE / weight AS ratio,
+           (sum(source_size) OVER ())::DOUBLE - (coalesce(sum(3 * source_size) OVER before, 0))::DOUBLE AS words,
+           (sum(weight) OVER ()) - coalesce(sum(weight) OVER before, 0) AS weights
+    FROM source WINDOW before AS (ORDER BY (3 * source_size)::DOUBLE / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), level AS (SELECT arg_min(words / weights, ratio) AS level FROM capped WHERE words / weights <= ratio
+), goal AS (
+    SELECT source, source_size, least((3 * source_size)::DOUBLE, level * weight) AS target,
+           (CAST('0x' || sha256('42:' || coalesce(source, ''))[1:8] AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS o FROM capped, level
+), placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size DESC, doc_id) AS i FROM doc
+), stepped AS (
+    SELECT p.*, source_size, target, o, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS r FROM placed p JOIN goal g ON p.source IS NOT DISTINCT FROM g.source
+), crossed AS (SELECT *, CAST(floor(r * i + o) - floor(r * (i - 1) + o) AS BIGINT) AS copies FROM stepped)
+SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM crossed
+"""
+
+OP13_SQL = f"""
+WITH doc AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_AZ}), {_WORD})) AS term FROM documents
+), posting AS (SELECT doc_id, term, count(*) AS tf FROM doc GROUP BY ALL
+), size AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM posting GROUP BY doc_id
+), total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM size
+), norm AS (SELECT doc_id, 100 - 75 + (75 * n * docs) // terms AS m FROM size, total
+), item AS (
+    SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_AZ}), {_WORD})) AS term FROM benchmark) GROUP BY ALL
+), weight AS (
+    SELECT term, CAST(floor(1000.0::DOUBLE * ln((2.0::DOUBLE * any_value(docs) + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS w FROM posting, total GROUP BY term
+), scored AS (
+    SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+    FROM item JOIN weight USING (term) JOIN posting USING (term) JOIN norm USING (doc_id) GROUP BY ALL
+), placed AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM placed WHERE rank <= 10
+"""
+
 #: DuckDB SQL, where SQL expresses the operator.
-ORACLES: dict[str, str] = {"op2_decontaminate": OP2_SQL, "op3_licences": op3_sql(), "op7_line_dedup": OP7_SQL}
+ORACLES: dict[str, str] = {
+    "op2_decontaminate": OP2_SQL, "op3_licences": op3_sql(), "op7_line_dedup": OP7_SQL,
+    "op11_importance_resampling": OP11_SQL, "op12_source_mixing": OP12_SQL, "op13_ranked_search": OP13_SQL,
+}
