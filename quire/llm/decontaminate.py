@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import staging
+from quire.llm.columns import own as col
 
 #: What separates words once A-Z are lower-cased.
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -77,7 +78,7 @@ def _hashes(b: int) -> Column:
 
 def scanned(docs: DataFrame, columns: list[str], text: str, lengths: list[int]) -> DataFrame:
     """(row, c0, c1, ... as columns, text, n_words, h<length> ...), written: the hashes of each row's blocks."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), *[docs[c].alias(f"c{i}") for i, c in enumerate(columns)], docs[text].cast("string").alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), *[col(c).alias(f"c{i}") for i, c in enumerate(columns)], col(text).cast("string").alias("text"))
     # Named more than once, w stays a column of its own; else the optimizer would split the text anew for each use.
     rows = rows.withColumn("w", words_of(folded(F.col("text")))).withColumn("n_words", F.size("w").cast("long"))
     return staging.table(rows.withColumns({f"h{x}": _hashes((x + 1) // 2) for x in lengths}).drop("w"), "scanned")

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import staging
+from quire.llm.columns import own as col
 from quire.llm.mph import MinimalPerfectHash, mix
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -96,8 +97,8 @@ def hashed_lines(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["doc_id", "h", "n", "lines"])
 
-    k = F.coalesce(docs[key].cast("long"), F.lit(NULL_ID))
-    rows = docs.select(k.alias("doc_id"), docs[text].cast("string").alias("text"))
+    k = F.coalesce(col(key).cast("long"), F.lit(NULL_ID))
+    rows = docs.select(k.alias("doc_id"), col(text).cast("string").alias("text"))
     return rows.select("doc_id", _row_hash("doc_id", "text").alias("h"), "text").mapInArrow(run, _schema("doc_id", "h", "n", "lines"))
 
 
@@ -239,8 +240,8 @@ def repeats(lines: DataFrame, held: DataFrame) -> DataFrame:
     return lines.groupBy("block").cogroup(held.groupBy("block")).applyInArrow(run, schema)
 
 
-def drop_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, digests: bool = False) -> DataFrame:
-    """All columns of docs with the text less its repeated lines, and n_lines and n_dropped.
+def drop_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, digests: bool = False, counts: bool = True) -> DataFrame:
+    """All columns of docs with the text less its repeated lines, and n_lines and n_dropped (without counts: not these).
 
     A line's key is the line without ASCII white space at its ends, A-Z lower-cased. Keys of at least ``least`` code
     points that two documents hold lose their lines everywhere but in the smallest key (doc_id) holding them.
@@ -254,8 +255,8 @@ def drop_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
     told = staging.table(told_by_blocks(lines, blocks), "told")
     index = staging.table(build_index(told), "line-index")
     drops = repeats(lines, probe(told, index)).select(F.col("doc_id").alias("_drop_id"), F.col("h").alias("_drop_h"), F.col("lines").alias("_drops"))
-    kept = [docs[c] for c in (docs.columns if not digests else [key])]
-    rows = docs.select(*[c.alias(f"c{i}") for i, c in enumerate(kept)], docs[text].cast("string").alias("_text"), F.coalesce(docs[key].cast("long"), F.lit(NULL_ID)).alias("_id"))
+    kept = [col(c) for c in (docs.columns if not digests else [key])]
+    rows = docs.select(*[c.alias(f"c{i}") for i, c in enumerate(kept)], col(text).cast("string").alias("_text"), F.coalesce(col(key).cast("long"), F.lit(NULL_ID)).alias("_id"))
     rows = rows.withColumn("_h", _row_hash("_id", "_text"))
     joined = rows.join(drops, (F.col("_id") == F.col("_drop_id")) & (F.col("_h") == F.col("_drop_h")), "left").drop("_id", "_drop_id", "_h", "_drop_h")
     names = [key] if digests else docs.columns
@@ -288,4 +289,6 @@ def drop_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
             yield pa.RecordBatch.from_arrays([*columns, *tail], names_)
 
     made = joined.mapInArrow(run, out)
+    if not counts:
+        return made.select(*[f"c{i}" for i in range(len(names))]).toDF(*names)
     return made.toDF(*names, "n_lines", "n_dropped", *["kept_sha256"] * digests)

@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import staging
+from quire.llm.columns import own as col
 from quire.llm.components import components, forest
 from quire.llm.mph import mix
 
@@ -102,7 +103,7 @@ def fingerprints(docs: DataFrame, words: int = 3, key: str = "doc_id", text: str
             own = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(col(key).cast("long").alias("doc_id"), col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def posting_groups(total: int = BYTES, agree: int = 5, size: int = 4) -> list[tuple[int, ...]]:
@@ -404,8 +405,8 @@ def _alike(table: DataFrame, words: int, similarity: float, distance: int) -> Da
 
 def _numbered(docs: DataFrame, columns: list[str], key: str, text: str) -> DataFrame:
     """(row, id, text, c0, c1, ... as columns), written: a number of its own for each row, whatever its id."""
-    kept = [docs[c].alias(f"c{i}") for i, c in enumerate(columns)]
-    return staging.table(docs.select(F.monotonically_increasing_id().alias("row"), docs[key].alias("id"), docs[text].cast("string").alias("text"), *kept), "rows")
+    kept = [col(c).alias(f"c{i}") for i, c in enumerate(columns)]
+    return staging.table(docs.select(F.monotonically_increasing_id().alias("row"), col(key).alias("id"), col(text).cast("string").alias("text"), *kept), "rows")
 
 
 def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,15 +1,23 @@
 """Tables and folders in the place the cluster shares, to cut lineage and to pass data between jobs.
 
 The place is ``spark.checkpoint.dir`` of the session. Only where that is unset (tests on a local master) a
-temporary folder of this machine is used. Staged data stays until ``clear(spark)`` or the end of the session's
-owner, as results are lazy and may read it again.
+temporary folder of this machine is used.
+
+Results are lazy and read what was staged for them, so a staged table stays while anything can read it: its files go
+once no DataFrame, query or view refers to it any more, which the JVM's garbage collector tells (as it tells Spark's own
+cleaner of checkpoints), when the next table is staged. Whoever writes a result at once can say so earlier: what is
+staged within ``scope(spark)`` by this thread goes at its end. ``clear(spark)`` removes all. Folders of other files
+(``new_dir``) stay until one of the latter two.
 """
 
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +25,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quire.plans.workers import reach
 
-_staged: list[str] = []
+#: Each staged folder with the JVM's weak reference to the file listing that all plans over its table share, if it is one.
+_staged: dict[str, object] = {}
+_lock = threading.RLock()
+_scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
 _local: list[str] = []
 
 #: What a Python worker handles at once; texts may be long, and what is made of them many times their size.
@@ -30,59 +41,84 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     if not spark.conf.get("spark.master", "local").startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    if not _local:
-        _local.append(tempfile.mkdtemp(prefix="quire-"))
+    with _lock:
+        if not _local:
+            _local.append(tempfile.mkdtemp(prefix="quire-"))
     return f"file://{_local[0]}"
 
 
 def new_dir(spark: SparkSession, name: str) -> str:
-    """The URI of a new folder in the shared place; clear() removes it."""
+    """The URI of a new folder in the shared place, which belongs to the scope that this thread is in, if any."""
     path = f"{shared_dir(spark)}/quire-{name}-{uuid.uuid4().hex}"
-    _staged.append(path)
+    with _lock:
+        _staged[path] = None
+    if (own := _scope.get()) is not None:
+        own.append(path)
     return path
 
 
+def _read(spark: SparkSession, path: str, schema) -> DataFrame:
+    out = spark.read.schema(schema).parquet(path)
+    listing = out._jdf.queryExecution().analyzed().relation().location()
+    with _lock:
+        _staged[path] = spark.sparkContext._jvm.java.lang.ref.WeakReference(listing)
+    return out
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared place and reads it back: a written table that outlives executors."""
     spark = df.sparkSession
+    sweep(spark)
     path = new_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _read(spark, path, df.schema)
 
 
-def _remove(spark: SparkSession, paths: list[str]) -> None:
+def remove(spark: SparkSession, paths: Iterable[str]) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(conf).delete(path, True)
-        _staged.remove(p)
+        with _lock:
+            there = _staged.pop(p, "gone") != "gone"
+        if there:
+            path = jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(conf).delete(path, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Removes the tables that nothing refers to any more."""
+    with _lock:
+        tables = [(p, ref) for p, ref in _staged.items() if ref is not None]
+    remove(spark, [p for p, ref in tables if ref.get() is None])
 
 
 def clear(spark: SparkSession) -> None:
     """Removes all that this session has staged; results that still read it must have been written before."""
-    _remove(spark, list(_staged))
+    remove(spark, staged())
 
 
-def drop_unread(docs: DataFrame, paths: list[str]) -> list[str]:
-    """Removes those of the staged paths that docs doesn't read; the others are returned."""
-    there = [p for p in paths if p in _staged]
-    files = docs.inputFiles() if there else []
-    read = [p for p in there if any(f"{p.rsplit('/', 1)[1]}/" in f for f in files)]
-    _remove(docs.sparkSession, [p for p in there if p not in read])
-    return read
+def staged() -> list[str]:
+    with _lock:
+        return list(_staged)
 
 
-def mark() -> list[str]:
-    """What is staged so far, for settled()."""
-    return list(_staged)
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[list[str]]:
+    """What this thread stages within goes at the end, whether read or not; scopes of other threads are their own."""
+    token = _scope.set(own := [])
+    try:
+        yield own
+    finally:
+        _scope.reset(token)
+        remove(spark, own)
 
 
-def settled(df: DataFrame, name: str, before: list[str]) -> DataFrame:
-    """table(df, name), after which all that was staged since ``before`` goes: the written table needs none of it."""
-    spent = [p for p in _staged if p not in before]
-    out = table(df, name)
-    _remove(df.sparkSession, spent)
-    return out
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> tuple[DataFrame, str]:
+    """The rows of make() as a written table, and its folder; what was staged for them is gone."""
+    path = new_dir(spark, name)
+    with scope(spark):
+        df = make()
+        df.write.parquet(path)
+    return _read(spark, path, df.schema), path
 
 
 def reachable(spark: SparkSession) -> None:

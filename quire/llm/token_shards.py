@@ -234,8 +234,10 @@ def write(docs: DataFrame, out: str, tokenizer: str, end_id: int | None = 1, key
             kinds = (pa.int64(), pa.string(), *[pa.int64()] * 5)
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds)], ["shard", "name", "n_docs", "n_tokens", "first", "last", "n_last"])
 
-    order = [F.col("k").asc_nulls_first(), F.col("h")]
-    ranged = rows.select("k", F.xxhash64("t").alias("h"), "t").repartitionByRange(shards, *order).sortWithinPartitions(*order, "t")
+    # With a number of its own each row has a range to go to, so that rows of one key and text, however many, are spread.
+    order = [F.col("k").asc_nulls_first(), F.col("h"), F.col("n")]
+    numbered = rows.select("k", F.xxhash64("t").alias("h"), "t", F.monotonically_increasing_id().alias("n"))
+    ranged = numbered.repartitionByRange(shards, *order).sortWithinPartitions(*order)
     made = sorted(ranged.mapInArrow(run, "shard long, name string, n_docs long, n_tokens long, first long, last long, n_last long").collect())  # one row a shard
     entries, start, before = [], 0, (False, None, 0)
     for r in made:

@@ -7,6 +7,11 @@ exchanged for each other of its group, and ``SWAP`` times the mean squared chang
 added to the loss. The change is that of all entries that come and go with the term, its beginnings included, less those
 that other words of the sentence bring too; so a neutral mention of a group scores the same for all groups.
 
+Labelled sentences may name no group at all, and a term may still score by a beginning that it shares with an insult. So
+each sentence that names none gets one term, in turn, and so does the empty sentence get each: there the term is exchanged
+for the others and for none, and ``SWAP`` times the mean squared change of each such pair is added too. The terms are
+data, by language; a caller may pass others.
+
 The fit uses at most ``SAMPLE`` labelled documents, those of the smallest hash of their key, written as a table; that many
 rows of word numbers come to the driver. Scores take whole texts. Cases: a null or empty text scores as a text without
 known words; without labels, or with one class only, every score is the mean label (0.0 without any); null labels do not
@@ -24,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import staging
+from quire.llm.columns import own as col
 from quire.llm.mph import mix
 from quire.llm.textbytes import NO_WORD, byte_sums, slice_hashes, text_chunks, word_spans
 
@@ -40,6 +46,9 @@ IDENTITY = (
     ("immigrants", "refugees", "foreigners", "natives", "citizens"),
     ("disabled", "blind", "deaf", "autistic"),
     ("old", "young", "elderly", "teenage"),
+    ("mujeres", "hombres", "musulmanes", "cristianos", "judíos", "inmigrantes", "refugiados", "extranjeros", "gitanos", "discapacitados"),
+    ("femmes", "hommes", "musulmans", "chrétiens", "juifs", "immigrés", "réfugiés", "étrangers", "handicapés", "homosexuels"),
+    ("frauen", "männer", "muslime", "christen", "juden", "einwanderer", "flüchtlinge", "ausländer", "behinderte", "homosexuelle"),
 )
 _GAP = NO_WORD
 #: What ends a sentence.
@@ -130,6 +139,12 @@ class Terms:
         self.others = [[words.index(o) for o in g if o != w] for g in identity for w in g]
         self.at = {int(np.searchsorted(vocabulary, word_hashes([w])[0])): i for i, w in enumerate(words)}
 
+    def placed(self, number: np.ndarray, term: int) -> list[tuple[int, int, int, int]]:
+        """The same for a sentence without terms that gets this one; the other may be none, -1."""
+        out = [x for x in self.swapped(np.concatenate([number, self.brings[term]]).astype(np.int64)) if x[0] == term]
+        lost = out[0][2] if out else sum(1 << k for k, e in enumerate(self.brings[term]) if e not in set(number.tolist()))
+        return [*out, (term, -1, lost, 0)]
+
     def swapped(self, number: np.ndarray) -> list[tuple[int, int, int, int]]:
         """The exchanges in one sentence, the numbers of its known entries word by word, repeats included.
 
@@ -150,28 +165,33 @@ class Terms:
         """What the exchange does to the entries of the sentence: -1, 0 or 1 each."""
         out = np.zeros(size)
         for sign, which, bits in ((-1, term, lost), (1, other, gained)):
-            for k, e in enumerate(self.brings[which]):
+            for k, e in enumerate(self.brings[which] if which >= 0 else ()):
                 out[e] += sign * (bits >> k & 1)
         return out
 
 
-def swap_matrix(terms: Terms, swaps: list[tuple[int, int, int, int, int]], size: int) -> np.ndarray:
-    """The mean over exchanges (term, other, lost, gained, times) of change x change': w' of it w is the mean squared change of the score."""
-    out, total = np.zeros((size, size)), max(1, sum(s[-1] for s in swaps))
+def swap_matrix(terms: Terms, swaps: list[tuple[int, int, int, int, int]], size: int, by_pair: bool = False) -> np.ndarray:
+    """The mean over exchanges (term, other, lost, gained, times) of change x change': w' of it w is the mean squared change of the score.
+
+    by_pair: the sum of such means, one for each pair of term and other.
+    """
+    out, total = np.zeros((size, size)), Counter()
+    for term, other, _, _, times in swaps:
+        total[(term, other) if by_pair else None] += times
     for *swap, times in swaps:
         own = terms.change(*swap, size)
         at = np.flatnonzero(own)
-        out[np.ix_(at, at)] += np.outer(own[at], own[at]) * (times / total)
+        out[np.ix_(at, at)] += np.outer(own[at], own[at]) * (times / total[tuple(swap[:2]) if by_pair else None])
     return out
 
 
 def sampled(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str, train: Column | None, sample: int) -> DataFrame:
     """(text, y), written: at most ``sample`` labelled documents, those of the smallest hash of their key, one row a key and label."""
     own = labels.filter(train) if train is not None else labels
-    own = own.select(own[key].alias("_k"), own[label].cast("int").alias("_y")).filter("_k is not null and _y is not null").distinct()
+    own = own.select(col(key).alias("_k"), col(label).cast("int").alias("_y")).filter("_k is not null and _y is not null").distinct()
     # At most ``sample`` rows of 12 bytes: a bounded broadcast, which spares the texts a shuffle.
     few = own.orderBy(F.xxhash64("_k"), "_k", "_y").limit(sample)
-    rows = docs.join(F.broadcast(few), docs[key] == few["_k"]).select("_k", "_y", docs[text].cast("string").alias("text"))
+    rows = docs.select(col(key).alias("_k"), col(text).cast("string").alias("text")).join(F.broadcast(few), "_k")
     # Of rows of one id the text of the smallest hash, by an aggregate with a combiner, so that repeats can't outgrow the bound.
     one = rows.groupBy("_k", "_y").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.coalesce(F.col("text"), F.lit("")))).alias("text"))
     return staging.table(one.select("text", "_y"), "sample")
@@ -237,17 +257,23 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
                 named = np.isin(number, list(terms.at))
                 for a, b in zip(edge[:-1], edge[1:]):
                     if named[a:b].any():
-                        times.update(terms.swapped(number[a:b]))
-        columns = list(zip(*((*k, n) for k, n in times.items()))) or [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["term", "other", "lost", "gained", "times"])
+                        times.update((0, *x) for x in terms.swapped(number[a:b]))
+                    else:
+                        times.update((1, *x) for x in terms.placed(number[a:b], int(number[a:b].sum()) % len(terms.brings)))
+        columns = list(zip(*((*k, n) for k, n in times.items()))) or [[]] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["made", "term", "other", "lost", "gained", "times"])
 
     found = rows.mapInArrow(known, "y int, words binary").collect()  # at most ``sample`` rows
     # Bounded by the pairs of terms and the entries that each brings, whatever the texts.
-    pairs = rows.mapInArrow(exchanges, "term long, other long, lost long, gained long, times long").groupBy("term", "other", "lost", "gained").agg(F.sum("times").alias("times")).collect()
+    kinds = ("made", "term", "other", "lost", "gained")
+    pairs = rows.mapInArrow(exchanges, f"{', '.join(f'{c} long' for c in kinds)}, times long").groupBy(*kinds).agg(F.sum("times").alias("times")).collect()
     words = [np.frombuffer(r.words, "<u4").astype(np.int64) for r in found]
     y = np.array([r.y > 0 for r in found], float)
     at = np.repeat(np.arange(len(words)), [len(x) for x in words])
-    swaps = swap_matrix(terms, sorted(tuple(r) for r in pairs), len(vocabulary))
+    pairs = sorted(tuple(r) for r in pairs)
+    swaps = swap_matrix(terms, [r[1:] for r in pairs if not r[0]], len(vocabulary))
+    empty = [(*x, 1) for t in range(len(terms.brings)) for x in terms.placed(np.zeros(0, np.int64), t)]
+    swaps += swap_matrix(terms, [r[1:] for r in pairs if r[0]] + empty, len(vocabulary), by_pair=True)
     weights = logistic(at, np.concatenate([np.zeros(0, np.int64), *words]), y, len(vocabulary), swaps, RIDGE, SWAP)
     return Model(vocabulary, weights)
 
@@ -261,7 +287,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             own = model.score(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.float64()), pa.array((own >= threshold).astype(np.int32))], [key, "score", "predicted"])
 
-    return docs.select(docs[key], docs[text].cast("string")).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, score double, predicted int")
+    return docs.select(col(key), col(text).cast("string")).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -273,4 +299,6 @@ def keep_clean(docs: DataFrame, model: Model, text: str = "text", threshold: flo
         for batch in staging.pieces(batches):
             yield batch.filter(pa.array(model.score(batch.column(place)) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    # Under numbers, as names may hold dots.
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

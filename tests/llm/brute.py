@@ -7,13 +7,13 @@ import random
 import re
 from collections import Counter, defaultdict
 
-SCHEMA = "doc_id long, text string, lang string, block int, shard int, w string, id string, kind string, row long"
+SCHEMA = "doc_id long, text string, lang string, block int, shard int, w string, id string, kind string, row long, _k int, _y int, n_lines int, n_dropped int, `a.b` string, c0 int"
 
 
 def documents(spark, texts, ids=None):
     """With columns whose names the operators use inside."""
     ids = range(len(texts)) if ids is None else ids
-    return spark.createDataFrame([(k, t, "xx", 1, 2, "w", "i", "k", 7) for k, t in zip(ids, texts)], SCHEMA)
+    return spark.createDataFrame([(k, t, "xx", 1, 2, "w", "i", "k", 7, 3, 0, 5, 6, "dot", 9) for k, t in zip(ids, texts)], SCHEMA)
 
 
 def some_texts(seed: int, n: int = 60) -> list[str | None]:

@@ -157,3 +157,17 @@ def test_quality_against_a_dense_fit(spark):
     plain = [max(min(mean(a, b) for b in range(k, len(at))) for a in range(k + 1)) for k in range(len(at))]
     want = np.clip(np.interp(phi @ ridge(use, target), (at + 0.5) / quality.BINS * 2 - 0.5, plain), 0, 1)
     assert np.allclose([got[k] for k in [*ids, 900, 901]], want, atol=1e-6)
+
+
+def test_neutral_mentions_score_alike_after_a_fit_on_the_tables(spark):
+    """The tables name no group, but insults share beginnings with some terms."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    for group in toxicity.IDENTITY:
+        for sentence in ("my {} neighbour bought bread at the market today", "{}", "we met the {} at noon"):
+            scores = [_logit(model, sentence.format(term)) for term in group]
+            assert max(scores) - min(scores) < 0.05 and abs(scores[0] - _logit(model, sentence.format(""))) < 0.05
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    got = [(truth[r.doc_id], r.predicted) for r in toxicity.score(docs, model).collect() if truth.get(r.doc_id) is not None]
+    assert np.mean([t == p for t, p in got]) > 0.97

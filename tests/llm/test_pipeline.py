@@ -1,4 +1,8 @@
+import gc
+import glob
 import hashlib
+import time
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import public_tokenizers as P
@@ -6,6 +10,7 @@ import tiktoken
 import xxhash
 
 import corpus_pipeline
+from quire.llm import staging
 from quire.llm.byte_bpe import read_ranks
 from quire.llm.components import forest
 from tests.llm.brute import az, benchmark_hits, lines
@@ -59,7 +64,7 @@ def test_run_is_its_stages_in_turn(spark):
 def test_stages_take_odd_rows(spark):
     base = spark.read.parquet(f"{SF}/documents.parquet")
     odd = spark.createDataFrame([(None, None, None, None, None), (-1, "", "en", "s", 0), (-1, "", "en", "s", 0), (-2, "w " * 50_000, None, None, None)], base.schema)
-    docs = odd.union(base.limit(20)).selectExpr("*", "1 AS block", "'x' AS _gone", "2 AS words")
+    docs = odd.union(base.limit(20)).selectExpr("*", "1 AS block", "'x' AS _gone", "2 AS words", "3 AS _k", "4 AS _y", "5 AS n_lines", "6 AS n_dropped", "7 AS `a.b`", "8 AS c0", "9 AS row", "'h' AS h", "0 AS id")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns and out.count() > 0
@@ -79,16 +84,63 @@ def test_rows_without_an_id_go_alone(spark):
     assert corpus_pipeline.remove_lines(spark, docs, SF).count() == 1000
 
 
-def test_spent_tables_go(spark):
-    import glob
+def folders(spark):
+    return set(glob.glob(f"{staging.shared_dir(spark).removeprefix('file://')}/quire-*"))
 
-    from quire.llm import staging
 
-    before, folder = staging.mark(), staging.shared_dir(spark).removeprefix("file://")
-    known = set(glob.glob(f"{folder}/*"))
+def test_spent_tables_go(spark):
+    known = folders(spark)
     out = corpus_pipeline.run(spark, SF)
-    assert out.count() > 0 and len(set(staging.mark()) - set(before)) == 1
-    assert len(set(glob.glob(f"{folder}/*")) - known) == 1
+    assert out.count() > 0
+    left = folders(spark) - known
+    assert len(left) == 1 and out.inputFiles()[0].split("/quire-")[1].split("/")[0] in left.pop()
+
+
+def test_pipelines_in_threads_are_apart(spark):
+    want = sorted(tuple(r) for r in corpus_pipeline.run(spark, SF).collect())
+    with ThreadPoolExecutor(3) as pool:
+        runs = [pool.submit(lambda: sorted(tuple(r) for r in corpus_pipeline.run(spark, SF).collect())) for _ in range(3)]
+        assert all(r.result() == want for r in runs)
+
+
+def test_a_stage_that_is_not_read_yet_keeps_its_tables_while_others_run(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    lazy = [stage(spark, docs, SF).selectExpr("count(*) AS n") for _, stage in corpus_pipeline.STAGES[:-1]]
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        staging.sweep(spark)
+    corpus_pipeline.run(spark, SF)
+    sizes = [x.first().n for x in lazy]
+    assert sizes[1] == docs.count() and all(0 < n <= sizes[1] for n in sizes)
+
+
+def test_tables_go_once_nothing_refers_to_them(spark):
+    def collected():
+        for _ in range(4):  # the JVM is told of what Python lets go, and then collects
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()
+            time.sleep(0.2)
+            staging.sweep(spark)
+
+    known = folders(spark)
+    derived = staging.table(spark.range(10).selectExpr("id", "id AS k"), "one").filter("id > 3")
+    collected()
+    (own,) = folders(spark) - known
+    found = derived.count()
+    assert found == 6
+    del derived
+    for _ in range(10):  # plans of the last queries are remembered for a while
+        staging.table(spark.range(10).join(spark.range(5), "id"), "other").count()
+        collected()
+        if own not in folders(spark):
+            break
+    assert own not in folders(spark)
+    known = folders(spark)
+    with staging.scope(spark):
+        kept = staging.table(spark.range(10), "two")
+        assert kept.count() == 10 and len(folders(spark) - known) == 1
+    assert folders(spark) <= known
 
 
 def test_session_settings_stay(spark):
@@ -100,8 +152,6 @@ def test_session_settings_stay(spark):
 def test_very_long_texts_come_in_small_pieces():
     import pyarrow as pa
 
-    from quire.llm import staging
-
     batch = pa.RecordBatch.from_pydict({"t": ["x" * 3_000_000] * 12 + ["y"] * 5000})
     found = list(staging.pieces([batch, batch.slice(0, 0)]))
     assert sum(p.num_rows for p in found) == batch.num_rows and max(p.num_rows for p in found) <= staging.BATCH_ROWS

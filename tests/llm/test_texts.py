@@ -249,3 +249,12 @@ def test_labels_are_those_of_a_plain_search(spark):
     assert [(r.labels, round(r.score, 9)) for r in got] == [(a, round(b, 9)) for a, b in map(_plain_labels, texts)]
     assert all(n[0] in r.labels.split(",") for n, r in zip(licences.NOTICES, got[::7]))
     assert licences.scan(documents(spark, ["MIT LICEN\u017fE Apache \u212a"])).first().labels == ""
+
+
+def test_rows_of_one_key_and_text_are_spread_over_shards(spark, tmp_path):
+    docs = spark.range(100_000).selectExpr("CAST(NULL AS LONG) AS doc_id", "'' AS text").unionAll(spark.range(2000).selectExpr("7 AS doc_id", "'same'"))
+    entries = token_shards.write(docs, f"file://{tmp_path}/shards", WORDS, end_id=1, shards=4)
+    assert sum(e["n_docs"] for e in entries) == 102_000 and max(e["n_docs"] for e in entries) < 40_000
+    shards = token_shards.Shards(f"file://{tmp_path}/shards")
+    assert all(shards.get(None, c).tolist() == [1] for c in (0, 30_000, 60_000, 99_999)) and shards.get(None, 100_000) is None
+    assert shards.get(7, 1999).tolist() == shards.get(7).tolist() and shards.get(7, 2000) is None
