@@ -2,15 +2,13 @@
 
 What the stages drop: documents that score as toxic; lines that another document holds; all but one of a group of
 similar documents; documents that hold a passage of the benchmark. The last stage encodes what is left as token ids.
-Every stage takes null and empty texts, repeated rows and columns beyond those of documents; all but the last pass these
-on. What a stage has staged for itself goes when the next one begins, but for what that one's documents still read: a
-stage's result is written before the next stage is called.
+Every stage takes null and empty texts, repeated rows and columns beyond those of documents, whatever their names; all
+but the last pass these on. A stage's result is lazy; what it reads stays while it can be read (see ``staging``). run()
+writes each result and removes at once what was staged for it, and the one before; runs in several threads are apart.
 """
 
 from __future__ import annotations
 
-import functools
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,46 +16,27 @@ from pyspark.sql import functions as F
 from quire.llm import byte_bpe, decontaminate, folds, line_dedup, simhash, staging, toxicity
 
 
-_left: list[str] = []
-
-
-def _stage(f):
-    @functools.wraps(f)
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        read, before = staging.drop_unread(docs, _left), staging.mark()
-        out = f(spark, docs, sf_dir)
-        _left[:] = [*read, *(p for p in staging.mark() if p not in before)]
-        return out
-
-    return run
-
-
-@_stage
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.5, by a classifier that learns from the labelled ones outside the held-out fold."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.keep_clean(docs, toxicity.fit(docs, labels, train=~folds.held_out(F.col("doc_id"), 5, 0)))
 
 
-@_stage
 def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, less the lines that stand in a document of a smaller doc_id too."""
-    return line_dedup.drop_lines(docs).select(docs.columns)
+    return line_dedup.drop_lines(docs, counts=False)
 
 
-@_stage
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of a similarity of 0.8 or more over five-word shingles, that of the smallest doc_id."""
     return simhash.one_of_each(docs)
 
 
-@_stage
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of the benchmark occurs, each judged by its own text."""
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-@_stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document that is left."""
     return byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), digests=True, pattern=public_tokenizers.PATTERN)
@@ -76,7 +55,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), staging.mark()
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = staging.settled(stage(spark, docs, sf_dir), name, before)
+        docs, path = staging.settled(spark, lambda f=stage, read=docs: f(spark, read, sf_dir), name)
+        staging.remove(spark, [before] if before else [])
+        before = path
     return docs
