@@ -208,24 +208,9 @@ def of_kinds(candidates: DataFrame, kinds: tuple[str, ...] | None = None, items:
     return out.filter((F.col("kind") != "Item") | unique) if items == "unique" and unique is not None else out
 
 
-def contained(names: DataFrame, texts: DataFrame) -> DataFrame:
-    """(id, name): names that a text holds, anywhere and as they are spelled. names: (name); texts: (id, body), ids differ.
-
-    Texts meet names by the first three characters of these (or all, if there are fewer) as an equality; what meets is
-    then looked up in the text. The cost follows the texts and what they share with names, not the product.
-    """
-    keyed = names.select("name").distinct().filter("name <> ''").withColumn("gram", F.substring("name", 1, 3))
-    sizes = sorted(r[0] for r in keyed.select(F.length("gram")).distinct().collect())  # 1, 2 or 3
-    if not sizes:
-        return texts.select("id", F.lit("").alias("name")).limit(0)
-    every = lambda n: F.regexp_extract_all("body", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))  # one pass over the text
-    grams = F.flatten(F.array(*[F.array_distinct(every(n)) for n in sizes]))
-    met = texts.select("id", F.explode(grams).alias("gram")).join(keyed, "gram").select("id", "name").distinct()
-    return met.join(texts.select("id", "body"), "id").filter(F.col("body").contains(F.col("name"))).select("id", "name")
-
-
 def supported_in(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) of names that stand together in a text, as they are spelled. texts: (id, body)."""
-    found = contained(pairs.select(F.col("a").alias("name")).union(pairs.select("b")), texts)
-    left, right = found.toDF("id", "a"), found.toDF("id", "b")
-    return pairs.join(left, "a").join(right, ["id", "b"]).select("a", "b").distinct()
+    from quire.operators.cooccurrence import contained, together
+
+    names = pairs.select(F.col("a").alias("name")).union(pairs.select("b"))
+    return together(pairs, contained(names, texts).withColumnRenamed("id", "session"))

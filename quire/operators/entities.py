@@ -35,36 +35,57 @@ def resolve(candidates: DataFrame, names: DataFrame, column: str = "candidate")
 def resolve_fuzzy(candidates: DataFrame, names: DataFrame, least: float = 0.9, column: str = "candidate") -> DataFrame:
     """(candidate, name, ratio): the most similar name of at least that ratio, the smallest of equals.
 
-    A candidate is cut into pieces, one of which a name of the ratio holds unchanged, so they meet by equality. At a high
-    ratio few and long pieces do; so ratios go down in steps, and what one step has resolved, whose best name is then
-    known, doesn't come to the next with its shorter and commoner pieces.
+    Pairs come from a prefix filter over pairs of letters, the rarest first: what the ratio lets two names differ in can
+    spoil only so many of them, so that one of the rarest few of each is shared. Lengths, the number of shared pairs of
+    letters and the edit distance then end most pairs before Python. At a high ratio fewer pairs of letters are asked
+    for; so ratios go down in steps, and what one step has resolved, whose best name is then known, doesn't come to the next.
     """
     reach(candidates.sparkSession)
     left = cut(candidates.select(column).distinct().withColumn("key", text.name_key(F.col(column))).filter("key <> ''"))
+    known = cut(names.select("name").filter("name <> ''").distinct().withColumn("grams", _grams(F.col("name"))))
     found = None
     for step in [s for s in (0.97, 0.94) if s > least] + [least]:
-        best = cut(_nearest(left, names, step, column))
+        best = cut(_nearest(left, known, step, column))
         found = best if found is None else found.unionAll(best)
         left = left.join(best.select(column), column, "left_anti")
     return found
 
 
-def _nearest(own: DataFrame, names: DataFrame, least: float, column: str) -> DataFrame:
-    # Of a name of n characters, a ratio r leaves at most (1 - r) * (n + m) characters unmatched; cut into one piece
-    # more than that, one piece at least stands unchanged in the other. Pieces then have r / (2 - 2r) characters at most,
-    # so their sizes are a handful of numbers, which bounds the broadcast.
-    pieces = lambda c: F.floor(F.length(c) * 2 * F.lit((1 - least) / least) + 1e-9).cast("int") + 1
-    part = F.greatest(F.floor(F.length("key") / pieces(F.col("key"))).cast("int"), F.lit(1))
-    chop = F.transform(F.sequence(F.lit(0), F.least(pieces(F.col("key")), F.length("key")) - 1), lambda i: F.substring("key", i * part + 1, part))
-    left = own.withColumn("part", F.explode(F.array_distinct(chop)))
-    sizes = left.select(F.length("part").alias("size")).distinct()
-    grams = names.select("name").join(F.broadcast(sizes), F.col("size") <= F.length("name")).withColumn("part", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("name") - F.col("size") + 1), lambda i: F.substring("name", i, F.col("size"))))))
-    # What is left unmatched is at most inserted and deleted, so it bounds the edit distance: pairs that share no more
-    # than a common piece end here, before Python.
-    unmatched = F.floor((F.length("key") + F.length("name")) * (1 - least) + 1e-9)
-    met = left.join(grams.select("name", "part"), "part").filter(can_reach(F.col("key"), F.col("name"), least)).filter(F.levenshtein("key", "name") <= unmatched).select(column, "key", "name").distinct()
+def _grams(name: Column) -> Column:
+    """The pairs of letters of a name, ends included, each with how often it stood before, so that all differ."""
+    padded = F.concat(F.lit("\x01"), name, F.lit("\x02"))
+    pairs = F.transform(F.sequence(F.lit(1), F.length(padded) - 1), lambda i: F.substring(padded, i, 2))
+    return F.transform(pairs, lambda g, i: F.concat(g, F.size(F.filter(F.slice(pairs, F.lit(1), i), lambda x: x == g)).cast("string")))
+
+
+def _rarest(rows: DataFrame, by: str, counts: DataFrame, least: float) -> DataFrame:
+    """(by, gram): the rarest grams of each row (by, grams), one more than a name of that ratio may lack.
+
+    Of n characters a ratio r lets at most n (2 - 2r) / (2 - r) go, if nothing comes instead, and each takes two grams.
+    """
+    each = rows.select(by, F.explode("grams").alias("gram")).join(counts, "gram", "left")
+    lists = each.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))).alias("g"))
+    spoilt = F.floor((F.size("g") - 1) * F.lit(2 * (2 - 2 * least) / (2 - least)) + 1e-9).cast("int")
+    return lists.select(by, F.explode(F.transform(F.slice("g", F.lit(1), spoilt + 1), lambda x: x.gram)).alias("gram"))
+
+
+def _met(own: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """(key, name): what comes to Python. own: (key, grams); known: (name, grams)."""
+    counts = cut(known.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")))
+    pairs = _rarest(own, "key", counts, least).join(_rarest(known, "name", counts, least), "gram").filter(can_reach(F.col("key"), F.col("name"), least)).select("key", "name").distinct()
+    # What is left unmatched is at most inserted and deleted, which bounds the edit distance and the grams that differ.
+    unmatched = F.floor((F.length("key") + F.length("name")) * (1 - least) + 1e-9).cast("int")
+    shared = F.size(F.array_intersect(_grams(F.col("key")), _grams(F.col("name"))))
+    longest = F.greatest(F.length("key"), F.length("name"))
+    return pairs.filter(shared >= longest + 1 - 2 * unmatched).filter(F.levenshtein("key", "name") <= unmatched)
+
+
+def _nearest(own: DataFrame, known: DataFrame, least: float, column: str) -> DataFrame:
+    """own: (column, key)."""
+    met = _met(own.select("key").distinct().withColumn("grams", _grams(F.col("key"))), known, least)
     scored = met.withColumn("ratio", ratio("key", "name")).filter(F.col("ratio") >= least)
-    return scored.groupBy(column).agg(F.max_by(F.struct("name", "ratio"), F.struct(F.col("ratio"), (-F.length("name")).alias("l"), F.col("name"))).alias("m")).select(column, "m.name", "m.ratio")
+    best = scored.groupBy("key").agg(F.max_by(F.struct("name", "ratio"), F.struct(F.col("ratio"), (-F.length("name")).alias("l"), F.col("name"))).alias("m"))
+    return own.join(best, "key").select(column, "m.name", "m.ratio")
 
 
 def link_mentions(lines: DataFrame, names: DataFrame) -> DataFrame:
@@ -170,9 +191,9 @@ def mention_index(mentions: DataFrame) -> DataFrame:
 
 def unsupported(pairs: DataFrame, seen: DataFrame) -> DataFrame:
     """Pairs (a, b) that no session mentions together. seen: (name, session)."""
-    left, right = seen.select(F.col("name").alias("a"), "session"), seen.select(F.col("name").alias("b"), "session")
-    together = pairs.select("a", "b").distinct().join(left, "a").join(right, ["b", "session"]).select("a", "b").distinct()
-    return pairs.join(together, ["a", "b"], "left_anti")
+    from quire.operators.cooccurrence import together
+
+    return pairs.join(together(pairs, seen), ["a", "b"], "left_anti")
 
 
 def duplicates(entities: DataFrame, distinct_by_intent: Column | None = None) -> DataFrame:
@@ -185,9 +206,9 @@ def duplicates(entities: DataFrame, distinct_by_intent: Column | None = None) ->
     return out.filter("n > 1 and not _meant").drop("_meant")
 
 
-def appearances(mentions: DataFrame) -> DataFrame:
+def appearances(mentions: DataFrame, newest_first: bool = False) -> DataFrame:
     """(title, sessions): the sessions in which each candidate appears, in order. mentions: (title, session)."""
-    return mentions.groupBy("title").agg(F.array_sort(F.collect_set("session")).alias("sessions"))
+    return mentions.groupBy("title").agg(F.sort_array(F.collect_set("session"), asc=not newest_first).alias("sessions"))
 
 
 def distinct_in_order(rows: DataFrame, column: str, at: str) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import paths
+from quire.plans.cut import cut
+from quire.plans.workers import reach
 
 
 def outgoing(notes: DataFrame) -> DataFrame:
@@ -72,16 +74,15 @@ def transclusion_texts(embeds: DataFrame, notes: DataFrame) -> DataFrame:
     return embeds.join(own, embeds["target"] == own["_slug"]).select("page", "target", "anchor", found.alias("text"))
 
 
-def transcluded(embeds: DataFrame, blocks: DataFrame, depth: int | None = None) -> DataFrame:
+def transcluded(embeds: DataFrame, blocks: DataFrame, depth: int | None = None, pages: DataFrame | None = None) -> DataFrame:
     """(page, path, depth): pages whose text an embed brings in, directly or through others, each once.
 
     embeds: (page, target). A page that is reached again is not entered again, which breaks cycles. Without a depth the
-    loop goes on until nothing new is found.
+    loop goes on until nothing new is found. pages: (page), those to begin with, all by default.
     """
-    from quire.plans.cut import cut
-
     parts = int(embeds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    seen = cut(embeds.select("page", F.col("target").alias("path"), F.lit(1).alias("depth")).distinct())
+    first = embeds if pages is None else embeds.join(pages.select("page").distinct(), "page", "left_semi")
+    seen = cut(first.select("page", F.col("target").alias("path"), F.lit(1).alias("depth")).distinct())
     front, d = seen, 1
     step = embeds.select(F.col("page").alias("path"), F.col("target").alias("next"))
     while d != depth:
@@ -96,3 +97,63 @@ def transcluded(embeds: DataFrame, blocks: DataFrame, depth: int | None = None)
         if d % 4 == 0:
             seen = cut(seen.coalesce(parts))
     return seen.join(blocks.select("path").distinct(), "path", "left_semi")
+
+
+#: An embed: target, anchor, what it shows.
+EMBED = r"!\[\[([^\[\]|#]*)(#[^\[\]|]*)?(?:\|[^\[\]]*)?\]\]"
+
+
+def _inner(body: Column) -> Column:
+    """Array of (raw, target, anchor) of the embeds of a text; anchors are #^block, or # and the heading's slug."""
+    part = lambda k: F.regexp_extract_all(body, F.lit(EMBED), F.lit(k))
+    anchor = lambda a: F.when(a.startswith("#^") | (a == ""), a).otherwise(F.concat(F.lit("#"), paths.slug_anchor(F.trim(F.substring(a, F.lit(2), F.length(a))))))
+    target = lambda t: F.when(F.trim(t) == "", "").otherwise(paths.slugify_path(F.trim(t)))
+    return F.transform(F.arrays_zip(part(0).alias("r"), part(1).alias("t"), part(2).alias("a")), lambda x: F.struct(x.r.alias("raw"), target(x.t).alias("target"), anchor(x.a).alias("anchor")))
+
+
+def expanded(notes: DataFrame) -> DataFrame:
+    """(slug, text): pages with embeds, each embed replaced by what it brings in, and the embeds of that in turn.
+
+    notes: (slug, body). Within a page every other page is brought in once, at its first place in reading order; further
+    embeds of it, and of the page itself, become a line that says so, which ends cycles. Embeds of what isn't there stay.
+
+    Every different (page, anchor) that is embedded anywhere has its text cut out once. Which of them a page reaches is
+    found in rounds over the graph of embeds; then their texts meet in one group a page, as large as the page's own result
+    can get, and are put together there.
+    """
+    import pyarrow as pa
+
+    reach(notes.sparkSession)
+    own = cut(notes.select("slug", "body", _inner(F.col("body")).alias("inner")).filter(F.size("inner") > 0))
+    asked = own.select(F.explode("inner").alias("e")).select(F.col("e.target").alias("target"), F.col("e.anchor").alias("anchor")).filter("target <> ''").distinct()
+    found = transclusion_texts(asked.withColumn("page", F.lit("")), notes).filter("text IS NOT NULL")
+    units = found.select(F.concat("target", "anchor").alias("unit"), "text").union(own.select("slug", "body")).dropDuplicates(["unit"])
+    units = cut(units.select("unit", F.split("text", EMBED, -1).alias("plain"), _inner(F.col("text")).alias("inner")))
+    edges = units.select(F.col("unit").alias("page"), F.explode("inner").alias("e")).select("page", F.concat("e.target", "e.anchor").alias("target")).distinct()
+    pages = own.select(F.col("slug").alias("page"))
+    reached = transcluded(edges, units.select(F.col("unit").alias("path")), pages=pages).select("page", "path")
+    every = reached.union(pages.select("page", F.col("page").alias("path"))).distinct().join(units, F.col("path") == F.col("unit")).select("page", "unit", "plain", "inner")
+    schema = pa.schema([("slug", pa.string()), ("text", pa.string())])
+
+    def assemble(table: pa.Table) -> pa.Table:
+        page = table["page"][0].as_py()
+        texts = dict(zip(table["unit"].to_pylist(), zip(table["plain"].to_pylist(), table["inner"].to_pylist())))
+        out, met, todo = [], {page}, [(texts[page], 0)]
+        while todo:
+            (plain, inner), at = todo.pop()
+            out.append(plain[at])
+            if at == len(inner):
+                continue
+            todo.append(((plain, inner), at + 1))
+            target = inner[at]["target"] or page
+            if target in met:
+                out.append(f"Circular transclusion detected: {target}")
+            elif (more := texts.get(target + inner[at]["anchor"])) is None:
+                met.add(target)
+                out.append(inner[at]["raw"])
+            else:
+                met.add(target)
+                todo.append((more, 0))
+        return pa.table([[page], ["".join(out)]], schema=schema)
+
+    return every.groupBy("page").applyInArrow(assemble, "slug string, text string")

@@ -50,6 +50,64 @@ def not_ignored(path: Column, rules: list[str]) -> Column:
     return out
 
 
+def ignore_lines(files: DataFrame) -> DataFrame:
+    """(folder, rules): the lines of ignore files (path, raw) as an array of (back, only_folders, pattern), in order.
+
+    Patterns are regular expressions over paths as seen from the file's folder. Comments and blank lines say nothing; !
+    takes back; a slash at the end means folders, one before it anchors the rule at the folder; ** crosses folders, * and ?
+    stay within one; a backslash takes a character as it is.
+    """
+    lines = F.transform(F.split("raw", r"\r?\n"), lambda x: F.regexp_replace(x, r"(?<!\\)[ \t]+$", ""))
+    own = F.filter(lines, lambda x: (x != "") & ~x.startswith("#"))
+
+    def rule(x: Column) -> Column:
+        back, plain = x.startswith("!"), F.regexp_replace(x, "^!", "")
+        only, bare = plain.endswith("/"), F.regexp_replace(plain, "/$", "")
+        p = F.regexp_replace(F.regexp_replace(bare, "^/", ""), r"\\(.)", "\x05$1")
+        for pattern, mark in ((r"(^|/)\*\*/", "$1\x01"), (r"/\*\*$", "/\x02"), (r"(?<!\x05)\*+", "\x03"), (r"(?<!\x05)\?", "\x04"), (r"([.+^$(){}|])", r"\\$1"), (r"(?<!\x05)\[!", "[^")):
+            p = F.regexp_replace(p, pattern, mark)
+        for mark, pattern in (("\x05([^A-Za-z0-9])", r"\\$1"), ("\x05", ""), ("\x01", "(?:[^/]+/)*"), ("\x02", ".+"), ("\x03", "[^/]*"), ("\x04", "[^/]")):
+            p = F.regexp_replace(p, mark, pattern)
+        return F.struct(back.alias("back"), only.alias("only_folders"), F.concat(F.when(bare.contains("/"), "^").otherwise("^(?:.*/)?"), p, F.lit("$")).alias("pattern"))
+
+    folder = F.regexp_replace(F.regexp_replace("path", "[^/]*$", ""), "/$", "")
+    return files.select(folder.alias("folder"), F.transform(own, rule).alias("rules"))
+
+
+def kept_by_tree(paths: DataFrame, files: DataFrame) -> DataFrame:
+    """The rows of paths (path, ...) that the ignore files (path, raw) of the tree leave in.
+
+    Of all rules in the folders above a file or folder the last that fits holds, the nearest folder's coming last; what
+    lies in a folder that is left out is left out, whatever is said further down. Every folder is judged once; it meets
+    the rules by the folders above it, an equality.
+    """
+    rules = ignore_lines(files).groupBy("folder").agg(F.max("rules").alias("rules"))  # one file a folder
+    above = lambda p: F.transform(F.sequence(F.lit(1), F.size(F.split(p, "/"))), lambda i: F.array_join(F.slice(F.split(p, "/"), F.lit(1), i), "/"))
+    own = paths.select("path").distinct()
+    entries = own.select("path", F.explode(above(F.col("path"))).alias("entry"))
+    each = entries.select("entry", (F.col("entry") != F.col("path")).alias("is_folder")).distinct()
+    seen = each.withColumn("folder", F.explode(F.concat(F.array(F.lit("")), F.slice(above(F.col("entry")), F.lit(1), F.size(F.split("entry", "/")) - 1))))
+    met = seen.join(rules, "folder").withColumn("rest", F.when(F.col("folder") == "", F.col("entry")).otherwise(F.substring("entry", F.length("folder") + 2, F.length("entry"))))
+    fits = F.filter("rules", lambda r: F.rlike(F.col("rest"), r.pattern) & (F.col("is_folder") | ~r.only_folders))
+    last = met.withColumn("fits", fits).filter(F.size("fits") > 0).groupBy("entry", "is_folder").agg(F.max_by(F.element_at("fits", -1), F.length("folder")).alias("last"))
+    gone = last.filter("NOT last.back").select("entry", "is_folder")
+    out = entries.withColumn("is_folder", F.col("entry") != F.col("path")).join(gone, ["entry", "is_folder"], "left_semi").select("path").distinct()
+    return paths.join(out, "path", "left_anti")
+
+
+def read_ignore_files(spark: SparkSession, root: str, name: str = ".gitignore") -> DataFrame:
+    """(path, raw) of the ignore files below root, which Spark's readers hide; the driver lists the tree and reads them."""
+    from pyarrow import fs
+
+    store, base = fs.FileSystem.from_uri(root)
+    found = [f.path for f in store.get_file_info(fs.FileSelector(base, recursive=True)) if f.base_name == name and f.type == fs.FileType.File]
+    rows = []
+    for path in found:
+        with store.open_input_stream(path, compression=None) as f:
+            rows.append((path[len(base) :].lstrip("/"), f.read().decode("utf-8", "replace")))
+    return spark.createDataFrame(rows, "path string, raw string")
+
+
 def front_matter(raw: Column) -> Column:
     """The block between the lines of three hyphens at the top, or of three plus signs; empty where there is none.
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import re
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text
+from quire.plans.cut import carried, cut, numbered
 
 # Fixed value: the line format of routes.
 EDGE = r"^- \[\[([^\]]+)\]\] -> \[\[([^\]]+)\]\](.*)$"
@@ -39,34 +41,50 @@ def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
-def split_recaps(lines: DataFrame, headers: tuple[str, ...], date: str = r"^\d{4}-\d{2}-\d{2}\r?$", up_to: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, part, date, header, numbers, text) of numbered lines (by, no, value): from each header's date line to the next part.
+def recap_lines(lines: DataFrame, headers: tuple[str, ...], date: str = r"^\d{4}-\d{2}-\d{2}\r?$", up_to: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, part, no, value, date, header, numbers): numbered lines (by, no, value) with the part of their file they belong to.
 
     headers: patterns, the first that matches a line holds; the digits at the beginning of their groups but the last are
     the numbers of the part. up_to: parts of whose numbers all are at most that begin; the text of others stays with the
-    part before them. A header's date line is the last one before it that no other header follows; without one it begins itself.
-    Files are told apart by the columns ``by``; one file is worked on in one task.
+    part before them. A header's date line is the last one before it that no other header follows; without one it begins
+    itself. Lines before the first part are left out. Files are told apart by ``by``; a file may be of any length, as
+    what is open is carried over the tasks that share it (``cut.carried``).
     """
-    file = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    order = file.orderBy("no")
     kinds = [F.when(F.col("value").rlike(p), F.array(*[F.regexp_extract(F.regexp_extract("value", p, g), r"^(\d+)", 1).try_cast("int") for g in range(1, re.compile(p).groups)])) for p in headers]
-    marked = lines.withColumn("numbers", F.coalesce(*[F.array_compact(k) for k in kinds]))
-    earlier = F.last(F.when(F.col("numbers").isNotNull(), F.col("no")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = marked.withColumn("_earlier", earlier)
+    marks = lines.select(*by, "no", "value", F.coalesce(*[F.array_compact(k) for k in kinds]).alias("numbers"), F.col("value").rlike(date).alias("dated")).filter(F.col("numbers").isNotNull() | F.col("dated"))
+    # What a header asks for stands between the dates up to its line and itself, which closes them for the next one.
+    none = F.lit(None).cast("long")
+    no = F.col("no").cast("long")
+    events = F.filter(
+        F.array(
+            F.when(F.col("dated"), F.struct(F.lit(0).alias("o"), no.alias("v"))),
+            F.when(F.col("numbers").isNotNull(), F.struct(F.lit(1).alias("o"), none.alias("v"))),
+            F.when(F.col("numbers").isNotNull(), F.struct(F.lit(2).alias("o"), F.lit(-(2**62)).alias("v"))),
+        ),
+        lambda x: x.isNotNull(),
+    )
+    asked = carried(marks.withColumn("e", F.explode(events)), by, ("no", "e.o"), opened=F.col("e.v")).filter("e.o = 1")
     if up_to is not None:
-        marked = marked.withColumn("numbers", F.when(F.forall("numbers", lambda n: n <= up_to), F.col("numbers")))
-    before = F.last(F.when(F.col("value").rlike(date), F.col("no")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    own_date = F.when(F.col("_earlier").isNull() | (before > F.col("_earlier")), before)
-    heads = marked.withColumn("_start", F.when(F.col("numbers").isNotNull(), F.coalesce(own_date, "no")))
-    # Where each part begins, carried back to its first line, then counted on.
-    begins = heads.withColumn("_begins", F.min("_start").over(order.rowsBetween(0, Window.unboundedFollowing)) == F.col("no"))
-    part = begins.withColumn("part", F.sum(F.col("_begins").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).filter("part > 0")
-    first = F.min_by(F.struct("value", "numbers"), F.when(F.col("numbers").isNotNull(), F.col("no")))
-    out = part.groupBy(*by, "part").agg(
-        F.min_by("value", F.when(F.col("value").rlike(date), F.col("no"))).alias("date"), first.alias("_h"),
+        asked = asked.filter(F.forall("numbers", lambda n: n <= up_to))
+    start = F.when(F.col("opened") > -(2**62), F.col("opened")).otherwise(no)
+    parts = asked.groupBy(*by, start.alias("_start")).agg(F.min_by(F.struct("value", "numbers"), "no").alias("_h"))
+    placed = numbered(parts, *by, "_start", name="_at")
+    same = lambda a, b: reduce(lambda x, y: x & y, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in by], F.lit(True))
+    first = placed.groupBy(*by).agg(F.min("_at").alias("_first"))
+    parts = cut(placed.alias("p").join(first.alias("f"), same("p", "f")).select("p.*", (F.col("_at") - F.col("_first") + 1).alias("part")))
+    begins = lines.alias("l").join(parts.alias("s").select(*by, "_start"), same("l", "s") & (F.col("l.no") == F.col("s._start")), "left").select("l.*", "_start")
+    held = carried(begins.withColumnRenamed("_start", "_begins"), by, ("no",), _start=F.col("_begins")).filter(F.col("_start").isNotNull())
+    out = held.alias("l").join(parts.alias("s"), same("l", "s") & (F.col("l._start") == F.col("s._start")))
+    return out.select(*[f"l.{c}" for c in by], F.col("part").cast("int").alias("part"), "l.no", "l.value", F.when(F.col("l.value").rlike(date), F.col("l.value")).alias("date"), F.col("_h.value").alias("header"), F.col("_h.numbers").alias("numbers"))
+
+
+def split_recaps(lines: DataFrame, headers: tuple[str, ...], date: str = r"^\d{4}-\d{2}-\d{2}\r?$", up_to: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, part, date, header, numbers, text): the parts of recap_lines(), each as one text; a part is what is written as a file."""
+    rows = recap_lines(lines, headers, date, up_to, by)
+    return rows.groupBy(*by, "part").agg(
+        F.min_by("date", F.when(F.col("date").isNotNull(), F.col("no"))).alias("date"), F.first("header").alias("header"), F.first("numbers").alias("numbers"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "value"))), lambda x: x.value), "\n").alias("text"),
     )
-    return out.select(*by, "part", "date", F.col("_h.value").alias("header"), F.col("_h.numbers").alias("numbers"), "text")
 
 
 def models(listing: DataFrame) -> DataFrame:
