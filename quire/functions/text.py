@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from functools import reduce
 
 from pyspark.sql import Column
@@ -67,6 +69,21 @@ def safe_title(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(text, r"[^\p{L}\p{N} _\-]", "")), " ", "_"), "_+", "_")
 
 
+#: Fenced code, open to the end where nothing closes it, and inline code between equal runs of backticks.
+CODE = r"(?ms)^[ \t]*(`{3,}|~{3,})[^\n]*\n(?:.*?^[ \t]*\1[`~]*[ \t]*$|.*)|(?<!`)(`+)(?!`)(?:(?!\n\s*\n).)+?(?<!`)\2(?!`)"
+
+
+def without_code(text: Column) -> Column:
+    """A blank in place of each piece of code, so that what is looked for in a text isn't found in its code."""
+    return F.regexp_replace(text, CODE, " ")
+
+
+def outside_code(text: Column, change: Callable[[Column], Column]) -> Column:
+    """The text changed between its pieces of code, which stay as they are."""
+    plain, code = F.split(text, CODE, -1), F.array_append(F.regexp_extract_all(text, F.lit(CODE), F.lit(0)), "")
+    return F.array_join(F.transform(F.arrays_zip(plain.alias("plain"), code.alias("code")), lambda x: F.concat(change(x.plain), x.code)), "")
+
+
 def link_targets(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WIKILINK), F.lit(1))
 

@@ -7,10 +7,13 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Row
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from quire.functions import text
+from quire.plans.cut import cut
+from quire.plans.workers import reach
 
 Transformer = Callable[[DataFrame], DataFrame]
 Emitter = Callable[[DataFrame], DataFrame]
@@ -50,6 +53,26 @@ class Build:
         keep = reduce(lambda a, b: a & b, self.filters, F.lit(True))
         return parsed.agg(F.count("*").alias("parsed"), F.count_if(~keep).alias("dropped"))
 
+    def observed(self, parsed: DataFrame) -> tuple[DataFrame, Observation]:
+        """published(), and the counts ``parsed`` and ``dropped`` of the job that reads it, which needs no job of its own."""
+        keep, counts = reduce(lambda a, b: a & b, self.filters, F.lit(True)), Observation()
+        return parsed.observe(counts, F.count(F.lit(1)).alias("parsed"), F.count_if(~keep).alias("dropped")).filter(keep), counts
+
+    def run(self, notes: DataFrame, root: str, as_of: Column | None = None) -> dict[str, float]:
+        """Parses, filters, emits and publishes (``sinks.publish``); the counts and seconds of each phase.
+
+        The notes that stay are written once, in the job that counts them; every emitter reads that.
+        """
+        from quire.sources.sinks import publish
+
+        began = time.monotonic()
+        kept, counts = self.observed(self.parse(notes, as_of))
+        kept = cut(kept)
+        filtered = time.monotonic()
+        outputs = [rows.select("slug", "ext", "content") for rows in self.emit(kept).values()]
+        generation = publish(reduce(DataFrame.unionByName, outputs), root)
+        return {**counts.get, "generation": generation, "filter_seconds": filtered - began, "emit_seconds": time.monotonic() - filtered}
+
     def write(self, published: DataFrame, root: str) -> dict[str, tuple[int, float]]:
         """Writes what each emitter gives (slug, ext, content) below a folder of its name; files and seconds of each."""
         from quire.sources.sinks import write_files
@@ -65,6 +88,40 @@ class Build:
         return {name: f(published) for name, f in self.emitters.items()}
 
 
+#: Pages of one listing file.
+LISTED = 100
+
+
+@udtf(returnType="slug string, ext string, content string")
+class _Listings:
+    """The pages of a folder, which come in order, as files of ``LISTED`` names each, made as they are full."""
+
+    def __init__(self):
+        self.folder, self.names, self.number = "", [], 0
+
+    def eval(self, row: Row):
+        self.folder = row["folder"]
+        self.names.append(row["slug"])
+        if len(self.names) == LISTED:
+            yield self._made()
+
+    def terminate(self):
+        if self.names:
+            yield self._made()
+
+    def _made(self):
+        self.number += 1
+        out = f"{self.folder}/index-{self.number}", ".html", "\n".join(self.names)
+        self.names = []
+        return out
+
+
+def listings(pages: DataFrame) -> DataFrame:
+    """(slug, ext, content): an emitter that yields files as it goes, a table function over pages (folder, slug) by folder."""
+    reach(pages.sparkSession)
+    return _Listings(pages.select("folder", "slug").asTable().partitionBy("folder").orderBy("slug"))
+
+
 def slug_universe(parsed: DataFrame) -> DataFrame:
     """(slug): all pages and what their aliases are called."""
     from quire.functions import paths

@@ -217,7 +217,7 @@ def dated(notes: DataFrame, git: DataFrame | None = None) -> DataFrame:
 def parse_notes(notes: DataFrame, as_of: Column | None = None) -> DataFrame:
     """(path, folder, slug, title, body, tags, aliases, permalink, draft, publish, created, modified, published, links).
 
-    A permalink is an alias too.
+    A permalink is an alias too. Tags and links in code are none.
 
     Dates that are missing or unreadable fall back on one another and then on as_of, which is never the clock.
     """
@@ -227,7 +227,7 @@ def parse_notes(notes: DataFrame, as_of: Column | None = None) -> DataFrame:
     out = notes.select("*", front_matter(raw).alias("_block"), body(raw).alias("body"))
     block = F.col("_block")
     first = lambda field: F.coalesce(*[listed(block, n) for n in SYNONYMS[field]], F.array().cast("array<string>"))
-    tags = F.array_distinct(F.concat(F.transform(first("tags"), paths.slug_tag), F.transform(text.inline_tags(F.col("body")), paths.slug_tag)))
+    tags = F.array_distinct(F.concat(F.transform(first("tags"), paths.slug_tag), F.transform(text.inline_tags(text.without_code(F.col("body"))), paths.slug_tag)))
     default = as_of if as_of is not None else F.lit(None).cast("timestamp")
     return out.select(
         "path",
@@ -243,5 +243,5 @@ def parse_notes(notes: DataFrame, as_of: Column | None = None) -> DataFrame:
         F.coalesce(date_of(block, "created"), default).alias("created"),
         F.coalesce(date_of(block, "modified"), default).alias("modified"),
         F.coalesce(date_of(block, "published"), default).alias("published"),
-        F.array_distinct(text.link_targets(F.col("body"))).alias("links"),
+        F.array_distinct(text.link_targets(text.without_code(F.col("body")))).alias("links"),
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import paths, text
@@ -70,6 +70,101 @@ def write_files(rows: DataFrame, root: str) -> DataFrame:
     return rows.select("slug", "ext", "content").mapInArrow(run, "path string, bytes long")
 
 
+def remove_files(rows: DataFrame, root: str) -> DataFrame:
+    """Removes the files of rows (slug, ext) below the URI root; (path) of what was there, once it is read."""
+    import pyarrow as pa
+    from pyarrow import fs
+
+    reach(rows.sparkSession)
+
+    def run(batches):
+        store, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            names = [f"{slug}{ext or ''}" for slug, ext in zip(*(c.to_pylist() for c in batch.columns))]
+            there = [n for n in names if store.get_file_info(f"{base}/{n}").type == fs.FileType.File]
+            for n in there:
+                store.delete_file(f"{base}/{n}")
+            yield pa.RecordBatch.from_arrays([pa.array(there, pa.string())], ["path"])
+
+    return rows.select("slug", "ext").mapInArrow(run, "path string")
+
+
+def publish(outputs: DataFrame, root: str) -> int:
+    """Publishes (slug, ext, content) as a new generation of the site at the URI root; its number.
+
+    A file is stored once by the hash of its content, below ``objects``; the manifest of a generation says which object
+    stands for which path. Readers follow ``CURRENT``, one line that is replaced at the end. So whatever fails on the way,
+    also in a task that is repeated, leaves the last generation whole; unchanged files are shared, and pages that are no
+    longer made are not in the new manifest. Two outputs of one path are an error. One publisher at a time.
+    """
+    import hashlib
+    import uuid
+
+    import pyarrow as pa
+    from pyarrow import fs
+
+    spark = outputs.sparkSession
+    reach(spark)
+
+    def run(batches):
+        store, base = fs.FileSystem.from_uri(root)
+        made: set[str] = set()
+        for batch in batches:
+            rows = []
+            for slug, ext, content in zip(*(c.to_pylist() for c in batch.columns)):
+                raw = content if isinstance(content, bytes) else (content or "").encode()
+                sha = hashlib.sha256(raw).hexdigest()
+                folder = f"{base}/objects/{sha[:2]}"
+                if folder not in made:
+                    store.create_dir(folder, recursive=True)
+                    made.add(folder)
+                if store.get_file_info(f"{folder}/{sha}").type == fs.FileType.NotFound:
+                    temporary = f"{folder}/{uuid.uuid4().hex}.tmp"
+                    with store.open_output_stream(temporary, compression=None) as f:
+                        f.write(raw)
+                    store.move(temporary, f"{folder}/{sha}")
+                rows.append((f"{slug}{ext or ''}", sha, len(raw)))
+            columns = list(zip(*rows)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()))], ["path", "sha256", "bytes"])
+
+    number = (current(spark, root) or 0) + 1
+    folder = f"{root.rstrip('/')}/generations/{number}"
+    outputs.select("slug", "ext", "content").mapInArrow(run, "path string, sha256 string, bytes long").write.mode("overwrite").parquet(folder)
+    twice = spark.read.parquet(folder).groupBy("path").count().filter("count > 1").limit(5).collect()
+    if twice:
+        raise ValueError(f"several outputs of one path: {', '.join(r.path for r in twice)}")
+    store, base = fs.FileSystem.from_uri(root)
+    with store.open_output_stream(f"{base}/CURRENT.tmp", compression=None) as f:
+        f.write(str(number).encode())
+    store.move(f"{base}/CURRENT.tmp", f"{base}/CURRENT")
+    return number
+
+
+def current(spark: SparkSession, root: str) -> int | None:
+    """The number of the generation that readers see."""
+    from pyarrow import fs
+
+    store, base = fs.FileSystem.from_uri(root)
+    if store.get_file_info(f"{base}/CURRENT").type == fs.FileType.NotFound:
+        return None
+    with store.open_input_stream(f"{base}/CURRENT", compression=None) as f:
+        return int(f.read())
+
+
+def published(spark: SparkSession, root: str, generation: int | None = None) -> DataFrame:
+    """(path, sha256, bytes, file): the files of a generation, by default the current one, and where their content is."""
+    number = current(spark, root) if generation is None else generation
+    rows = spark.read.parquet(f"{root.rstrip('/')}/generations/{number}")
+    return rows.withColumn("file", F.concat(F.lit(f"{root.rstrip('/')}/objects/"), F.substring("sha256", 1, 2), F.lit("/"), "sha256"))
+
+
+def generation_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(path, op): what came, changed or went between two of published(); for a copy of the site elsewhere."""
+    old, new = before.select("path", F.col("sha256").alias("x")), after.select("path", F.col("sha256").alias("y"))
+    op = F.when(F.col("x").isNull(), "add").when(F.col("y").isNull(), "delete").otherwise("change")
+    return old.join(new, "path", "full").filter(~F.col("x").eqNullSafe(F.col("y"))).select("path", op.alias("op"))
+
+
 def copy_files(files: DataFrame, root: str, keep: Column | None = None) -> DataFrame:
     """The same for assets: binaryFile rows (path, content), all but notes, their paths slugged."""
     rows = files.filter(~F.col("path").endswith(".md") if keep is None else keep)

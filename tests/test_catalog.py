@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from quire.plans import catalog, catalog_more
+from quire.plans import catalog, catalog_more, catalog_site
 from tests.conftest import DATA
 
 
@@ -27,10 +27,10 @@ def _plain(v):
     return v if v is None or isinstance(v, (bool, int)) else str(v)
 
 
-ORACLES = catalog.ORACLES | catalog_more.ORACLES
+ORACLES = catalog.ORACLES | catalog_more.ORACLES | catalog_site.ORACLES
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES | catalog_more.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES | catalog_more.QUERIES | catalog_site.QUERIES))
 def test_query(spark, db, name):
     df = __spark_entry__.queries()[name](spark, str(DATA))
     got = sorted((tuple(_plain(r[c]) for c in sorted(df.columns)) for r in df.collect()), key=repr)
