@@ -7,10 +7,13 @@ all of them backwards, which gives each window the number of its occurrences.
 
 Texts are written once, beside the anchors of each block: a run of rows of one task, of ``BLOCK_BYTES`` or the rest. They
 are never shuffled. A block tells a shard of each different thing once, with its count, and gets one answer, written to
-the block's own folder in the shared place; so copies fold before they move. Later passes stream the written texts and
-fetch the answers of the block they come to. An anchor that occurs ``HOT`` times or more has its windows counted by their
-own hash first, dealt by that hash, and only those that recur go on to the anchor's shard: what many documents share
-around different surroundings is then one segment for each block. The numbers of blocks and shards follow the input.
+the file of the block's bucket in the shared place, which is sorted by block; so copies fold before they move. Later
+passes stream the written texts and fetch the answers of the block they come to, of whose file they read the row groups
+that hold it. A bucket is for ``HANDED_BYTES`` of texts, so files follow the input and no folder is a block's own.
+
+An anchor that occurs ``HOT`` times or more has its windows counted by their own hash first, dealt by that hash. Those
+that recur go on one by one, each to the shard of its own hash: however many windows stand around one run of words, no
+shard has them all. The numbers of blocks and shards follow the input.
 
 Anchors and hot windows are known by 64-bit hashes, which only choose what is followed up. What is removed rests on
 words: a shard compares segments and words byte by byte, and a block finds the answer to a segment by 128 bits of hash
@@ -44,6 +47,8 @@ from quire.llm.textbytes import byte_sums, prefix_sums, ragged, slice_hashes, te
 WIDTH, RUN, HOT = 35, 8, 1000
 #: Bytes of text of a block and for each index, anchors of a shard, and bytes of segments that a worker gathers at once.
 BLOCK_BYTES, INDEX_BYTES, SHARD_ANCHORS, GATHER = 64 << 20, 4 << 20, 4_000_000, 16 << 20
+#: Bytes of text to whose blocks one file holds what they are given, and of a row group of it.
+HANDED_BYTES, HANDED_GROUP = 1 << 30, 1 << 20
 #: Partitions of a shuffle at the utmost; beyond it a task works on several shards, one after the other.
 MOST_PARTS = 10_000
 #: What a block is given: hashes of anchors, of hot windows, and answers to segments.
@@ -92,18 +97,23 @@ class Words:
     def windows(self, at: np.ndarray) -> np.ndarray:
         return slice_hashes(self.sums, at, at + self.width)
 
-    def segments(self, cold: np.ndarray, hot: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First and last window of each run of windows to follow up that have one anchor."""
-        follow = self.valid & _among(self.anchor, cold)
+    def segments(self, cold: np.ndarray, hot: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First and last window of each run of windows to follow up that have one anchor, and the hash it is dealt by.
+
+        A window of a hot anchor is a run of its own and goes by its own hash, any other run by its anchor.
+        """
+        key = self.anchor.copy()
+        follow, alone = self.valid & _among(self.anchor, cold), np.zeros(len(key), bool)
         if len(hot):
             some = np.flatnonzero(self.valid & _among(self.anchor, hot))
-            follow[some] = _among(self.windows(some), kept)
+            windows = self.windows(some)
+            follow[some], alone[some], key[some] = _among(windows, kept), True, windows
         at = np.flatnonzero(follow)
         if not len(at):
-            return at, at
+            return at, at, key[at]
         new = np.ones(len(at), bool)
-        new[1:] = (at[1:] != at[:-1] + 1) | (self.anchor[at[1:]] != self.anchor[at[:-1]])
-        return at[new], at[np.append(np.flatnonzero(new)[1:], len(at)) - 1]
+        new[1:] = (at[1:] != at[:-1] + 1) | (self.anchor[at[1:]] != self.anchor[at[:-1]]) | alone[at[1:]]
+        return at[new], at[np.append(np.flatnonzero(new)[1:], len(at)) - 1], key[at[new]]
 
 
 def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -214,24 +224,32 @@ def _index_shard(width: int):
     return index_shard
 
 
-def _handed(given: DataFrame, name: str) -> str:
-    """Writes what blocks are given to a folder for each block, in the shared place."""
+def _bucket(block, buckets: int):
+    """Of a block's number, which has its task in the upper bits; for a Column or an int."""
+    if isinstance(block, int):
+        return ((block >> 24) * 31 + (block & 0xFFFFFF)) % buckets
+    return F.pmod(F.shiftright(block, 24) * 31 + block.bitwiseAND(F.lit(0xFFFFFF)), F.lit(buckets)).cast("int")
+
+
+def _handed(given: DataFrame, name: str, buckets: int) -> str:
+    """Writes what blocks are given, a file a bucket, sorted by block, to a folder in the shared place."""
     path = staging.new_dir(given.sparkSession, name)
-    given.repartition("block").write.partitionBy("block").parquet(path)
+    dealt = given.withColumn("bucket", _bucket(F.col("block"), buckets)).repartition(min(buckets, MOST_PARTS), "bucket").sortWithinPartitions("bucket", "block")
+    dealt.write.option("parquet.block.size", str(HANDED_GROUP)).partitionBy("bucket").parquet(path)
     return path
 
 
 class Given:
-    """What a block was given, read from its folders."""
+    """What a block was given, read from the files of its bucket: of each the row groups that may hold the block."""
 
-    def __init__(self, paths: list[str], block: int):
+    def __init__(self, paths: list[str], block: int, buckets: int):
         rows: list[dict] = []
         for path in paths:
             store, base = fs.FileSystem.from_uri(path)
-            for info in store.get_file_info(fs.FileSelector(f"{base}/block={block}", allow_not_found=True)):
+            for info in store.get_file_info(fs.FileSelector(f"{base}/bucket={_bucket(block, buckets)}", allow_not_found=True)):
                 if info.base_name.endswith(".parquet"):
                     with store.open_input_file(info.path) as f:
-                        rows += pq.read_table(f, columns=["kind", "a", "b", "c"]).to_pylist()
+                        rows += pq.read_table(f, columns=["kind", "a", "b", "c"], filters=[("block", "==", block)], partitioning=None).to_pylist()
         joined = lambda kind, column: np.sort(np.frombuffer(b"".join(r[column] for r in rows if r["kind"] == kind), "<u8"))
         self.cold, self.warm, self.kept = joined(ANCHORS, "a"), joined(ANCHORS, "b"), joined(KEPT, "a")
         answers = [r for r in rows if r["kind"] == ANSWER]
@@ -243,7 +261,7 @@ class Given:
         self.bits = np.concatenate([np.zeros(0, np.uint8), *(np.unpackbits(np.frombuffer(r["c"], np.uint8), count=int(x.sum())) for r, x in zip(answers, sizes))])
 
 
-def _by_block(batches, paths: list[str]) -> Iterator[tuple[int, Given | None, pa.RecordBatch]]:
+def _by_block(batches, paths: list[str], buckets: int) -> Iterator[tuple[int, Given | None, pa.RecordBatch]]:
     """(block, what it was given, rows) of the written texts; given: only where a block begins."""
     now = None
     for batch in staging.pieces(batches):
@@ -252,7 +270,7 @@ def _by_block(batches, paths: list[str]) -> Iterator[tuple[int, Given | None, pa
         for a, b in zip(edge[:-1], edge[1:]):
             new = now is None or int(block[a]) != now
             now = int(block[a])
-            yield now, Given(paths, now) if new else None, batch.slice(a, b - a)
+            yield now, Given(paths, now, buckets) if new else None, batch.slice(a, b - a)
 
 
 def _written(docs: DataFrame, key: str, text: str, width: int, run: int) -> DataFrame:
@@ -311,6 +329,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, run: int = RUN, hot: int
     texts, packs = written.filter("a is null").select("block", "id", "text"), written.filter("a is not null")
     total = packs.agg(F.sum("n").alias("n"), F.sum("size").alias("size")).first()
     shards, indexes = staging.parts(spark, total.n or 0, SHARD_ANCHORS), staging.parts(spark, total.size or 0, INDEX_BYTES)
+    buckets = staging.parts(spark, total.size or 0, HANDED_BYTES)
 
     def tell_anchors(batches):
         for batch in batches:
@@ -325,7 +344,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, run: int = RUN, hot: int
             found[:] = [every[:0]]
             return _rows(_TOLD, _tell(of, shards, *np.unique(every, return_counts=True)) if len(every) else [])
 
-        for block, given, rows in _by_block(batches, [anchors]):
+        for block, given, rows in _by_block(batches, [anchors], buckets):
             if given or sum(map(len, found)) > GATHER // 8:
                 yield told()
             of, warm = block, given.warm if given else warm
@@ -335,10 +354,10 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, run: int = RUN, hot: int
         yield told()
 
     def segments_of(own: Words, given: Given) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """First and last windows, and the words joined by one space."""
-        a, b = own.segments(given.cold, given.warm, given.kept)
+        """First windows, the hashes that segments are dealt by, and their words joined by one space."""
+        a, b, dealt = own.segments(given.cold, given.warm, given.kept)
         raw = own.data.tobytes()
-        return a, b, [b" ".join(raw[x:y].split()) for x, y in zip(own.start[a].tolist(), own.end[b + width - 1].tolist())]
+        return a, dealt, [b" ".join(raw[x:y].split()) for x, y in zip(own.start[a].tolist(), own.end[b + width - 1].tolist())]
 
     def tell_segments(batches):
         gathered: dict[bytes, list[int]] = {}
@@ -350,18 +369,18 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, run: int = RUN, hot: int
             gathered.clear()
             return _rows(_TOLD, [(s, of, _compress(b"\n".join(names[a:b])), counts[a:b].tobytes()) for s, a, b in _cuts(keys, indexes)])
 
-        for block, given, rows in _by_block(batches, paths):
+        for block, given, rows in _by_block(batches, paths, buckets):
             if given:
                 yield told()
                 of, now, size = block, given, 0
             for _, _, data, offsets in text_chunks(rows.column(2)) if len(now.cold) or len(now.kept) else ():
                 own = Words(data, offsets, width, run)
-                a, _, found = segments_of(own, now)
-                for anchor, t in zip(own.anchor[a].tolist(), found):
+                _, dealt, found = segments_of(own, now)
+                for by, t in zip(dealt.tolist(), found):
                     if t in gathered:
                         gathered[t][1] += 1
                     else:
-                        gathered[t] = [anchor, 1]
+                        gathered[t] = [by, 1]
                         size += len(t)
                 if size > GATHER:
                     yield told()
@@ -373,7 +392,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, run: int = RUN, hot: int
 
     def finish(batches):
         now = None
-        for _, given, rows in _by_block(batches, [*paths, answers]):
+        for _, given, rows in _by_block(batches, [*paths, answers], buckets):
             now = given or now
             totals, gone_counts, out = [], [], []
             for i, j, data, offsets in text_chunks(rows.column(2)):
@@ -402,11 +421,11 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, run: int = RUN, hot: int
             yield pa.RecordBatch.from_arrays([rows.column(1), pa.array(totals, pa.int64()), pa.array(gone_counts, pa.int64()), pa.array(out, pa.string())], [key, "n_words", "n_removed", value])
 
     told = packs.select("block", "a", "b").mapInArrow(tell_anchors, _TOLD)
-    anchors = _handed(_by_shard(told, shards, _recurring(ANCHORS, hot)), "recurring")
+    anchors = _handed(_by_shard(told, shards, _recurring(ANCHORS, hot)), "recurring", buckets)
     paths = [anchors]
     if _any_hot(spark, anchors):
-        paths.append(_handed(_by_shard(texts.mapInArrow(tell_windows, _TOLD), shards, _recurring(KEPT, None)), "hot-windows"))
-    answers = _handed(_by_shard(texts.mapInArrow(tell_segments, _TOLD), indexes, _index_shard(width)), "answers")
+        paths.append(_handed(_by_shard(texts.mapInArrow(tell_windows, _TOLD), shards, _recurring(KEPT, None)), "hot-windows", buckets))
+    answers = _handed(_by_shard(texts.mapInArrow(tell_segments, _TOLD), indexes, _index_shard(width)), "answers", buckets)
     return texts.mapInArrow(finish, f"`{key}` {kind}, n_words long, n_removed long, {value} string")
 
 

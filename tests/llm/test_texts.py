@@ -258,3 +258,21 @@ def test_rows_of_one_key_and_text_are_spread_over_shards(spark, tmp_path):
     shards = token_shards.Shards(f"file://{tmp_path}/shards")
     assert all(shards.get(None, c).tolist() == [1] for c in (0, 30_000, 60_000, 99_999)) and shards.get(None, 100_000) is None
     assert shards.get(7, 1999).tolist() == shards.get(7).tolist() and shards.get(7, 2000) is None
+
+
+def test_many_windows_around_one_run_of_words_are_spread(spark):
+    """One run of 8 words stands in all documents, each of which there is twice, within its own surroundings."""
+    run = lambda text: substring_dedup.Words(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]), 8, 8).runs[0]
+    common = min((f"b{k} c d e f g h i" for k in range(500)), key=run)  # the smallest run of most windows it stands in
+    texts = [" ".join([*(f"a{i}x{j}" for j in range(20)), *common.split(), *(f"z{i}x{j}" for j in range(20))]) for i in range(700)] * 2
+    ids = list(range(len(texts)))
+    got = substring_dedup.remove_repeats(documents(spark, texts, ids).repartition(3), hot=50, digests=True).collect()
+    assert ordered(got) == ordered(repeats(ids, texts, 35)) and {r.n_removed for r in got} == {48}
+    # What a shard is told of by the segments of a block: the windows of the run go by their own hashes.
+    data, offsets = np.frombuffer("".join(texts[:700]).encode(), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts[:700]])])
+    own = substring_dedup.Words(data, offsets, 35, 8)
+    names, times = np.unique(own.anchor[own.valid], return_counts=True)
+    hot = names[times >= 50]
+    first, last, dealt = own.segments(np.setdiff1d(names, hot), hot, np.sort(own.windows(np.flatnonzero(own.valid))))
+    sizes = [b - a for _, a, b in substring_dedup._cuts(np.sort(dealt), 16)]
+    assert len(sizes) == 16 and max(sizes) < 2 * np.median(sizes) and len(hot) and (first <= last).all()
