@@ -17,6 +17,9 @@ CONNECTOR = r"(?i)\b(connect|lead|via|through|across|toward|into|onto|to|from|do
 QUOTED_PHRASE = r'"([A-Z][A-Za-z]+(?:[ \-](?:of|the|and|[A-Z][A-Za-z.\-]+))*)"'
 #: What stands before a deity's name in the name of a place or group.
 HEADS = "Temple|Pyramid|Library|Forum|Glory|Catacombs|Chamber|Shrine|Sanctuary|Statue|Priory|Order|Monastery|Hall|Tower|Gate|Gates|Tomb|Stairs|Vault|Arena"
+#: Words of direction that labels lose, and what stands between the steps of one.
+DIRECTIONS = r"\b(north|south|east|west|up|down|top|bottom|base)\b"
+STEPS = r"\bthen\b|\band\b|,| to | into | from | past | through | over | across "
 QUOTED = {
     "Item": "Rug|Rugs|Chair|Rod|Wand|Pebble|Mirror|Scepter|Armor",
     "Location": "Hall|Temple|Library|Well|Cavern|Chasm|Pyramid|Palace|Court|Arena",
@@ -95,8 +98,7 @@ def short_labels(label: Column, canon: dict[str, str], rejected: tuple[str, ...]
         return F.when(table[text.strip(c)].isNotNull(), F.array(table[text.strip(c)])).when(F.size(F.split(text.strip(c), r"\s+")) > 4, F.array().cast("array<string>")).otherwise(found)
 
     def part(p):
-        low = F.regexp_replace(F.lower(p), r"\b(north|south|east|west|up|down|top|bottom|base)\b", "")
-        pieces = F.split(low, r"\bthen\b|\band\b|,| to | into | from | past | through | over | across ")
+        pieces = F.split(F.regexp_replace(F.lower(p), DIRECTIONS, ""), STEPS)
         return F.array_join(F.slice(F.array_distinct(F.flatten(F.transform(pieces, chunk))), 1, most), " / ")
 
     return F.array_join(F.filter(F.transform(plain, part), lambda p: p != ""), "; ")

@@ -14,8 +14,9 @@ from quire.functions import text
 from quire.operators import cooccurrence, entities, links, search
 from quire.plans import pipeline
 from quire.plans.cut import shared_folder
-from quire.plans.fixtures import NOTES_SQL, notes as note_files, parsed, read
+from quire.plans.fixtures import FLAT_SQL, NOTES_SQL, notes as note_files, parsed, read
 from quire.sources import notes, reports, sinks, watch
+from quire.streaming import expiring, site
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -199,3 +200,66 @@ def recap_texts(spark, d):
     value = F.when(t % 4 == 1, F.format_string("2024-01-%02d", t)).when(t % 4 == 2, F.concat(F.format_string("Session %d: ", t), "role")).otherwise(F.translate("text", "\n\r", "  "))
     rows = read(spark, d, "conversations").select("conv_id", t.alias("no"), value.alias("value"))
     return reports.split_recaps(rows, (r"^Session (\d+): (.*)$",), by=("conv_id",)).select("conv_id", "part", "text")
+
+
+# Reports by their text.
+@query("""WITH r AS (SELECT 'N' || s_nationkey AS place, s_suppkey, '- [[N' || s_nationkey || ']] -> [[N' || s_suppkey % 25 || ']]' || CASE s_suppkey % 3 WHEN 0 THEN ' [via gate]' ELSE '' END AS line FROM supplier WHERE s_suppkey % 7 <> 0)
+SELECT place, CAST(row_number() OVER (PARTITION BY place ORDER BY s_suppkey) AS INTEGER) AS position, line FROM r UNION ALL SELECT DISTINCT place, 0, '## ' || place FROM r""")
+def edge_report_lines(spark, d):
+    k = F.col("s_suppkey")
+    ends = F.when(k % 7 == 0, F.format_string("- [[N%d]] -> nowhere", "s_nationkey")).otherwise(F.format_string("- [[N%d]] -> [[N%d]]", "s_nationkey", k % 25))
+    rows = read(spark, d, "supplier").select(F.format_string("N%d", "s_nationkey").alias("place"), k.alias("no"), F.concat(F.lit("  "), ends, F.when(k % 3 == 0, " [via gate]").otherwise("")).alias("value"))
+    return reports.edge_report(rows)
+
+
+@query("SELECT string_agg(line, chr(10) ORDER BY o, line) AS note FROM (SELECT 0 AS o, '# Routes' || chr(10) || chr(10) || '```mermaid' AS line UNION ALL SELECT DISTINCT 1, '  N' || s_nationkey FROM supplier UNION ALL SELECT 2, '```')")
+def fenced_note(spark, d):
+    own = read(spark, d, "supplier").select(F.format_string("  N%d", "s_nationkey").alias("line")).distinct()
+    return sinks.fenced(own, "Routes").coalesce(1).agg(F.array_join(F.collect_list("line"), "\n").alias("note"))
+
+
+@query(f"WITH {FLAT_SQL} SELECT path, text FROM flat")
+def content_page_texts(spark, d):
+    return sinks.content_pages(parsed(spark, d)).select("path", text.unlink(F.col("body")).alias("text"))
+
+
+# What upserts do elsewhere (K16): customers that have orders are known there.
+@query("SELECT c_name AS name, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN 'update' ELSE 'create' END AS op, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN 'r' || c_custkey || '/' || length(c_name) ELSE 'new ' || c_name END AS remote FROM customer")
+def uploaded(spark, d):
+    c, o = read(spark, d, "customer"), read(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    plan = sinks.upserts(c, o, "c_custkey").withColumn("remote", F.when(F.col("op") == "update", F.format_string("r%d", "c_custkey")))
+    return sinks.upload(plan.withColumn("name", F.col("c_name")).withColumn("content", F.col("c_name")), lambda op, remote, name, content: f"{remote}/{len(content)}" if op == "update" else f"new {name}")
+
+
+# Notes as a stream with state that lets go of deleted ones (ST4): of each user's events the ones that are news.
+@query("""WITH e AS (SELECT 'u/' || user_id || '.md' AS path, CASE event_type WHEN 'error' THEN 'delete' ELSE 'change' END AS op, event_id AS seq, event_type AS content FROM events)
+SELECT path, arg_max(op, seq) AS op, max(seq) AS seq, CASE WHEN arg_max(op, seq) = 'delete' THEN NULL ELSE arg_max(content, seq) END AS content FROM e GROUP BY path""")
+def note_states(spark, d):
+    own, root = spark.newSession(), shared_folder(spark, "states")
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", expiring.PROVIDER)
+    gone = F.col("event_type") == "error"
+    events = read(spark, d, "events").select(F.format_string("u/%d.md", "user_id").alias("path"), F.when(gone, "delete").otherwise("change").alias("op"), F.col("event_id").alias("seq"), F.col("event_type").alias("content"), F.col("ts").cast("timestamp").alias("at"))
+    events.write.parquet(f"{root}/in")
+    stream = own.readStream.schema(events.schema).parquet(f"{root}/in")
+    expiring.latest(stream).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(expiring.OUT).parquet(f"{root}/out")
+
+
+# A site that follows its notes (ST1-ST7, K1): nations are notes that link their region; in a second batch some change,
+# some go. The files that a reader sees at last.
+@query("""SELECT 'nation/' || n_name || '.md' AS path, sha256(CASE n_nationkey % 3 WHEN 1 THEN n_name || ' anew' ELSE n_name || ' of old' END) AS sha256, 'pages' AS emitter FROM nation WHERE n_nationkey % 3 > 0
+UNION ALL SELECT 'count.txt', sha256(CAST(count(*) AS VARCHAR)), 'count' FROM nation WHERE n_nationkey % 3 > 0""")
+def followed_site(spark, d):
+    root, k = shared_folder(spark, "followed"), F.col("n_nationkey")
+    n = read(spark, d, "nation").select(F.concat(F.lit("nation/"), "n_name").alias("slug"), F.lit(".md").alias("ext"), k, "n_name")
+    build = pipeline.Build(emitters={
+        "pages": lambda p: p.select("slug", F.lit(".md").alias("ext"), F.col("body").alias("content")),
+        "count": lambda p: p.agg(F.lit("count").alias("slug"), F.lit(".txt").alias("ext"), F.count("*").cast("string").alias("content")),
+    })
+    step = lambda: site.follow(spark, f"{root}/notes", f"{root}/site", build, f"{root}/state", ("count",), once=True).awaitTermination()
+    sinks.write_files(n.withColumn("content", F.concat("n_name", F.lit(" of old"))), f"{root}/notes").count()
+    step()
+    sinks.write_files(n.filter(k % 3 == 1).withColumn("content", F.concat("n_name", F.lit(" anew"))), f"{root}/notes").count()
+    sinks.remove_files(n.filter(k % 3 == 0), f"{root}/notes").count()
+    step()
+    return sinks.published(spark, f"{root}/site").select("path", "sha256", "emitter")

@@ -69,7 +69,7 @@ class Build:
         kept, counts = self.observed(self.parse(notes, as_of))
         kept = cut(kept)
         filtered = time.monotonic()
-        outputs = [rows.select("slug", "ext", "content") for rows in self.emit(kept).values()]
+        outputs = [rows.select("slug", "ext", "content").withColumn("emitter", F.lit(name)) for name, rows in self.emit(kept).items()]
         generation = publish(reduce(DataFrame.unionByName, outputs), root)
         return {**counts.get, "generation": generation, "filter_seconds": filtered - began, "emit_seconds": time.monotonic() - filtered}
 

@@ -28,12 +28,12 @@ def read_notes(spark: SparkSession, root: str, ignore: tuple[str, ...] = ()) ->
     base = root.rstrip("/").split("://")[-1] + "/"
     path = F.element_at(F.split(F.col("path"), F.lit(r"\Q" + base + r"\E")), -1)
     out = files.select(path.alias("path"), F.col("content").cast("string").alias("raw"), F.col("modificationTime").alias("modified"))
-    for pattern in map(_pattern, ignore):
-        out = out.filter(~F.col("path").rlike(f"(^|/){pattern}(/|$)"))
+    for p in map(pattern, ignore):
+        out = out.filter(~F.col("path").rlike(f"(^|/){p}(/|$)"))
     return out
 
 
-def _pattern(glob: str) -> str:
+def pattern(glob: str) -> str:
     return glob.replace(".", r"\.").replace("**", "\0").replace("*", "[^/]*").replace("\0", ".*")
 
 
@@ -45,7 +45,7 @@ def not_ignored(path: Column, rules: list[str]) -> Column:
         if rule and not rule.startswith("#"):
             back, rule = rule.startswith("!"), rule.lstrip("!")
             anchored, only_folders = "/" in rule.rstrip("/"), rule.endswith("/")
-            found = path.rlike(("^" if anchored else "(^|/)") + _pattern(rule.strip("/")) + ("/" if only_folders else "(/|$)"))
+            found = path.rlike(("^" if anchored else "(^|/)") + pattern(rule.strip("/")) + ("/" if only_folders else "(/|$)"))
             out = F.when(found, F.lit(back)).otherwise(out)
     return out
 

@@ -89,9 +89,12 @@ def remove_files(rows: DataFrame, root: str) -> DataFrame:
     return rows.select("slug", "ext").mapInArrow(run, "path string")
 
 
-def publish(outputs: DataFrame, root: str) -> int:
+def publish(outputs: DataFrame, root: str, kept: DataFrame | None = None) -> int:
     """Publishes (slug, ext, content) as a new generation of the site at the URI root; its number.
 
+    Outputs may say which ``emitter`` made them of which page (``source``, a slug). kept: rows of published() that are
+    carried over as they are.
+
     A file is stored once by the hash of its content, below ``objects``; the manifest of a generation says which object
     stands for which path. Readers follow ``CURRENT``, one line that is replaced at the end. So whatever fails on the way,
     also in a task that is repeated, leaves the last generation whole; unchanged files are shared, and pages that are no
@@ -111,7 +114,7 @@ def publish(outputs: DataFrame, root: str) -> int:
         made: set[str] = set()
         for batch in batches:
             rows = []
-            for slug, ext, content in zip(*(c.to_pylist() for c in batch.columns)):
+            for slug, ext, content, *made_by in zip(*(c.to_pylist() for c in batch.columns)):
                 raw = content if isinstance(content, bytes) else (content or "").encode()
                 sha = hashlib.sha256(raw).hexdigest()
                 folder = f"{base}/objects/{sha[:2]}"
@@ -123,13 +126,16 @@ def publish(outputs: DataFrame, root: str) -> int:
                     with store.open_output_stream(temporary, compression=None) as f:
                         f.write(raw)
                     store.move(temporary, f"{folder}/{sha}")
-                rows.append((f"{slug}{ext or ''}", sha, len(raw)))
-            columns = list(zip(*rows)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()))], ["path", "sha256", "bytes"])
+                rows.append((f"{slug}{ext or ''}", sha, len(raw), *made_by))
+            columns, kinds = list(zip(*rows)) or [[]] * 5, (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["path", "sha256", "bytes", "emitter", "source"])
 
     number = (current(spark, root) or 0) + 1
     folder = f"{root.rstrip('/')}/generations/{number}"
-    outputs.select("slug", "ext", "content").mapInArrow(run, "path string, sha256 string, bytes long").write.mode("overwrite").parquet(folder)
+    made_by = [F.col(c) if c in outputs.columns else F.lit(None).cast("string").alias(c) for c in ("emitter", "source")]
+    manifest = outputs.select("slug", "ext", "content", *made_by).mapInArrow(run, "path string, sha256 string, bytes long, emitter string, source string")
+    manifest = manifest if kept is None else manifest.unionByName(kept.select(*manifest.columns))
+    manifest.write.mode("overwrite").parquet(folder)
     twice = spark.read.parquet(folder).groupBy("path").count().filter("count > 1").limit(5).collect()
     if twice:
         raise ValueError(f"several outputs of one path: {', '.join(r.path for r in twice)}")
@@ -152,7 +158,7 @@ def current(spark: SparkSession, root: str) -> int | None:
 
 
 def published(spark: SparkSession, root: str, generation: int | None = None) -> DataFrame:
-    """(path, sha256, bytes, file): the files of a generation, by default the current one, and where their content is."""
+    """(path, sha256, bytes, emitter, source, file): the files of a generation, by default the current one, and where their content is."""
     number = current(spark, root) if generation is None else generation
     rows = spark.read.parquet(f"{root.rstrip('/')}/generations/{number}")
     return rows.withColumn("file", F.concat(F.lit(f"{root.rstrip('/')}/objects/"), F.substring("sha256", 1, 2), F.lit("/"), "sha256"))
@@ -275,6 +281,29 @@ def upserts(new: DataFrame, there: DataFrame, key: str) -> DataFrame:
     return new.join(known, new[key] == known["_k"], "left").withColumn("op", F.when(F.col("_k").isNull(), "create").otherwise("update")).drop("_k")
 
 
+def upload(plan: DataFrame, client, at_once: int = 8) -> DataFrame:
+    """Carries out upserts(): adds ``remote`` = client(op, remote, name, content), the id that the other side has for it.
+
+    plan: (name, content, remote, op), remote null where there is none yet. The client is a function that runs on executors
+    and may be called again for a row if a task is repeated, so a create has to find what it made before by its name.
+    A task has at most ``at_once`` calls under way; an error ends the job, and nothing is ever deleted.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    import pyarrow as pa
+
+    reach(plan.sparkSession)
+
+    def run(batches):
+        with ThreadPoolExecutor(at_once) as pool:
+            for batch in batches:
+                names, contents, remotes, ops = (c.to_pylist() for c in batch.columns)
+                ids = list(pool.map(client, ops, remotes, names, contents))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(ids, pa.string())], ["name", "op", "remote"])
+
+    return plan.select("name", "content", "remote", "op").mapInArrow(run, "name string, op string, remote string")
+
+
 def rewritten(rows: DataFrame, column: str, new: Column) -> DataFrame:
     """Only the rows that a rewrite changes, with the new value."""
     return rows.withColumn("_new", new).filter(~F.col("_new").eqNullSafe(F.col(column))).withColumn(column, F.col("_new")).drop("_new")
