@@ -6,12 +6,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.plans.cut import cut, numbered
+from quire.plans.cut import cut
 from quire.plans.workers import reach
 
 #: Bytes of names that one automaton holds, at so many a name beside its text.
 SET_BYTES, ENTRY = 32 << 20, 64
-#: Sessions of one block of a name's set.
+#: Sessions of one set of a name, about.
 BLOCK = 1 << 15
 
 _automata: dict[int, tuple] = {}
@@ -67,14 +67,14 @@ def contained(names: DataFrame, texts: DataFrame, set_bytes: int = SET_BYTES) ->
 def together(pairs: DataFrame, seen: DataFrame) -> DataFrame:
     """The different pairs (a, b) that some session has both of. seen: (name, session).
 
-    Sessions are numbered; a name's numbers are kept as one set for each block of numbers, in two bytes each (Spark's own
-    bitmaps take 4 KB for each block, however few bits are set). A pair meets its names' sets block by block, so what is
-    made on the way follows pairs and mentions and not the pairs times the sessions of a name.
+    A name's sessions are kept as sets, one for each block of them that a hash deals; there are as many blocks as keep the
+    longest list below ``BLOCK`` a set, about. A pair meets its names' sets block by block, so what is made on the way
+    follows pairs and mentions and not the pairs times the sessions of a name.
     """
     own = cut(pairs.select("a", "b").distinct())
-    named = seen.join(own.select(F.col("a").alias("name")).union(own.select("b")).distinct(), "name", "left_semi").select("name", "session").distinct()
-    number = numbered(named.select("session").distinct(), "session", name="no")
-    held = named.join(number, "session").select("name", F.floor(F.col("no") / BLOCK).alias("block"), (F.col("no") % BLOCK).cast("short").alias("at"))
-    sets = cut(held.groupBy("name", "block").agg(F.collect_list("at").alias("at")))
-    left, right = sets.select(F.col("name").alias("a"), "block", F.col("at").alias("x")), sets.select(F.col("name").alias("b"), "block", F.col("at").alias("y"))
+    named = seen.join(own.select(F.col("a").alias("name")).union(own.select("b")).distinct(), "name", "left_semi").select("name", "session")
+    longest = named.groupBy("name").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    dealt = named.withColumn("block", F.pmod(F.xxhash64("session"), F.lit(-(-longest // BLOCK) or 1)))
+    sets = dealt.groupBy("name", "block").agg(F.collect_set("session").alias("sessions"))
+    left, right = sets.select(F.col("name").alias("a"), "block", F.col("sessions").alias("x")), sets.select(F.col("name").alias("b"), "block", F.col("sessions").alias("y"))
     return own.join(left, "a").join(right, ["b", "block"]).filter(F.arrays_overlap("x", "y")).select("a", "b").distinct()

@@ -213,3 +213,51 @@ def test_listings_are_made_as_they_fill(spark):
     got = {r.slug: r.content.split("\n") for r in pipeline.listings(pages).collect()}
     assert {k: len(v) for k, v in got.items()} == {"x/index-1": 100, "x/index-2": 100, "x/index-3": 50, "y/index-1": 1}
     assert sorted(sum(got.values(), [])) == sorted(r.slug for r in pages.collect())
+
+
+def test_the_command_follows_a_folder(spark, tmp_path):
+    from quire.__main__ import main
+
+    (tmp_path / "notes/a").mkdir(parents=True)
+    put = lambda p, t: (tmp_path / "notes" / p).write_text(t)
+    base = f"file://{tmp_path}"
+    args = ["watch", "-d", f"{base}/notes", "-o", f"{base}/site", "--state", f"{base}/state", "--ignore", "private/*", "--once"]
+    files = lambda: {r.path: open(r.file.removeprefix("file://")).read() for r in sinks.published(spark, f"{base}/site").collect()}
+    put("a/One.md", "---\ntitle: One\naliases: [Uno]\ndate: 2024-01-02\n---\ntext [[Two]]"), put("Two.md", "two"), put("Draft.md", "---\ndraft: true\n---\nno")
+    assert main(args, spark) == {"generation": 1}
+    first = files()
+    assert {"a/One.md", "a/One.json", "Two.md", "Two.json", "Uno.html", "feed.xml", "CNAME", "404.html"} == set(first) and first["a/One.md"] == "text [[Two]]"
+    assert main(args, spark) == {"generation": 1}  # nothing new
+    (tmp_path / "notes/a/One.md").unlink()
+    put("Two.md", "two anew"), put("Draft.md", "out now")
+    assert main(args, spark) == {"generation": 2}
+    assert {"Two.md": "two anew", "Draft.md": "out now"}.items() <= files().items() and set(files()) == {"Two.md", "Two.json", "Draft.md", "Draft.json", "feed.xml", "CNAME", "404.html"}
+
+
+def test_builds_leave_out_what_ignore_files_say(spark, tmp_path):
+    from quire.__main__ import main
+
+    (tmp_path / "notes/tmp").mkdir(parents=True)
+    for path, raw in ((".gitignore", "tmp/\n*.draft.md\n"), ("tmp/a.md", "a"), ("b.draft.md", "b"), ("c.md", "c")):
+        (tmp_path / "notes" / path).write_text(raw)
+    assert main(["build", "-d", f"file://{tmp_path}/notes", "--dry-run"], spark) == {"parsed": 1, "dropped": 0}
+
+
+def test_uploads_go_through_the_client(spark):
+    plan = spark.createDataFrame([("a", "text", None, "create"), ("b", "more", "id7", "update")], "name string, content string, remote string, op string")
+    assert rows(sinks.upload(plan, lambda op, remote, name, content: remote or f"new-{name}-{len(content)}")) == [("a", "create", "new-a-4"), ("b", "update", "id7")]
+
+    def broken(op, remote, name, content):
+        raise OSError("no connection")
+
+    with pytest.raises(Exception, match="no connection"):
+        sinks.upload(plan, broken).collect()
+    assert sinks.upload(plan.limit(0), broken).count() == 0
+
+
+def test_counts_come_from_the_job_that_writes(spark, tmp_path):
+    build = pipeline.Build(emitters={"pages": lambda p: p.select("slug", F.lit(".md").alias("ext"), F.col("body").alias("content"))})
+    notes_ = spark.createDataFrame([("a.md", "x"), ("b.md", "---\ndraft: true\n---\ny")], "path string, raw string")
+    out = build.run(notes_, f"file://{tmp_path}/site")
+    assert (out["parsed"], out["dropped"], out["generation"]) == (2, 1, 1) and out["filter_seconds"] > 0 < out["emit_seconds"]
+    assert build.run(notes_.limit(0), f"file://{tmp_path}/none")["parsed"] == 0
