@@ -263,3 +263,76 @@ def followed_site(spark, d):
     sinks.remove_files(n.filter(k % 3 == 0), f"{root}/notes").count()
     step()
     return sinks.published(spark, f"{root}/site").select("path", "sha256", "emitter")
+
+
+# Pieces of notes that no other query asks for (P2, P14, F17, F21, F25, F30, F38, ST8, A11, S19)
+
+
+@query("SELECT p_partkey, 'p' || p_partkey AS slug FROM part WHERE p_size % 3 = 0 AND p_size % 2 = 1")
+def explicitly_published(spark, d):
+    size = F.col("p_size")
+    raw = F.concat(F.lit("---\npublish: "), F.when(size % 3 == 0, "true").when(size % 3 == 1, "false").otherwise("maybe"), F.lit("\ndraft: "), F.when(size % 2 == 0, "true").otherwise("false"), F.lit("\n---\ntext"))
+    build = pipeline.Build(filters=[pipeline.remove_drafts(), pipeline.explicit_publish()])
+    out = build.published(build.parse(read(spark, d, "part").select(F.format_string("p%d.md", "p_partkey").alias("path"), raw.alias("raw"))))
+    return out.select(F.substring("slug", 2, 20).cast("long").alias("p_partkey"), "slug")
+
+
+@query("SELECT p_partkey, p_partkey % 4 IN (1, 2) AS unbalanced FROM part")
+def unbalanced_lines(spark, d):
+    k = F.col("p_partkey")
+    line = F.when(k % 4 == 0, "a [[b]] [[c|d]]").when(k % 4 == 1, "a [[b]] [[c").when(k % 4 == 2, "[b]] x").otherwise("none")
+    return read(spark, d, "part").select(k, text.unbalanced(line).alias("unbalanced"))
+
+
+@query("""SELECT p_partkey, p_partkey % 2 = 0 AS embed, p_name AS target, CASE p_partkey % 3 WHEN 0 THEN '' ELSE '#Part ' || p_partkey END AS heading, CASE p_partkey % 5 WHEN 0 THEN '' ELSE 'as ' || p_partkey END AS alias,
+    'x <mark>' || p_name || '</mark> =y= ==' AS marked FROM part""")
+def links_and_marks(spark, d):
+    k = F.col("p_partkey")
+    link = F.concat(F.when(k % 2 == 0, "!").otherwise(""), F.lit("[["), "p_name", F.when(k % 3 == 0, "").otherwise(F.format_string("#Part %d", k)), F.when(k % 5 == 0, "").otherwise(F.format_string("|as %d", k)), F.lit("]]"))
+    marked = text.mark_highlights(F.concat(F.lit("x =="), "p_name", F.lit("== =y= ==")))
+    return read(spark, d, "part").select(k, F.explode(text.full_links(F.concat(F.lit("see "), link, F.lit(" so")))).alias("l"), marked.alias("marked")).select("p_partkey", "l.*", "marked")
+
+
+@query("SELECT c_custkey, c_mktsegment[1] || lower(c_mktsegment[2:]) || ' Of Names|One Two Three Four Five|Six' AS names FROM customer")
+def proper_nouns(spark, d):
+    body = F.concat(F.lit("the "), F.initcap(F.lower("c_mktsegment")), F.lit(" Of Names, The and Al; One Two Three Four Five Six\n```\nNot Here\n```\nSix"))
+    return read(spark, d, "customer").select("c_custkey", F.array_join(text.proper_names(body), "|").alias("names"))
+
+
+@query("SELECT p_partkey, 'x [[a' || p_partkey || ' deep b|c]] y [[' || p_name || ']]' AS text FROM part")
+def repaired_links(spark, d):
+    from quire.functions.rewrite import repair_nested
+
+    nested = F.concat(F.format_string("x [[a%d [[q|[[r|deep]]]] b|c]] y [[", "p_partkey"), "p_name", F.lit("]]"))
+    return read(spark, d, "part").select("p_partkey", repair_nested(nested).alias("text"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 < 2 THEN ['NPC', 'Item'][p_partkey % 3 + 1] END AS kind, CASE WHEN p_partkey % 3 < 2 THEN p_name || '|' || p_brand END AS names FROM part")
+def group_lines(spark, d):
+    k = F.col("p_partkey")
+    line = F.when(k % 3 == 0, F.concat(F.lit("- NPC: "), "p_name", F.lit(" ;; "), "p_brand", F.lit(";"))).when(k % 3 == 1, F.concat(F.lit("Item :"), "p_name", F.lit(";"), "p_brand")).otherwise(F.col("p_name"))
+    own = read(spark, d, "part").select(k, text.group_line(line).alias("g"))
+    return own.select("p_partkey", "g.kind", F.array_join("g.names", "|").alias("names"))
+
+
+@query("""WITH f AS (SELECT o_orderpriority || '/' || o_orderstatus AS deep, o_orderpriority AS top, CAST(o_orderdate AS DATE) AS o, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 90 AS INTEGER) AS m, CAST(o_orderdate AS DATE) - CAST(o_custkey % 70 AS INTEGER) AS p FROM orders)
+SELECT replace(folder, ' ', '-') AS folder, count(*) AS n, CAST(max(o) AS TIMESTAMP) AS created, CAST(max(m) AS TIMESTAMP) AS modified, CAST(max(p) AS TIMESTAMP) AS published FROM (SELECT deep AS folder, o, m, p FROM f UNION ALL SELECT top, o, m, p FROM f) GROUP BY folder""")
+def folder_dates(spark, d):
+    from quire.functions import paths
+    from quire.operators import hierarchy
+
+    o = read(spark, d, "orders")
+    slug = paths.slugify_path(F.concat_ws("/", "o_orderpriority", "o_orderstatus", F.format_string("%d.md", "o_orderkey")))
+    day = F.col("o_orderdate").cast("date")
+    moment = lambda c: c.cast("timestamp_ntz")
+    own = o.select(slug.alias("slug"), moment(day).alias("created"), moment(F.date_add(day, (F.col("o_orderkey") % 90).cast("int"))).alias("modified"), moment(F.date_sub(day, (F.col("o_custkey") % 70).cast("int"))).alias("published"))
+    return hierarchy.folder_rollup(own)
+
+
+# Filters of routes as files (S19): two lists in one object, lower case; a file that can't be read gives nothing.
+@query("SELECT 'via' AS list, 'gate ' || k AS word FROM range(0, 11, 2) t(k) UNION ALL SELECT DISTINCT 'type', lower(p_type) FROM part")
+def reject_filters(spark, d):
+    root = shared_folder(spark, "filters")
+    types = read(spark, d, "part").agg(F.to_json(F.struct(F.expr("transform(sequence(0, 10, 2), x -> concat('Gate ', x))").alias("via"), F.sort_array(F.collect_set("p_type")).alias("type"))).alias("content"))
+    sinks.write_files(types.select(F.lit("filters").alias("slug"), F.lit(".json").alias("ext"), "content").unionAll(types.select(F.lit("broken"), F.lit(".json"), F.substring("content", 1, 20))), root).count()
+    return reports.read_word_lists(spark, root)
