@@ -341,9 +341,11 @@ def explorer_hooks(spark, d):
     return out.select("folder", "child", "position")
 
 
-@query("WITH n(k, name) AS (VALUES (1, 'Äb2'), (2, 'ab10'), (3, 'AB2x'), (4, 'é'), (5, 'E1'), (6, 'f007'), (7, 'F8')) SELECT name, row_number() OVER (ORDER BY [3, 5, 4, 6, 7, 1, 2][CASE k WHEN 1 THEN 1 WHEN 3 THEN 2 WHEN 2 THEN 3 WHEN 4 THEN 4 WHEN 5 THEN 5 WHEN 6 THEN 6 ELSE 7 END] * 0 + CASE k WHEN 1 THEN 1 WHEN 3 THEN 2 WHEN 2 THEN 3 WHEN 4 THEN 4 WHEN 5 THEN 5 WHEN 6 THEN 6 ELSE 7 END) AS position FROM n")
+@query("SELECT ['Äb' || p_partkey, 'ab00' || p_partkey, 'AB' || p_partkey || 'x', 'é' || p_partkey, 'F0' || p_partkey][p_partkey % 5 + 1] AS name, row_number() OVER (ORDER BY greatest(p_partkey % 5, 2), p_partkey) AS position FROM part")
 def folded_order(spark, d):
-    names = spark.createDataFrame([("", x, False, 1) for x in ("Äb2", "ab10", "AB2x", "é", "E1", "f007", "F8")], "folder string, child string, is_folder boolean, n long")
+    k = F.col("p_partkey")
+    forms = [F.format_string(f, k) for f in ("Äb%d", "ab00%d", "AB%dx", "é%d", "F0%d")]
+    names = read(spark, d, "part").select(F.lit("").alias("folder"), F.element_at(F.array(*forms), (k % 5 + 1).cast("int")).alias("child"), F.lit(False).alias("is_folder"), F.lit(1).alias("n"))
     return hierarchy.explorer(names).select(F.col("child").alias("name"), "position")
 
 
