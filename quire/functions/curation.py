@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions import text
+from quire.functions import paths, text
 
 # Words that hint at a kind, quantifiers, connectors and the parts of quoted names that tell their kind.
 LOCATION_HINTS = ("hall", "temple", "tower", "cavern", "forum", "well", "stair", "tomb", "inn", "library", "pyramid", "waterfall", "chasm", "shrine", "caves", "oracle")
@@ -124,6 +124,29 @@ def escape_table_links(body: Column) -> Column:
     return F.array_join(F.transform(lines, lambda x: F.when(x.rlike(r"^\s*\|.*\|\s*$"), once(x)).otherwise(x)), "\n")
 
 
+#: The line that begins a callout.
+CALLOUT_LINE = r"(?m)^(> *\[!\w+\|?.*?\][+-]?.*)$"
+
+
+def plain_anchors(body: Column) -> Column:
+    """Links whose headings may hold any syntax with the heading's slug, shown as they were spelled unless they say how."""
+
+    def link(whole: Column, embed: Column, target: Column, heading: Column, alias: Column) -> Column:
+        anchor = F.regexp_replace(F.trim(paths.link_anchor(F.concat(target, heading))), "^#+", "")
+        mark = F.when(heading.startswith("#^"), "#^").otherwise("#")
+        shown = F.when(alias != "", F.concat(F.lit("|"), alias)).when(heading != "", F.regexp_replace(heading, "^#", "|")).otherwise("")
+        return F.concat(embed, F.lit("[["), F.trim(target), F.when(anchor != "", F.concat(mark, anchor)).otherwise(""), shown, F.lit("]]"))
+
+    return text.each_match(body, text.FULL_LINK, 4, link)
+
+
+def from_obsidian(body: Column) -> Column:
+    """The dialect of notes as plain Markdown: comments go, a callout's title ends its line, links within tables are
+    escaped, all others have slugs for headings; marks and arrows are set outside code."""
+    out = F.regexp_replace(text.strip_comments(body), CALLOUT_LINE, "$1\n> ")
+    return text.outside_code(escape_table_links(plain_anchors(out)), lambda c: text.arrows(text.mark_highlights(c)))
+
+
 def from_hugo(body: Column) -> Column:
     """Cross references, heading ids, figures and shortcodes of one dialect as plain Markdown."""
     out = F.regexp_replace(body, r'\[([^\]]+)\]\(\{\{< relref "([^"]+)" >\}\}\)', "[$1]($2)")

@@ -84,6 +84,14 @@ def outside_code(text: Column, change: Callable[[Column], Column]) -> Column:
     return F.array_join(F.transform(F.arrays_zip(plain.alias("plain"), code.alias("code")), lambda x: F.concat(change(x.plain), x.code)), "")
 
 
+def each_match(text: Column, pattern: str, groups: int, change: Callable[..., Column]) -> Column:
+    """Every match replaced by change(whole, group 1, ...); a group that takes no part is empty."""
+    plain = F.split(text, pattern, -1).alias("plain")
+    parts = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias(f"g{g}") for g in range(groups + 1)]
+    new = lambda x: F.when(x.g0.isNotNull(), change(*[F.coalesce(x[f"g{g}"], F.lit("")) for g in range(groups + 1)])).otherwise("")
+    return F.array_join(F.transform(F.arrays_zip(plain, *parts), lambda x: F.concat(x.plain, new(x))), "")
+
+
 def link_targets(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WIKILINK), F.lit(1))
 

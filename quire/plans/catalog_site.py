@@ -336,3 +336,17 @@ def reject_filters(spark, d):
     types = read(spark, d, "part").agg(F.to_json(F.struct(F.expr("transform(sequence(0, 10, 2), x -> concat('Gate ', x))").alias("via"), F.sort_array(F.collect_set("p_type")).alias("type"))).alias("content"))
     sinks.write_files(types.select(F.lit("filters").alias("slug"), F.lit(".json").alias("ext"), "content").unionAll(types.select(F.lit("broken"), F.lit(".json"), F.substring("content", 1, 20))), root).count()
     return reports.read_word_lists(spark, root)
+
+
+# The whole dialect of notes (M5), text to text.
+@query("""SELECT p_partkey, 'a  [[' || p_name || '#my-part-' || p_partkey || '|My *Part* ' || p_partkey || ']] → <mark>x</mark>' || chr(10) || '> [!note] Title' || chr(10) || '> ' || chr(10) || '> more' || chr(10)
+    || CASE p_partkey % 2 WHEN 0 THEN '![[P#^b1|^b1]]' ELSE '[[P|shown]] [[#top|top]]' END || chr(10) || '| [[a\\|b]] | `->` |' AS text FROM part""".replace("\\\\", "\\"))
+def dialect_of_notes(spark, d):
+    from quire.functions import curation
+
+    k = F.col("p_partkey")
+    body = F.concat(
+        F.lit("a %%gone [[no]]%% [["), "p_name", F.format_string("#My *Part* %d", k), F.lit("]] -> ==x==\n> [!note] Title\n> more\n"),
+        F.when(k % 2 == 0, "![[P#^b1]]").otherwise("[[P|shown]] [[#top]]"), F.lit("\n| [[a|b]] | `->` |"),
+    )
+    return read(spark, d, "part").select(k, curation.from_obsidian(body).alias("text"))
