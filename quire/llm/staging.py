@@ -25,8 +25,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quire.plans.workers import reach
 
-#: Each staged folder with the JVM's weak reference to the file listing that all plans over its table share, if it is one.
-_staged: dict[str, object] = {}
+#: Each staged folder with the application it is of and the JVM's weak reference to the file listing that all plans over
+#: its table share, if it is a table.
+_staged: dict[str, tuple[str, object] | None] = {}
 _lock = threading.RLock()
 _scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
 _local: list[str] = []
@@ -61,7 +62,7 @@ def _read(spark: SparkSession, path: str, schema) -> DataFrame:
     out = spark.read.schema(schema).parquet(path)
     listing = out._jdf.queryExecution().analyzed().relation().location()
     with _lock:
-        _staged[path] = spark.sparkContext._jvm.java.lang.ref.WeakReference(listing)
+        _staged[path] = spark.sparkContext.applicationId, spark.sparkContext._jvm.java.lang.ref.WeakReference(listing)
     return out
 
 
@@ -85,9 +86,10 @@ def remove(spark: SparkSession, paths: Iterable[str]) -> None:
 
 
 def sweep(spark: SparkSession) -> None:
-    """Removes the tables that nothing refers to any more."""
+    """Removes the tables of this application that nothing refers to any more."""
+    own = spark.sparkContext.applicationId
     with _lock:
-        tables = [(p, ref) for p, ref in _staged.items() if ref is not None]
+        tables = [(p, held[1]) for p, held in _staged.items() if held is not None and held[0] == own]
     remove(spark, [p for p, ref in tables if ref.get() is None])
 
 
