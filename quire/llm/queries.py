@@ -69,6 +69,16 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
+def linked_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 8 where there are links: every vector with a longer one of its direction and one whose components lean a little."""
+    from quire.llm import embedding_dedup
+
+    v, k = read(spark, sf_dir, "embeddings"), F.col("vec_id")
+    longer = v.select((k + 1_000_000).alias("vec_id"), F.transform("embedding", lambda x: x * F.lit(3.0).cast("float")).alias("embedding"), "label")
+    leaning = v.select((k + 2_000_000).alias("vec_id"), F.transform("embedding", lambda x, i: x * (F.lit(1.0) + (i % 3 - 1) * F.lit(0.125)).cast("float")).alias("embedding"), "label")
+    return embedding_dedup.near_duplicates(v.unionAll(longer).unionAll(leaning))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm import substring_dedup
 
@@ -102,7 +112,7 @@ def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_quality, op2_decontaminate, op3_licences, op4_token_shards, op5_toxicity, op6_simhash, op7_line_dedup, op8_embedding_dedup, op9_substring_dedup, op10_byte_bpe,
-        op11_importance_resampling, op12_source_mixing, op13_ranked_search,
+        op11_importance_resampling, op12_source_mixing, op13_ranked_search, linked_embeddings,
     )
 }
 
@@ -174,6 +184,17 @@ FROM marked GROUP BY doc_id
 """
 
 
+#: All pairs; what links here are whole groups, so the smallest of a vector's links names its component.
+LINKED_SQL = """
+WITH v AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings
+    UNION ALL SELECT vec_id + 1000000, list_transform(embedding, lambda x: CAST(x * CAST(3 AS FLOAT) AS DOUBLE)), label FROM embeddings
+    UNION ALL SELECT vec_id + 2000000, list_transform(embedding, lambda x, i: CAST(x * CAST(1 + ((i - 1) % 3 - 1) * 0.125 AS FLOAT) AS DOUBLE)), label FROM embeddings
+), pair AS (SELECT a.vec_id, b.vec_id AS other FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98)
+SELECT v.vec_id, count(other) AS n_links, least(v.vec_id, coalesce(min(other), v.vec_id)) AS component_id, v.vec_id < coalesce(min(other), v.vec_id + 1) AS kept
+FROM v LEFT JOIN pair ON v.vec_id = pair.vec_id GROUP BY v.vec_id
+"""
+
 #: crc32 of a text's bytes by its table: a byte at a time, over each different run of words once.
 OP11_SQL = f"""
 WITH crc AS (
@@ -248,5 +269,5 @@ SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM placed WHERE r
 #: DuckDB SQL, where SQL expresses the operator.
 ORACLES: dict[str, str] = {
     "op2_decontaminate": OP2_SQL, "op3_licences": op3_sql(), "op7_line_dedup": OP7_SQL,
-    "op11_importance_resampling": OP11_SQL, "op12_source_mixing": OP12_SQL, "op13_ranked_search": OP13_SQL,
+    "op11_importance_resampling": OP11_SQL, "op12_source_mixing": OP12_SQL, "op13_ranked_search": OP13_SQL, "linked_embeddings": LINKED_SQL,
 }
