@@ -58,7 +58,7 @@ def test_importance_resampling_of_odd_tables(spark):
     assert len(got) == 40 and sorted(r["rank"] for r in got if r["rank"]) == list(range(1, 21))
     assert importance.scored(docs.limit(0), target).count() == 0
     assert importance.scored(docs, target.limit(0), share=50).filter("rank IS NOT NULL").count() == 20
-    dotted = docs.selectExpr("*", "1 AS `a.b`", "2 AS row", "3 AS h", "4 AS c0").drop("row").selectExpr("*", "5 AS features")
+    dotted = docs.selectExpr("*", "2 AS n_words", "3 AS h", "5 AS features", "6 AS `x.y`")
     assert importance.sample(dotted, target, share=50).columns == dotted.columns
 
 
