@@ -243,6 +243,8 @@ def repeats(lines: DataFrame, held: DataFrame) -> DataFrame:
 def drop_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, digests: bool = False, counts: bool = True) -> DataFrame:
     """All columns of docs with the text less its repeated lines, and n_lines and n_dropped (without counts: not these).
 
+    Columns of docs that have the names of what is added give way to it.
+
     A line's key is the line without ASCII white space at its ends, A-Z lower-cased. Keys of at least ``least`` code
     points that two documents hold lose their lines everywhere but in the smallest key (doc_id) holding them.
     digests: key, n_lines, n_dropped and kept_sha256 instead.
@@ -291,4 +293,6 @@ def drop_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
     made = joined.mapInArrow(run, out)
     if not counts:
         return made.select(*[f"c{i}" for i in range(len(names))]).toDF(*names)
-    return made.toDF(*names, "n_lines", "n_dropped", *["kept_sha256"] * digests)
+    tail = ["n_lines", "n_dropped", *["kept_sha256"] * digests]
+    stay = [i for i, c in enumerate(names) if c not in tail]
+    return made.select(*[f"c{i}" for i in stay], *tail).toDF(*[names[i] for i in stay], *tail)
