@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text
 from quire.operators import cooccurrence, entities, links, search
-from quire.plans import pipeline
+from quire.plans import catalog, pipeline
 from quire.plans.cut import carried
 from quire.sources import notes, reports, sinks
 from quire.sources.watch import differences, watch
@@ -121,6 +121,27 @@ def test_pairs_of_one_session(spark, monkeypatch, block):
     assert sorted(set(rows(entities.unsupported(own, mentions)))) == sorted(set(pairs) - set(want))
 
 
+@pytest.mark.parametrize("side", [2, 4096])
+def test_pairs_of_groups_without_a_session(spark, monkeypatch, side):
+    monkeypatch.setattr(entities, "LEFT", side)
+    monkeypatch.setattr(entities, "RIGHT", side)
+    rng = random.Random(8)
+    some = lambda n: rng.choice([None, *range(n)])
+    left, right = [(some(20), some(4)) for _ in range(60)], [(some(25), some(4)) for _ in range(60)]
+    left_seen, right_seen = [(some(20), some(30)) for _ in range(80)], [(some(25), some(30)) for _ in range(80)]
+    held = {(a, b) for a, s in left_seen for b, t in right_seen if s == t is not None}
+    want = {(a, b) for a, g in left for b, h in right if g == h is not None} - held
+    made = [spark.createDataFrame(x, s) for x, s in ((left, "a int, group int"), (right, "b int, group int"), (left_seen, "a int, session int"), (right_seen, "b int, session int"))]
+    assert sorted(map(repr, map(tuple, entities.unsupported_within(*made).collect()))) == sorted(map(repr, want))
+    assert entities.unsupported_within(made[0].limit(0), *made[1:]).count() == 0
+
+
+def test_unsupported_pairs_are_not_shuffled(spark):
+    plan = catalog.QUERIES["unsupported_pairs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("Generate explode")]
+    assert not any(x in above for x in ("Exchange", "Join", "Aggregate", "ExistingRDD"))
+
+
 def test_similar_names_that_share_most_of_their_letters(spark):
     """Names of one frame: pieces of them are in all of them, the rarest pairs of letters aren't."""
     rng = random.Random(7)
