@@ -35,19 +35,24 @@ def resolve(candidates: DataFrame, names: DataFrame, column: str = "candidate")
 def resolve_fuzzy(candidates: DataFrame, names: DataFrame, least: float = 0.9, column: str = "candidate") -> DataFrame:
     """(candidate, name, ratio): the most similar name of at least that ratio, the smallest of equals.
 
-    Pairs come from a prefix filter over pairs of letters, the rarest first: what the ratio lets two names differ in can
-    spoil only so many of them, so that one of the rarest few of each is shared. Lengths, the number of shared pairs of
-    letters and the edit distance then end most pairs before Python. At a high ratio fewer pairs of letters are asked
-    for; so ratios go down in steps, and what one step has resolved, whose best name is then known, doesn't come to the next.
+    Where the ratio lets two names differ in at most ``FEW`` letters, pairs come by equality of what is left of each when as
+    many are left out; of names of one frame, numbered ones say, only those meet that are so near. The others come from a
+    prefix filter over pairs of letters, the rarest first: what the ratio lets two names differ in can spoil only so many
+    of them, so that one of the rarest few of each is shared; names of one frame that long share most of these. Lengths, the
+    number of shared pairs of letters and the edit distance then end most pairs before Python. At a high ratio fewer letters
+    may differ; so ratios go down in steps, and what one step has resolved, whose best name is then known, doesn't come to
+    the next.
     """
     reach(candidates.sparkSession)
     left = cut(candidates.select(column).distinct().withColumn("key", text.name_key(F.col(column))).filter("key <> ''"))
-    known = cut(names.select("name").filter("name <> ''").distinct().withColumn("grams", _grams(F.col("name"))))
+    known = cut(names.select("name").filter("name <> ''").distinct())
     found = None
     for step in [s for s in (0.97, 0.94) if s > least] + [least]:
         best = cut(_nearest(left, known, step, column))
         found = best if found is None else found.unionAll(best)
-        left = left.join(best.select(column), column, "left_anti")
+        left = cut(left.join(best.select(column), column, "left_anti"))
+        if left.isEmpty():
+            break
     return found
 
 
@@ -69,12 +74,41 @@ def _rarest(rows: DataFrame, by: str, counts: DataFrame, least: float) -> DataFr
     return lists.select(by, F.explode(F.transform(F.slice("g", F.lit(1), spoilt + 1), lambda x: x.gram)).alias("gram"))
 
 
+#: Letters that may differ where names meet by what is left without them.
+FEW = 2
+
+
+def _unmatched(letters: Column, least: float) -> Column:
+    """How many letters two names may have that aren't matched; letters: of both together."""
+    return F.floor(letters * (1 - least) + 1e-9).cast("int")
+
+
+def _most_unmatched(name: Column, least: float) -> Column:
+    """The same beside the longest name that reaches the ratio."""
+    return _unmatched(F.length(name) + F.floor(F.length(name) * ((2 - least) / least) + 1e-6), least)
+
+
+def _thinned(rows: DataFrame, by: str, least: float) -> DataFrame:
+    """(by, left, gone): a hash of each name without each choice of ``gone`` letters, as many as may be unmatched, at most FEW."""
+    without = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))
+    left, most = F.array(by), F.least(_most_unmatched(F.col(by), least), F.lit(FEW))
+    out = rows.select(by, F.col(by).alias("left"), F.lit(0).alias("gone"))
+    for gone in range(1, FEW + 1):
+        left = F.array_distinct(F.flatten(F.transform(F.filter(left, lambda x: x != ""), without)))
+        out = out.union(rows.filter(most >= gone).select(by, F.explode(left), F.lit(gone)))
+    return out.withColumn("left", F.xxhash64("left"))
+
+
 def _met(own: DataFrame, known: DataFrame, least: float) -> DataFrame:
-    """(key, name): what comes to Python. own: (key, grams); known: (name, grams)."""
-    counts = cut(known.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")))
-    pairs = _rarest(own, "key", counts, least).join(_rarest(known, "name", counts, least), "gram").filter(can_reach(F.col("key"), F.col("name"), least)).select("key", "name").distinct()
+    """(key, name): what comes to Python. own: (key); known: (name)."""
+    unmatched = _unmatched(F.length("key") + F.length("name"), least)
+    near = _thinned(own, "key", least).join(_thinned(known, "name", least).withColumnRenamed("gone", "_gone"), "left").filter(F.col("gone") + F.col("_gone") <= unmatched)
+    more = lambda rows, by: rows.filter(_most_unmatched(F.col(by), least) > FEW).withColumn("grams", _grams(F.col(by)))
+    long = cut(more(known, "name"))
+    counts = cut(long.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")))
+    far = _rarest(more(own, "key"), "key", counts, least).join(_rarest(long, "name", counts, least), "gram")
+    pairs = near.select("key", "name").union(far.select("key", "name")).filter(can_reach(F.col("key"), F.col("name"), least)).distinct()
     # What is left unmatched is at most inserted and deleted, which bounds the edit distance and the grams that differ.
-    unmatched = F.floor((F.length("key") + F.length("name")) * (1 - least) + 1e-9).cast("int")
     shared = F.size(F.array_intersect(_grams(F.col("key")), _grams(F.col("name"))))
     longest = F.greatest(F.length("key"), F.length("name"))
     return pairs.filter(shared >= longest + 1 - 2 * unmatched).filter(F.levenshtein("key", "name") <= unmatched)
@@ -82,7 +116,7 @@ def _met(own: DataFrame, known: DataFrame, least: float) -> DataFrame:
 
 def _nearest(own: DataFrame, known: DataFrame, least: float, column: str) -> DataFrame:
     """own: (column, key)."""
-    met = _met(own.select("key").distinct().withColumn("grams", _grams(F.col("key"))), known, least)
+    met = _met(own.select("key").distinct(), known, least)
     scored = met.withColumn("ratio", ratio("key", "name")).filter(F.col("ratio") >= least)
     best = scored.groupBy("key").agg(F.max_by(F.struct("name", "ratio"), F.struct(F.col("ratio"), (-F.length("name")).alias("l"), F.col("name"))).alias("m"))
     return own.join(best, "key").select(column, "m.name", "m.ratio")

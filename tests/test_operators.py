@@ -93,6 +93,39 @@ def test_every_supplier_is_resolved(spark):
     assert found == {r.s_name.replace("pplier", "plier"): r.s_name.lower() for r in spark.read.parquet(f"{sf}/supplier.parquet").collect()}
 
 
+def test_numbered_names_meet_only_near_ones(spark, monkeypatch):
+    met, plain = [], entities._rarest
+    monkeypatch.setattr(entities, "_rarest", lambda r, *a: (met.append(r.count()), plain(r, *a))[1])
+    names = spark.range(200).select(F.format_string("supplier#%09d", "id").alias("name"))
+    found = entities.resolve_fuzzy(names.select(F.regexp_replace("name", "pplier", "plier").alias("candidate")), names)
+    assert rows(found, "candidate", "name") == [(f"suplier#{i:09d}", f"supplier#{i:09d}") for i in range(200)] and not any(met)
+
+
+@pytest.mark.parametrize("least", [0.9, 0.75])
+def test_similar_names_of_all_lengths(spark, least):
+    import difflib
+    import random
+
+    rng = random.Random(11)
+    names = sorted({"".join(rng.choices("ab#12", k=rng.randint(1, 34))) for _ in range(150)} | {"a", "ab", "é" * 5})
+    asked = set()
+    for n in names:
+        for _ in range(rng.randint(0, 3)):
+            i = rng.randrange(len(n) + 1)
+            n = n[:i] + rng.choice(["", "a", "2"]) + n[i + rng.randint(0, 2) :]
+        asked.add(n)
+    got = dict(rows(entities.resolve_fuzzy(spark.createDataFrame([(n,) for n in asked], "candidate string"), spark.createDataFrame([(n,) for n in names], "name string"), least), "candidate", "ratio"))
+    best = {a: max(difflib.SequenceMatcher(None, a, n).ratio() for n in names) for a in asked if a}
+    assert got == {a: b for a, b in best.items() if b >= least}
+
+
+def test_suppliers_of_one_name_are_rows_of_their_own(spark, tmp_path):
+    from quire.plans import catalog
+
+    spark.createDataFrame([(k, f"Supplier#{k // 2:09d}") for k in range(6)], "s_suppkey long, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
+    assert catalog.QUERIES["fuzzy_entities"](spark, str(tmp_path)).count() == 6
+
+
 def test_resolution_and_screens(spark):
     ent = spark.createDataFrame([("npcs", "Bob", "npcs/Bob", ["Red"]), ("items", "Red", "items/Red", None)], "kind string, canonical string, path string, aliases array<string>")
     cand = spark.createDataFrame([("RED",), ("(Bob)",), ("x",)], "candidate string")
