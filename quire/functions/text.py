@@ -41,6 +41,22 @@ def name_key(text: Column) -> Column:
     return F.lower(squeeze(F.regexp_replace(text, r"[\[\](){}:*`|\"'’“”]", "")))
 
 
+#: Letters whose capital is written with several, and the one letter that stands for it alone; most have none.
+_CAPITALS = {c: "ẞ" if c == "ß" else c.title() if len(c.title()) == 1 else c for c in map(chr, range(0x10000)) if len(c.upper()) > 1}
+
+
+def upper_letters(text: Column) -> Column:
+    """Upper case letter by letter, each one letter, as SQL engines have it that fold code points: ß becomes ẞ, not SS."""
+    own = F.translate(text, "".join(_CAPITALS), "".join(_CAPITALS.values()))
+    each = F.transform(F.split(own, ""), lambda c: F.when(F.length(F.upper(c)) == 1, F.upper(c)).otherwise(c))
+    return F.array_join(each, "")
+
+
+def lower_letters(text: Column) -> Column:
+    """Lower case letter by letter: İ becomes i alone, and Σ is σ at the end of a word too."""
+    return F.lower(F.translate(text, "İΣ", "iσ"))
+
+
 def spaced_key(text: Column) -> Column:
     return squeeze(F.lower(text))
 

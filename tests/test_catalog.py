@@ -44,6 +44,34 @@ def test_query(spark, db, name):
         assert got
 
 
+@pytest.mark.parametrize("name", ["name_mentions"])
+def test_mentions_of_odd_letters(spark, tmp_path, name):
+    """Capitals of several letters, a final sigma, white space of one engine alone, brackets, rows without a number."""
+    items = ["erßie straße", "ΟΔΟΣ ᾳ ŉ ﬁ", "İx one [[two]] b", "a\x0bb c", "[[ z", "Σ", "stone"]
+    turns = [(k, 0, t) for k, t in enumerate([*items, *(t.lower() for t in items), "ERSTE erßie erßie ersu [[one]] ıx", None, ""])] + [(None, 1, "erßie stone"), (90, None, "stone Σ")]
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(turns, "conv_id long, turn long, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    db = duckdb.connect()
+    for t in ("benchmark", "conversations"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    df = catalog.QUERIES[name](spark, str(tmp_path))
+    columns = ", ".join(df.columns)
+    want = db.execute(f"SELECT {columns} FROM ({ORACLES[name]})").fetchall()
+    assert want and sorted(map(tuple, df.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_upper_case_by_letters(spark):
+    """All letters whose capital is written with several."""
+    from pyspark.sql import functions as F
+
+    from quire.functions import text
+
+    letters = [(c,) for c in map(chr, range(0x80, 0x10000)) if len(c.upper()) > 1] + [("aßé",), ("",), (None,)]
+    db = duckdb.connect()
+    got = spark.createDataFrame(letters, "c string").select("c", text.upper_letters(F.col("c")).alias("u")).collect()
+    assert {r.c: r.u for r in got} == {c: db.execute("SELECT upper(?::VARCHAR)", [c]).fetchone()[0] for c, in letters}
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
