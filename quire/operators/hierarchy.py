@@ -85,7 +85,8 @@ def tag_pages(notes: DataFrame) -> DataFrame:
 
 def newest_by_tag(notes: DataFrame, limit: int = 10) -> DataFrame:
     """(tag, slug, position): the first notes of each tag: dated ones first, newest first, then by title."""
-    rows = notes.select("slug", "title", "modified", F.explode("tags").alias("tag"))
+    # Without outer, Spark would ask the size of the tags before all else, and so parse notes once more where they are read.
+    rows = notes.select("slug", "title", "modified", F.explode_outer("tags").alias("tag")).filter("tag is not null")
     order = Window.partitionBy("tag").orderBy(F.col("modified").desc_nulls_last(), F.lower("title"), "slug")
     return rows.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= limit).select("tag", "slug", "position")
 

@@ -214,17 +214,24 @@ def dated(notes: DataFrame, git: DataFrame | None = None) -> DataFrame:
     return notes.join(own, notes["path"] == own["_p"], "left").withColumn("modified", best_date(F.col("front"), F.col("_m"), F.col("file"))).drop("_p", "_m")
 
 
-def parse_notes(notes: DataFrame, as_of: Column | None = None) -> DataFrame:
+def dealt(notes: DataFrame) -> DataFrame:
+    """notes (path, ...) over as many tasks as shuffles or the cluster have: one small file may hold very many of them, and
+    parsing costs far more than moving. The number is stated, as one that follows bytes would bring them together again."""
+    spark = notes.sparkSession
+    return notes.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "path")
+
+
+def parse_notes(notes: DataFrame, as_of: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """(path, folder, slug, title, body, tags, aliases, permalink, draft, publish, created, modified, published, links).
 
-    A permalink is an alias too. Tags and links in code are none.
+    A permalink is an alias too. Tags and links in code are none. keep: further columns of notes that go along.
 
     Dates that are missing or unreadable fall back on one another and then on as_of, which is never the clock.
     """
     from quire.functions import paths, text
 
     raw = text.strip(F.col("raw"))
-    out = notes.select("*", front_matter(raw).alias("_block"), body(raw).alias("body"))
+    out = dealt(notes).select("*", front_matter(raw).alias("_block"), body(raw).alias("body"))
     block = F.col("_block")
     first = lambda field: F.coalesce(*[listed(block, n) for n in SYNONYMS[field]], F.array().cast("array<string>"))
     tags = F.array_distinct(F.concat(F.transform(first("tags"), paths.slug_tag), F.transform(text.inline_tags(text.without_code(F.col("body"))), paths.slug_tag)))
@@ -244,4 +251,5 @@ def parse_notes(notes: DataFrame, as_of: Column | None = None) -> DataFrame:
         F.coalesce(date_of(block, "modified"), default).alias("modified"),
         F.coalesce(date_of(block, "published"), default).alias("published"),
         F.array_distinct(text.link_targets(text.without_code(F.col("body")))).alias("links"),
+        *keep,
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text
 from quire.operators import cooccurrence, entities, links, search
-from quire.plans import catalog, pipeline
+from quire.plans import catalog, catalog_site, pipeline
 from quire.plans.cut import carried
 from quire.sources import notes, reports, sinks
 from quire.sources.watch import differences, watch
@@ -142,6 +142,18 @@ def test_unsupported_pairs_are_not_shuffled(spark):
     assert not any(x in above for x in ("Exchange", "Join", "Aggregate", "ExistingRDD"))
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_notes_are_parsed_once_and_by_many_tasks(spark):
+    """No size of tags is asked where notes are read, and a file of many notes is dealt to tasks first."""
+    plan = _plan(catalog.QUERIES["newest_by_tag"](spark, "/root/testdata/sf0.001"))
+    assert "Filter (size(" not in plan and "REPARTITION_BY_NUM" in plan
+    one = spark.createDataFrame([(f"n{i}.md", "#a") for i in range(40)], "path string, raw string").coalesce(1)
+    assert notes.parse_notes(one).rdd.getNumPartitions() == 4
+
+
 def test_similar_names_that_share_most_of_their_letters(spark):
     """Names of one frame: pieces of them are in all of them, the rarest pairs of letters aren't."""
     rng = random.Random(7)
