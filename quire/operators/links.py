@@ -12,7 +12,7 @@ from quire.plans.workers import reach
 
 def outgoing(notes: DataFrame) -> DataFrame:
     """(src, dst): the different simple slugs that each note links to."""
-    target = F.explode("links").alias("t")
+    target = F.explode_outer("links").alias("t")  # outer, as what is parsed would be parsed once more to ask its size; null is no link
     return notes.select(F.col("slug").alias("src"), target).filter(paths.is_internal(F.col("t"))).select("src", paths.simplify_slug(paths.slugify_path(paths.link_path(F.col("t")))).alias("dst")).distinct()
 
 

@@ -154,6 +154,11 @@ def test_notes_are_parsed_once_and_by_many_tasks(spark):
     assert notes.parse_notes(one).rdd.getNumPartitions() == 4
 
 
+def test_a_graph_of_notes_parses_them_once(spark):
+    plan = _plan(catalog.QUERIES["note_graph"](spark, "/root/testdata/sf0.001"))
+    assert "FileScan" not in plan and "ExistingRDD" in plan
+
+
 def test_similar_names_that_share_most_of_their_letters(spark):
     """Names of one frame: pieces of them are in all of them, the rarest pairs of letters aren't."""
     rng = random.Random(7)
