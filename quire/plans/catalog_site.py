@@ -145,10 +145,10 @@ def watched_folder(spark, d):
 @query(f"WITH {NOTES_SQL} SELECT path, title, array_to_string(links, '|') AS links, true AS dated FROM note")
 def notes_of_files(spark, d):
     root = shared_folder(spark, "notes")
-    own = note_files(spark, d)
+    own = notes.dealt(note_files(spark, d))
     sinks.write_files(own.select(F.regexp_replace("path", r"\.md$", "").alias("slug"), F.lit(".md").alias("ext"), F.col("raw").alias("content")), root).count()
-    found = notes.read_notes(spark, root)
-    return notes.parse_notes(found).join(found.select("path", F.col("modified").alias("file")), "path").select("path", "title", F.array_join("links", "|").alias("links"), F.col("file").isNotNull().alias("dated"))
+    found = notes.read_notes(spark, root).withColumnRenamed("modified", "file")
+    return notes.parse_notes(found, keep=("file",)).select("path", "title", F.array_join("links", "|").alias("links"), F.col("file").isNotNull().alias("dated"))
 
 
 @query("SELECT DISTINCT p_type AS list, lower(p_brand) AS word FROM part")

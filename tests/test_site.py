@@ -159,6 +159,11 @@ def test_a_graph_of_notes_parses_them_once(spark):
     assert "FileScan" not in plan and "ExistingRDD" in plan
 
 
+def test_notes_of_files_are_read_once(spark):
+    plan = _plan(catalog_site.QUERIES["notes_of_files"](spark, "/root/testdata/sf0.001"))
+    assert plan.count("FileScan binaryFile") == 1
+
+
 def test_similar_names_that_share_most_of_their_letters(spark):
     """Names of one frame: pieces of them are in all of them, the rarest pairs of letters aren't."""
     rng = random.Random(7)
