@@ -136,6 +136,31 @@ def test_pairs_of_groups_without_a_session(spark, monkeypatch, side):
     assert entities.unsupported_within(made[0].limit(0), *made[1:]).count() == 0
 
 
+@pytest.mark.parametrize("gone", [0, 1, 16])
+@pytest.mark.parametrize("side", [3, 4096])
+def test_pairs_of_groups_are_named_before_they_are_made(spark, monkeypatch, side, gone):
+    """Names of keys, of which some go without none, few or most of their group, null among them."""
+    monkeypatch.setattr(entities, "LEFT", side)
+    monkeypatch.setattr(entities, "RIGHT", side)
+    monkeypatch.setattr(entities, "GONE", gone)
+    rng = random.Random(9)
+    left, right = [(a, a % 3) for a in range(40)] + [(None, 1), (7, 1), (7, 2)], [(b, b % 3) for b in range(60)] + [(None, 1), (None, 2), (5, 1)]
+    left_seen = [(a, a) for a in range(30)] + [(None, 30), (None, 1), (8, None)]
+    right_seen = [(b, s) for s in range(31) for b in rng.sample([None, *range(60)], (0, 1, 5, 55)[s % 4])] + [(8, None)]
+    held = {(a, b) for a, s in left_seen for b, t in right_seen if s == t is not None}
+    name = lambda p, k: None if k is None else f"{p}{k}"
+    want = {(name("c", a), name("s", b)) for a, g in left for b, h in right if g == h and (a, b) not in held}
+    made = [spark.createDataFrame(x, s) for x, s in ((left, "a int, group int"), (right, "b int, group int"), (left_seen, "a int, session int"), (right_seen, "b int, session int"))]
+    got = entities.unsupported_within(*made, *(lambda k, p=p: F.concat(F.lit(p), k.cast("string")) for p in "cs"))
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
+def test_unsupported_pairs_do_no_work_for_each_pair(spark):
+    plan = catalog.QUERIES["unsupported_pairs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("Generate explode")]
+    assert "array_contains" in above and not any(x in above for x in ("concat", "cast", "array_except"))
+
+
 def test_unsupported_pairs_are_not_shuffled(spark):
     plan = catalog.QUERIES["unsupported_pairs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     above = plan[: plan.index("Generate explode")]
