@@ -167,6 +167,17 @@ def test_unsupported_pairs_are_not_shuffled(spark):
     assert not any(x in above for x in ("Exchange", "Join", "Aggregate", "ExistingRDD"))
 
 
+def test_sets_for_the_cells_of_pairs_are_made_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(entities, "LEFT", 2)
+    monkeypatch.setattr(entities, "SPREAD", 10, raising=False)
+    left, right = (spark.range(60).select(F.col("id").alias(k), (F.col("id") % 3).cast("int").alias("group")) for k in "ab")
+    seen = spark.range(5)
+    out = entities.unsupported_within(left, right, seen.select(F.col("id").alias("a"), F.col("id").alias("session")), seen.select(F.col("id").alias("b"), F.col("id").alias("session")))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    made = plan[plan.index("collect_set(b") :]
+    assert "group" in made and ", 3), REPARTITION_BY_NUM" in made and out.count() == 3 * 20 * 20 - 5
+
+
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
